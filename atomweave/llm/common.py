@@ -78,3 +78,23 @@ def id_in(column: str) -> Column:
 
 def id_out(df: DataFrame, column: str = "doc_id") -> DataFrame:
     return df.withColumn(column, F.nullif(F.col(column), F.lit(NULL_ID)))
+
+
+#: Bits of a membership filter: 8 MB at most, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def likely_in(df: DataFrame, key: Column, members: DataFrame, member: Column) -> DataFrame:
+    """The rows of ``df`` whose key may be among the members' keys; all that are, and few others.
+
+    A bitmap of hashed keys is broadcast, whose size is bounded by ``FILTER_BITS``; with far more members than
+    bits it lets everything pass.  It only saves shuffling: a join on the key itself has to follow.
+    """
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS)) + 1
+    m = members.select(slot(member).alias("_x"))
+    bits = m.groupBy(F.bitmap_bucket_number("_x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits"))
+    rows = df.withColumn("_x", slot(key)).withColumn("_bucket", F.bitmap_bucket_number("_x"))
+    at = F.bitmap_bit_position("_x")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("_byte >> cast(bitmap_bit_position(_x) % 8 as int) & 1") == 1
+    return rows.join(F.broadcast(bits), "_bucket").withColumn("_byte", byte).where(hit).select(*df.columns)

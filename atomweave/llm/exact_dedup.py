@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, likely_in
 
 #: Characters that do not count: U+0020 and U+0009 to U+000D.
 BLANK = " \t\n\x0b\x0c\r"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
@@ -84,7 +85,7 @@ class StreamingExactDedup:
         arrived = self._arrive(docs, id_col, text_col)
         groups = self._consume(arrived.schema)
         mine = arrived.where(F.col("batch") == self.batch).drop("file")
-        differing = self._differing(docs, groups, id_col, text_col)
+        differing = self._differing(docs, groups, text_col)
         self.batch += 1
         rows = mine.join(groups.drop("keep_file"), "digest").select(
             "id", "keep_id", F.col("n").alias("group_size"), (F.col("row").eqNullSafe(F.col("keep_row")) & (F.col("batch") == F.col("keep_batch"))).alias("kept"), "digest"
@@ -93,12 +94,15 @@ class StreamingExactDedup:
             return rows
         return self._apart(docs, rows, id_col, text_col)
 
-    def _differing(self, docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-        """Compare, for every digest that was hit again, the full bytes with those of the row that stays."""
-        full = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
-        hits = full.withColumn("digest", self.digest(F.col("norm"))).join(groups.where("n > 1").select("digest", "keep_id"), "digest")
-        kept = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("norm").alias("of_kept"))
-        other = hits.where(~F.col("id").eqNullSafe(F.col("keep_id"))).join(kept, "digest").where("norm <> of_kept").select("digest").distinct()
+    def _differing(self, docs: DataFrame, groups: DataFrame, text_col: str) -> DataFrame | None:
+        """Compare the full bytes of all rows of every digest that was hit again: digests with different texts, or None.
+
+        The least and the greatest text of a digest are found before the shuffle, task by task.
+        """
+        full = docs.select(normalised(text_col).alias("norm")).withColumn("digest", self.digest(F.col("norm")))
+        hits = likely_in(full, F.col("digest"), groups.where("n > 1"), F.col("digest"))
+        texts = hits.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+        other = texts.where("least <> most").select("digest")
         return None if other.isEmpty() else other
 
     def _apart(self, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
