@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +102,29 @@ def likely_in(df: DataFrame, key: Column, members: DataFrame, member: Column) ->
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.expr("_byte >> cast(bitmap_bit_position(_x) % 8 as int) & 1") == 1
     return rows.join(F.broadcast(bits), "_bucket").withColumn("_byte", byte).where(hit).select(*df.columns)
+
+
+_HELD: dict = {}
+
+
+def held(name: tuple, make):
+    """What a Python worker remembers from task to task for one operator; another operator's goes first, so that caches don't add up."""
+    if name not in _HELD:
+        release_held()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release_held() -> None:
+    """Give memory back: what is remembered, and what the allocators keep for later."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Batches for Python hold 4 MB at most (but one row at least), so that long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return spark

@@ -13,13 +13,15 @@ import re
 
 import numpy as np
 
+from .common import held
+
 #: The two pre-token patterns of the public byte-pair vocabularies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin letters, digits, punctuation, plain blanks: here Unicode versions, normal forms and lower case agree.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
 #: Pre-tokens that one process remembers at most; beyond that it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 #: Pre-tokens that the library gets in one call.
 TOGETHER = 2000
 #: The letters and digits of PLAIN, so that the standard library's faster patterns can cut it.
@@ -84,9 +86,10 @@ class Ragged:
 class Encoder:
     """``ids(texts)`` as ``encode(text, add_special_tokens=False)`` of the library gives them, without truncation or padding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         spec = json.loads(open(path, encoding="utf-8").read())
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -121,7 +124,7 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids per text; null counts as empty."""
-        if len(self.numbers) > REMEMBERED:
+        if len(self.numbers) > self.remembered:
             self._forget()
         look, fresh = self.numbers.__getitem__, self.numbers.fresh
         found, odd = [], []
@@ -145,17 +148,12 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder per file and process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("ids", path), lambda: Encoder(path, remembered))
 
 
-def slices(texts: list, most: int = 1 << 21):
+def slices(texts: list, most: int = 1 << 20):
     """Ranges of rows with about ``most`` characters, so that a batch of long texts stays small in memory."""
     begin = size = 0
     for n, t in enumerate(texts):

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import id_in, id_out, staged
 from .encoding import encoder, slices
 
+#: Pre-tokens that one process remembers; fewer than elsewhere, as packing ends long pipelines whose executors are full.
+REMEMBERED = 250_000
+
 
 def _match_large(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """(number of bins, their lengths): every large item with the largest other that fits beside it."""
@@ -130,7 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, REMEMBERED), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], np.uint32)
         for b in batches:
@@ -144,6 +147,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
                         rows.append((doc, piece, start, len(cut), zlib.crc32(cut.tobytes()), part, seen[len(cut)]))
                         seen[len(cut)] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            rows = texts = ids = b = None
 
     rows = docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")

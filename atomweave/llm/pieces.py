@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out
+from .common import held, id_in, id_out
 from .encoding import Ragged, _Numbers, slices
 
 BLANK = "▁"
@@ -302,9 +302,6 @@ class PieceEncoder:
         return text.removeprefix(" ")
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def piece_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, decoded_same, ids`` of every row, encoded and decoded again.
 
@@ -313,7 +310,7 @@ def piece_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _ENCODERS.get(model) or _ENCODERS.setdefault(model, PieceEncoder(model))
+        enc = held(("pieces", model), lambda: PieceEncoder(model))
         for b in batches:
             texts, rows = b["text"].tolist(), []
             for i, j in slices(texts):
@@ -331,7 +328,7 @@ def piece_texts(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col:
     """``doc_id, text`` from arrays of ids; a null array gives a null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _ENCODERS.get(model) or _ENCODERS.setdefault(model, PieceEncoder(model))
+        enc = held(("pieces", model), lambda: PieceEncoder(model))
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [None if x is None else enc.decode(np.asarray(x)) for x in b["ids"]]})
 

@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_held
+
 
 BUCKETS = 1 << 20
 #: Words that one process remembers the bucket of.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class Features:
@@ -67,6 +69,11 @@ class Features:
 class CumulativeLink:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, one fewer than grades
+    share: float = 1.0  # of the highest grade among the ratings
+
+    def cut(self, tail: float) -> float:
+        """The tail probability from which a text is kept: ``tail``, but under the share that a text has of which nothing is known."""
+        return min(tail, 0.9 * self.share)
 
     def score(self, x: np.ndarray) -> float:
         return float(self.weights[x].sum())
@@ -80,19 +87,19 @@ def fit_rows(xs: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: i
     """Maximum likelihood by Adam on all rows at once, with soft thresholding of the weights.
 
     A bucket gets a weight only if, for some grade, the rows that have it lie above or below that grade
-    by ``least`` standard deviations more often than all rows do; each grade weighs the same in sum, rare ones at most
+    by ``least`` standard deviations more often than all rows do; for the weights, each grade weighs the same in sum, rare ones at most
     five times their share.
     """
-    seen = np.bincount(np.concatenate([np.empty(0, np.int64), *xs]), minlength=buckets)
+    seen = np.bincount(np.concatenate([np.empty(0, np.int32), *xs]), minlength=buckets)
     strong = np.zeros(buckets, bool)
     for k in range(1, n_grades):
-        below = np.bincount(np.concatenate([np.empty(0, np.int64), *(x for x, g in zip(xs, grades, strict=True) if g < k)]), minlength=buckets)
+        below = np.bincount(np.concatenate([np.empty(0, np.int32), *(x for x, g in zip(xs, grades, strict=True) if g < k)]), minlength=buckets)
         for part, share in ((below, (grades < k).mean()), (seen - below, (grades >= k).mean())):
             strong |= part - seen * share >= least * np.sqrt(seen * share + 1)
     column = np.flatnonzero(strong)
     place = np.full(buckets, -1)
     place[column] = np.arange(len(column))
-    xs = [y[y >= 0] for y in (place[x] for x in xs)]
+    xs = [y[y >= 0] for y in (place[x] for x in xs)]  # columns in place of buckets
     row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
     col = np.concatenate([np.empty(0, np.int64), *xs])
     n, k = len(xs), n_grades - 1
@@ -103,7 +110,9 @@ def fit_rows(xs: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: i
     gaps = np.concatenate([[t[0]], np.log(np.maximum(0.05, np.diff(t)))])  # thresholds stay ordered: t0, t0 + e^g1, ...
     m, v = np.zeros(len(w) + k), np.zeros(len(w) + k)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for step in range(1, rounds + 1):
+    for step in range(1, 2 * rounds + 1):
+        if step == rounds + 1:  # the weights stand; without the costs the thresholds come to fit the shares of the grades
+            cost, m, v = np.ones(n), 0 * m, 0 * v
         t = gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))])
         s = np.bincount(row, w[col], n)
         upper = np.concatenate([np.ones((n, 1)), sig(s[:, None] - t), np.zeros((n, 1))], 1)  # P(grade >= j)
@@ -119,11 +128,13 @@ def fit_rows(xs: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: i
         grad = -np.concatenate([np.bincount(col, ds[row], len(w)), dgap])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, gaps = w - move[: len(w)], gaps - move[len(w) :]
-        w = np.sign(w) * np.maximum(0, np.abs(w) - l1 * rate * 10)
+        gaps = gaps - move[len(w) :]
+        if step <= rounds:
+            w = w - move[: len(w)]
+            w = np.sign(w) * np.maximum(0, np.abs(w) - l1 * rate * 10)
     weights = np.zeros(buckets)
     weights[column] = w
-    return CumulativeLink(weights, gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))]))
+    return CumulativeLink(weights, gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))]), float((grades == k).mean()))
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -139,16 +150,18 @@ def fit(rows: DataFrame, n_grades: int = 3, sample: int = 6000, buckets: int = B
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Features(buckets)
         for b in batches:
-            yield pd.DataFrame({"grade": b["grade"], "x": [f(t) for t in b["text"]]})
+            yield pd.DataFrame({"grade": b["grade"], "x": [f(t).astype("<i4").tobytes() for t in b["text"]]})
+        f = None
+        release_held()
 
     n = rows.count()
     part = rows.where(F.expr(f"(cast(h as double) / 18446744073709551616d + 0.5) * {n} < {sample}")) if n > sample else rows
     once = part.groupBy("h").agg(F.min(F.struct("grade", "text")).alias("r"))
-    got = once.select("r.text", F.col("r.grade").cast("int").alias("grade")).mapInPandas(run, "grade int, x array<long>").collect()
-    got.sort(key=lambda r: (r.grade, len(r.x), sorted(r.x)[:8]))
+    got = once.select("r.text", F.col("r.grade").cast("int").alias("grade")).mapInPandas(run, "grade int, x binary").collect()  # at most about ``sample`` rows
+    got = sorted((r.grade, bytes(r.x)) for r in got)
     if not got:
-        return CumulativeLink(np.zeros(buckets), np.linspace(-40, -39, n_grades - 1))
-    return fit_rows([np.array(r.x, np.int64) for r in got], np.array([r.grade for r in got]), n_grades, buckets)
+        return CumulativeLink(np.zeros(buckets), np.linspace(-40, -39, n_grades - 1))  # no ratings: every text is kept
+    return fit_rows([np.frombuffer(x, "<i4") for _, x in got], np.array([g for g, _ in got]), n_grades, buckets)
 
 
 def rating(model: CumulativeLink, spark):
@@ -157,27 +170,30 @@ def rating(model: CumulativeLink, spark):
 
     @F.pandas_udf("expected_grade double, tail_prob double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_held()
         m = shared.value
         f = Features(len(m.weights), m.weights)
         for texts in batches:
             tails = m.tails(np.array([m.score(f(t)) for t in texts], np.float64))
             yield pd.DataFrame({"expected_grade": tails.sum(1), "tail_prob": tails[:, -1]})
+        f = None
+        release_held()
 
     return run
 
 
-def rate(docs: DataFrame, model: CumulativeLink, tail: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rate(docs: DataFrame, model: CumulativeLink, tail: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, expected_grade, tail_prob, keep`` of every row.
 
-    ``tail_prob`` is the probability of the highest grade and ``keep`` tells whether it is at least ``tail``.
+    ``tail_prob`` is the probability of the highest grade and ``keep`` tells whether it is at least ``model.cut(tail)``.
     Null and empty texts are rated by their make-up alone; null ids and repeated rows pass through;
     other columns are not read.
     """
     r = rating(model, docs.sparkSession)(F.col(text_col).cast("string"))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), r.alias("r")).select("doc_id", "r.expected_grade", "r.tail_prob", (F.col("r.tail_prob") >= tail).alias("keep"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), r.alias("r")).select("doc_id", "r.expected_grade", "r.tail_prob", (F.col("r.tail_prob") >= model.cut(tail)).alias("keep"))
 
 
-def select_rated(docs: DataFrame, model: CumulativeLink, tail: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose ``tail_prob`` is at least ``tail``, with their own columns."""
+def select_rated(docs: DataFrame, model: CumulativeLink, tail: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose ``tail_prob`` is at least ``model.cut(tail)``, with their own columns."""
     r = rating(model, docs.sparkSession)(F.col(text_col).cast("string"))
-    return docs.where(r.getField("tail_prob") >= tail)
+    return docs.where(r.getField("tail_prob") >= model.cut(tail))

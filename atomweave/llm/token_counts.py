@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out
+from .common import held, id_in, id_out
 from .encoding import Encoder, kind_of, slices
 
 NONE = np.int32(2**31 - 1)
@@ -126,9 +126,6 @@ def _byte_spans(text: str, pre) -> list[tuple[int, int]]:
     return [(at[i], at[j]) for _, (i, j) in pre.pre_tokenize_str(text)]
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row.
 
@@ -137,7 +134,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = _COUNTERS.get(tokenizer) or _COUNTERS.setdefault(tokenizer, TokenCounter(tokenizer))
+        counter = held(("counts", tokenizer), lambda: TokenCounter(tokenizer))
         for b in batches:
             texts = b["text"].tolist()
             n = [counter.counts(texts[i:j]) for i, j in slices(texts)]
