@@ -112,12 +112,18 @@ def held(name: tuple, make):
     if name not in _HELD:
         release_held()
         _HELD[name] = make()
+        trim()
     return _HELD[name]
 
 
 def release_held() -> None:
     """Give memory back: what is remembered, and what the allocators keep for later."""
     _HELD.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give back what the allocators keep for later."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_in, id_out, staged
+from .common import components, id_in, id_out, release_held, staged
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -82,57 +82,116 @@ def _column(values) -> np.ndarray:
     return np.array(list(values), np.uint64).view(np.int64)
 
 
-def _forest(radius: int, confirm: int):
-    """Spanning links of each bucket: at most one fewer than its members.
+def _spanning(u: np.ndarray, v: np.ndarray, of: np.ndarray, radius: int, confirm: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Links that join the components of one bucket: (component, components), together fewer than there are.
 
-    Members link if their fingerprints are within the radius and their second ones within ``confirm`` bits.
+    Members link if their fingerprints ``u`` are within ``radius`` bits and their second ones ``v`` within
+    ``confirm``; those with the same ``of`` are joined already.
     """
+    names, label = np.unique(of, return_inverse=True)
+    rest = np.arange(len(of))
+    while len(rest):  # breadth first from each unseen component
+        own = label[rest] == label[rest[0]]
+        todo, rest = rest[own].tolist(), rest[~own]
+        while todo and len(rest):
+            i = todo.pop()
+            near = (np.bitwise_count(u[rest] ^ u[i]) <= radius) & (np.bitwise_count(v[rest] ^ v[i]) <= confirm)
+            if near.any():
+                found = np.unique(label[rest[near]])
+                yield names[label[i]], names[found]
+                own = np.isin(label[rest], found)
+                todo.extend(rest[own].tolist())
+                rest = rest[~own]
+
+
+def _pairs(found: list) -> pd.DataFrame:
+    a = [np.full(len(y), x) for x, y in found]
+    b = [y for _, y in found]
+    return pd.DataFrame({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])})
+
+
+def _unsigned(values) -> np.ndarray:
+    return np.asarray(values, np.int64).view(np.uint64)
+
+
+def _forest(radius: int, confirm: int):
+    """The links of collected buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            a, c = [], []
-            for nodes, fps, seconds in zip(b["nodes"], b["fps"], b["seconds"], strict=True):
-                x = np.asarray(nodes, np.int64)
-                u, v = np.asarray(fps, np.int64).view(np.uint64), np.asarray(seconds, np.int64).view(np.uint64)
-                rest = np.arange(len(x))
-                while len(rest):  # breadth first from each unseen member
-                    todo, rest = [rest[0]], rest[1:]
-                    while todo and len(rest):
-                        i = todo.pop()
-                        near = (np.bitwise_count(u[rest] ^ u[i]) <= radius) & (np.bitwise_count(v[rest] ^ v[i]) <= confirm)
-                        found, rest = rest[near], rest[~near]
-                        a.append(np.full(len(found), x[i]))
-                        c.append(x[found])
-                        todo.extend(found.tolist())
-            yield pd.DataFrame({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(c) if c else np.empty(0, np.int64)})
+            found = []
+            for u, v, of in zip(b["fps"], b["seconds"], b["ofs"], strict=True):
+                found += _spanning(_unsigned(u), _unsigned(v), np.asarray(of, np.int64), radius, confirm)
+            yield _pairs(found)
 
     return run
 
 
+def first_links(classes: DataFrame, radius: int, confirm: int, tables: int = 3) -> DataFrame:
+    """``(a, b)``: part of the links between classes, found cheaply before all tables are.
+
+    Rows are sorted by the whole fingerprint and by a few of its masked forms, and stretches of up to ``LARGE``
+    rows that agree are linked as they stream by.  Range partitions split a hot value, so nothing is collected.
+    """
+    n = max(2, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chosen = [(1 << 64) - 1, *masks(radius, list(range(64)))[:tables]]
+    tables_ = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(chosen)])
+    dealt = classes.select("fp", "second", "of", F.explode(tables_).alias("x")).select("x.t", "x.k", "fp", "second", "of")
+    order = ["t", "k", "fp", "second"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            t, k, of = b["t"].to_numpy(), b["k"].to_numpy(), b["of"].to_numpy()
+            u, v = _unsigned(b["fp"]), _unsigned(b["second"])
+            edges = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]), [True]])) if len(b) else np.zeros(1, int)
+            found = []
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if j - i > 1:
+                    for x in range(i, j, LARGE):
+                        y = min(x + LARGE, j)
+                        found += _spanning(u[x:y], v[x:y], of[x:y], radius, confirm)
+            yield _pairs(found)
+
+    return dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long").distinct()
+
+
 def links(classes: DataFrame, radius: int = 3, confirm: int = 64) -> DataFrame:
-    """``(a, b)``: links between classes that join all pairs within the radius.
+    """``(a, b)``: links between components that join all pairs of classes within the radius.
 
-    ``classes`` has distinct ``node, fp, second``.  A bucket of over ``LARGE`` members is dealt out
-    again under covering masks of the bits its own mask leaves free; what agrees under both masks
-    differs in few free bits only, which bounds a second bucket by their number where ``fp`` is distinct, whatever the input.
+    ``classes`` has distinct ``fp, second`` and ``of``, the component a class is known to belong to.  Buckets
+    of one component are left out.  A bucket of over ``LARGE`` members is dealt out again under covering masks of
+    the bits its own mask leaves free; what agrees under both masks differs in few free bits only, which bounds a
+    second bucket by their number where ``fp`` is distinct, whatever the input.
     """
     spark, every = classes.sparkSession, list(range(64))
     first = masks(radius, every)
     second = [(t, n, _signed(x)) for t, m in enumerate(first) for n, x in enumerate(masks(radius, [i for i in every if not m >> i & 1]))]
     tables = F.array(*[F.struct(F.lit(n).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for n, m in enumerate(first)])
-    dealt = staged(classes.select("node", "fp", "second", F.explode(tables).alias("x")).select("x.t", "x.k", "node", "fp", "second"), "simhash-dealt")
-    sizes = staged(dealt.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
-    members = [F.collect_list(c).alias(n) for c, n in (("node", "nodes"), ("fp", "fps"), ("second", "seconds"))]
+    dealt = staged(classes.select("of", "fp", "second", F.explode(tables).alias("x")).select("x.t", "x.k", "of", "fp", "second"), "simhash-dealt")
+    mixed = dealt.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high")
+    sizes = staged(mixed.select("t", "k", "n"), "simhash-sizes")
+    members = [F.collect_list(c).alias(n) for c, n in (("of", "ofs"), ("fp", "fps"), ("second", "seconds"))]
     out = dealt.join(sizes.where(F.col("n") <= LARGE), ["t", "k"], "left_semi").groupBy("t", "k").agg(*members).drop("t", "k")
     large = sizes.where(F.col("n") > LARGE)
     if not large.isEmpty():
         choices = spark.createDataFrame(second, "t int, t2 int, mask long")  # (2^(radius+1) - 1)^2 rows
         again = dealt.join(large, ["t", "k"], "left_semi").join(F.broadcast(choices), "t").withColumn("k2", F.col("fp").bitwiseAND(F.col("mask")))
-        again = again.groupBy("t", "k", "t2", "k2").agg(*members).where(F.size("nodes") > 1)
-        out = out.union(again.select("nodes", "fps", "seconds"))
+        again = again.groupBy("t", "k", "t2", "k2").agg(*members).where(F.array_min("ofs") < F.array_max("ofs"))
+        out = out.union(again.select("ofs", "fps", "seconds"))
     return out.mapInPandas(_forest(radius, confirm), "a long, b long").distinct()
 
 
+def joined(classes: DataFrame, radius: int, confirm: int) -> DataFrame:
+    """``(node, g)`` of every class ``node, fp, second``: the component ``g`` it is in.
+
+    Large groups are mostly joined by ``first_links``; the tables then look for what still is apart.
+    """
+    early = components(first_links(classes.select("fp", "second", F.col("node").alias("of")), radius, confirm))
+    known = staged(classes.join(early, "node", "left").select("node", "fp", "second", F.coalesce("component", "node").alias("of")), "near-known")
+    comp = components(links(known, radius, confirm)).withColumnRenamed("node", "of")
+    return known.select("node", "of").join(comp, "of", "left").select("node", F.coalesce("component", "of").alias("g"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``(id, fp, component)``.
 
@@ -144,7 +203,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     """
     fps = staged(with_fingerprints(docs, shingle, id_col, text_col), "simhash-fps")
     classes = staged(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
-    comp = components(links(classes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("second")), radius))
+    comp = components(links(classes.select("fp", F.lit(0).cast("long").alias("second"), F.col("fp").alias("of")), radius))
     grouped = staged(classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("g")), "simhash-grouped")
     least = grouped.groupBy("g").agg(F.min("first").alias("component"))
     named = grouped.join(least, "g").select("fp", "component")
@@ -162,19 +221,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     confirm = int(np.floor(np.arccos(similarity) * 64 / np.pi))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_held()
         for b in batches:
             words = [words_of(t) for t in b["text"]]
             first = _column(fingerprint(shingle_hashes(sorted(set(w)), 1)) if len(w) > 1 else fingerprint(shingle_hashes(w, 1)) for w in words)
             second = _column(fingerprint(shingle_hashes(w, shingle)) for w in words)
             some = np.array([bool(w) for w in words], bool)
             yield pd.DataFrame({"id": b["id"], "h": b["h"], "fp": first, "second": second})[some]
+            words = first = second = b = None
+        release_held()
 
     text = F.col(text_col).cast("string")
     rows = docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     fps = staged(rows.mapInPandas(run, "id long, h long, fp long, second long").withColumn("node", F.xxhash64("fp", "second")), "near-fps")
     classes = staged(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min(F.struct("id", "h")).alias("first")), "near-classes")
-    comp = components(links(classes.select("node", "fp", "second"), radius, confirm))
-    grouped = staged(classes.select("node", "first").join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("g")), "near-grouped")
+    grouped = staged(classes.select("node", "first").join(joined(classes, radius, confirm), "node"), "near-grouped")
     keep = grouped.join(grouped.groupBy("g").agg(F.min("first").alias("keep")), "g").select("node", "keep")
     gone = fps.join(keep, "node").where(F.struct("id", "h") != F.col("keep")).select("id", "h", F.col("keep.id").alias("keep_id"))
     return gone.distinct()

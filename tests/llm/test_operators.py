@@ -178,7 +178,7 @@ def test_large_buckets_are_dealt_again(spark, monkeypatch):
     centre = rnd.getrandbits(64)
     fps = sorted({centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for _ in range(150)} | {rnd.getrandbits(64) for _ in range(50)})
     signed = [simhash._signed(x) for x in fps]
-    classes = spark.createDataFrame([(x, x, 0) for x in signed], "node long, fp long, second long")
+    classes = spark.createDataFrame([(x, x, 0) for x in signed], "of long, fp long, second long")
     want = list(range(len(fps)))
     for _ in range(20):
         want = [min(want[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(fps))]
@@ -188,6 +188,28 @@ def test_large_buckets_are_dealt_again(spark, monkeypatch):
     assert groups(want) == groups([got.get(s, s) for s in signed])
 
 
+@pytest.mark.parametrize("large", [8, 512])
+def test_components_of_two_fingerprints(spark, monkeypatch, large):
+    rnd = random.Random(3)
+    moved = lambda x, n: x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, n)))
+    centres = [(rnd.getrandbits(64), rnd.getrandbits(64)) for _ in range(4)]
+    rows = sorted({(moved(u, 4), moved(v, 9)) for u, v in centres for _ in range(60)} | {(centres[0][0], moved(centres[0][1], 20)) for _ in range(60)})
+    near = lambda x, y: (x[0] ^ y[0]).bit_count() <= 5 and (x[1] ^ y[1]).bit_count() <= 13
+    want, todo = {}, []
+    for n, row in enumerate(rows):
+        todo = [row] if row not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = n
+                todo += [y for y in rows if y not in want and near(x, y)]
+    monkeypatch.setattr(simhash, "LARGE", large)
+    classes = spark.createDataFrame([(n, simhash._signed(u), simhash._signed(v)) for n, (u, v) in enumerate(rows)], "node long, fp long, second long")
+    got = {r.node: r.g for r in simhash.joined(classes, 5, 13).collect()}
+    pairs = {(want[row], got[n]) for n, row in enumerate(rows)}
+    assert len(got) == len(rows) and len(pairs) == len(set(want.values())) == len(set(got.values())) > 4
+
+
 def test_near_duplicates(spark):
     rnd = random.Random(4)
     words = [noise(s, 7, "abcdefgh") for s in range(400)]
