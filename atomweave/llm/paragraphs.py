@@ -10,6 +10,8 @@ place of a class keeps its text, all others are removed where they make up long
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from .simhash import LOWER
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Words that one process remembers the hash of.
 REMEMBERED = 300_000
-#: In a bucket of up to so many paragraphs all are compared; beyond, each with the first and with its neighbours in similarity order.
+#: The pairs of a bucket of up to so many paragraphs are all written out; a larger one is linked as a whole.
 SMALL = 6
 
 
@@ -136,21 +138,80 @@ def paragraph_table(docs: DataFrame, cutter: tuple, id_col: str, text_col: str)
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Colliding paragraphs from rows sorted by band: all pairs of a small bucket; in a larger one links to the first and to two neighbours."""
-    band, bucket, large = None, [], False
+    """Colliding paragraphs from rows sorted by band: all pairs of a small bucket, or with ``large`` the (band, paragraph) rows of a larger one."""
+    band, bucket = None, []
     for b in batches:
         out = []
         for k, p in zip(b["band"].tolist(), b["key"].tolist(), strict=True):
             if k != band:
-                band, bucket, large = k, [], False
-            if large:
-                out += [(bucket[0], p), (bucket[-1], p), (bucket[-2], p)]
-                bucket[1:] = [bucket[-1], p]
+                out += [(x, y, False) for n, y in enumerate(bucket or []) for x in bucket[:n]]
+                band, bucket = k, []
+            if bucket is None:
+                out.append((k, p, True))
+            elif len(bucket) == SMALL:
+                out += [(k, x, True) for x in [*bucket, p]]
+                bucket = None
             else:
-                out += [(q, p) for q in bucket]
                 bucket.append(p)
-                large = len(bucket) >= SMALL
-        yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(out, columns=["a", "b", "large"]).astype({"a": np.int64, "b": np.int64, "large": bool})
+    rest = [(x, y, False) for n, y in enumerate(bucket or []) for x in bucket[:n]]
+    yield pd.DataFrame(rest, columns=["a", "b", "large"]).astype({"a": np.int64, "b": np.int64, "large": bool})
+
+
+def spanning(keys: list[int], sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all pairs of sets of at least the similarity, none of them between sets below it.
+
+    Sets of the similarity share one of their |x| - ceil(similarity |x|) + 1 rarest elements.  They are taken by size, and those
+    already joined are looked at only until one of them is similar.
+    """
+    count = Counter(e for s in sets for e in s)
+    up, out = list(range(len(sets))), []
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    index: dict = {}
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        x, n = sets[i], len(sets[i])
+        prefix = sorted(x, key=lambda e: (count[e], e))[: n - math.ceil(similarity * n - 1e-9) + 1]
+        for e in prefix:
+            groups = index.setdefault(e, {})
+            for g in list(groups):
+                root = find(g)
+                if root != g:  # joined with another since
+                    groups.setdefault(root, []).extend(groups.pop(g))
+            for g in list(groups):
+                if find(g) != find(i):
+                    for j in groups[g]:
+                        y = sets[j]
+                        if len(y) >= similarity * n and (both := len(x & y)) >= similarity * (n + len(y) - both):
+                            out.append((keys[j], keys[i]))
+                            up[find(i)] = find(j)
+                            break
+        for e in prefix:
+            index[e].setdefault(find(i), []).append(i)
+    return out
+
+
+def _spanning(similarity: float):
+    """Links of whole buckets from rows ``band, key, sh`` sorted by band."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        band, keys, sets = None, [], []
+        for b in batches:
+            out = []
+            for k, p, x in zip(b["band"].tolist(), b["key"].tolist(), b["sh"], strict=True):
+                if k != band:
+                    out += spanning(keys, sets, similarity)
+                    band, keys, sets = k, [], []
+                keys.append(p)
+                sets.append(frozenset(np.frombuffer(x, "<u4").tolist()))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(spanning(keys, sets, similarity), columns=["a", "b"], dtype=np.int64)
+
+    return run
 
 
 def _similar(similarity: float):
@@ -179,15 +240,18 @@ def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int =
     names = [f"b{n + 1}" for n in range(bands)]
     # one row per distinct paragraph; 64 bits of the whole and the first band make up its identity
     distinct = staged(table.groupBy("key", "b1").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.max(b).alias(b) for b in names[1:]]), "paragraph-classes")
-    dealt = distinct.select(F.explode(F.array(*names)).alias("band"), "key", F.col(names[-1]).alias("near"))
+    dealt = distinct.select(F.explode(F.array(*names)).alias("band"), "key")
     n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = dealt.repartition(n, "band").sortWithinPartitions("band", "near", "key").select("band", "key")
-    links = staged(sorted_.mapInPandas(_pairs, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "paragraph-links")
-    needed = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+    sorted_ = dealt.repartition(n, "band").sortWithinPartitions("band", "key")
+    found = staged(sorted_.mapInPandas(_pairs, "a long, b long, large boolean").where("large or a <> b"), "paragraph-links")
+    links = found.where("not large").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    needed = links.select(F.col("a").alias("key")).union(found.select("b")).distinct()
     likely = likely_in(table.select("key", "sh"), F.col("key"), needed, F.col("key"))
     sets = staged(likely.join(needed, "key", "left_semi").groupBy("key").agg(F.min("sh").alias("sh")), "paragraph-sets")
     compared = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    comp = components(compared.mapInPandas(_similar(similarity), "a long, b long")).toDF("key", "component")
+    whole = found.where("large").select(F.col("a").alias("band"), F.col("b").alias("key")).join(sets, "key").select("band", "key", "sh")
+    whole = whole.repartition(n, "band").sortWithinPartitions("band").mapInPandas(_spanning(similarity), "a long, b long")
+    comp = components(compared.mapInPandas(_similar(similarity), "a long, b long").union(whole)).toDF("key", "component")
     comp = staged(comp, "paragraph-components")
     some = distinct.where("n > 1").union(likely_in(distinct.where("n = 1"), F.col("key"), comp, F.col("key")))
     joined = some.join(comp, "key", "left").where("n > 1 or component is not null").select("key", "b1", "first", "component")

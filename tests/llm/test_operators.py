@@ -6,6 +6,7 @@ import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -261,6 +262,29 @@ def test_substring_dedup(spark):
     assert paragraphs.tune(0.8, 0.95) == (2, 1)
 
 
+def test_all_similar_paragraphs_of_a_large_bucket_are_linked():
+    rnd = random.Random(12)
+    shared, sets = 1, []
+    for c in range(60):  # all share one shingle; few of them are similar
+        base = {shared, *rnd.sample(range(2, 300), 15)}
+        sets += [frozenset(base), *(frozenset({*sorted(base)[: 16 - k], *(1000 * c + 500 + k * 10 + j for j in range(k))}) for k in (1, 2, 5))]
+    rnd.shuffle(sets)
+    want = list(range(len(sets)))
+    for _ in range(8):
+        want = [min(want[j] for j in range(len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(sets))]
+    rows = np.random.default_rng(0).permutation(len(sets)).tolist()
+    bands = [pd.DataFrame({"band": 7, "key": rows[i : i + 50], "sh": [np.array(sorted(sets[k]), "<u4").tobytes() for k in rows[i : i + 50]]}) for i in range(0, len(rows), 50)]
+    members = pd.concat(paragraphs._pairs(iter(b[["band", "key"]] for b in bands)))
+    assert members["large"].all() and sorted(members["b"]) == sorted(rows)
+    links = pd.concat(paragraphs._spanning(0.8)(iter(bands))).to_numpy().tolist()
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+    got = list(range(len(sets)))
+    for _ in got:
+        for a, b in links:
+            got[a] = got[b] = min(got[a], got[b])
+    assert got == want and len(set(want)) <= len(sets) - 60
+
+
 def test_language_id(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
