@@ -6,6 +6,10 @@ the cuts are the same wherever it stands.  Equal paragraphs form one class at on
 the minimum hashes of their five-word shingles give the bands, paragraphs that collide in a band are
 compared by exact Jaccard similarity, and connected components of what passes are the classes.  The first
 place of a class keeps its text, all others are removed where they make up long enough stretches.
+
+Passages of ``WINDOW`` words or more that are the same word for word are found without a gap as well: of every
+window of so many words the least hash of its ``GRAM``-word grams is its anchor, wherever the window stands, and of
+the windows that share an anchor all but the first place of each are removed.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ from pyspark.sql import functions as F
 from .common import components, id_in, id_out, likely_in, release_held, staged
 from .simhash import LOWER
 
+STEP = np.array([pow(0x9FB21C651E98DF25, k, 2**64) for k in range(64)], np.uint64)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Words that one process remembers the hash of.
 REMEMBERED = 300_000
 #: The pairs of a bucket of up to so many paragraphs are all written out; a larger one is linked as a whole.
 SMALL = 6
+#: Words of a passage that is found exactly, and of the grams its anchor is chosen from.
+WINDOW, GRAM = 50, 13
 
 
 def tune(similarity: float = 0.8, recall: float = 0.95, noise: float = 0.5) -> tuple[int, int]:
@@ -65,16 +72,47 @@ class Cutter:
         least[0] = True
         return np.flatnonzero(least)
 
-    def paragraphs(self, text: str) -> list | None:
-        """Columns of the text's paragraphs (place, first and last code point, words, key, bands, shingles); None without a word."""
+    def words(self, text: str) -> tuple | None:
+        """First code points, ends and hashes of the words; None without a word."""
         words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
         if not words:
             return None
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
         edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-        starts, stops = edge[::2], edge[1::2]
-        h = self.hashes(words)
+        return edge[::2], edge[1::2], self.hashes(words)
+
+    def anchors(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every window: its hash, its anchor's hash, and the gram that is its anchor."""
+        if len(h) < WINDOW:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        power = {1: (h ^ (h >> np.uint64(31))) * MIX[2]}
+        for k in (1, 2, 4, 8, 16):
+            power[2 * k] = power[k][:-k] + power[k][k:] * STEP[k]
+
+        def grams(size: int) -> np.ndarray:
+            x, at, n = np.zeros(len(h) - size + 1, np.uint64), 0, len(h) - size + 1
+            for k in (32, 16, 8, 4, 2, 1):
+                if size & k:
+                    x += power[k][at : at + n] * STEP[at]
+                    at += k
+            x = (x ^ (x >> np.uint64(29))) * MIX[3]
+            return x ^ (x >> np.uint64(32))
+
+        g, most = grams(GRAM), WINDOW - GRAM + 1
+        at, size = np.arange(len(g)), 1
+        while size < most:  # the leftmost least gram among size grams
+            d = min(size, most - size)
+            at = np.where(g[at[:-d]] <= g[at[d:]], at[:-d], at[d:])
+            size += d
+        return grams(WINDOW).view(np.int64), g[at].view(np.int64), at
+
+    def paragraphs(self, text: str) -> list | None:
+        """Columns of the text's paragraphs (first word, first and last code point, words, key, bands, anchors, shingles); None without a word."""
+        found = self.words(text)
+        if found is None:
+            return None
+        starts, stops, h = found
         n, k = len(h), self.k
         cut = self.cuts(h)
         ends = np.append(cut[1:], n)
@@ -103,11 +141,13 @@ class Cutter:
         whole ^= np.bitwise_xor.reduceat(h * MIX[4], cut) + (ends - cut).astype(np.uint64)
         raw = shingle.astype("<u4").tobytes()
         sets = [raw[4 * a : 4 * b] if b - a < 256 else np.unique(shingle[a:b].astype("<u4")).tobytes() for a, b in zip(cut.tolist(), last.tolist(), strict=True)]
-        return [np.arange(len(cut)), starts[cut], stops[ends - 1], ends - cut, whole.view(np.int64), *keys, sets]
+        _, anchor, at = self.anchors(h)
+        anchors = [anchor[np.flatnonzero(np.diff(at, prepend=-1))], *[None] * (len(cut) - 1)]
+        return [cut, starts[cut], stops[ends - 1], ends - cut, whole.view(np.int64), *keys, anchors, sets]
 
 
 def paragraph_table(docs: DataFrame, cutter: tuple, id_col: str, text_col: str) -> DataFrame:
-    """``id, h, pos, start, stop, words, key, b1, b2, ..., sh`` of every paragraph; ``h`` is the text's hash."""
+    """``id, h, pos, start, stop, words, key, b1, b2, ..., anchors, sh`` of every paragraph; ``h`` is the text's hash, a text's first row has its anchors."""
     bands = [f"b{n + 1}" for n in range(cutter[1])]
     names = ["pos", "start", "stop", "words", "key", *bands]
 
@@ -127,14 +167,14 @@ def paragraph_table(docs: DataFrame, cutter: tuple, id_col: str, text_col: str)
                     times = [len(p[0]) for p in found]
                     columns = {"id": np.repeat(np.array(ids, np.int64), times), "h": np.repeat(np.array(hashes, np.int64), times)}
                     columns |= {name: np.concatenate([p[k] for p in found]) for k, name in enumerate(names)}
-                    yield pd.DataFrame(columns | {"sh": [x for p in found for x in p[-1]]})
+                    yield pd.DataFrame(columns | {"anchors": [x for p in found for x in p[-2]], "sh": [x for p in found for x in p[-1]]})
         c = None
         release_held()
 
     text = F.col(text_col).cast("string")
     rows = docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     fields = "".join(f", {b} long" for b in bands)
-    return rows.mapInPandas(run, f"id long, h long, pos int, start int, stop int, words int, key long{fields}, sh binary")
+    return rows.mapInPandas(run, f"id long, h long, pos int, start int, stop int, words int, key long{fields}, anchors array<long>, sh binary")
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,12 +267,82 @@ def _similar(similarity: float):
     return run
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Ascending numbers so that they compress well: bytes of the differences, lowest first."""
+    return np.diff(x, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<i4").ravel())
+
+
+def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stretches of windows that stand at an earlier place, from rows sorted by anchor and place."""
+    anchor, seen = None, {}
+    for b in batches:
+        out = []
+        for a, doc, h, first, hashes, starts, stops in b.itertuples(index=False):
+            if a != anchor:
+                anchor, seen = a, {}
+            own = []
+            for n, x in enumerate(np.frombuffer(hashes, np.int64).tolist(), first):
+                where = seen.setdefault(x, (doc, h, n))
+                if where != (doc, h, n):
+                    begin, end = n, n + WINDOW
+                    if where[:2] == (doc, h):  # what it overlaps of its first place stays
+                        begin = max(begin, where[2] + WINDOW)
+                    if own and own[-1][1] >= begin and own[-1][2] == where[0]:
+                        own[-1][1] = end
+                    else:
+                        own.append([begin, end, where[0]])
+            if own:
+                starts, stops = _unpacked(starts), _unpacked(stops)
+                out += [(doc, h, x, starts[x - first], stops[y - 1 - first], y - x, f) for x, y, f in own]
+        yield pd.DataFrame(out, columns=["id", "h", "pos", "start", "stop", "words", "first"])
+
+
+def repeated_windows(docs: DataFrame, table: DataFrame, cutter: tuple, id_col: str, text_col: str) -> DataFrame:
+    """``id, h, pos, start, stop, words, first`` of stretches of windows that stand at an earlier place (id, h, word), whose id is ``first``."""
+    anchors = table.where("anchors is not null").select("id", "h", F.explode("anchors").alias("a"))
+    often = staged(table.select("pos", F.explode("anchors").alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors-often")
+    some = likely_in(anchors, F.col("a"), often, F.col("a")).select("id", "h").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_held()
+        c = Cutter(*cutter)
+        for b in batches:
+            for i in range(0, len(b), 128):
+                out = []
+                for doc, h, text in b.iloc[i : i + 128].itertuples(index=False):
+                    found = c.words(text)
+                    if found is None or len(found[2]) < WINDOW:
+                        continue
+                    starts, stops, words = found
+                    hashes, a, at = c.anchors(words)
+                    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])).tolist()
+                    for x, y in zip(edges[:-1], edges[1:], strict=True):
+                        z = y + WINDOW - 1
+                        out.append((a[x], doc, h, x, hashes[x:y].tobytes(), _packed(starts[x:z]), _packed(stops[x:z])))
+                yield pd.DataFrame(out, columns=["a", "id", "h", "first", "hashes", "starts", "stops"])
+        c = None
+        release_held()
+
+    text = F.col(text_col).cast("string")
+    rows = docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = likely_in(rows, F.xxhash64("id", "h"), some, F.xxhash64("id", "h"))
+    windows = rows.mapInPandas(run, "a long, id long, h long, first int, hashes binary, starts binary, stops binary")
+    n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = likely_in(windows, F.col("a"), often, F.col("a")).repartition(n, "a").sortWithinPartitions("a", "id", "h", "first")
+    return sorted_.mapInPandas(_repeated, "id long, h long, pos int, start int, stop int, words int, first long")
+
+
 def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int = 13, reach: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stretches of text that stand elsewhere already: ``id, h, spans`` for every text that has some.
 
     ``spans`` lists ``start, stop`` (code points), ``words`` and ``first``, the id whose text keeps the passage.
     The place with the smallest (id, hash of the text, position) keeps it.  Rows that repeat both id and
-    text count as one document.  Stretches of fewer than ``least_words`` words stay.
+    text count as one document.  Of a passage of ``WINDOW`` words or more that stands elsewhere word for word, all words are
+    found; shorter and changed ones as far as whole paragraphs go.  Stretches of fewer than ``least_words`` words stay.
     """
     bands, rows = tune(similarity)
     table = staged(paragraph_table(docs, (reach, bands, rows), id_col, text_col), "paragraphs")
@@ -259,7 +369,9 @@ def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int =
     classes = staged(joined.join(of_component, "component", "left").select("key", "b1", F.coalesce("least", "first").alias("keep")), "paragraph-repeated")
     copies = likely_in(table.select("id", "h", "pos", "start", "stop", "words", "key", "b1"), F.col("key"), classes, F.col("key"))
     again = copies.join(classes, ["key", "b1"])
-    again = again.where(F.struct("id", "h", "pos") != F.col("keep")).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "stop", "words", F.col("keep.id").alias("first")))).alias("found"))
+    again = again.where(F.struct("id", "h", "pos") != F.col("keep")).select("id", "h", "pos", "start", "stop", "words", F.col("keep.id").alias("first"))
+    again = again.union(repeated_windows(docs, table, (reach, bands, rows), id_col, text_col))
+    again = again.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "stop", "words", "first"))).alias("found"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -267,10 +379,12 @@ def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int =
             for doc, h, found in zip(b["id"], b["h"], b["found"], strict=True):
                 runs = []
                 for p in found:
-                    if runs and p["pos"] == runs[-1][0] + 1:
-                        runs[-1] = (p["pos"], runs[-1][1], p["stop"], runs[-1][3] + p["words"], runs[-1][4])
+                    more = p["pos"] + p["words"] - (runs[-1][0] if runs else 0)  # words behind the run's end
+                    if runs and p["pos"] <= runs[-1][0]:
+                        if more > 0:
+                            runs[-1] = (p["pos"] + p["words"], runs[-1][1], p["stop"], runs[-1][3] + more, runs[-1][4])
                     else:
-                        runs.append((p["pos"], p["start"], p["stop"], p["words"], p["first"]))
+                        runs.append((p["pos"] + p["words"], p["start"], p["stop"], p["words"], p["first"]))
                 spans = [{"start": r[1], "stop": r[2], "words": r[3], "first": r[4]} for r in runs if r[3] >= least_words]
                 if spans:
                     out.append((doc, h, spans))

@@ -285,6 +285,26 @@ def test_all_similar_paragraphs_of_a_large_bucket_are_linked():
     assert got == want and len(set(want)) <= len(sets) - 60
 
 
+def test_passages_of_just_over_50_words_go_whole(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    fill = lambda: [word() for _ in range(rnd.randint(5, 60))]
+    passages = [[word() for _ in range(51 + n % 10)] for n in range(60)]
+    texts = [[*fill(), *p, *fill()] for p in passages] + [[*fill(), *p, *fill()] for p in passages]
+    common_ = [word() for _ in range(20)]  # part of two passages, and in the first text of all
+    mixed = [word() for _ in range(18)] + common_ + [word() for _ in range(18)]
+    texts = [fill() + common_ + fill(), *texts, [*fill(), *mixed, *fill()], [*fill(), *mixed, *fill()], ["tick"] * 120]
+    rows = {r.doc_id: r for r in paragraphs.substring_dedup(docs(spark, [" ".join(t) for t in texts])).collect()}
+    n = len(passages)
+    gone = lambda i: " ".join(" ".join(texts[i])[s.start : s.stop] for s in rows[i].spans or [])
+    assert all(rows[i].n_removed == 0 for i in range(n + 1))
+    for i, p in enumerate(passages):
+        assert " ".join(p) in gone(n + 1 + i) and rows[n + 1 + i].first_docs == [1 + i]
+        assert rows[n + 1 + i].words_removed <= 1.25 * len(p) + 8  # a similar paragraph at an end goes with it
+    assert " ".join(mixed) in gone(2 * n + 2)
+    assert rows[2 * n + 3].words_removed == 70 and rows[2 * n + 3].spans[0].start == 250  # what overlaps its first place stays
+
+
 def test_language_id(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
