@@ -150,7 +150,7 @@ class Encoder:
 
 def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder per file and process."""
-    return held(("ids", path), lambda: Encoder(path, remembered))
+    return held(("ids", path, remembered), lambda: Encoder(path, remembered))
 
 
 def slices(texts: list, most: int = 1 << 20):

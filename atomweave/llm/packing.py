@@ -20,10 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_in, id_out, staged
-from .encoding import encoder, slices
-
-#: Pre-tokens that one process remembers; fewer than elsewhere, as packing ends long pipelines whose executors are full.
-REMEMBERED = 150_000
+from .encoding import REMEMBERED, encoder, slices
 
 
 def _match_large(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -124,16 +121,17 @@ def places(bins: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "sequence", "times", "offset"]).sort_values(["length", "rank"], ignore_index=True)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of every document's ids plus ``end_id``: ``doc_id, piece, start, length, ids_crc32, part, nth``.
 
-    ``nth`` counts the pieces of equal length in the input partition ``part``.
+    ``nth`` counts the pieces of equal length in the input partition ``part``.  ``remembered`` bounds the pre-tokens
+    that a worker knows the ids of: more take memory, fewer take time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer, REMEMBERED), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, remembered), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], np.uint32)
         for b in batches:
@@ -157,7 +155,8 @@ def assign(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces that have ``length, part, nth``.
 
     The driver sees the histogram of lengths only.  A piece's rank among equal lengths is its number
-    in its partition plus the counts of the partitions before, so no length is gathered in one task.
+    in its partition plus the counts of the partitions before, so no length is gathered in one task.  These counts grow
+    with the input; they are joined by a merge join, as a broadcast of them would have no bound.
     """
     spark = pieces.sparkSession
     counts = staged(pieces.groupBy("length", "part").agg((F.max("nth") + 1).alias("n")), "pack-counts")
@@ -179,14 +178,15 @@ def assign(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             b["offset"] = t["offset"][at] + step % t["times"][at] * length
             yield b.drop(columns=["part", "nth", "base"])
 
-    return pieces.join(bases, ["length", "part"]).select(*pieces.columns, "base").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.join(bases.hint("merge"), ["length", "part"]).select(*pieces.columns, "base").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` per piece; only documents
     longer than the capacity are cut.  Null and empty texts have one piece of the end id; null ids
-    and repeated rows are packed like any other; an empty table gives no rows.
+    and repeated rows are packed like any other; an empty table gives no rows.  Among pieces of equal length the
+    place goes by input order.  A very long text is encoded whole, then cut.  Other columns of ``docs`` are not read.
     """
-    return id_out(assign(staged(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pack-pieces"), capacity))
+    return id_out(assign(staged(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, remembered), "pack-pieces"), capacity))
