@@ -7,6 +7,7 @@ share of symbols, of letters, of distinct words and the like.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,10 +21,21 @@ from .common import release_held
 
 
 BUCKETS = 1 << 20
+#: Bytes that are no signs: ASCII letters, digits and white space, and all that belongs to other characters.
+NO_SIGN = bytes(b for b in range(256) if b > 127 or chr(b).isalnum() or chr(b).isspace())
+#: The probability of the highest grade from which a text is kept.
+TAIL = 0.7
+ASCII = re.compile("[\x00-\x7f]+")
 #: Words that one process remembers the bucket of.
 REMEMBERED = 150_000
 
 
+def count_signs(text: str) -> int:
+    """Characters of the whole text that are neither letters, digits nor white space."""
+    n = len(text.encode("utf-8", "surrogatepass").translate(None, NO_SIGN))
+    return n if text.isascii() else n + sum(not (c.isalnum() or c.isspace()) for c in ASCII.sub("", text))
+
+
 class Features:
     """Sorted distinct buckets of a text; of those with a weight only, if weights are given."""
 
@@ -56,10 +68,9 @@ class Features:
             if b:
                 out.update(b)
         n = len(words)
-        signs = sum(1 for c in text[::7] if not (c.isalnum() or c.isspace()))
         parts = {
             "size": n.bit_length(), "letters": 10 * sum(map(str.isalpha, words)) // (n + 1), "distinct": 10 * len(distinct) // (n + 1),
-            "bars": 10 * words.count("|") // (n + 1), "capitals": 10 * sum(map(str.isupper, cased)) // (n + 1), "signs": 140 * signs // (len(text) + 1),
+            "bars": 10 * words.count("|") // (n + 1), "capitals": 10 * sum(map(str.isupper, cased)) // (n + 1), "signs": 20 * count_signs(text) // (len(text) + 1),
         }
         out.update(self.bucket(f"#{k}={v}") for k, v in parts.items())
         return np.array(sorted(out), np.int64)
@@ -69,11 +80,6 @@ class Features:
 class CumulativeLink:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, one fewer than grades
-    share: float = 1.0  # of the highest grade among the ratings
-
-    def cut(self, tail: float) -> float:
-        """The tail probability from which a text is kept: ``tail``, but under the share that a text has of which nothing is known."""
-        return min(tail, 0.9 * self.share)
 
     def score(self, x: np.ndarray) -> float:
         return float(self.weights[x].sum())
@@ -134,7 +140,7 @@ def fit_rows(xs: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: i
             w = np.sign(w) * np.maximum(0, np.abs(w) - l1 * rate * 10)
     weights = np.zeros(buckets)
     weights[column] = w
-    return CumulativeLink(weights, gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))]), float((grades == k).mean()))
+    return CumulativeLink(weights, gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))]))
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -182,18 +188,18 @@ def rating(model: CumulativeLink, spark):
     return run
 
 
-def rate(docs: DataFrame, model: CumulativeLink, tail: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rate(docs: DataFrame, model: CumulativeLink, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, expected_grade, tail_prob, keep`` of every row.
 
-    ``tail_prob`` is the probability of the highest grade and ``keep`` tells whether it is at least ``model.cut(tail)``.
-    Null and empty texts are rated by their make-up alone; null ids and repeated rows pass through;
-    other columns are not read.
+    ``tail_prob`` is the probability of the highest grade and ``keep`` tells whether it is at least ``tail``, the same for all
+    models.  Null and empty texts are rated by their make-up alone; very long ones are read whole; null ids and repeated
+    rows pass through, a tie with ``tail`` is kept, an empty table gives no rows; other columns are not read.
     """
     r = rating(model, docs.sparkSession)(F.col(text_col).cast("string"))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), r.alias("r")).select("doc_id", "r.expected_grade", "r.tail_prob", (F.col("r.tail_prob") >= model.cut(tail)).alias("keep"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), r.alias("r")).select("doc_id", "r.expected_grade", "r.tail_prob", (F.col("r.tail_prob") >= tail).alias("keep"))
 
 
-def select_rated(docs: DataFrame, model: CumulativeLink, tail: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose ``tail_prob`` is at least ``model.cut(tail)``, with their own columns."""
-    r = rating(model, docs.sparkSession)(F.col(text_col).cast("string"))
-    return docs.where(r.getField("tail_prob") >= model.cut(tail))
+def select_rated(docs: DataFrame, model: CumulativeLink, tail: float = TAIL, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose ``tail_prob`` is at least ``tail``, with their own columns; see ``rate``."""
+    r = rating(model, docs.sparkSession)(F.col(f"`{text_col}`").cast("string"))
+    return docs.where(r.getField("tail_prob") >= tail)
