@@ -8,6 +8,7 @@ on a bounded sample of labelled rows, document frequencies from all labelled row
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out
+from .common import id_in, id_out, staged
 from .encoding import slices
 
 BUCKETS = 1 << 13
-NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Characters that ``\\w`` takes for parts of words though they are no letters: numbers of all kinds but decimal digits.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NOT_LETTER = re.compile(rf"[\W\d_{NUMBERS}]+")
+#: Labelled languages that a model may have; more are refused, as their rates are sent to all executors.
+MOST_LANGUAGES = 10_000
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -97,24 +102,42 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
 def fit(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 400, reject_quantile: float = 0.001, buckets: int = BUCKETS) -> Centroids:
     """Learn from ``text, lang`` (nulls are left out).
 
-    ``sample_per_language`` bounds the rows that the clustering sees (those of least hash); a text is too far
+    ``sample_per_language`` bounds the distinct texts of a language that the clustering sees (those of least hash; all of a
+    language that has few, so none is lost); a text is too far
     if its best cosine is under nine tenths of the ``reject_quantile`` of that centroid's own sample.
     """
     labelled = labelled.where("text is not null and lang is not null")
     df, n = document_frequencies(labelled, buckets)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # by hash, about twice as many of each language as are needed, whatever the input
+    # by hash, about twice as many of each language as are needed, of its distinct texts: copies count once
     picked = labelled.select("lang", F.xxhash64("text").alias("h"), "text")
-    shares = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    shares = staged(picked.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "language-shares")
+    if shares.count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     near = picked.join(F.broadcast(shares), "lang").where(F.expr(f"(cast(h as double) / 18446744073709551616d + 0.5) * n < {2 * sample_per_language}"))
-    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies count once
-    rows = [(r.lang, r.text) for r in near.orderBy("lang", "h").collect()]
+
+    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for lang, h, text in zip(b["lang"], b["h"], b["text"], strict=True):
+                c = codes_of(text)
+                if len(c):
+                    n = counts_of(c, buckets)
+                    at = np.flatnonzero(n)
+                    out.append((lang, h, at.astype("<i4").tobytes() + n[at].astype("<i4").tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "h", "x"])
+
+    once = near.mapInPandas(sparse, "lang string, h long, x binary").groupBy("lang", "h").agg(F.min("x").alias("x"))
+    rows = [(r.lang, bytes(r.x)) for r in once.orderBy("lang", "h").collect()]  # bounded by languages, sample and buckets
     model = Centroids(idf, np.zeros((0, buckets)), [], np.zeros(0))
     vectors, langs, floors = [], [], []
     for lang in sorted({r[0] for r in rows}):
-        codes = [c for c in (codes_of(t) for x, t in rows if x == lang) if len(c)][:sample_per_language]
-        if codes:
-            x = model.vector(np.array([counts_of(c, buckets) for c in codes]))
+        found = [np.frombuffer(x, "<i4").reshape(2, -1) for k, x in rows if k == lang][:sample_per_language]
+        if found:
+            counts = np.zeros((len(found), buckets), np.int64)
+            for n, (at, times) in enumerate(found):
+                counts[n, at] = times
+            x = model.vector(counts)
             c = spherical_kmeans(x, centroids)
             best = (x @ c.T).max(1)
             vectors.append(c)
@@ -127,8 +150,10 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
     """``doc_id, lang_pred, score, rejected`` of every row.
 
     ``score`` is the cosine to the nearest centroid (0 to 1).  A text that is null or has no letter is
-    ``und`` with score 0; ``rejected`` marks texts too far from all centroids, which keep the nearest language.  Null
-    ids and repeated rows pass through; other columns are not read.
+    ``und`` with score 0 (letters are what Unicode calls so: numbers like a half or a Roman numeral sign are none);
+    ``rejected`` marks texts too far from all centroids, which keep the nearest language.  Of equal cosines the first
+    centroid counts, languages in alphabetical order.  Very long texts are read whole; null ids and repeated rows pass
+    through; an empty table gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x centroids, whatever the input
 
