@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, one machine) a temporary folder is made and set.
+    Only on one machine may the setting be missing; then a temporary folder is made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="atomweave-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -30,6 +32,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
 
@@ -39,10 +51,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path, before = fresh_path(spark, name), df.sparkSession.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        fs, at = _hadoop(t.sparkSession, t._staged_at)
+        fs.delete(at, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -62,8 +96,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = staged(large, "large")
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        e = staged(small.union(own.select("u", "m")).distinct(), "links")
+        before, e = e, staged(small.union(own.select("u", "m")).distinct(), "links")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+        unstage(before, large)
         if now == seen or not now[0]:
             break
         seen = now
@@ -76,8 +111,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 NULL_ID = -(2**63)
 
 
-def id_in(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+def id_in(name: str) -> Column:
+    """The id as a long, ``NULL_ID`` for null.  An id that is no whole number is an error, not a null."""
+    c = column(name)
+    wrong = F.raise_error(F.lit(f"{name} has to hold whole numbers")).cast("long")
+    return F.when(c.isNull(), F.lit(NULL_ID)).otherwise(F.coalesce(c.try_cast("long"), wrong))
 
 
 def id_out(df: DataFrame, column: str = "doc_id") -> DataFrame:

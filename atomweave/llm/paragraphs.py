@@ -1,43 +1,49 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-A repeated passage may begin anywhere in a line, so paragraphs are cut where the content says: before a
-word whose hash is the least within ``reach`` words on either side.  Inside a repeated passage
-the cuts are the same wherever it stands.  Equal paragraphs form one class at once; for the distinct ones
-the minimum hashes of their five-word shingles give the bands, paragraphs that collide in a band are
-compared by exact Jaccard similarity, and connected components of what passes are the classes.  The first
-place of a class keeps its text, all others are removed where they make up long enough stretches.
-
-Passages of ``WINDOW`` words or more that are the same word for word are found without a gap as well: of every
-window of so many words the least hash of its ``GRAM``-word grams is its anchor, wherever the window stands, and of
-the windows that share an anchor all but the first place of each are removed.
+A repeated passage may begin anywhere in a line, so paragraphs are cut where the content says: of every ``window``
+three-word grams in a row the one with the least hash begins a paragraph (the leftmost of equal ones).  Inside a repeated
+passage the cuts are the same wherever it stands, and a passage of ``2 * window + 2`` words or more holds at least one
+whole paragraph.  Equal paragraphs form one class; minimum hashes of five-word shingles give the bands, distinct
+paragraphs that collide in a band are compared by exact Jaccard similarity on their words, and connected components of
+what passes are the classes.  The first place of a class keeps its text, all others are removed; from the ends of a
+removed stretch the words go on being compared, one by one, with those around the place that keeps it.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, id_in, id_out, likely_in, release_held, staged
+from .common import column, components, id_in, id_out, likely_in, release_held, staged, unstage, unused
 from .simhash import LOWER
 
-STEP = np.array([pow(0x9FB21C651E98DF25, k, 2**64) for k in range(64)], np.uint64)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Words that one process remembers the hash of.
-REMEMBERED = 300_000
-#: The pairs of a bucket of up to so many paragraphs are all written out; a larger one is linked as a whole.
-SMALL = 6
-#: Words of a passage that is found exactly, and of the grams its anchor is chosen from.
-WINDOW, GRAM = 50, 13
-
-
-def tune(similarity: float = 0.8, recall: float = 0.95, noise: float = 0.5) -> tuple[int, int]:
+#: The base of the words' hashes and its inverse modulo 2^64.
+BASE = 0x9FB21C651E98DF25
+INVERSE = pow(BASE, -1, 2**64)
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Bytes that are cut in one go, but for longer texts.
+TOGETHER = 1 << 18
+#: Paragraphs that one worker compares at a time; a larger bucket is dealt again, then cut into blocks of which every two meet.
+LIMIT = 256
+#: Words of a shingle, and the least that a paragraph is compared by: a shorter one takes the words behind it.
+SHINGLE, LEAST = 5, 8
+KEY = ["k1", "k2"]
+PLACE = ["id", "h", "pos"]
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def tune(similarity: float = 0.8, recall: float = 0.95, noise: float = 0.2) -> tuple[int, int]:
     """(bands, rows): fewest bands that find pairs of the similarity with the recall and pairs of 0.2 with at most the noise."""
     for bands in range(1, 200):
         for rows in range(8, 0, -1):
@@ -47,162 +53,148 @@ def tune(similarity: float = 0.8, recall: float = 0.95, noise: float = 0.5) -> t
     raise ValueError("no banding reaches the recall")
 
 
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIX[k]
+    return x ^ (x >> np.uint64(29))
+
+
 class Cutter:
-    """Words, their places and the paragraphs of a text."""
-
-    def __init__(self, reach: int = 8, bands: int = 2, rows: int = 1, k: int = 5):
-        self.reach, self.bands, self.rows, self.k, self.known = reach, bands, rows, k, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, 1)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def cuts(self, h: np.ndarray) -> np.ndarray:
-        """First words of the paragraphs: 0 and every strict least among the words before it and least among those behind it."""
-        n, r = len(h), self.reach
-        least = np.ones(n, bool)
-        for d in range(1, min(r, n - 1) + 1):
-            least[d:] &= h[d:] < h[:-d]
-            least[:-d] &= h[:-d] <= h[d:]
-        least[0] = True
-        return np.flatnonzero(least)
-
-    def words(self, text: str) -> tuple | None:
-        """First code points, ends and hashes of the words; None without a word."""
-        words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if not words:
-            return None
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-        return edge[::2], edge[1::2], self.hashes(words)
-
-    def anchors(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every window: its hash, its anchor's hash, and the gram that is its anchor."""
-        if len(h) < WINDOW:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        power = {1: (h ^ (h >> np.uint64(31))) * MIX[2]}
-        for k in (1, 2, 4, 8, 16):
-            power[2 * k] = power[k][:-k] + power[k][k:] * STEP[k]
-
-        def grams(size: int) -> np.ndarray:
-            x, at, n = np.zeros(len(h) - size + 1, np.uint64), 0, len(h) - size + 1
-            for k in (32, 16, 8, 4, 2, 1):
-                if size & k:
-                    x += power[k][at : at + n] * STEP[at]
-                    at += k
-            x = (x ^ (x >> np.uint64(29))) * MIX[3]
-            return x ^ (x >> np.uint64(32))
-
-        g, most = grams(GRAM), WINDOW - GRAM + 1
-        at, size = np.arange(len(g)), 1
-        while size < most:  # the leftmost least gram among size grams
-            d = min(size, most - size)
-            at = np.where(g[at[:-d]] <= g[at[d:]], at[:-d], at[d:])
-            size += d
-        return grams(WINDOW).view(np.int64), g[at].view(np.int64), at
-
-    def paragraphs(self, text: str) -> list | None:
-        """Columns of the text's paragraphs (first word, first and last code point, words, key, bands, anchors, shingles); None without a word."""
-        found = self.words(text)
-        if found is None:
+    """The paragraphs of many texts at once."""
+
+    def __init__(self, window: int = 24, bands: int = 3, rows: int = 2):
+        self.window, self.bands, self.rows = window, bands, rows
+        self.power = self.back = np.ones(1, np.uint64)
+
+    def hashes(self, text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of every range of bytes the sum of (byte + 1) * BASE^place, places from 0."""
+        if len(self.power) <= len(text):
+            n = max(len(text) + 1, 2 * TOGETHER)
+            self.power, self.back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, INVERSE))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * self.power[: len(text)])])
+        return (sums[ends] - sums[begins]) * self.back[begins]
+
+    def cuts(self, h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which words begin a paragraph; texts are the ranges from ``begins`` to ``ends``."""
+        first = np.zeros(len(h), bool)
+        first[begins] = True
+        grams, w = len(h) - 2, self.window
+        if grams >= w:
+            m = _mixed(h, 0)
+            g = _mixed(m[:-2] + m[1:-1] * MIX[1] + m[2:] * MIX[2], 3)
+            low = g >> np.uint64(32) << np.uint64(32) | np.arange(grams, dtype=np.uint64)  # a minimum tells its place
+            size = 1
+            while size < w:
+                d = min(size, w - size)
+                low = np.minimum(low[:-d], low[d:])
+                size += d
+            inside = np.repeat(ends, ends - begins)[: len(low)] - np.arange(len(low)) >= w + 2
+            at = (low[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            first[at] = True
+            again = np.flatnonzero(g[1:] == g[:-1]) + 1  # the same word over and over is no place to cut
+            first[again] = False
+            first[begins] = True
+        return first
+
+    def table(self, texts: list[bytes]) -> dict[str, np.ndarray | list] | None:
+        """Columns of all paragraphs: the text's number, first word, first and last code point, words, key, bands, and the text compared."""
+        raw = b"\n".join(texts)
+        low = np.frombuffer(raw.translate(LOWER), np.uint8)
+        blank = BLANK[low]
+        edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=1, append=1))
+        starts, stops = edge[::2], edge[1::2]
+        if not len(starts):
             return None
-        starts, stops, h = found
-        n, k = len(h), self.k
-        cut = self.cuts(h)
-        ends = np.append(cut[1:], n)
-        shingle = np.zeros(n, np.uint64)
-        for j in range(min(k, n)):  # shingles that run past the end of the text are its last words
-            shingle[: n - j] += (h[j:] ^ (h[j:] >> np.uint64(31))) * MIX[j % len(MIX)]
-        shingle = (shingle ^ (shingle >> np.uint64(29))) * MIX[2]
-        # a paragraph has the shingles that lie in it, or, if it is shorter, the one at its beginning
-        last = np.maximum(cut + 1, ends - k + 1)
-        for s in np.flatnonzero(ends - cut < k):
-            shingle[cut[s]] = (h[cut[s] : ends[s]] * MIX[: ends[s] - cut[s]]).sum(dtype=np.uint64)
-        inside = np.arange(n) < np.repeat(last, ends - cut)
-        mins = []
-        for m in range(self.bands * self.rows):
-            v = (shingle ^ (shingle >> np.uint64(32))) * (MIX[m % 5] + np.uint64(2 * m))
-            v[~inside] = np.uint64(2**64 - 1)
-            mins.append(np.minimum.reduceat(v, cut))
-        keys = []
+        keep = ~blank
+        keep[stops[stops < len(low)]] = True  # one blank behind every word
+        plain = low[keep]
+        size = stops - starts
+        at = np.cumsum(size + 1) - size - 1
+        h = self.hashes(plain, at, at + size)
+        behind = at + size
+        plain[behind[behind < len(plain)]] = 32
+        same = plain.tobytes()
+        code = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)]) if not raw.isascii() else None
+        point = (lambda p: p) if code is None else lambda p: code[p]
+        lengths = np.array([len(t) + 1 for t in texts])
+        offset = np.cumsum(lengths) - lengths
+        bounds = np.searchsorted(starts, np.append(offset, len(raw) + 1))
+        some = np.flatnonzero(np.diff(bounds))
+        begins, finish = bounds[some], bounds[some + 1]
+        cut = np.flatnonzero(self.cuts(h, begins, finish))
+        end = np.append(cut[1:], len(h))
+        own = np.searchsorted(begins, cut, side="right") - 1
+        last = np.minimum(np.maximum(end, cut + LEAST), finish[own])
+        shingle, m = np.zeros(len(h) + 1, np.uint64), _mixed(h, 4)
+        for j in range(min(SHINGLE, len(h))):
+            shingle[: len(h) - j] += m[j:] * MIX[j]
+        for s in np.flatnonzero(last - cut < SHINGLE).tolist():  # the last words of a text: fewer than a shingle
+            shingle[cut[s]] = (m[cut[s] : last[s]] * MIX[: last[s] - cut[s]]).sum(dtype=np.uint64)
+        ranges = np.stack([cut, np.maximum(cut + 1, last - SHINGLE + 1)], 1).ravel()
+        out: dict = {"text": some[own], "pos": cut - begins[own], "words": end - cut}
+        out |= {"start": point(starts[cut]) - point(offset[some[own]]), "stop": point(stops[end - 1]) - point(offset[some[own]])}
+        digests = [xxhash.xxh3_128_digest(same[a:b]) for a, b in zip(at[cut].tolist(), behind[last - 1].tolist(), strict=True)]
+        keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        out |= {"k1": keys[:, 0], "k2": keys[:, 1]}
         for b in range(self.bands):
             key = np.full(len(cut), b + 1, np.uint64)
-            for m in mins[b * self.rows : (b + 1) * self.rows]:
-                key = (key ^ m) * MIX[1] + np.uint64(b)
-            keys.append(key.view(np.int64))
-        place = np.arange(n, dtype=np.uint64) - np.repeat(cut, ends - cut).astype(np.uint64) + np.uint64(3)
-        whole = np.add.reduceat(h * place * place * place, cut)
-        whole ^= np.bitwise_xor.reduceat(h * MIX[4], cut) + (ends - cut).astype(np.uint64)
-        raw = shingle.astype("<u4").tobytes()
-        sets = [raw[4 * a : 4 * b] if b - a < 256 else np.unique(shingle[a:b].astype("<u4")).tobytes() for a, b in zip(cut.tolist(), last.tolist(), strict=True)]
-        _, anchor, at = self.anchors(h)
-        anchors = [anchor[np.flatnonzero(np.diff(at, prepend=-1))], *[None] * (len(cut) - 1)]
-        return [cut, starts[cut], stops[ends - 1], ends - cut, whole.view(np.int64), *keys, anchors, sets]
-
-
-def paragraph_table(docs: DataFrame, cutter: tuple, id_col: str, text_col: str) -> DataFrame:
-    """``id, h, pos, start, stop, words, key, b1, b2, ..., anchors, sh`` of every paragraph; ``h`` is the text's hash, a text's first row has its anchors."""
+            for r in range(self.rows):
+                x = _mixed(shingle + np.uint64((b * self.rows + r + 1) * int(MIX[1]) & (2**64 - 1)), r % 5)
+                key = _mixed(key + np.minimum.reduceat(x, ranges)[::2], 1)
+            out[f"b{b + 1}"] = key.view(np.int64)
+        out["sh"] = [raw[a:b] for a, b in zip(starts[cut].tolist(), stops[last - 1].tolist(), strict=True)]
+        return out
+
+
+def paragraph_table(docs: DataFrame, cutter: tuple[int, int, int], id_col: str, text_col: str) -> DataFrame:
+    """``id, h, pos, start, stop, words, k1, k2, b1, b2, ..., sh`` of every paragraph; ``h`` is the text's hash, ``sh`` what is compared."""
     bands = [f"b{n + 1}" for n in range(cutter[1])]
-    names = ["pos", "start", "stop", "words", "key", *bands]
+    fields = "id long, h long, pos int, start int, stop int, words int, k1 long, k2 long, " + "".join(f"{b} long, " for b in bands) + "sh string"
+    types = {"pos": pa.int32(), "start": pa.int32(), "stop": pa.int32(), "words": pa.int32(), "sh": pa.string()}
+    names = [f.split()[0] for f in fields.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_held()
         c = Cutter(*cutter)
         for b in batches:
-            for i in range(0, len(b), 512):
-                ids, hashes, found = [], [], []
-                for doc, h, text in b.iloc[i : i + 512].itertuples(index=False):
-                    p = c.paragraphs(text)
-                    if p is not None:
-                        ids.append(doc)
-                        hashes.append(h)
-                        found.append(p)
-                if found:
-                    times = [len(p[0]) for p in found]
-                    columns = {"id": np.repeat(np.array(ids, np.int64), times), "h": np.repeat(np.array(hashes, np.int64), times)}
-                    columns |= {name: np.concatenate([p[k] for p in found]) for k, name in enumerate(names)}
-                    yield pd.DataFrame(columns | {"anchors": [x for p in found for x in p[-2]], "sh": [x for p in found for x in p[-1]]})
+            ids, hashes, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary())
+            i = 0
+            while i < len(b):
+                some, size = [], 0
+                while i + len(some) < len(b) and size < TOGETHER:
+                    some.append(texts[i + len(some)].as_py())
+                    size += len(some[-1])
+                found = c.table(some)
+                if found is not None:
+                    at = i + found.pop("text")
+                    found |= {"id": ids[at], "h": hashes[at]}
+                    yield pa.RecordBatch.from_arrays([pa.array(found[n], types.get(n, pa.int64())) for n in names], names)
+                i += len(some)
         c = None
         release_held()
 
-    text = F.col(text_col).cast("string")
-    rows = docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    fields = "".join(f", {b} long" for b in bands)
-    return rows.mapInPandas(run, f"id long, h long, pos int, start int, stop int, words int, key long{fields}, anchors array<long>, sh binary")
+    text = column(text_col).cast("string")
+    return docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, fields)
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Colliding paragraphs from rows sorted by band: all pairs of a small bucket, or with ``large`` the (band, paragraph) rows of a larger one."""
-    band, bucket = None, []
-    for b in batches:
-        out = []
-        for k, p in zip(b["band"].tolist(), b["key"].tolist(), strict=True):
-            if k != band:
-                out += [(x, y, False) for n, y in enumerate(bucket or []) for x in bucket[:n]]
-                band, bucket = k, []
-            if bucket is None:
-                out.append((k, p, True))
-            elif len(bucket) == SMALL:
-                out += [(k, x, True) for x in [*bucket, p]]
-                bucket = None
-            else:
-                bucket.append(p)
-        yield pd.DataFrame(out, columns=["a", "b", "large"]).astype({"a": np.int64, "b": np.int64, "large": bool})
-    rest = [(x, y, False) for n, y in enumerate(bucket or []) for x in bucket[:n]]
-    yield pd.DataFrame(rest, columns=["a", "b", "large"]).astype({"a": np.int64, "b": np.int64, "large": bool})
-
-
-def spanning(keys: list[int], sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def shingles(text: str) -> frozenset[bytes]:
+    """The words of every shingle; those of the whole text if they are fewer."""
+    w = words_of(text)
+    return frozenset(b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1)))
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """Sets of the similarity share one of so many rarest elements of n."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def spanning(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
     """Links that join all pairs of sets of at least the similarity, none of them between sets below it.
 
-    Sets of the similarity share one of their |x| - ceil(similarity |x|) + 1 rarest elements.  They are taken by size, and those
-    already joined are looked at only until one of them is similar.
+    Sets are taken by size and meet through the rarest elements; those already joined are looked at only until one of them is similar.
     """
     count = Counter(e for s in sets for e in s)
     up, out = list(range(len(sets))), []
@@ -215,7 +207,7 @@ def spanning(keys: list[int], sets: list[frozenset], similarity: float) -> list[
     index: dict = {}
     for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
         x, n = sets[i], len(sets[i])
-        prefix = sorted(x, key=lambda e: (count[e], e))[: n - math.ceil(similarity * n - 1e-9) + 1]
+        prefix = sorted((e for e in x if count[e] > 1), key=lambda e: (count[e], e))[: max(0, prefix_size(n, similarity) - sum(count[e] == 1 for e in x))]
         for e in prefix:
             groups = index.setdefault(e, {})
             for g in list(groups):
@@ -227,7 +219,7 @@ def spanning(keys: list[int], sets: list[frozenset], similarity: float) -> list[
                     for j in groups[g]:
                         y = sets[j]
                         if len(y) >= similarity * n and (both := len(x & y)) >= similarity * (n + len(y) - both):
-                            out.append((keys[j], keys[i]))
+                            out.append((j, i))
                             up[find(i)] = find(j)
                             break
         for e in prefix:
@@ -235,166 +227,205 @@ def spanning(keys: list[int], sets: list[frozenset], similarity: float) -> list[
     return out
 
 
-def _spanning(similarity: float):
-    """Links of whole buckets from rows ``band, key, sh`` sorted by band."""
+def _linked(similarity: float):
+    """Links within collected buckets of ``k1, k2, sh``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        band, keys, sets = None, [], []
         for b in batches:
             out = []
-            for k, p, x in zip(b["band"].tolist(), b["key"].tolist(), b["sh"], strict=True):
-                if k != band:
-                    out += spanning(keys, sets, similarity)
-                    band, keys, sets = k, [], []
-                keys.append(p)
-                sets.append(frozenset(np.frombuffer(x, "<u4").tolist()))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-        yield pd.DataFrame(spanning(keys, sets, similarity), columns=["a", "b"], dtype=np.int64)
-
-    return run
-
-
-def _similar(similarity: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            good = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = set(np.frombuffer(x, "<u4").tolist()), set(np.frombuffer(y, "<u4").tolist())
-                both = len(x & y)
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.loc[np.array(good, bool), ["a", "b"]]
+            for bucket in b["bucket"]:
+                keys = [(m["k1"], m["k2"]) for m in bucket]
+                out += [(*keys[i], *keys[j]) for i, j in spanning([shingles(m["sh"]) for m in bucket], similarity)]
+            yield pd.DataFrame(out, columns=["a1", "a2", "b1", "b2"], dtype=np.int64)
 
     return run
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Ascending numbers so that they compress well: bytes of the differences, lowest first."""
-    return np.diff(x, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _sized(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Members ``b, k1, k2, sh`` of buckets of up to ``LIMIT``, and those of larger ones with ``n``.
 
+    Sizes are counted before anything is gathered; buckets of one are left out.
+    """
+    sizes = staged(members.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), name)
+    small = members.join(sizes.where(F.col("n") <= LIMIT), "b", "left_semi")
+    return small, members.join(sizes.where(F.col("n") > LIMIT), "b")
 
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<i4").ravel())
 
+def _bucket_links(members: DataFrame, similarity: float) -> DataFrame:
+    """``a1, a2, b1, b2``: links that join all pairs of a bucket of at least the similarity.
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stretches of windows that stand at an earlier place, from rows sorted by anchor and place."""
-    anchor, seen = None, {}
+    A bucket of over ``LIMIT`` members is dealt again by the rarest shingles of each, which loses no similar pair; if many share even
+    those, into blocks by hash of which every two meet.  No task holds more than about ``LIMIT`` members of a bucket.
+    """
+    small, large = _sized(members, "bucket-sizes")
+    if not large.isEmpty():
+
+        @F.pandas_udf("array<long>")
+        def hashes(texts: pd.Series) -> pd.Series:
+            return pd.Series([np.array([xxhash.xxh64_intdigest(s, 2) for s in shingles(t)], np.uint64).view(np.int64) for t in texts])
+
+        large = staged(large.withColumn("x", hashes("sh")), "bucket-large")
+        parts = large.select("b", *KEY, F.size("x").alias("size"), F.explode("x").alias("e"))
+        often = parts.groupBy("b", "e").agg(F.count("*").alias("times"))
+        rarest = F.row_number().over(W.partitionBy("b", *KEY).orderBy("times", "e"))
+        kept = parts.join(often, ["b", "e"]).withColumn("rank", rarest).where(F.col("rank") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
+        dealt = kept.where("times > 1").select("b", *KEY, "e").join(large.select("b", *KEY, "sh"), ["b", *KEY])
+        again, rest = _sized(staged(dealt.select(F.xxhash64("b", "e").alias("b"), *KEY, "sh"), "bucket-again"), "bucket-again-sizes")
+        blocks = F.ceil(F.col("n") / (LIMIT // 2)).cast("int")
+        own = F.pmod(F.xxhash64(*KEY), blocks).cast("int")
+        met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        met = met.select(F.xxhash64("b", F.least("own", "other"), F.greatest("own", "other")).alias("b"), *KEY, "sh")
+        small = small.unionByName(again).unionByName(met)
+    buckets = small.groupBy("b").agg(F.collect_list(F.struct(*KEY, "sh")).alias("bucket")).select("bucket")
+    return buckets.mapInPandas(_linked(similarity), "a1 long, a2 long, b1 long, b2 long").distinct()
+
+
+def similar_classes(classes: DataFrame, table: DataFrame, bands: list[str], similarity: float) -> DataFrame:
+    """``k1, k2, component`` of distinct paragraphs that are joined with others."""
+    dealt = classes.select(F.explode(F.array(*bands)).alias("b"), *KEY).where("b is not null")
+    shared = staged(dealt.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b"), "bands-shared")
+    met = staged(likely_in(dealt, F.col("b"), shared, F.col("b")).join(shared, "b", "left_semi"), "bands-met")
+    needed = met.select(*KEY).distinct()
+    texts = likely_in(table.select(*KEY, "sh"), F.col("k1"), needed, F.col("k1")).groupBy(*KEY).agg(F.min("sh").alias("sh"))
+    links = staged(_bucket_links(staged(met.join(texts, KEY), "bands-members"), similarity), "paragraph-links")
+    ends = links.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(links.select("b1", "b2")).distinct()
+    nodes = staged(ends.withColumn("node", F.monotonically_increasing_id()), "paragraph-nodes")
+    edges = links.join(nodes.toDF("a1", "a2", "a"), ["a1", "a2"]).join(nodes.toDF("b1", "b2", "b"), ["b1", "b2"]).select("a", "b")
+    return nodes.join(components(edges), "node").select(*KEY, "component")
+
+
+def _runs(found) -> list[list]:
+    """Stretches of adjacent paragraphs from those of one text in order: [first word, word behind, start, stop, first place, place behind the last]."""
+    runs: list[list] = []
+    for p in found:
+        if runs and p["pos"] == runs[-1][1]:
+            runs[-1][1], runs[-1][3], runs[-1][5] = p["pos"] + p["words"], p["stop"], p
+        else:
+            runs.append([p["pos"], p["pos"] + p["words"], p["start"], p["stop"], p, p])
+    return runs
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per stretch: what is removed, and where its ends go on here (``at``) and at the place that keeps them."""
+    columns = ["id", "h", "first", "pos", "end", "start", "stop", "l_id", "l_h", "l_at", "r_id", "r_h", "r_at"]
     for b in batches:
         out = []
-        for a, doc, h, first, hashes, starts, stops in b.itertuples(index=False):
-            if a != anchor:
-                anchor, seen = a, {}
-            own = []
-            for n, x in enumerate(np.frombuffer(hashes, np.int64).tolist(), first):
-                where = seen.setdefault(x, (doc, h, n))
-                if where != (doc, h, n):
-                    begin, end = n, n + WINDOW
-                    if where[:2] == (doc, h):  # what it overlaps of its first place stays
-                        begin = max(begin, where[2] + WINDOW)
-                    if own and own[-1][1] >= begin and own[-1][2] == where[0]:
-                        own[-1][1] = end
-                    else:
-                        own.append([begin, end, where[0]])
-            if own:
-                starts, stops = _unpacked(starts), _unpacked(stops)
-                out += [(doc, h, x, starts[x - first], stops[y - 1 - first], y - x, f) for x, y, f in own]
-        yield pd.DataFrame(out, columns=["id", "h", "pos", "start", "stop", "words", "first"])
-
-
-def repeated_windows(docs: DataFrame, table: DataFrame, cutter: tuple, id_col: str, text_col: str) -> DataFrame:
-    """``id, h, pos, start, stop, words, first`` of stretches of windows that stand at an earlier place (id, h, word), whose id is ``first``."""
-    anchors = table.where("anchors is not null").select("id", "h", F.explode("anchors").alias("a"))
-    often = staged(table.select("pos", F.explode("anchors").alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors-often")
-    some = likely_in(anchors, F.col("a"), often, F.col("a")).select("id", "h").distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        release_held()
-        c = Cutter(*cutter)
-        for b in batches:
-            for i in range(0, len(b), 128):
-                out = []
-                for doc, h, text in b.iloc[i : i + 128].itertuples(index=False):
-                    found = c.words(text)
-                    if found is None or len(found[2]) < WINDOW:
-                        continue
-                    starts, stops, words = found
-                    hashes, a, at = c.anchors(words)
-                    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])).tolist()
-                    for x, y in zip(edges[:-1], edges[1:], strict=True):
-                        z = y + WINDOW - 1
-                        out.append((a[x], doc, h, x, hashes[x:y].tobytes(), _packed(starts[x:z]), _packed(stops[x:z])))
-                yield pd.DataFrame(out, columns=["a", "id", "h", "first", "hashes", "starts", "stops"])
-        c = None
-        release_held()
+        for doc, h, found in zip(b["id"], b["h"], b["found"], strict=True):
+            for pos, end, start, stop, left, right in _runs(found):
+                out.append((doc, h, left["k_id"], pos, end, start, stop, left["k_id"], left["k_h"], left["k_pos"], right["k_id"], right["k_h"], right["k_pos"] + right["k_words"]))
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _common(own: str | None, other: str | None, own_words: int, other_words: int, left: bool) -> tuple[int, int]:
+    """(words, code points) that two neighbouring paragraphs have in common at the end of a stretch."""
+    if own is None or other is None:
+        return 0, 0
+    places = list(WORD.finditer(own))[:own_words]
+    a, b = words_of(own)[:own_words], words_of(other)[:other_words]
+    if left:
+        a.reverse()
+        b.reverse()
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    if not n:
+        return 0, 0
+    return n, (places[-1].end() - places[-n].start() if left else places[n - 1].end())
+
+
+def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for r in b.itertuples(index=False):
+            keeper = (r.id, r.h, r.pos - r.l_own_words) == (r.l_id, r.l_h, r.l_at)  # the paragraph before the stretch keeps its text
+            n, size = (0, 0) if keeper else _common(r.l_own, r.l_other, r.l_own_words, r.l_other_words, True)
+            m, more = _common(r.r_own, r.r_other, r.r_own_words, r.r_other_words, False)
+            start = r.l_own_start + r.l_own_points - size if n else r.start
+            stop = r.r_own_start + more if m else r.stop
+            out.append((r.id, r.h, r.first, r.pos - n, r.end + m, start, stop))
+        yield pd.DataFrame(out, columns=["id", "h", "first", "pos", "end", "start", "stop"])
 
-    text = F.col(text_col).cast("string")
-    rows = docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = likely_in(rows, F.xxhash64("id", "h"), some, F.xxhash64("id", "h"))
-    windows = rows.mapInPandas(run, "a long, id long, h long, first int, hashes binary, starts binary, stops binary")
-    n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = likely_in(windows, F.col("a"), often, F.col("a")).repartition(n, "a").sortWithinPartitions("a", "id", "h", "first")
-    return sorted_.mapInPandas(_repeated, "id long, h long, pos int, start int, stop int, words int, first long")
 
+def extended(stretches: DataFrame, table: DataFrame) -> DataFrame:
+    """Stretches ``id, h, first, pos, end, start, stop`` with the words at their ends that are the same where the text is kept.
 
-def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int = 13, reach: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Only the paragraphs next to a stretch are looked at: whole ones would belong to it.  A stretch does not grow over the
+    paragraph that keeps its text.
+    """
+    s = stretches
+    side = lambda i, h, at, left: s.select(F.col(i).alias("id"), F.col(h).alias("h"), F.col(at).alias("at"), F.lit(left).alias("left"))
+    asked = side("id", "h", "pos", True).union(side("l_id", "l_h", "l_at", True)).union(side("id", "h", "end", False)).union(side("r_id", "r_h", "r_at", False)).distinct()
+    asked = staged(asked, "ends-asked")
+    spot = F.array(F.struct((F.col("pos") + F.col("words")).alias("at"), F.lit(True).alias("left")), F.struct(F.col("pos").alias("at"), F.lit(False).alias("left")))
+    rows = table.select("id", "h", F.explode(spot).alias("x"), "words", "start", (F.col("stop") - F.col("start")).alias("points"), "sh").select("id", "h", "x.at", "x.left", "words", "start", "points", "sh")
+    place = F.xxhash64("id", "h", "at", "left")
+    near = staged(likely_in(rows, place, asked, place).join(asked, ["id", "h", "at", "left"], "left_semi").dropDuplicates(["id", "h", "at", "left"]), "ends-found")
+    out = s
+    for name, left, (i, h, at) in (("l_own", True, ("id", "h", "pos")), ("l_other", True, ("l_id", "l_h", "l_at")), ("r_own", False, ("id", "h", "end")), ("r_other", False, ("r_id", "r_h", "r_at"))):
+        own = near.where(F.col("left") == left).select(F.col("id").alias(f"{name}_i"), F.col("h").alias(f"{name}_h"), F.col("at").alias(f"{name}_at"), F.col("sh").alias(name), F.col("words").alias(f"{name}_words"), F.col("start").alias(f"{name}_start"), F.col("points").alias(f"{name}_points"))
+        out = out.join(own, (F.col(i) == F.col(f"{name}_i")) & (F.col(h) == F.col(f"{name}_h")) & (F.col(at) == F.col(f"{name}_at")), "left").drop(f"{name}_i", f"{name}_h", f"{name}_at")
+    numbers = [c for c in out.columns if c.endswith(("_words", "_start", "_points"))]
+    return out.fillna(0, numbers).mapInPandas(_extended, "id long, h long, first long, pos int, end int, start int, stop int")
+
+
+def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int = 13, window: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stretches of text that stand elsewhere already: ``id, h, spans`` for every text that has some.
 
     ``spans`` lists ``start, stop`` (code points), ``words`` and ``first``, the id whose text keeps the passage.
     The place with the smallest (id, hash of the text, position) keeps it.  Rows that repeat both id and
-    text count as one document.  Of a passage of ``WINDOW`` words or more that stands elsewhere word for word, all words are
-    found; shorter and changed ones as far as whole paragraphs go.  Stretches of fewer than ``least_words`` words stay.
+    text count as one document.  Of a passage of ``2 * window + 2`` words or more that stands elsewhere word for word (case and white
+    space aside) all words are found; shorter and changed ones as far as a whole paragraph lies in them.  Stretches of
+    fewer than ``least_words`` words stay.  Null and empty texts have none; a null id is a value like any other; very long texts are
+    read whole; an empty table gives no rows; other columns are not read.
     """
-    bands, rows = tune(similarity)
-    table = staged(paragraph_table(docs, (reach, bands, rows), id_col, text_col), "paragraphs")
-    place = F.struct("id", "h", "pos")
-    names = [f"b{n + 1}" for n in range(bands)]
-    # one row per distinct paragraph; 64 bits of the whole and the first band make up its identity
-    distinct = staged(table.groupBy("key", "b1").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.max(b).alias(b) for b in names[1:]]), "paragraph-classes")
-    dealt = distinct.select(F.explode(F.array(*names)).alias("band"), "key")
-    n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = dealt.repartition(n, "band").sortWithinPartitions("band", "key")
-    found = staged(sorted_.mapInPandas(_pairs, "a long, b long, large boolean").where("large or a <> b"), "paragraph-links")
-    links = found.where("not large").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    needed = links.select(F.col("a").alias("key")).union(found.select("b")).distinct()
-    likely = likely_in(table.select("key", "sh"), F.col("key"), needed, F.col("key"))
-    sets = staged(likely.join(needed, "key", "left_semi").groupBy("key").agg(F.min("sh").alias("sh")), "paragraph-sets")
-    compared = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    whole = found.where("large").select(F.col("a").alias("band"), F.col("b").alias("key")).join(sets, "key").select("band", "key", "sh")
-    whole = whole.repartition(n, "band").sortWithinPartitions("band").mapInPandas(_spanning(similarity), "a long, b long")
-    comp = components(compared.mapInPandas(_similar(similarity), "a long, b long").union(whole)).toDF("key", "component")
-    comp = staged(comp, "paragraph-components")
-    some = distinct.where("n > 1").union(likely_in(distinct.where("n = 1"), F.col("key"), comp, F.col("key")))
-    joined = some.join(comp, "key", "left").where("n > 1 or component is not null").select("key", "b1", "first", "component")
+    n_bands, rows = tune(similarity)
+    table = staged(paragraph_table(docs, (window, n_bands, rows), id_col, text_col), "paragraphs")
+    bands = [f"b{n + 1}" for n in range(n_bands)]
+    every = table.select(F.explode(F.array(*bands)).alias("b"))
+    often = staged(every.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b"), "bands-often")
+    # paragraphs that share a band with another; copies share all of theirs, so that any of a class's bands counts them
+    place = F.struct("id", "h", "pos", "words")
+    hit = None
+    for b in bands:
+        own = likely_in(table.select(*KEY, "id", "h", "pos", "words", F.col(b).alias("b")), F.col("b"), often, F.col("b"))
+        own = own.select(*KEY, place.alias("place"), *[(F.col("b") if c == b else F.lit(None).cast("long")).alias(c) for c in bands])
+        hit = own if hit is None else hit.unionByName(own)
+    classes = hit.groupBy(*KEY).agg(F.min("place").alias("first"), (F.min("place") != F.max("place")).alias("again"), *[F.max(b).alias(b) for b in bands])
+    classes = staged(classes, "paragraph-classes")
+    comp = staged(similar_classes(classes, table, bands, similarity), "paragraph-components")
+    some = classes.where("again").union(likely_in(classes.where("not again"), F.col("k1"), comp, F.col("k1")))
+    joined = some.join(comp, KEY, "left").where("again or component is not null").select(*KEY, "first", "component")
     of_component = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    classes = staged(joined.join(of_component, "component", "left").select("key", "b1", F.coalesce("least", "first").alias("keep")), "paragraph-repeated")
-    copies = likely_in(table.select("id", "h", "pos", "start", "stop", "words", "key", "b1"), F.col("key"), classes, F.col("key"))
-    again = copies.join(classes, ["key", "b1"])
-    again = again.where(F.struct("id", "h", "pos") != F.col("keep")).select("id", "h", "pos", "start", "stop", "words", F.col("keep.id").alias("first"))
-    again = again.union(repeated_windows(docs, table, (reach, bands, rows), id_col, text_col))
-    again = again.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "stop", "words", "first"))).alias("found"))
+    repeated = staged(joined.join(of_component, "component", "left").select(*KEY, F.coalesce("least", "first").alias("keep")), "paragraph-repeated")
+    copies = likely_in(table.select(*PLACE, "start", "stop", "words", *KEY), F.col("k1"), repeated, F.col("k1")).join(repeated, KEY)
+    again = copies.where(F.struct(*PLACE) != F.struct("keep.id", "keep.h", "keep.pos"))
+    part = F.struct("pos", "start", "stop", "words", F.col("keep.id").alias("k_id"), F.col("keep.h").alias("k_h"), F.col("keep.pos").alias("k_pos"), F.col("keep.words").alias("k_words"))
+    of_text = again.groupBy("id", "h").agg(F.sort_array(F.collect_set(part)).alias("found"))
+    numbers = ", ".join(f"{c} {'long' if c in ('id', 'h', 'first') or c.endswith(('_id', '_h')) else 'int'}" for c in ("id", "h", "first", "pos", "end", "start", "stop", "l_id", "l_h", "l_at", "r_id", "r_h", "r_at"))
+    stretches = staged(of_text.mapInPandas(_stretches, numbers), "stretches")
+    whole = extended(stretches, table).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "start", "stop", "first"))).alias("found"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc, h, found in zip(b["id"], b["h"], b["found"], strict=True):
-                runs = []
+                runs: list[list] = []
                 for p in found:
-                    more = p["pos"] + p["words"] - (runs[-1][0] if runs else 0)  # words behind the run's end
-                    if runs and p["pos"] <= runs[-1][0]:
-                        if more > 0:
-                            runs[-1] = (p["pos"] + p["words"], runs[-1][1], p["stop"], runs[-1][3] + more, runs[-1][4])
+                    if runs and p["pos"] <= runs[-1][1]:
+                        if p["end"] > runs[-1][1]:
+                            runs[-1][1], runs[-1][3] = p["end"], p["stop"]
                     else:
-                        runs.append((p["pos"] + p["words"], p["start"], p["stop"], p["words"], p["first"]))
-                spans = [{"start": r[1], "stop": r[2], "words": r[3], "first": r[4]} for r in runs if r[3] >= least_words]
+                        runs.append([p["pos"], p["end"], p["start"], p["stop"], p["first"]])
+                spans = [{"start": r[2], "stop": r[3], "words": r[1] - r[0], "first": r[4]} for r in runs if r[1] - r[0] >= least_words]
                 if spans:
                     out.append((doc, h, spans))
             yield pd.DataFrame(out, columns=["id", "h", "spans"])
 
-    return again.mapInPandas(merge, "id long, h long, spans array<struct<start:int,stop:int,words:int,first:long>>")
+    return whole.mapInPandas(merge, "id long, h long, spans array<struct<start:int,stop:int,words:int,first:long>>")
 
 
 def cut_spans(text: str, spans) -> str:
-    """The text without the spans; what is left on both sides of one is joined by a single blank or line break."""
+    """The text without the spans; what is left on both sides of one is joined by a single blank."""
     out, at = [], 0
     for s in spans:
         out.append(text[at : s["start"]])
@@ -404,28 +435,35 @@ def cut_spans(text: str, spans) -> str:
     return " ".join(x for x in kept if x)
 
 
-def remove_repeats(docs: DataFrame, similarity: float = 0.8, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text_col``; its columns stay, and ``spans`` tells what went.
+def remove_repeats(docs: DataFrame, similarity: float = 0.8, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = "spans") -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text_col``; its columns stay whatever their names, and ``spans_col`` (if not None) tells what went.
 
-    A null or empty text stays as it is and has null spans; null ids are allowed; an empty table gives no rows.
+    A null or empty text stays as it is and has null spans; of a repeated row every one is cut alike; null ids are allowed; an
+    empty table gives no rows.  A column of ``docs`` named like ``spans_col`` is an error.
     """
-    found = duplicate_spans(docs, similarity, least_words, id_col=id_col, text_col=text_col).toDF("_id", "_h", "_spans")
+    if spans_col is not None and spans_col in docs.columns:
+        raise ValueError(f"docs has a column {spans_col} already")
+    i, h, at, own, spans = (unused(docs, f"__{x}") for x in ("found_id", "found_hash", "row_id", "row_hash", "found_spans"))
+    found = duplicate_spans(docs, similarity, least_words, id_col=id_col, text_col=text_col).toDF(i, h, spans)
+
     @F.pandas_udf("string")
     def without(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut_spans(t, s) for t, s in zip(text, spans, strict=True)])
 
-    rows = docs.withColumns({"_a": id_in(id_col), "_b": F.xxhash64(F.col(text_col).cast("string"))})
-    joined = rows.join(found, (F.col("_a") == F.col("_id")) & (F.col("_b") == F.col("_h")), "left")
-    return joined.select(*[without(text_col, "_spans").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("_spans").alias("spans"))
+    rows = docs.withColumns({at: id_in(id_col), own: F.xxhash64(column(text_col).cast("string"))})
+    joined = rows.join(found, (F.col(at) == F.col(i)) & (F.col(own) == F.col(h)), "left")
+    more = [] if spans_col is None else [F.col(spans).alias(spans_col)]
+    return joined.select(*[without(column(text_col), F.col(spans)).alias(c) if c == text_col else column(c) for c in docs.columns], *more)
 
 
 def substring_dedup(docs: DataFrame, similarity: float = 0.8, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_removed, words_removed, spans, first_docs``.
+    """One row per document: ``doc_id, n_removed, words_removed, spans, first_docs``; see ``duplicate_spans``.
 
-    ``spans`` are the removed stretches and ``first_docs`` the ids that keep them, in order of the stretches.
+    ``spans`` are the removed stretches and ``first_docs`` the ids that keep them, in order of the stretches; both are null
+    where nothing goes.  Repeated rows and null ids have a row each.
     """
     found = duplicate_spans(docs, similarity, least_words, id_col=id_col, text_col=text_col)
-    rows = docs.select(id_in(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    rows = docs.select(id_in(id_col).alias("id"), F.xxhash64(column(text_col).cast("string")).alias("h"))
     out = rows.join(found, ["id", "h"], "left").select(
         F.col("id").alias("doc_id"),
         F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"),
