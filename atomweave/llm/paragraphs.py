@@ -12,7 +12,6 @@ removed stretch the words go on being compared, one by one, with those around th
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,22 +24,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import column, components, id_in, id_out, likely_in, release_held, staged, unstage, unused
-from .simhash import LOWER
-
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: The base of the words' hashes and its inverse modulo 2^64.
-BASE = 0x9FB21C651E98DF25
-INVERSE = pow(BASE, -1, 2**64)
-BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
-#: Bytes that are cut in one go, but for longer texts.
-TOGETHER = 1 << 18
+from .words import MIX, WORD, Words, chunks, mixed, shingle_set, words_of
+
 #: Paragraphs that one worker compares at a time; a larger bucket is dealt again, then cut into blocks of which every two meet.
 LIMIT = 256
 #: Words of a shingle, and the least that a paragraph is compared by: a shorter one takes the words behind it.
 SHINGLE, LEAST = 5, 8
 KEY = ["k1", "k2"]
 PLACE = ["id", "h", "pos"]
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tune(similarity: float = 0.8, recall: float = 0.95, noise: float = 0.2) -> tuple[int, int]:
@@ -53,25 +44,11 @@ def tune(similarity: float = 0.8, recall: float = 0.95, noise: float = 0.2) -> t
     raise ValueError("no banding reaches the recall")
 
 
-def _mixed(x: np.ndarray, k: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * MIX[k]
-    return x ^ (x >> np.uint64(29))
-
-
 class Cutter:
     """The paragraphs of many texts at once."""
 
     def __init__(self, window: int = 24, bands: int = 3, rows: int = 2):
         self.window, self.bands, self.rows = window, bands, rows
-        self.power = self.back = np.ones(1, np.uint64)
-
-    def hashes(self, text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of every range of bytes the sum of (byte + 1) * BASE^place, places from 0."""
-        if len(self.power) <= len(text):
-            n = max(len(text) + 1, 2 * TOGETHER)
-            self.power, self.back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, INVERSE))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * self.power[: len(text)])])
-        return (sums[ends] - sums[begins]) * self.back[begins]
 
     def cuts(self, h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which words begin a paragraph; texts are the ranges from ``begins`` to ``ends``."""
@@ -79,8 +56,8 @@ class Cutter:
         first[begins] = True
         grams, w = len(h) - 2, self.window
         if grams >= w:
-            m = _mixed(h, 0)
-            g = _mixed(m[:-2] + m[1:-1] * MIX[1] + m[2:] * MIX[2], 3)
+            m = mixed(h, 0)
+            g = mixed(m[:-2] + m[1:-1] * MIX[1] + m[2:] * MIX[2], 3)
             low = g >> np.uint64(32) << np.uint64(32) | np.arange(grams, dtype=np.uint64)  # a minimum tells its place
             size = 1
             while size < w:
@@ -97,51 +74,30 @@ class Cutter:
 
     def table(self, texts: list[bytes]) -> dict[str, np.ndarray | list] | None:
         """Columns of all paragraphs: the text's number, first word, first and last code point, words, key, bands, and the text compared."""
-        raw = b"\n".join(texts)
-        low = np.frombuffer(raw.translate(LOWER), np.uint8)
-        blank = BLANK[low]
-        edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=1, append=1))
-        starts, stops = edge[::2], edge[1::2]
-        if not len(starts):
+        w = Words(texts)
+        if not len(w.h):
             return None
-        keep = ~blank
-        keep[stops[stops < len(low)]] = True  # one blank behind every word
-        plain = low[keep]
-        size = stops - starts
-        at = np.cumsum(size + 1) - size - 1
-        h = self.hashes(plain, at, at + size)
-        behind = at + size
-        plain[behind[behind < len(plain)]] = 32
-        same = plain.tobytes()
-        code = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)]) if not raw.isascii() else None
-        point = (lambda p: p) if code is None else lambda p: code[p]
-        lengths = np.array([len(t) + 1 for t in texts])
-        offset = np.cumsum(lengths) - lengths
-        bounds = np.searchsorted(starts, np.append(offset, len(raw) + 1))
-        some = np.flatnonzero(np.diff(bounds))
-        begins, finish = bounds[some], bounds[some + 1]
-        cut = np.flatnonzero(self.cuts(h, begins, finish))
-        end = np.append(cut[1:], len(h))
-        own = np.searchsorted(begins, cut, side="right") - 1
-        last = np.minimum(np.maximum(end, cut + LEAST), finish[own])
-        shingle, m = np.zeros(len(h) + 1, np.uint64), _mixed(h, 4)
-        for j in range(min(SHINGLE, len(h))):
-            shingle[: len(h) - j] += m[j:] * MIX[j]
+        cut = np.flatnonzero(self.cuts(w.h, w.begins, w.ends))
+        end = np.append(cut[1:], len(w.h))
+        own = np.searchsorted(w.begins, cut, side="right") - 1
+        last = np.minimum(np.maximum(end, cut + LEAST), w.ends[own])
+        shingle, m = np.append(w.shingles(SHINGLE), np.uint64(0)), mixed(w.h, 4)
         for s in np.flatnonzero(last - cut < SHINGLE).tolist():  # the last words of a text: fewer than a shingle
             shingle[cut[s]] = (m[cut[s] : last[s]] * MIX[: last[s] - cut[s]]).sum(dtype=np.uint64)
         ranges = np.stack([cut, np.maximum(cut + 1, last - SHINGLE + 1)], 1).ravel()
-        out: dict = {"text": some[own], "pos": cut - begins[own], "words": end - cut}
-        out |= {"start": point(starts[cut]) - point(offset[some[own]]), "stop": point(stops[end - 1]) - point(offset[some[own]])}
-        digests = [xxhash.xxh3_128_digest(same[a:b]) for a, b in zip(at[cut].tolist(), behind[last - 1].tolist(), strict=True)]
+        point, text = w.points(), w.some[own]
+        out: dict = {"text": text, "pos": cut - w.begins[own], "words": end - cut}
+        out |= {"start": point(w.starts[cut]) - point(w.offset[text]), "stop": point(w.stops[end - 1]) - point(w.offset[text])}
+        digests = [xxhash.xxh3_128_digest(w.plain[a:b]) for a, b in zip(w.at[cut].tolist(), w.behind[last - 1].tolist(), strict=True)]
         keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         out |= {"k1": keys[:, 0], "k2": keys[:, 1]}
         for b in range(self.bands):
             key = np.full(len(cut), b + 1, np.uint64)
             for r in range(self.rows):
-                x = _mixed(shingle + np.uint64((b * self.rows + r + 1) * int(MIX[1]) & (2**64 - 1)), r % 5)
-                key = _mixed(key + np.minimum.reduceat(x, ranges)[::2], 1)
+                x = mixed(shingle + np.uint64((b * self.rows + r + 1) * int(MIX[1]) & (2**64 - 1)), r % 5)
+                key = mixed(key + np.minimum.reduceat(x, ranges)[::2], 1)
             out[f"b{b + 1}"] = key.view(np.int64)
-        out["sh"] = [raw[a:b] for a, b in zip(starts[cut].tolist(), stops[last - 1].tolist(), strict=True)]
+        out["sh"] = [w.raw[a:b] for a, b in zip(w.starts[cut].tolist(), w.stops[last - 1].tolist(), strict=True)]
         return out
 
 
@@ -157,18 +113,12 @@ def paragraph_table(docs: DataFrame, cutter: tuple[int, int, int], id_col: str,
         c = Cutter(*cutter)
         for b in batches:
             ids, hashes, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary())
-            i = 0
-            while i < len(b):
-                some, size = [], 0
-                while i + len(some) < len(b) and size < TOGETHER:
-                    some.append(texts[i + len(some)].as_py())
-                    size += len(some[-1])
+            for i, some in chunks(texts):
                 found = c.table(some)
                 if found is not None:
                     at = i + found.pop("text")
                     found |= {"id": ids[at], "h": hashes[at]}
                     yield pa.RecordBatch.from_arrays([pa.array(found[n], types.get(n, pa.int64())) for n in names], names)
-                i += len(some)
         c = None
         release_held()
 
@@ -176,14 +126,8 @@ def paragraph_table(docs: DataFrame, cutter: tuple[int, int, int], id_col: str,
     return docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, fields)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-
-
 def shingles(text: str) -> frozenset[bytes]:
-    """The words of every shingle; those of the whole text if they are fewer."""
-    w = words_of(text)
-    return frozenset(b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1)))
+    return shingle_set(text, SHINGLE)
 
 
 def prefix_size(n: int, similarity: float) -> int:

@@ -8,25 +8,26 @@ agree under its mask: the 2^(r+1) - 1 tables miss no pair within the radius.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_in, id_out, release_held, staged
+from .common import column, components, id_in, id_out, likely_in, release_held, staged
+from .words import MIX, Words, chunks, distinct, majority, mixed, shingle_set, words_of
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 #: A bucket with more fingerprints is dealt out again under the masks of the bits left free.
 LARGE = 512
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-case A-Z, split at ASCII white space; null has no words."""
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+#: Of near_duplicates: word fingerprints, their radius, and the 64-bit parts of the long fingerprint of shingles.
+PRINTS, RADIUS, SKETCH = 6, 3, 4
+#: All pairs of a bucket of so many members are compared.
+SMALL = 8
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -82,114 +83,52 @@ def _column(values) -> np.ndarray:
     return np.array(list(values), np.uint64).view(np.int64)
 
 
-def _spanning(u: np.ndarray, v: np.ndarray, of: np.ndarray, radius: int, confirm: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Links that join the components of one bucket: (component, components), together fewer than there are.
-
-    Members link if their fingerprints ``u`` are within ``radius`` bits and their second ones ``v`` within
-    ``confirm``; those with the same ``of`` are joined already.
-    """
-    names, label = np.unique(of, return_inverse=True)
-    rest = np.arange(len(of))
-    while len(rest):  # breadth first from each unseen component
-        own = label[rest] == label[rest[0]]
-        todo, rest = rest[own].tolist(), rest[~own]
-        while todo and len(rest):
-            i = todo.pop()
-            near = (np.bitwise_count(u[rest] ^ u[i]) <= radius) & (np.bitwise_count(v[rest] ^ v[i]) <= confirm)
-            if near.any():
-                found = np.unique(label[rest[near]])
-                yield names[label[i]], names[found]
-                own = np.isin(label[rest], found)
-                todo.extend(rest[own].tolist())
-                rest = rest[~own]
-
-
-def _pairs(found: list) -> pd.DataFrame:
-    a = [np.full(len(y), x) for x, y in found]
-    b = [y for _, y in found]
-    return pd.DataFrame({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])})
-
-
 def _unsigned(values) -> np.ndarray:
     return np.asarray(values, np.int64).view(np.uint64)
 
 
-def _forest(radius: int, confirm: int):
-    """The links of collected buckets."""
+def _within(radius: int):
+    """Links that join all fingerprints of a collected bucket that are within the radius of each other, breadth first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = []
-            for u, v, of in zip(b["fps"], b["seconds"], b["ofs"], strict=True):
-                found += _spanning(_unsigned(u), _unsigned(v), np.asarray(of, np.int64), radius, confirm)
-            yield _pairs(found)
+            a, z = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for bucket in b["fps"]:
+                u, rest = _unsigned(bucket), np.arange(len(bucket))
+                while len(rest):
+                    todo, rest = [rest[0]], rest[1:]
+                    while todo and len(rest):
+                        i = todo.pop()
+                        near = np.bitwise_count(u[rest] ^ u[i]) <= radius
+                        a.append(np.full(near.sum(), bucket[i]))
+                        z.append(np.asarray(bucket)[rest[near]])
+                        todo.extend(rest[near].tolist())
+                        rest = rest[~near]
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(z)})
 
     return run
 
 
-def first_links(classes: DataFrame, radius: int, confirm: int, tables: int = 3) -> DataFrame:
-    """``(a, b)``: part of the links between classes, found cheaply before all tables are.
-
-    Rows are sorted by the whole fingerprint and by a few of its masked forms, and stretches of up to ``LARGE``
-    rows that agree are linked as they stream by.  Range partitions split a hot value, so nothing is collected.
-    """
-    n = max(2, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    chosen = [(1 << 64) - 1, *masks(radius, list(range(64)))[:tables]]
-    tables_ = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(chosen)])
-    dealt = classes.select("fp", "second", "of", F.explode(tables_).alias("x")).select("x.t", "x.k", "fp", "second", "of")
-    order = ["t", "k", "fp", "second"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            t, k, of = b["t"].to_numpy(), b["k"].to_numpy(), b["of"].to_numpy()
-            u, v = _unsigned(b["fp"]), _unsigned(b["second"])
-            edges = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]), [True]])) if len(b) else np.zeros(1, int)
-            found = []
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if j - i > 1:
-                    for x in range(i, j, LARGE):
-                        y = min(x + LARGE, j)
-                        found += _spanning(u[x:y], v[x:y], of[x:y], radius, confirm)
-            yield _pairs(found)
-
-    return dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long").distinct()
-
-
-def links(classes: DataFrame, radius: int = 3, confirm: int = 64) -> DataFrame:
-    """``(a, b)``: links between components that join all pairs of classes within the radius.
+def links(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """``(a, b)``: links between distinct fingerprints ``fp`` that join all pairs within the radius.
 
-    ``classes`` has distinct ``fp, second`` and ``of``, the component a class is known to belong to.  Buckets
-    of one component are left out.  A bucket of over ``LARGE`` members is dealt out again under covering masks of
-    the bits its own mask leaves free; what agrees under both masks differs in few free bits only, which bounds a
-    second bucket by their number where ``fp`` is distinct, whatever the input.
+    A bucket of over ``LARGE`` members is dealt out again under covering masks of the bits its own mask leaves free; what agrees
+    under both masks differs in few free bits only, which bounds a second bucket by their number, whatever the input.
     """
-    spark, every = classes.sparkSession, list(range(64))
+    spark, every = fps.sparkSession, list(range(64))
     first = masks(radius, every)
     second = [(t, n, _signed(x)) for t, m in enumerate(first) for n, x in enumerate(masks(radius, [i for i in every if not m >> i & 1]))]
     tables = F.array(*[F.struct(F.lit(n).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for n, m in enumerate(first)])
-    dealt = staged(classes.select("of", "fp", "second", F.explode(tables).alias("x")).select("x.t", "x.k", "of", "fp", "second"), "simhash-dealt")
-    mixed = dealt.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high")
-    sizes = staged(mixed.select("t", "k", "n"), "simhash-sizes")
-    members = [F.collect_list(c).alias(n) for c, n in (("of", "ofs"), ("fp", "fps"), ("second", "seconds"))]
-    out = dealt.join(sizes.where(F.col("n") <= LARGE), ["t", "k"], "left_semi").groupBy("t", "k").agg(*members).drop("t", "k")
+    dealt = staged(fps.select("fp", F.explode(tables).alias("x")).select("x.t", "x.k", "fp"), "simhash-dealt")
+    sizes = staged(dealt.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    members = F.collect_list("fp").alias("fps")
+    out = dealt.join(sizes.where(F.col("n") <= LARGE), ["t", "k"], "left_semi").groupBy("t", "k").agg(members).select("fps")
     large = sizes.where(F.col("n") > LARGE)
     if not large.isEmpty():
         choices = spark.createDataFrame(second, "t int, t2 int, mask long")  # (2^(radius+1) - 1)^2 rows
         again = dealt.join(large, ["t", "k"], "left_semi").join(F.broadcast(choices), "t").withColumn("k2", F.col("fp").bitwiseAND(F.col("mask")))
-        again = again.groupBy("t", "k", "t2", "k2").agg(*members).where(F.array_min("ofs") < F.array_max("ofs"))
-        out = out.union(again.select("ofs", "fps", "seconds"))
-    return out.mapInPandas(_forest(radius, confirm), "a long, b long").distinct()
-
-
-def joined(classes: DataFrame, radius: int, confirm: int) -> DataFrame:
-    """``(node, g)`` of every class ``node, fp, second``: the component ``g`` it is in.
-
-    Large groups are mostly joined by ``first_links``; the tables then look for what still is apart.
-    """
-    early = components(first_links(classes.select("fp", "second", F.col("node").alias("of")), radius, confirm))
-    known = staged(classes.join(early, "node", "left").select("node", "fp", "second", F.coalesce("component", "node").alias("of")), "near-known")
-    comp = components(links(known, radius, confirm)).withColumnRenamed("node", "of")
-    return known.select("node", "of").join(comp, "of", "left").select("node", F.coalesce("component", "of").alias("g"))
+        out = out.union(again.groupBy("t", "k", "t2", "k2").agg(members).where(F.size("fps") > 1).select("fps"))
+    return out.mapInPandas(_within(radius), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,39 +142,204 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     """
     fps = staged(with_fingerprints(docs, shingle, id_col, text_col), "simhash-fps")
     classes = staged(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
-    comp = components(links(classes.select("fp", F.lit(0).cast("long").alias("second"), F.col("fp").alias("of")), radius))
+    comp = components(links(classes.select("fp"), radius))
     grouped = staged(classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("g")), "simhash-grouped")
     least = grouped.groupBy("g").agg(F.min("first").alias("component"))
     named = grouped.join(least, "g").select("fp", "component")
     return fps.join(named, "fp").select("id", "fp", "component")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows that a near copy stands for: ``id, h`` (hash of the text) and ``keep_id`` of every row that goes.
+def near_fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, h, f0.., s0..`` of every text with a word: fingerprints of the distinct words, and a long one of the distinct shingles."""
+    names = [*(f"f{n}" for n in range(PRINTS)), *(f"s{n}" for n in range(SKETCH))]
 
-    Two fingerprints decide: one of the distinct words, which edits move little, finds candidates within
-    ``radius`` bits through the covering masks; one of the ``shingle``-word shingles must show a cosine of at
-    least ``similarity``, which is cos(pi d / 64) at d differing bits.  Of each component the row with the smallest
-    (id, hash) stays.  Null texts and texts without a word take no part; rows that repeat both id and text count as one.
-    """
-    confirm = int(np.floor(np.arccos(similarity) * 64 / np.pi))
+    def prints(hashes: np.ndarray, group: np.ndarray, groups: int, n: int) -> np.ndarray:
+        values, of = distinct(hashes, group)
+        return majority(np.stack([mixed(values + np.uint64(k + 1) * MIX[2], k % 5) for k in range(n)], 1), np.searchsorted(of, np.arange(groups)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_held()
         for b in batches:
-            words = [words_of(t) for t in b["text"]]
-            first = _column(fingerprint(shingle_hashes(sorted(set(w)), 1)) if len(w) > 1 else fingerprint(shingle_hashes(w, 1)) for w in words)
-            second = _column(fingerprint(shingle_hashes(w, shingle)) for w in words)
-            some = np.array([bool(w) for w in words], bool)
-            yield pd.DataFrame({"id": b["id"], "h": b["h"], "fp": first, "second": second})[some]
-            words = first = second = b = None
+            ids, hashes, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary())
+            for i, some in chunks(texts):
+                w = Words(some)
+                if not len(w.h):
+                    continue
+                count = w.ends - w.begins
+                of = np.repeat(np.arange(len(count)), count)
+                s = w.shingles(shingle)
+                whole = np.arange(len(s)) + shingle <= np.repeat(w.ends, count)
+                for t in np.flatnonzero(count < shingle).tolist():  # a shorter text is one shingle
+                    x, y = w.begins[t], w.ends[t]
+                    s[x], whole[x] = w.h[x:y].cumsum(dtype=np.uint64).sum(dtype=np.uint64), True
+                found = np.concatenate([prints(w.h, of, len(count), PRINTS), prints(s[whole], of[whole], len(count), SKETCH)], 1).view(np.int64)
+                at = i + w.some
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(hashes[at]), *(pa.array(found[:, k]) for k in range(len(names)))], ["id", "h", *names])
         release_held()
 
-    text = F.col(text_col).cast("string")
-    rows = docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    fps = staged(rows.mapInPandas(run, "id long, h long, fp long, second long").withColumn("node", F.xxhash64("fp", "second")), "near-fps")
-    classes = staged(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min(F.struct("id", "h")).alias("first")), "near-classes")
-    grouped = staged(classes.select("node", "first").join(joined(classes, radius, confirm), "node"), "near-grouped")
-    keep = grouped.join(grouped.groupBy("g").agg(F.min("first").alias("keep")), "g").select("node", "keep")
-    gone = fps.join(keep, "node").where(F.struct("id", "h") != F.col("keep")).select("id", "h", F.col("keep.id").alias("keep_id"))
+    return _texts(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{n} long" for n in ("id", "h", *names)))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = column(text_col).cast("string")
+    return docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def sketch_limit(similarity: float) -> int:
+    """Differing bits of the long fingerprints that shingle sets of the Jaccard similarity have at most, but for one pair in some 160."""
+    bits, share = 64 * SKETCH, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def forest(of: np.ndarray, sketch: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Pairs worth comparing among members of different components: all within ``limit`` bits in a bucket of up to ``SMALL``, in a larger one
+    those of a spanning forest of least differences, which joins whatever a chain of nearer pairs joins."""
+    n, out = len(of), []
+    bits = np.zeros((n, n), np.int32)
+    for k in range(sketch.shape[1]):
+        bits += np.bitwise_count(sketch[:, k, None] ^ sketch[None, :, k])
+    bits[bits > limit] = 1 << 20
+    bits[of[:, None] == of[None, :]] = -1
+    if n <= SMALL:
+        i, j = np.nonzero((bits >= 0) & (bits <= limit))
+        return [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b]
+    best, parent, todo = np.full(n, 1 << 20), np.zeros(n, np.int64), np.ones(n, bool)
+    for _ in range(n):
+        i = int(np.where(todo, best, 1 << 21).argmin())
+        if 0 <= best[i] <= limit:
+            out.append((int(parent[i]), i))
+        todo[i] = False
+        nearer = todo & (bits[i] < best)
+        best[nearer], parent[nearer] = bits[i][nearer], i
+    return out
+
+
+def _pairs(nodes: np.ndarray, of: np.ndarray, sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    found = np.array(forest(of, sketch, limit), np.int64).reshape(-1, 2)
+    return nodes[found].min(1), nodes[found].max(1)
+
+
+def _frame(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    empty = [np.empty(0, np.int64)]
+    return pd.DataFrame({"a": np.concatenate(empty + [x for x, _ in found]), "b": np.concatenate(empty + [y for _, y in found])})
+
+
+def early_pairs(classes: DataFrame, limit: int) -> DataFrame:
+    """``(a, b)``: part of the pairs worth comparing, found cheaply before all tables are looked at.
+
+    Classes are sorted by two whole fingerprints and two masked ones, and stretches of up to ``LARGE`` that agree are
+    worked on as they stream by.  Range partitions split a hot value, so nothing is collected.
+    """
+    n = max(2, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    m = masks(RADIUS, list(range(64)))
+    chosen = [("f0", -1), ("f1", -1), ("f2", _signed(m[0])), ("f3", _signed(m[1]))]
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f).bitwiseAND(F.lit(x)).alias("k")) for t, (f, x) in enumerate(chosen)])
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    dealt = classes.select("node", *sketch, F.explode(tables).alias("x")).select("x.t", "x.k", "node", *sketch)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            t, k, nodes = b["t"].to_numpy(), b["k"].to_numpy(), b["node"].to_numpy()
+            s = _unsigned(b[sketch].to_numpy())
+            edges = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]), [True]])) if len(b) else np.zeros(1, int)
+            found = []
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for x in range(i, j, LARGE):
+                    y = min(x + LARGE, j)
+                    if y - x > 1:
+                        found.append(_pairs(nodes[x:y], nodes[x:y], s[x:y], limit))
+            yield _frame(found)
+
+    order = ["t", "k", *sketch, "node"]
+    return dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long").distinct()
+
+
+def table_pairs(classes: DataFrame, limit: int) -> DataFrame:
+    """``(a, b)``: pairs worth comparing of all covering tables of all fingerprints; ``of`` is the component a class is known to be in.
+
+    Buckets of one component are left out.  One of over ``LARGE`` members is dealt out again under covering masks of the bits its own
+    leaves free, which parts no pair within the radius, and what still is larger into blocks by hash of which every two meet.
+    """
+    spark, every, sketch = classes.sparkSession, list(range(64)), [f"s{k}" for k in range(SKETCH)]
+    first = masks(RADIUS, every)
+    tables = [(f"f{f}", n, m) for f in range(PRINTS) for n, m in enumerate(first)]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f).alias("f"), F.xxhash64(F.lit(t), F.col(f).bitwiseAND(F.lit(_signed(m)))).alias("k")) for t, (f, _, m) in enumerate(tables)])
+    dealt = classes.select("node", "of", *sketch, F.explode(keys).alias("x")).select("node", "of", *sketch, "x.t", "x.f", "x.k")
+    member, gathered = ["node", "of", *sketch], F.collect_list(F.struct("node", "of", *sketch)).alias("bucket")
+
+    def mixed_sizes(rows: DataFrame, name: str) -> DataFrame:
+        return staged(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("k", "n"), name)
+
+    often = staged(dealt.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "near-often")
+    met = staged(likely_in(dealt, F.col("k"), often, F.col("k")).join(often, "k", "left_semi"), "near-met")
+    sizes = mixed_sizes(met, "near-sizes")
+    out = met.join(sizes.where(F.col("n") <= LARGE), "k", "left_semi").select("k", *member)
+    large = sizes.where(F.col("n") > LARGE)
+    if not large.isEmpty():
+        free = [(t, u, _signed(x)) for t, (_, _, m) in enumerate(tables) for u, x in enumerate(masks(RADIUS, [i for i in every if not m >> i & 1]))]
+        choices = spark.createDataFrame(free, "t int, u int, mask long")  # PRINTS * (2^(RADIUS+1) - 1)^2 rows
+        again = met.join(large.select("k"), "k", "left_semi").join(F.broadcast(choices), "t")
+        again = staged(again.select(F.xxhash64("k", "u", F.col("f").bitwiseAND(F.col("mask"))).alias("k"), *member), "near-again")
+        rest = mixed_sizes(again, "near-again-sizes")
+        blocks = F.ceil(F.col("n") / (LARGE // 2)).cast("int")
+        block = again.join(rest.where(F.col("n") > LARGE), "k").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+        block = block.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), *member)
+        out = out.unionByName(again.join(rest.where(F.col("n") <= LARGE), "k", "left_semi").select("k", *member)).unionByName(block)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for bucket in b["bucket"]:
+                rows = np.array([tuple(m[c] for c in member) for m in bucket], np.int64)
+                found.append(_pairs(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64), limit))
+            yield _frame(found)
+
+    return out.groupBy("k").agg(gathered).select("bucket").mapInPandas(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows that a near copy stands for: ``id, h`` (hash of the text) and ``keep_id`` of every row that goes.
+
+    Candidates agree within ``RADIUS`` bits in one of ``PRINTS`` fingerprints of their distinct words, which edits move little; the
+    covering masks find all of them.  Those whose long fingerprints of shingles are near enough are compared by the exact Jaccard
+    similarity of their sets of ``shingle``-word shingles, and linked from ``similarity`` on.  Of each component the row with the
+    smallest (id, hash) stays.  Null texts and texts without a word take no part; a null id is the smallest; rows that repeat
+    both id and text count as one; very long texts are read whole; an empty table gives no rows; other columns are not read.
+    """
+    prints = [*(f"f{n}" for n in range(PRINTS)), *(f"s{n}" for n in range(SKETCH))]
+    fps = staged(near_fingerprints(docs, shingle, id_col, text_col), "near-fps")
+    classes = fps.groupBy(*prints).agg(F.min(F.struct("id", "h")).alias("first"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    limit = sketch_limit(similarity)
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good, of = [], {}
+            for a, x, y in zip(b["a"], b["x"], b["y"], strict=True):
+                if a not in of:
+                    of = {a: shingle_set(x, shingle)}  # links of a hub come one after the other
+                p, q = of[a], shingle_set(y, shingle)
+                both = len(p & q)
+                good.append(both >= similarity * (len(p) + len(q) - both))
+            yield b.loc[np.array(good, bool), ["a", "b"]]
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "near-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        who = staged(classes.select("node", "first.id", "first.h").join(ends, "node", "left_semi"), "near-ends")
+        at = F.xxhash64("id", "h")
+        texts = likely_in(_texts(docs, id_col, text_col), at, who, at).join(who, ["id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
+        texts = staged(texts, "near-texts")
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return both.mapInPandas(compared, "a long, b long")
+
+    early = components(similar(early_pairs(classes, limit)))
+    known = staged(classes.join(early, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component"), "near-known")
+    parent = known.select("node", "of")
+    late = similar(table_pairs(known, limit)).join(parent.toDF("a", "of_a"), "a").join(parent.toDF("b", "of_b"), "b").select("of_a", "of_b")
+    comp = components(late, "of_a", "of_b").withColumnRenamed("node", "of")
+    grouped = staged(known.join(comp, "of", "left").select(*prints, "first", F.coalesce("component", "of").alias("g")), "near-grouped")
+    of_group = grouped.groupBy("g").agg(F.min("first").alias("keep"), F.count("*").alias("n"))
+    some = grouped.join(of_group, "g").select(*prints, "keep")
+    gone = fps.join(some, prints).where(F.struct("id", "h") != F.col("keep")).select("id", "h", F.col("keep.id").alias("keep_id"))
     return gone.distinct()

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from atomweave.llm import common, encoding, exact_dedup, language_id, media, packing, paragraphs, pieces, quality, simhash, token_counts, token_files, webp
+from atomweave.llm import words as words_
 from atomweave.llm.queries import tokenizer
 
 BYTE, WORD, PIECE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -179,47 +180,73 @@ def test_large_buckets_are_dealt_again(spark, monkeypatch):
     centre = rnd.getrandbits(64)
     fps = sorted({centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for _ in range(150)} | {rnd.getrandbits(64) for _ in range(50)})
     signed = [simhash._signed(x) for x in fps]
-    classes = spark.createDataFrame([(x, x, 0) for x in signed], "of long, fp long, second long")
     want = list(range(len(fps)))
     for _ in range(20):
         want = [min(want[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(fps))]
     monkeypatch.setattr(simhash, "LARGE", 8)
-    got = {r.node: r.component for r in common.components(simhash.links(classes, 3)).collect()}
+    got = {r.node: r.component for r in common.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 3)).collect()}
     groups = lambda lab: sorted(sorted(i for i in range(len(fps)) if lab[i] == k) for k in set(lab))
     assert groups(want) == groups([got.get(s, s) for s in signed])
 
 
-@pytest.mark.parametrize("large", [8, 512])
-def test_components_of_two_fingerprints(spark, monkeypatch, large):
-    rnd = random.Random(3)
-    moved = lambda x, n: x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, n)))
-    centres = [(rnd.getrandbits(64), rnd.getrandbits(64)) for _ in range(4)]
-    rows = sorted({(moved(u, 4), moved(v, 9)) for u, v in centres for _ in range(60)} | {(centres[0][0], moved(centres[0][1], 20)) for _ in range(60)})
-    near = lambda x, y: (x[0] ^ y[0]).bit_count() <= 5 and (x[1] ^ y[1]).bit_count() <= 13
-    want, todo = {}, []
-    for n, row in enumerate(rows):
-        todo = [row] if row not in want else []
-        while todo:
-            x = todo.pop()
-            if x not in want:
-                want[x] = n
-                todo += [y for y in rows if y not in want and near(x, y)]
-    monkeypatch.setattr(simhash, "LARGE", large)
-    classes = spark.createDataFrame([(n, simhash._signed(u), simhash._signed(v)) for n, (u, v) in enumerate(rows)], "node long, fp long, second long")
-    got = {r.node: r.g for r in simhash.joined(classes, 5, 13).collect()}
-    pairs = {(want[row], got[n]) for n, row in enumerate(rows)}
-    assert len(got) == len(rows) and len(pairs) == len(set(want.values())) == len(set(got.values())) > 4
-
-
-def test_near_duplicates(spark):
+def test_majority_fingerprints():
+    h = np.random.default_rng(0).integers(0, 2**64, (3000, 2), dtype=np.uint64)
+    begins = [0, 1, 3, 700, 1210, 1211, 2999]
+    got = words_.majority(h, np.array(begins))
+    for g, (i, j) in enumerate(zip(begins, [*begins[1:], 3000], strict=True)):
+        for c in range(2):
+            assert int(got[g, c]) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[i:j, c]) > j - i)
+
+
+def test_forest_joins_what_near_pairs_join():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, (6, 4), dtype=np.uint64)
+    x = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, (12, 4), dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, (12, 4), dtype=np.uint64)) for b in base])
+    bits = np.bitwise_count(x[:, None] ^ x[None]).sum(-1)
+    for limit in (3, 9, 12, 200):
+        of = np.arange(len(x)) // 2
+        want, got = of.copy(), of.copy()
+        for lab, pairs in ((want, np.argwhere(bits <= limit).tolist()), (got, simhash.forest(of, x, limit))):
+            for _ in range(len(x)):
+                for a, b in pairs:
+                    lab[(lab == lab[a]) | (lab == lab[b])] = min(lab[a], lab[b])
+                    assert bits[a, b] <= limit
+                if lab is got:
+                    break
+        assert got.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("large", [6, 512])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, large):
     rnd = random.Random(4)
-    words = [noise(s, 7, "abcdefgh") for s in range(400)]
-    base = [rnd.choice(words) for _ in range(300)]
-    near = list(base)
-    near[150] = "changed"
-    other = [rnd.choice(words) for _ in range(300)]
-    gone = simhash.near_duplicates(docs(spark, [" ".join(x) for x in (base, near, other)] + [None, ""])).collect()
-    assert [(r.id, r.keep_id) for r in gone] == [(1, 0)]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").limit(260).collect()]
+    other = " ".join(texts).split()
+
+    def edited(words, least):
+        v, grams = list(words), words_.shingle_set(" ".join(words), 5)
+        while True:
+            u = list(v)
+            at = rnd.randrange(len(u))
+            u[at : at + rnd.randrange(2)] = [rnd.choice(other)]
+            g = words_.shingle_set(" ".join(u), 5)
+            if len(g & grams) < least * len(g | grams):
+                return " ".join(v)
+            v = u
+
+    long_ = [t.split() for t in texts if 30 <= len(t.split()) < 400]
+    texts += [edited(w, least) for w in long_[:70] for least in (0.8, 0.62)] + [edited(long_[80], 0.85) for _ in range(25)] + [None, "", " \n", "x", "X "]
+    sets = [words_.shingle_set(t, 5) if t and t.split() else frozenset() for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = list(range(len(sets)))
+    for _ in range(12):
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "SMALL", min(large, simhash.SMALL))
+    gone = {r.id: r.keep_id for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    due = {i for i, k in enumerate(want) if i != k}
+    assert len(due) > 80 and len(due & set(gone)) >= 0.95 * len(due)
+    assert all(want[i] == want[k] for i, k in gone.items())  # nothing goes without a chain of similar texts
 
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_of, lambda n: F.substring(exact_dedup.sha256_of(n), 1, 1)])
@@ -292,15 +319,15 @@ def test_paragraphs_are_those_of_a_plain_cutter():
     texts = [" \n".join(rnd.choice(["aa", "b", "Cé", "dd", "x1"]) + rnd.choice(["", "", "k", "é"]) for _ in range(n)) for n in (1, 4, 5, 7, 25, 26, 40, 200)] + ["", " ", "tick " * 60]
     c = paragraphs.Cutter(6, 3, 2)
     got = c.table([t.encode() for t in texts])
-    mixed = lambda x, k: (lambda y: y ^ y >> 29)((x ^ x >> 31) * int(paragraphs.MIX[k]) % 2**64)
+    mixed = lambda x, k: (lambda y: y ^ y >> 29)((x ^ x >> 31) * int(words_.MIX[k]) % 2**64)
     rows = []
     for t, text in enumerate(texts):
         words = paragraphs.words_of(text)
-        m = [mixed(sum((b + 1) * pow(paragraphs.BASE, k, 2**64) for k, b in enumerate(w)) % 2**64, 0) for w in words]  # noqa: B023
-        g = [mixed((m[i] + m[i + 1] * int(paragraphs.MIX[1]) + m[i + 2] * int(paragraphs.MIX[2])) % 2**64, 3) for i in range(len(m) - 2)]
+        m = [mixed(sum((b + 1) * pow(words_.BASE, k, 2**64) for k, b in enumerate(w)) % 2**64, 0) for w in words]  # noqa: B023
+        g = [mixed((m[i] + m[i + 1] * int(words_.MIX[1]) + m[i + 2] * int(words_.MIX[2])) % 2**64, 3) for i in range(len(m) - 2)]
         cut = {min(range(i, i + 6), key=lambda j: (g[j] >> 32, j)) for i in range(len(g) - 5)}  # noqa: B023
         cut = sorted({p for p in cut if not p or g[p] != g[p - 1]} | {0}) if words else []
-        places = list(paragraphs.WORD.finditer(text))
+        places = list(words_.WORD.finditer(text))
         for a, b in zip(cut, [*cut[1:], len(words)][: len(cut)], strict=True):
             e = min(max(b, a + 8), len(words))
             rows.append((t, a, places[a].start(), places[b - 1].end(), b - a, text[places[a].start() : places[e - 1].end()].encode()))
