@@ -142,6 +142,18 @@ def likely_in(df: DataFrame, key: Column, members: DataFrame, member: Column) ->
     return rows.join(F.broadcast(bits), "_bucket").withColumn("_byte", byte).where(hit).select(*df.columns)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key and in ``weight`` how many rows have it.
+
+    Keys of over one in ``share`` of all rows, at most ``share`` of them, are joined by broadcast, so that no task
+    gets a hot key whole; the others by shuffle.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.where(F.col(weight) * share > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) * share <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 _HELD: dict = {}
 
 

@@ -2,17 +2,20 @@
 
 Arrivals (digest, length, identifier, locator; no text) go to a table in the shared folder that a
 streaming aggregation reads.  Its state lives in RocksDB under the checkpoint, never expires, and
-holds one row per digest: the digest, the row that stays and where its content is.  A later call
-on the same state folder goes on from there.
+holds one row per digest: the digest, the row that stays and the file and row where its content is.  On a hit the full
+bytes are compared: those of the new rows with each other and with what stands at the locator.  A later call on the same
+state folder goes on from there.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, likely_in
+from .common import column, exists, fresh_path, join_hot, likely_in, staged, unused
 
 #: Characters that do not count: U+0020 and U+0009 to U+000D.
 BLANK = " \t\n\x0b\x0c\r"
@@ -26,47 +29,80 @@ STATE = {
 
 def normalised(text: str = "text") -> Column:
     """The text without white space; null counts as empty."""
-    return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), BLANK, "")
+    return F.translate(F.coalesce(column(text).cast("string"), F.lit("")), BLANK, "")
 
 
 def sha256_of(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
+def located(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` can tell the file and the row that it comes from."""
+    if "_metadata" in docs.columns:
+        return False
+    try:
+        docs.select(FILE, POS)
+    except AnalysisException:
+        return False
+    return True
+
+
+FILE, POS = "_metadata.file_path", "_metadata.row_index"
+BEST = "points int, last bigint, b int, p bigint, file string, col string"
+
+
 class StreamingExactDedup:
     """Keeps, of equal texts, the row with the most code points and then the smallest id.
 
     ``add(docs)`` takes a batch of rows and returns one row for each: ``id, keep_id, group_size,
-    kept, digest``; earlier batches count towards groups.  A null id loses against any other; of
-    fully equal rows with the same id one stays.  An empty table gives no rows.  Other columns of
-    ``docs`` are not read.
+    kept, digest``; earlier batches count towards groups.  A null text is an empty one; texts of any length are read
+    whole.  A null id loses against any other; of fully equal rows with the same id the first of its file stays.  An empty table
+    gives no rows.  Other columns of ``docs`` are not read.  Rows that don't come from Parquet files are
+    written to the state folder first, so that their content can be found again; files have to stay as long as the state is used.
     """
 
     def __init__(self, spark, state: str | None = None, digest=sha256_of):
         self.spark, self.digest = spark, digest
         self.root = state or fresh_path(spark, "exact")
         self.batch = 0
+        if exists(spark, f"{self.root}/arrivals"):
+            self.batch = (spark.read.parquet(f"{self.root}/arrivals").agg(F.max("batch")).first()[0] or 0) + 1
 
     def _arrive(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        if not located(docs):
+            path = f"{self.root}/content/batch={self.batch}"
+            docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text")).write.mode("overwrite").parquet(path)
+            docs, id_col, text_col = self.spark.read.schema("id long, text string").parquet(path), "id", "text"
         rows = docs.select(
             self.digest(normalised(text_col)).alias("digest"),
-            F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).alias("points"),
-            F.col(id_col).cast("long").alias("id"),
-            F.input_file_name().alias("file"),
-            F.monotonically_increasing_id().alias("row"),
+            F.coalesce(F.length(column(text_col).cast("string")), F.lit(0)).alias("points"),
+            column(id_col).cast("long").alias("id"),
+            F.col(FILE).alias("file"),
+            F.col(POS).alias("pos"),
+            F.lit(text_col).alias("col"),
         ).withColumn("batch", F.lit(self.batch))
         path = f"{self.root}/arrivals"
         rows.write.mode("append").parquet(path)
+        self.source = docs, text_col
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _consume(self, schema) -> DataFrame:
-        """Run the stream over what has arrived since; the newest state row of each digest."""
+    def _newest(self) -> DataFrame | None:
+        """``digest, n`` and what stays of each digest so far."""
+        if not exists(self.spark, f"{self.root}/state-out"):
+            return None
+        changed = self.spark.read.schema(f"digest string, best struct<{BEST.replace(' ', ':').replace(',:', ',')}>, n bigint, epoch long").parquet(f"{self.root}/state-out/e=*")
+        newest = changed if self.batch == 0 else changed.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "epoch").alias("s")).select("digest", "s.best", "s.n")
+        keep = {"keep_id": F.bitwise_not("best.last"), "keep_batch": F.bitwise_not("best.b"), "keep_pos": F.bitwise_not("best.p"), "keep_file": F.col("best.file"), "keep_col": F.col("best.col")}
+        return newest.select("digest", "n", *[c.alias(name) for name, c in keep.items()])
+
+    def _consume(self, schema) -> None:
+        """Run the stream over what has arrived since the last call."""
         conf, old = self.spark.conf, {}
         for k, v in STATE.items():
             old[k] = conf.get(k, None)
             conf.set(k, v)
         try:
-            best = F.max(F.struct("points", F.bitwise_not("id").alias("last"), F.bitwise_not("batch").alias("b"), F.bitwise_not("row").alias("r"), "file"))
+            best = F.max(F.struct("points", F.bitwise_not("id").alias("last"), F.bitwise_not("batch").alias("b"), F.bitwise_not("pos").alias("p"), "file", "col"))
             state = self.spark.readStream.schema(schema).parquet(f"{self.root}/arrivals").groupBy("digest").agg(best.alias("best"), F.count("*").alias("n"))
             out = f"{self.root}/state-out"
 
@@ -77,54 +113,85 @@ class StreamingExactDedup:
         finally:
             for k, v in old.items():
                 conf.set(k, v) if v is not None else conf.unset(k)
-        changed = self.spark.read.schema("digest string, best struct<points int, last bigint, b int, r bigint, file string>, n bigint, epoch long").parquet(f"{out}/e=*")
-        newest = changed if self.batch == 0 else changed.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "epoch").alias("s")).select("digest", "s.best", "s.n")
-        return newest.select("digest", "n", F.bitwise_not("best.last").alias("keep_id"), F.bitwise_not("best.b").alias("keep_batch"), F.bitwise_not("best.r").alias("keep_row"), F.col("best.file").alias("keep_file"))
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return self.add_located(docs, id_col, text_col).select("id", "keep_id", "group_size", "kept", "digest")
+
+    def add_located(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """As ``add``, with the locators ``file, pos`` of the rows."""
+        before = self._newest()
         arrived = self._arrive(docs, id_col, text_col)
-        groups = self._consume(arrived.schema)
-        mine = arrived.where(F.col("batch") == self.batch).drop("file")
-        differing = self._differing(docs, groups, text_col)
+        mine = arrived.where(F.col("batch") == self.batch)
+        self._consume(arrived.schema)
+        groups = self._newest()
+        if groups is None:  # nothing has ever arrived
+            groups = mine.select("digest", F.lit(0).alias("n"), F.col("id").alias("keep_id"), F.col("batch").alias("keep_batch"), F.col("pos").alias("keep_pos"), F.col("file").alias("keep_file"), F.col("col").alias("keep_col"))
+        differing = self._differing(mine, groups, before)
+        own = mine.drop("col", "points")
+        if differing is not None:
+            own = own.join(differing, "digest", "left_anti")
+        kept = (F.col("pos") == F.col("keep_pos")) & (F.col("file") == F.col("keep_file")) & (F.col("batch") == F.col("keep_batch"))
+        rows = join_hot(own, groups.drop("keep_col"), "digest", "n").select("id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), "digest", "file", "pos")
+        if differing is not None:
+            rows = rows.unionByName(self._apart(arrived, differing))
         self.batch += 1
-        rows = mine.join(groups.drop("keep_file"), "digest").select(
-            "id", "keep_id", F.col("n").alias("group_size"), (F.col("row").eqNullSafe(F.col("keep_row")) & (F.col("batch") == F.col("keep_batch"))).alias("kept"), "digest"
-        )
-        if differing is None:
-            return rows
-        return self._apart(docs, rows, id_col, text_col)
+        return rows
 
-    def _differing(self, docs: DataFrame, groups: DataFrame, text_col: str) -> DataFrame | None:
-        """Compare the full bytes of all rows of every digest that was hit again: digests with different texts, or None.
+    def _content(self, places: DataFrame) -> DataFrame:
+        """``places`` (``file, pos, col`` and more) with the normalised text ``norm`` that stands there."""
+        out = None
+        files: dict[str, list[str]] = {}
+        for r in places.select("file", "col").distinct().collect():  # files, not rows
+            files.setdefault(r.col, []).append(unquote(r.file))
+        for name, paths in files.items():
+            text = self.spark.read.parquet(*paths).select(F.col(FILE).alias("file"), F.col(POS).alias("pos"), normalised(name).alias("norm"))
+            found = places.where(F.col("col") == name).join(text, ["file", "pos"])
+            out = found if out is None else out.unionByName(found)
+        return places.withColumn("norm", F.lit("")).limit(0) if out is None else out
+
+    def _differing(self, mine: DataFrame, groups: DataFrame, before: DataFrame | None) -> DataFrame | None:
+        """Compare the full bytes of all rows of every digest that was hit again, and of the row that its locator names: digests with different texts, or None.
 
         The least and the greatest text of a digest are found before the shuffle, task by task.
         """
-        full = docs.select(normalised(text_col).alias("norm")).withColumn("digest", self.digest(F.col("norm")))
-        hits = likely_in(full, F.col("digest"), groups.where("n > 1"), F.col("digest"))
-        texts = hits.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-        other = texts.where("least <> most").select("digest")
-        return None if other.isEmpty() else other
-
-    def _apart(self, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """Digests that stand for several texts: group those rows by the whole text instead."""
-        full = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"), F.coalesce(F.length(text_col), F.lit(0)).alias("points"), F.monotonically_increasing_id().alias("row"))
-        groups = full.groupBy("norm").agg(F.max(F.struct("points", F.bitwise_not("id").alias("l"), F.bitwise_not("row").alias("r"))).alias("best"), F.count("*").alias("group_size"))
-        return full.join(groups, "norm").select("id", F.bitwise_not("best.l").alias("keep_id"), "group_size", (F.col("row") == F.bitwise_not("best.r")).alias("kept"), self.digest(F.col("norm")).alias("digest"))
+        source, text_col = self.source
+        full = source.select(normalised(text_col).alias("norm")).withColumn("digest", self.digest(F.col("norm")))
+        texts = likely_in(full, F.col("digest"), groups.where("n > 1"), F.col("digest"))
+        known = None
+        if before is not None:
+            hit = before.join(mine.select("digest").distinct(), "digest", "left_semi")
+            hit = staged(hit.select("digest", F.col("keep_file").alias("file"), F.col("keep_pos").alias("pos"), F.col("keep_col").alias("col")), "exact-hits")
+            texts = texts.unionByName(self._content(hit).select("norm", "digest"))
+            if exists(self.spark, f"{self.root}/differing"):
+                known = self.spark.read.parquet(f"{self.root}/differing").join(mine.select("digest").distinct(), "digest", "left_semi")
+        other = texts.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).where("least <> most").select("digest")
+        if known is not None:
+            other = other.union(known).distinct()
+        if other.isEmpty():
+            return None
+        other = staged(other, "exact-differing")
+        other.write.mode("append").parquet(f"{self.root}/differing")
+        return other
+
+    def _apart(self, arrived: DataFrame, differing: DataFrame) -> DataFrame:
+        """The rows of digests that stand for several texts, over all batches: grouped by the whole text instead."""
+        full = self._content(staged(arrived.join(differing, "digest", "left_semi"), "exact-apart"))
+        best = F.max(F.struct("points", F.bitwise_not("id").alias("l"), F.bitwise_not("batch").alias("b"), F.bitwise_not("pos").alias("p"), "file"))
+        groups = full.groupBy("norm").agg(best.alias("best"), F.count("*").alias("group_size"))
+        kept = (F.col("pos") == F.bitwise_not("best.p")) & (F.col("file") == F.col("best.file")) & (F.col("batch") == F.bitwise_not("best.b"))
+        rows = full.where(F.col("batch") == self.batch).join(groups, "norm")
+        return rows.select("id", F.bitwise_not("best.l").alias("keep_id"), "group_size", kept.alias("kept"), "digest", "file", "pos")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One batch through a fresh state: ``id, keep_id, group_size, kept, digest`` for every row."""
+    """One batch through a fresh state: ``id, keep_id, group_size, kept, digest`` for every row; see ``StreamingExactDedup``."""
     return StreamingExactDedup(docs.sparkSession).add(docs, id_col, text_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; of rows equal in id and text one stays."""
-    found = exact_dedup(docs, id_col, text_col)
-    stay = found.where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
-    same = (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (sha256_of(normalised(text_col)) == F.col("_digest"))
-    rows = docs.join(stay, same, "left_semi")
-    if found.groupBy("id", "digest").count().where("count > 1").isEmpty():
-        return rows
-    # an id comes twice with the same normalised text: the longest of its rows, then any
-    own = W.partitionBy(F.col(id_col), sha256_of(normalised(text_col))).orderBy(F.length(text_col).desc_nulls_last())
-    return rows.withColumn("_nth", F.row_number().over(own)).where("_nth = 1").drop("_nth")
+    """The rows of ``docs`` that stay, with their own columns whatever their names; of rows equal in id and text one stays."""
+    if not located(docs):
+        docs = staged(docs, "exact-rows")
+    file, pos = unused(docs, "__kept_file"), unused(docs, "__kept_pos")
+    stay = StreamingExactDedup(docs.sparkSession).add_located(docs, id_col, text_col).where("kept").select(F.col("file").alias(file), F.col("pos").alias(pos))
+    return docs.join(stay, (F.col(FILE) == F.col(file)) & (F.col(POS) == F.col(pos)), "left_semi")

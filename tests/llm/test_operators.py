@@ -265,9 +265,20 @@ def test_exact_dedup_goes_on(spark):
     state.add(docs(spark, ["x", "y"], [3, 4])).collect()
     rows = state.add(docs(spark, ["x", "x  x", "z"], [1, 2, 9])).collect()
     assert {r.id: (r.keep_id, r.group_size) for r in rows} == {1: (1, 2), 2: (2, 1), 9: (9, 1)}
+    again = exact_dedup.StreamingExactDedup(spark, state.root).add(docs(spark, [" y ", "z"], [5, 10])).collect()
+    assert {r.id: (r.keep_id, r.group_size, r.kept) for r in again} == {5: (5, 2, True), 10: (9, 2, False)}
     same = exact_dedup.keep_one(docs(spark, ["q", "q", "r", "q "], [1, 1, None, 2])).collect()
     assert sorted(map(str, ((r.doc_id, r.text) for r in same))) == ["(2, 'q ')", "(None, 'r')"]
-    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0 and exact_dedup.keep_one(docs(spark, [])).count() == 0
+
+
+def test_exact_dedup_compares_bytes_with_earlier_batches(spark):
+    state = exact_dedup.StreamingExactDedup(spark, digest=lambda n: F.lit("the same for all"))
+    add = lambda texts, ids: {r.id: (r.keep_id, r.group_size, r.kept) for r in state.add(docs(spark, texts, ids)).collect()}
+    assert add(["alpha"], [1]) == {1: (1, 1, True)}
+    assert add(["beta"], [2]) == {2: (2, 1, True)}
+    assert add(["alpha", "beta ", "gamma"], [3, 4, 5]) == {3: (1, 2, False), 4: (4, 2, True), 5: (5, 1, True)}
+    assert add(["alpha"], [6]) == {6: (1, 3, False)}
 
 
 def test_substring_dedup(spark):
