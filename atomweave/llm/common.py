@@ -130,7 +130,8 @@ def likely_in(df: DataFrame, key: Column, members: DataFrame, member: Column) ->
     """The rows of ``df`` whose key may be among the members' keys; all that are, and few others.
 
     A bitmap of hashed keys is broadcast, whose size is bounded by ``FILTER_BITS``; with far more members than
-    bits it lets everything pass.  It only saves shuffling: a join on the key itself has to follow.
+    bits it lets everything pass.  It only saves shuffling: a join on the key itself has to follow (an inner one with distinct
+    keys: a semi-join would be pushed below the filter).
     """
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS)) + 1
     m = members.select(slot(member).alias("_x"))

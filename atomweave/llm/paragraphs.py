@@ -228,7 +228,7 @@ def similar_classes(classes: DataFrame, table: DataFrame, bands: list[str], simi
     """``k1, k2, component`` of distinct paragraphs that are joined with others."""
     dealt = classes.select(F.explode(F.array(*bands)).alias("b"), *KEY).where("b is not null")
     shared = staged(dealt.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b"), "bands-shared")
-    met = staged(likely_in(dealt, F.col("b"), shared, F.col("b")).join(shared, "b", "left_semi"), "bands-met")
+    met = staged(likely_in(dealt, F.col("b"), shared, F.col("b")).join(shared, "b"), "bands-met")
     needed = met.select(*KEY).distinct()
     texts = likely_in(table.select(*KEY, "sh"), F.col("k1"), needed, F.col("k1")).groupBy(*KEY).agg(F.min("sh").alias("sh"))
     links = staged(_bucket_links(staged(met.join(texts, KEY), "bands-members"), similarity), "paragraph-links")
@@ -303,7 +303,7 @@ def extended(stretches: DataFrame, table: DataFrame) -> DataFrame:
     spot = F.array(F.struct((F.col("pos") + F.col("words")).alias("at"), F.lit(True).alias("left")), F.struct(F.col("pos").alias("at"), F.lit(False).alias("left")))
     rows = table.select("id", "h", F.explode(spot).alias("x"), "words", "start", (F.col("stop") - F.col("start")).alias("points"), "sh").select("id", "h", "x.at", "x.left", "words", "start", "points", "sh")
     place = F.xxhash64("id", "h", "at", "left")
-    near = staged(likely_in(rows, place, asked, place).join(asked, ["id", "h", "at", "left"], "left_semi").dropDuplicates(["id", "h", "at", "left"]), "ends-found")
+    near = staged(likely_in(rows, place, asked, place).join(asked, ["id", "h", "at", "left"]).dropDuplicates(["id", "h", "at", "left"]), "ends-found")
     out = s
     for name, left, (i, h, at) in (("l_own", True, ("id", "h", "pos")), ("l_other", True, ("l_id", "l_h", "l_at")), ("r_own", False, ("id", "h", "end")), ("r_other", False, ("r_id", "r_h", "r_at"))):
         own = near.where(F.col("left") == left).select(F.col("id").alias(f"{name}_i"), F.col("h").alias(f"{name}_h"), F.col("at").alias(f"{name}_at"), F.col("sh").alias(name), F.col("words").alias(f"{name}_words"), F.col("start").alias(f"{name}_start"), F.col("points").alias(f"{name}_points"))

@@ -271,7 +271,7 @@ def table_pairs(classes: DataFrame, limit: int) -> DataFrame:
         return staged(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("k", "n"), name)
 
     often = staged(dealt.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "near-often")
-    met = staged(likely_in(dealt, F.col("k"), often, F.col("k")).join(often, "k", "left_semi"), "near-met")
+    met = staged(likely_in(dealt, F.col("k"), often, F.col("k")).join(often, "k"), "near-met")
     sizes = mixed_sizes(met, "near-sizes")
     out = met.join(sizes.where(F.col("n") <= LARGE), "k", "left_semi").select("k", *member)
     large = sizes.where(F.col("n") > LARGE)
