@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, squared
+from .staging import staged
 
 #: With so few cells per axis a cell list prunes nothing: frames are joined whole.
 FEW = 4
@@ -30,6 +31,8 @@ def pairs_within(ref: DataFrame, obs: DataFrame, r, box, keys=("traj", "frame"),
         raise ValueError("a periodic box needs positive lengths")
     keys = list(keys)
     p, q = sided(ref, a, keys), sided(obs, b, keys)
+    point = [f"{a}{c}" for c in ("atom", *AXES) if c in ref.columns]
+    p = p.repartition(max(2, int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, *point)  # pairs are made where the points of ref are
     m = [max(1, int(length // r)) for length in box]
     if max(m) >= FEW:
         cell = lambda s, k: F.least(F.floor(F.col(f"{s}{AXES[k]}") * m[k] / box[k]), F.lit(m[k] - 1)).cast("int")
@@ -46,7 +49,7 @@ def nearest(ref: DataFrame, obs: DataFrame, k: int, box, radius, apart=None, key
     """The k nearest points of ``obs`` for every point of ``ref``: pairs with ``d2`` and ``rank`` from 1; ties go to the smaller atom.
 
     Points that find k within ``radius`` are done; the others look within twice that, then in the
-    whole box.  ``apart`` is a condition on the pair (default: different atoms).  Points with fewer than k partners get what there is.
+    whole box.  Each step's finds and what is left are written once.  ``apart`` is a condition on the pair (default: different atoms).  Points with fewer than k partners get what there is.
     """
     keys = list(keys)
     apart = F.col(f"{a}atom") != F.col(f"{b}atom") if apart is None else apart
@@ -57,8 +60,11 @@ def nearest(ref: DataFrame, obs: DataFrame, k: int, box, radius, apart=None, key
     for r in [x for x in (radius, 2 * radius) if x < far] + [far]:
         found = pairs_within(left, obs, r, box, keys, a, b).where(apart).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if r < far:
+            found = staged(found, "nearest")
             full = found.where(F.col("rank") == k).select(*own)
-            left = left.join(full.select(*keys, F.col(f"{a}atom").alias("atom")), [*keys, "atom"], "left_anti").select(*ref.columns)
+            left = staged(left.join(full.select(*keys, F.col(f"{a}atom").alias("atom")), [*keys, "atom"], "left_anti").select(*ref.columns), "nearest-left")
             found = found.join(full, own, "left_semi")
         out = found if out is None else out.unionByName(found)
+        if r < far and left.isEmpty():
+            break
     return out

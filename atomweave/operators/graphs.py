@@ -4,34 +4,48 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .topology import FRAME, least_that_reaches, paired
+from .staging import staged
+from .topology import FRAME
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``traj, frame, atom, comp`` of undirected edges ``src, dst``; ``comp`` is the smallest atom of the component."""
+    """``traj, frame, atom, comp`` of undirected edges ``src, dst``; ``comp`` is the smallest atom of the component.
 
-    def run(key, a: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = a["atom"].to_numpy(np.int64)
-        s, d = e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64)
-        return pd.DataFrame({"traj": key[0], "frame": key[1], "atom": n, "comp": least_that_reaches(n, np.concatenate([s, d]), np.concatenate([d, s]))})
-
-    return paired(nodes.select(*FRAME, "atom"), edges.select(*FRAME, "src", "dst")).applyInPandas(run, "traj string, frame long, atom long, comp long")
+    Within frames, large-star and small-star steps alternate until the links no longer change; both are aggregations and
+    joins, so that no frame has to fit a worker.
+    """
+    e = edges.where("src <> dst").select(*FRAME, F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
+    e, seen = staged(e, "star"), None
+    while True:
+        both = e.toDF(*FRAME, "u", "v").union(e.select(*FRAME, "lo", "hi"))
+        least = both.groupBy(*FRAME, "u").agg(F.min("v").alias("m")).select(*FRAME, "u", F.least("u", "m").alias("m"))
+        large = staged(both.where("v > u").join(least, [*FRAME, "u"]).select(*FRAME, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        own = large.groupBy(*FRAME, "u").agg(F.min("v").alias("m"))
+        small = large.join(own, [*FRAME, "u"]).where("v <> m").select(*FRAME, F.col("v").alias("hi"), F.col("m").alias("lo"))
+        e = staged(small.union(own.toDF(*FRAME, "hi", "lo")).distinct(), "small-star")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*FRAME, "hi", "lo").cast("decimal(38,0)"))).first())
+        if now == seen or not now[0]:
+            break
+        seen = now
+    own = nodes.select(*FRAME, "atom")
+    return own.join(e.toDF(*FRAME, "atom", "comp"), [*FRAME, "atom"], "left").withColumn("comp", F.coalesce("comp", "atom"))
 
 
 def reach_levels(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """Nodes first reached at each distance below ``depth``: ``traj, frame, seed, node, level``, breadth first by joins."""
-    step = edges.select(*FRAME, F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    """Nodes first reached at each distance below ``depth``: ``traj, frame, seed, node, level``, breadth first by joins.
+
+    The edges and every level are written once, so that a level is planned from the one before only.
+    """
+    step = staged(edges.select(*FRAME, F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "reach-steps")
     front = starts.select(*FRAME, F.col("node").alias("seed"), "node").distinct().withColumn("level", F.lit(0))
-    seen = front
+    seen = front = staged(front, "reach-level")
     for level in range(1, depth):
         ahead = front.join(step, [*FRAME, "node"]).select(*FRAME, "seed", F.col("next").alias("node")).distinct()
-        front = ahead.join(seen.select(*FRAME, "seed", "node"), [*FRAME, "seed", "node"], "left_anti").withColumn("level", F.lit(level))
+        front = staged(ahead.join(seen.select(*FRAME, "seed", "node"), [*FRAME, "seed", "node"], "left_anti").withColumn("level", F.lit(level)), "reach-level")
         seen = seen.union(front)
     return seen
 
@@ -58,12 +72,14 @@ def clusters(nodes: DataFrame, edges: DataFrame, group: str = "label") -> DataFr
     return n.groupBy(*FRAME, "comp").agg(text.alias("composition"), F.sum("n").alias("size"), F.md5(ids.cast("binary")).alias("instance"))
 
 
-def occurrences(cluster: DataFrame, frames: int) -> DataFrame:
-    """``composition, occurrences, mean, std`` per frame, frames without the composition counting 0."""
-    per = cluster.groupBy(*FRAME, "composition").agg(F.count("*").alias("n"))
-    total, squares = F.sum("n"), F.sum(F.col("n") * F.col("n"))
-    var = (squares - total * total / frames) / (frames - 1) if frames > 1 else F.lit(0.0)
-    return per.groupBy("composition").agg(total.alias("occurrences"), (total / frames).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+def occurrences(cluster: DataFrame, frames, by=("composition",)) -> DataFrame:
+    """``*by, occurrences, mean, std`` per frame, frames without the kind counting 0; ``frames`` is their number, or a one-row table of it."""
+    per = cluster.groupBy(*FRAME, *by).agg(F.count("*").alias("n"))
+    sums = per.groupBy(*by).agg(F.sum("n").alias("occurrences"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    sums = sums.withColumn("frames", F.lit(frames)) if isinstance(frames, int) else sums.crossJoin(F.broadcast(frames))  # one row
+    total, t = F.col("occurrences"), F.col("frames")
+    var = F.when(t > 1, (F.col("squares") - total * total / t) / F.nullif(t - 1, F.lit(0))).otherwise(0.0)
+    return sums.select(*by, "occurrences", (total / t).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
 
 
 def _stats(share: Column, frames: Column) -> tuple[Column, Column]:
@@ -72,17 +88,18 @@ def _stats(share: Column, frames: Column) -> tuple[Column, Column]:
     return mean, F.coalesce(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0))
 
 
-def populations(members: DataFrame, by: str = "composition") -> DataFrame:
-    """Share of each group's atoms that lie in clusters of a kind: ``by, grp, mean, std`` over frames that have the group.
+def populations(members: DataFrame, by="composition") -> DataFrame:
+    """Share of each group's atoms that lie in clusters of a kind: ``*by, grp, mean, std`` over frames that have the group.
 
     ``members`` has a row per atom: ``traj, frame, grp`` and the kind of its cluster.
     """
-    n = members.groupBy(*FRAME, "grp", by).agg(F.count("*").alias("n"))
+    by = [by] if isinstance(by, str) else list(by)
+    n = members.groupBy(*FRAME, "grp", *by).agg(F.count("*").alias("n"))
     share = n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(*FRAME, "grp")))
     frames = members.groupBy("grp").agg(F.count_distinct(*FRAME).alias("frames"))
     rows = share.join(frames, "grp")
     mean, std = _stats(F.col("share"), F.first("frames"))
-    return rows.groupBy(by, "grp").agg(mean.alias("mean"), std.alias("std"))
+    return rows.groupBy(*by, "grp").agg(mean.alias("mean"), std.alias("std"))
 
 
 def cutoff_edges(pairs: DataFrame, cutoffs: dict[tuple[str, str], float], group: str = "label") -> DataFrame:

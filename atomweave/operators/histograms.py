@@ -51,11 +51,12 @@ def linear(df: DataFrame, value: str, bins: Bins, by=()) -> DataFrame:
     a width below the lowest edge leaks into the first bin.
     """
     v = F.col(value).cast("double")
-    u = bins.place(v)
-    lo = F.floor(u)
-    parts = F.array(F.struct(lo.cast("int").alias("bin"), (F.lit(1.0) - (u - lo)).alias("w")), F.struct((lo + 1).cast("int").alias("bin"), (u - lo).alias("w")))
-    rows = df.where(v.isNotNull() & ~F.isnan(v) & (u > -1) & (u < bins.n)).select(*by, F.explode(parts).alias("p")).select(*by, "p.bin", "p.w")
-    return rows.where((F.col("bin") >= 0) & (F.col("bin") < bins.n)).groupBy(*by, "bin").agg(F.sum("w").alias("weight"))
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, bins.place(v).alias("_u")).where((F.col("_u") > -1) & (F.col("_u") < bins.n))
+    lo = F.floor("_u").cast("int")
+    sums = rows.groupBy(*by, lo.alias("_lo")).agg(F.sum(F.lit(1.0) - (F.col("_u") - F.floor("_u"))).alias("_own"), F.sum(F.col("_u") - F.floor("_u")).alias("_next"))  # a row per bin
+    parts = F.array(F.struct(F.col("_lo").alias("bin"), F.col("_own").alias("w")), F.struct((F.col("_lo") + 1).alias("bin"), F.col("_next").alias("w")))
+    out = sums.select(*by, F.explode(parts).alias("p")).select(*by, "p.bin", "p.w")
+    return out.where((F.col("bin") >= 0) & (F.col("bin") < bins.n)).groupBy(*by, "bin").agg(F.sum("w").alias("weight"))
 
 
 def simple2(df: DataFrame, first: str, second: str, one: Bins, two: Bins) -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import AXES
 from ..sources import elements as el
 from .cells import pairs_within
+from .staging import staged
 
 FRAME = ["traj", "frame"]
 
@@ -26,9 +26,9 @@ def candidate_edges(atoms: DataFrame, box, unit: float = 1.0, excluded: Iterable
     known = el.elements(atoms.sparkSession).select("sym", "r_vdw", "r_cov")  # some 120 rows
     rows = atoms.where(~F.col("sym").isin(list(excluded))).select(*FRAME, "atom", "sym", *AXES).join(F.broadcast(known), "sym", "left")
     rows = rows.withColumns({"r_vdw": F.coalesce("r_vdw", F.lit(0.0)), "r_cov": F.coalesce("r_cov", F.lit(0.0))})
-    widest = max(v for _, _, v, _, _ in el.rows() if v) * search * unit
-    symbols = [r.sym for r in atoms.select("sym").distinct().limit(200).collect()]  # elements, not atoms
-    widest = max([r[2] for r in el.rows() if r[0] in symbols and r[2]], default=widest / search / unit) * search * unit
+    widest = float(rows.agg(F.max("r_vdw")).first()[0] or 0.0) * search * unit  # one number: the radius that cells need
+    if widest <= 0:
+        widest = unit
     near = pairs_within(rows, rows, int(widest) + 1 if unit > 1 else widest, box, FRAME)
     d2 = F.col("d2").cast("double")
     reach, length = F.col("a_r_vdw") * search * unit, (F.col("a_r_cov") + F.col("b_r_cov")) * bond * unit
@@ -40,42 +40,26 @@ def candidate_edges(atoms: DataFrame, box, unit: float = 1.0, excluded: Iterable
     return out
 
 
-def least_that_reaches(nodes: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """For every node the smallest node with a directed path to it."""
-    order = np.argsort(nodes)
-    place = {n: i for i, n in enumerate(nodes[order].tolist())}
-    ahead: list[list[int]] = [[] for _ in nodes]
-    for a, b in zip(src.tolist(), dst.tolist(), strict=True):
-        ahead[place[a]].append(place[b])
-    seed = np.full(len(nodes), -1)
-    for s in range(len(nodes)):
-        if seed[s] < 0:
-            seed[s], todo = s, [s]
-            while todo:
-                for v in ahead[todo.pop()]:
-                    if seed[v] < 0:
-                        seed[v] = s
-                        todo.append(v)
-    out = np.empty(len(nodes), np.int64)
-    out[order] = nodes[order][seed]
-    return out
-
-
-def paired(nodes: DataFrame, edges: DataFrame):
-    """Nodes and edges of each frame side by side; the edges' columns get names of their own first, as both may come from one table."""
-    own = edges.toDF(*[f"_{c}" for c in edges.columns]).toDF(*edges.columns)
-    own = own.select(*[F.col(c).alias(c) for c in own.columns])
-    return nodes.groupBy(*FRAME).cogroup(own.groupBy(*FRAME))
+#: Steps of propagation that are planned together before their result is written.
+STEPS = 4
 
 
 def seeds(atoms: DataFrame, edges: DataFrame) -> DataFrame:
-    """``traj, frame, atom, seed``: the smallest atom that reaches each; a frame is worked on as a whole."""
-
-    def run(key, a: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        nodes = a["atom"].to_numpy(np.int64)
-        return pd.DataFrame({"traj": key[0], "frame": key[1], "atom": nodes, "seed": least_that_reaches(nodes, e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64))})
+    """``traj, frame, atom, seed``: the smallest atom that reaches each along directed edges.
 
-    return paired(atoms.select(*FRAME, "atom"), edges.select(*FRAME, "src", "dst")).applyInPandas(run, "traj string, frame long, atom long, seed long")
+    The least number spreads along the edges until nothing changes, a few joins at a time, so that no frame has to fit a worker;
+    a molecule takes as many steps as its longest path from the seed.
+    """
+    own = atoms.select(*FRAME, F.col("atom").alias("src"), F.col("atom").alias("dst"))
+    e = staged(edges.select(*FRAME, "src", "dst").unionByName(own).distinct(), "reach-edges")
+    now, total = atoms.select(*FRAME, "atom", F.col("atom").alias("seed")), None
+    while True:
+        for _ in range(STEPS):
+            now = e.join(now.withColumnRenamed("atom", "src"), [*FRAME, "src"]).groupBy(*FRAME, F.col("dst").alias("atom")).agg(F.min("seed").alias("seed"))
+        now = staged(now, "reach")
+        before, total = total, now.agg(F.sum(F.col("seed").cast("decimal(38,0)"))).first()[0]
+        if total == before:  # seeds only fall
+            return now
 
 
 def molecules(atoms: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,10 +100,15 @@ def graph_hashes(mols: DataFrame, bond: DataFrame, rounds: int = 3, element: boo
     return now.groupBy(*FRAME, "mol").agg(F.md5(F.array_join(F.array_sort(F.collect_list("lab")), ",").cast("binary")).alias("hash"))
 
 
+def classified(mols: DataFrame, bond: DataFrame) -> DataFrame:
+    """``traj, frame, mol, formula, n_atoms, types, hash`` of every molecule."""
+    every = formulas(mols).join(bond_types(bond), [*FRAME, "mol"], "left").join(graph_hashes(mols, bond), [*FRAME, "mol"])
+    return every.withColumn("types", F.coalesce("types", F.lit("")))
+
+
 def compounds(mols: DataFrame, bond: DataFrame) -> DataFrame:
     """``traj, frame, comp, formula, types, hash, n_members``, numbered from 0 in order of formula, bond types and hash."""
-    every = formulas(mols).join(bond_types(bond), [*FRAME, "mol"], "left").join(graph_hashes(mols, bond), [*FRAME, "mol"])
-    kinds = every.groupBy(*FRAME, "formula", F.coalesce("types", F.lit("")).alias("types"), "hash").agg(F.count("*").alias("n_members"))
+    kinds = classified(mols, bond).groupBy(*FRAME, "formula", "types", "hash").agg(F.count("*").alias("n_members"))
     return kinds.withColumn("comp", (F.row_number().over(W.partitionBy(*FRAME).orderBy("formula", "types", "hash")) - 1).cast("int"))
 
 
@@ -129,39 +118,50 @@ def bond_lengths(bond: DataFrame) -> DataFrame:
     return bond.groupBy(pair.alias("pair")).agg(F.sqrt(F.avg("d2")).alias("length"), F.count("*").alias("n"))
 
 
-def connectivity_labels(mols: DataFrame, bond: DataFrame) -> DataFrame:
-    """``traj, frame, mol, atom, label``: element plus rank in falling extended connectivity, ties by the smaller atom.
+NUMBER = {s: z for s, *_, z in el.rows() if z}
+
+
+def extended_connectivity(syms: list[str], near: list[list[int]]) -> list[str]:
+    """Labels of a molecule's atoms: element plus rank in falling extended connectivity, ties by the earlier atom.
 
     Connectivity begins at 10 Z + degree and becomes 5 times itself plus the neighbours' until all differ or
     the number of different values no longer changes.
     """
-    number = {s: z for s, *_, z in el.rows() if z}
-
-    def run(key, a: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values(["mol", "atom"])
-        place = {x: i for i, x in enumerate(a["atom"])}
-        near: list[list[int]] = [[] for _ in place]
-        for x, y in zip(e["a"], e["b"], strict=True):
-            near[place[x]].append(place[y])
-            near[place[y]].append(place[x])
-        labels = [""] * len(a)
-        syms = a["sym"].tolist()
-        for _, own in pd.Series(range(len(a))).groupby(a["mol"].to_numpy()):
-            own = own.tolist()
-            ec = {i: 10 * number[syms[i]] + len(near[i]) for i in own}
-            kinds = len(set(ec.values()))
-            while kinds < len(own):
-                ec = {i: 5 * ec[i] + sum(ec[j] for j in near[i]) for i in own}
-                before, kinds = kinds, len(set(ec.values()))
-                if kinds == before:
-                    break
-            rank: dict[str, int] = {}
-            for i in sorted(own, key=lambda i: -ec[i]):  # noqa: B023
-                rank[syms[i]] = rank.get(syms[i], 0) + 1
-                labels[i] = f"{syms[i]}{rank[syms[i]]}"
-        return pd.DataFrame({"traj": key[0], "frame": key[1], "mol": a["mol"], "atom": a["atom"], "label": labels})
-
-    return paired(mols.select(*FRAME, "mol", "atom", "sym"), bond.select(*FRAME, "a", "b")).applyInPandas(run, "traj string, frame long, mol long, atom long, label string")
+    ec = [10 * NUMBER.get(s, 0) + len(n) for s, n in zip(syms, near, strict=True)]
+    kinds = len(set(ec))
+    while kinds < len(ec):
+        ec = [5 * x + sum(ec[j] for j in n) for x, n in zip(ec, near, strict=True)]
+        before, kinds = kinds, len(set(ec))
+        if kinds == before:
+            break
+    rank: dict[str, int] = {}
+    labels = [""] * len(ec)
+    for i in sorted(range(len(ec)), key=lambda i: -ec[i]):
+        rank[syms[i]] = rank.get(syms[i], 0) + 1
+        labels[i] = f"{syms[i]}{rank[syms[i]]}"
+    return labels
+
+
+def connectivity_labels(mols: DataFrame, bond: DataFrame) -> DataFrame:
+    """``traj, frame, mol, atom, label`` by ``extended_connectivity``, one molecule at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                place = {a["atom"]: i for i, a in enumerate(r.atoms)}
+                near: list[list[int]] = [[] for _ in place]
+                for e in r.bonds if r.bonds is not None else ():
+                    near[place[e["a"]]].append(place[e["b"]])
+                    near[place[e["b"]]].append(place[e["a"]])
+                labels = extended_connectivity([a["sym"] for a in r.atoms], near)
+                out += [(r.traj, r.frame, r.mol, a, x) for a, x in zip(place, labels, strict=True)]
+            yield pd.DataFrame(out, columns=["traj", "frame", "mol", "atom", "label"])
+
+    atoms = mols.groupBy(*FRAME, "mol").agg(F.sort_array(F.collect_list(F.struct("atom", "sym"))).alias("atoms"))
+    edges = bond.groupBy(*FRAME, "mol").agg(F.collect_list(F.struct("a", "b")).alias("bonds"))
+    rows = atoms.join(edges, [*FRAME, "mol"], "left").select(*FRAME, "mol", "atoms", "bonds")
+    return rows.mapInPandas(run, "traj string, frame long, mol long, atom long, label string")
 
 
 def centres_of_mass(atoms: DataFrame, box, unit: float = 1.0, mol: str = "mol") -> DataFrame:
