@@ -326,12 +326,22 @@ def _unbundle(argb: np.ndarray, width: int, height: int, table: np.ndarray) -> n
     return np.append(table, np.zeros(256, np.uint32))[index].ravel()
 
 
+def stream_of(data: bytes) -> bytes:
+    """The VP8L chunk of a file, in the plain or the extended container."""
+    if len(data) < 20 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    at = 12
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if name == b"VP8L":
+            return data[at + 8 : at + 8 + size]
+        at += 8 + size + (size & 1)
+    raise ValueError("not a lossless WebP file")
+
+
 def decode(data: bytes) -> np.ndarray:
     """The pixels of a lossless WebP file."""
-    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
-        raise ValueError("not a lossless WebP file")
-    size = struct.unpack("<I", data[16:20])[0]
-    bits = Bits(data[20 : 20 + size])
+    bits = Bits(stream_of(data))
     if bits.read(8) != SIGNATURE:
         raise ValueError("wrong signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from atomweave.llm import common, encoding, exact_dedup, language_id, media, packing, paragraphs, pieces, quality, simhash, token_counts, token_files, webp
+from atomweave.llm import common, encoding, exact_dedup, language_id, media, packing, paragraphs, pieces, quality, simhash, token_counts, token_files, webp, webp_text
 from atomweave.llm import words as words_
 from atomweave.llm.queries import tokenizer
 
@@ -81,6 +81,48 @@ def test_webp_round_trips():
         webp.decode(b"RIFF")
 
 
+def test_many_files_are_read_in_lockstep(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = lambda n: np.frombuffer((" ".join(rng.choice(["the", "quick", "brown", "fox", "Über", "über", "42", "-- "], n)) + " " * 192).encode()[: 192 * max(1, n // 40)], np.uint8)
+    pictures = [text(int(n)).reshape(-1, 48, 4) for n in rng.integers(40, 3000, 70)]
+    pictures += [rng.integers(0, 256, (5, 48, 4)).astype(np.uint8), np.full((30, 48, 4), 32, np.uint8), text(4000).reshape(-1, 48, 4)[:36].reshape(12, 144, 4)]
+    pictures += [np.tile(rng.integers(0, 256, (1, 7, 4)).astype(np.uint8), (400, 9, 1))]
+    files = webp_text.encode_many(pictures)
+    assert sum(map(len, files[:70])) < 0.7 * sum(x.size for x in pictures[:70])
+    for x, f in zip(pictures, files, strict=True):
+        assert (webp.decode(f) == x).all() and webp_text.encode_many([x]) == [f]
+    kinds = {webp_text._plain(webp.stream_of(f))[1].cache for f in files}
+    assert len(kinds) > 1
+    few = rng.integers(0, 3, (20, 33, 4)).astype(np.uint8)
+    others = [webp.encode(few, webp.Plan(references=True, cache_bits=3, group_block=3)), webp.encode(few, webp.Plan(references=True, cache_bits=5)), webp.encode(few, webp.Plan(steps=[(webp.SUBTRACT_GREEN, 0, 0)]))]
+    for fewest in (1, 8, 1000):
+        monkeypatch.setattr(webp_text, "FEWEST", fewest)
+        got = webp_text.decode_many(files + others)
+        assert all((a == b).all() for a, b in zip(got, [*pictures, few, few, few], strict=True))
+    for cut in (files[0][:-40], files[0][:60]):
+        with pytest.raises(ValueError):
+            webp_text.decode_many([cut])
+
+
+def test_webp_files_made_by_hand():
+    # 2 x 1 pixels, no transform, cache or groups; green, red, blue codes of one symbol each, alpha 255, distance 0:
+    # signature, sizes less one, alpha used, version, then per code: simple, one symbol, eight bits wide, the symbol
+    bits = [(0x2F, 8), (1, 14), (0, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)]
+    for symbol in (7, 200, 31, 255):
+        bits += [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+    bits += [(1, 1), (0, 1), (0, 1), (0, 1)]
+    n = at = 0
+    for v, size in bits:
+        n, at = n | v << at, at + size
+    stream = n.to_bytes((at + 7) // 8, "little")
+    chunk = lambda name, x: name + len(x).to_bytes(4, "little") + x + bytes(len(x) & 1)
+    plain = b"WEBP" + chunk(b"VP8L", stream)
+    extended = b"WEBP" + chunk(b"VP8X", bytes([16, 0, 0, 0, 1, 0, 0, 0, 0, 0])) + chunk(b"EXIF", b"abc") + chunk(b"VP8L", stream)
+    for body in (plain, extended):
+        data = b"RIFF" + len(body).to_bytes(4, "little") + body
+        assert webp.decode(data).tolist() == [[[200, 7, 31, 255]] * 2] and webp_text.decode_many([data])[0].tolist() == [[[200, 7, 31, 255]] * 2]
+
+
 def test_media(spark):
     for r in media.text_media(docs(spark, ALL, range(len(ALL))), keep_media=True).collect():
         data = (ALL[r.doc_id] or "").encode()
