@@ -60,12 +60,12 @@ def percolation(starts: DataFrame, edges: DataFrame, depth: int = 5) -> DataFram
     return spine.join(n, "level", "left").join(F.broadcast(total)).select((F.col("level") + 1).alias("depth"), mean.alias("mean"))
 
 
-def clusters(nodes: DataFrame, edges: DataFrame, group: str = "label") -> DataFrame:
+def clusters(nodes: DataFrame, edges: DataFrame, group: str = "label", comp: DataFrame | None = None) -> DataFrame:
     """One row per cluster and frame: ``traj, frame, comp, composition, size, instance``.
 
     The composition counts the members of each group, groups in order of their names; the instance is a digest of the members.
     """
-    named = nodes.select(*FRAME, "atom", F.col(group).alias("grp")).join(components(nodes, edges), [*FRAME, "atom"])
+    named = nodes.select(*FRAME, "atom", F.col(group).alias("grp")).join(components(nodes, edges) if comp is None else comp, [*FRAME, "atom"])
     n = named.groupBy(*FRAME, "comp", "grp").agg(F.count("*").alias("n"), F.collect_list("atom").alias("atoms"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "n"))), lambda s: F.concat_ws("-", s.grp, s.n.cast("string"))), "_")
     ids = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("atoms"))), lambda a: a.cast("string")), ",")

@@ -92,7 +92,7 @@ def bond_types(bond: DataFrame) -> DataFrame:
 def graph_hashes(mols: DataFrame, bond: DataFrame, rounds: int = 3, element: bool = True) -> DataFrame:
     """``traj, frame, mol, hash``: refinement of atom labels by those of the neighbours, then one digest per molecule."""
     both = bond.select(*FRAME, F.col("a").alias("atom"), F.col("b").alias("nbr")).union(bond.select(*FRAME, "b", "a"))
-    start = F.col("sym") if element else F.lit("")
+    start = F.col("sym") if element else F.lit("")  # then the first round tells atoms apart by their degree
     now = mols.select(*FRAME, "mol", "atom", start.alias("lab"))
     for _ in range(rounds):
         near = both.join(now.select(*FRAME, F.col("atom").alias("nbr"), F.col("lab").alias("nl")), [*FRAME, "nbr"]).groupBy(*FRAME, "atom").agg(F.array_join(F.array_sort(F.collect_list("nl")), ",").alias("ns"))

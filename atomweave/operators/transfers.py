@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict, deque
+from itertools import islice, takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, nearest_image
+from ..functions.geometry import AXES, first_label, nearest_image
 from .cells import nearest, pairs_within
+from .staging import staged
 from .topology import FRAME
 
 
-def assign_within(protons: DataFrame, acceptors: DataFrame, r, box) -> DataFrame:
-    """``traj, frame, proton, acceptor, acceptor_mol, d2``: the nearest acceptor within r; protons without one are absent."""
+def assign_within(protons: DataFrame, acceptors: DataFrame, r, box, cutoffs: dict[str, float] | None = None) -> DataFrame:
+    """``traj, frame, proton, acceptor, acceptor_mol, d2``: the nearest acceptor within r; protons without one are absent.
+
+    ``cutoffs`` gives label patterns of acceptors radii of their own, the first that fits; the others keep r.
+    """
     best = F.min(F.struct("d2", F.col("b_atom").alias("acceptor"), F.col("b_mol").alias("acceptor_mol")))
-    return pairs_within(protons, acceptors, r, box).groupBy(*FRAME, F.col("a_atom").alias("proton")).agg(best.alias("m")).select(*FRAME, "proton", "m.acceptor", "m.acceptor_mol", "m.d2")
+    near = pairs_within(protons, acceptors, max([r, *(cutoffs or {}).values()]), box)
+    if cutoffs:
+        own = first_label(F.col("b_label"), cutoffs, r)
+        near = near.where(F.col("d2") <= own * own)
+    return near.groupBy(*FRAME, F.col("a_atom").alias("proton")).agg(best.alias("m")).select(*FRAME, "proton", "m.acceptor", "m.acceptor_mol", "m.d2")
 
 
-def assign_always(protons: DataFrame, acceptors: DataFrame, r, box) -> DataFrame:
+def assign_always(protons: DataFrame, acceptors: DataFrame, r, box, cutoffs: dict[str, float] | None = None) -> DataFrame:
     """As ``assign_within``, and where no acceptor is within r, the nearest of all."""
-    near = assign_within(protons, acceptors, r, box)
+    near = staged(assign_within(protons, acceptors, r, box, cutoffs), "assigned")
     left = protons.join(near.select(*FRAME, F.col("proton").alias("atom")), [*FRAME, "atom"], "left_anti").select(*protons.columns)
     far = nearest(left, acceptors, 1, box, 2 * r).select(*FRAME, F.col("a_atom").alias("proton"), F.col("b_atom").alias("acceptor"), F.col("b_mol").alias("acceptor_mol"), "d2")
     return near.unionByName(far)
@@ -75,7 +85,8 @@ def chains(events: DataFrame, gap: int = 100, longest: int = 20) -> DataFrame:
         for f, d, a in rows:
             seen, now, at, n = {d, a}, a, f, 1
             while n < longest:
-                step = next(((g, x) for g, x in given[now] if at < g <= at + gap and x not in seen), None)
+                later = islice(given[now], bisect_right(given[now], at, key=lambda e: e[0]), None)
+                step = next(((g, x) for g, x in takewhile(lambda e: e[0] <= at + gap, later) if x not in seen), None)  # noqa: B023
                 if step is None:
                     break
                 at, now = step

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import elements as el
@@ -58,6 +59,11 @@ def cell(i: int, x: np.ndarray, radius: np.ndarray, box) -> tuple[np.ndarray, li
     return poly, owner
 
 
+def _sides(poly: np.ndarray) -> list[float]:
+    """Lengths of the edges, each behind the neighbour at the same place."""
+    return np.sqrt(((np.roll(poly, -1, 0) - poly) ** 2).sum(1)).tolist() if len(poly) >= 3 else []
+
+
 def area_and_rim(poly: np.ndarray) -> tuple[float, float]:
     if len(poly) < 3:
         return 0.0, 0.0
@@ -66,7 +72,7 @@ def area_and_rim(poly: np.ndarray) -> tuple[float, float]:
 
 
 def voronoi_cells(atoms: DataFrame, box, low: float, high: float, least: float = 0.8, unit: float = 1.0) -> DataFrame:
-    """``traj, frame, atom, sym, mol, area, perimeter, neighbours`` of the atoms with z from low to high.
+    """``traj, frame, atom, sym, mol, area, perimeter, neighbours, sides`` of the atoms with z from low to high.
 
     Cells are power cells in the plane with van der Waals radii; atoms closer than ``least`` are thinned first.
     """
@@ -84,11 +90,11 @@ def voronoi_cells(atoms: DataFrame, box, low: float, high: float, least: float =
             poly, owner = cell(i, x, r, plane)
             area, rim = area_and_rim(poly)
             atoms_ = pdf["atom"].tolist()
-            rows.append((key[0], key[1], atoms_[i], pdf["sym"][i], pdf["mol"][i], area, rim, sorted({atoms_[j] for j in owner if j != i})))
-        return pd.DataFrame(rows, columns=["traj", "frame", "atom", "sym", "mol", "area", "perimeter", "neighbours"])
+            rows.append((key[0], key[1], atoms_[i], pdf["sym"][i], pdf["mol"][i], area, rim, [atoms_[j] for j in owner], _sides(poly)))
+        return pd.DataFrame(rows, columns=["traj", "frame", "atom", "sym", "mol", "area", "perimeter", "neighbours", "sides"])
 
     slab = atoms.where(F.col("z").between(low, high)).select(*FRAME, "atom", "sym", "mol", "x", "y")
-    return slab.groupBy(*FRAME).applyInPandas(run, "traj string, frame long, atom long, sym string, mol long, area double, perimeter double, neighbours array<long>")
+    return slab.groupBy(*FRAME).applyInPandas(run, "traj string, frame long, atom long, sym string, mol long, area double, perimeter double, neighbours array<long>, sides array<double>")
 
 
 def domain_areas(cells: DataFrame, by: str = "sym") -> DataFrame:
@@ -99,5 +105,26 @@ def domain_areas(cells: DataFrame, by: str = "sym") -> DataFrame:
 
 def same_kind_edges(cells: DataFrame, by: str = "sym") -> DataFrame:
     """Neighbouring cells of one kind: ``traj, frame, src, dst``."""
-    e = cells.select(*FRAME, F.col("atom").alias("src"), F.col(by).alias("k1"), F.explode("neighbours").alias("dst"))
+    e = cells.select(*FRAME, F.col("atom").alias("src"), F.col(by).alias("k1"), F.explode(F.array_distinct("neighbours")).alias("dst")).where("src <> dst")
     return e.join(cells.select(*FRAME, F.col("atom").alias("dst"), F.col(by).alias("k2")), [*FRAME, "dst"]).where("k1 = k2").select(*FRAME, "src", "dst")
+
+
+def running_areas(cells: DataFrame, by: str = "sym") -> DataFrame:
+    """``traj, frame, by, area``: mean area of each kind over the frames so far; frames without the kind count 0."""
+    every = cells.select(*FRAME).distinct().withColumn("nth", F.row_number().over(W.partitionBy("traj").orderBy("frame")))
+    kinds = cells.select("traj", by).distinct()
+    own = cells.groupBy(*FRAME, by).agg(F.sum("area").alias("own"))
+    so_far = W.partitionBy("traj", by).orderBy("frame").rowsBetween(W.unboundedPreceding, 0)
+    rows = every.join(kinds, "traj").join(own, [*FRAME, by], "left")
+    return rows.select(*FRAME, by, (F.sum(F.coalesce("own", F.lit(0.0))).over(so_far) / F.col("nth")).alias("area"))
+
+
+def compactness(cells: DataFrame, sets: DataFrame, by: str = "kind") -> DataFrame:
+    """``traj, frame, by, comp, q``: 4 pi A / P^2 of each kind's sets of cells ``traj, frame, atom, comp``; sides between cells of one set are no rim."""
+    own = cells.join(sets, [*FRAME, "atom"])
+    side = own.select(*FRAME, by, "comp", "atom", F.explode(F.arrays_zip("neighbours", "sides")).alias("s")).select(*FRAME, by, "comp", "atom", F.col("s.neighbours").alias("other"), "s.sides")
+    there = own.select(*FRAME, F.col("atom").alias("other"), F.col("comp").alias("c"), F.col(by).alias("k"))
+    rim = side.join(there, [*FRAME, "other"], "left").where(F.col("c").isNull() | (F.col("c") != F.col("comp")) | (F.col("k") != F.col(by)))
+    rim = rim.groupBy(*FRAME, by, "comp").agg(F.sum("sides").alias("rim"))
+    area = own.groupBy(*FRAME, by, "comp").agg(F.sum("area").alias("area"))
+    return area.join(rim, [*FRAME, by, "comp"]).where("rim > 0").select(*FRAME, by, "comp", (F.lit(4 * np.pi) * F.col("area") / (F.col("rim") * F.col("rim"))).alias("q"))

@@ -6,6 +6,7 @@ Atoms have ``traj, frame, atom, sym, label, mol, x, y, z``; ``unit`` is the numb
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, angle, any_label, delta
 from ..operators.cells import nearest, pairs_within, sided
-from ..operators.histograms import Bins, dense, linear, simple, simple2, simple_bin, to_total
+from ..operators.histograms import Bins, dense, linear, simple, simple2, to_total
 from ..operators.topology import FRAME, centres_of_mass
 
 
@@ -41,6 +42,11 @@ def window_frames(atoms: DataFrame, start: int = 1, nframes: int = -1, stride: i
 
 
 def select(atoms: DataFrame, patterns) -> DataFrame:
+    """Atoms that fit label patterns, or a choice of compounds and labels; of several choices together, an atom as often as it is chosen."""
+    if hasattr(patterns, "of"):
+        return patterns.of(atoms)
+    if isinstance(patterns, list) and patterns and hasattr(patterns[0], "of"):
+        return reduce(DataFrame.unionByName, [c.of(atoms) for c in patterns])
     return atoms.where(any_label(F.col("label"), patterns))
 
 
@@ -181,9 +187,3 @@ def cdf(atoms: DataFrame, centre: str, first: str, second: str, box, cut1, cut2,
     shell = F.lit(4 / 3 * math.pi) * (F.pow(edge + distance.width, F.lit(3)) - F.pow(edge, F.lit(3)))
     c2 = angles.centre(F.col("bin2"))
     return hist.select("bin1", "bin2", distance.centre(F.col("bin1")).alias("c1"), c2.alias("c2"), (F.col("count") / shell / F.sin(F.radians(c2))).alias("value"))
-
-
-REGISTRY = {
-    "rdf": rdf, "adf": adf, "adf3b": adf3b, "dens": density, "ncount": ncount, "top": top, "cdf": cdf,
-}
-__all__ = [*(f.__name__ for f in REGISTRY.values()), "REGISTRY", "frame_set", "simple_bin", "window_frames"]

@@ -69,19 +69,6 @@ def test_water_and_asymmetric_bond(spark):
         assert topology.molecules(b, topology.candidate_edges(b, BOX)).select("mol").distinct().count() == n
 
 
-def test_reach_equals_sequential_absorption():
-    rnd = random.Random(3)
-    for _ in range(100):
-        n = rnd.randint(1, 9)
-        e = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randint(0, 12))]
-        got = topology.least_that_reaches(np.arange(n), np.array([x for x, _ in e], int), np.array([y for _, y in e], int))
-        reach = np.eye(n, dtype=bool)
-        for _ in range(n):
-            for x, y in e:
-                reach[:, y] |= reach[:, x]
-        assert got.tolist() == [int(np.flatnonzero(reach[:, v])[0]) for v in range(n)]
-
-
 def test_histograms(spark):
     v = spark.createDataFrame([(0.25,), (0.5,), (1.0,), (float("nan"),), (-3.0,)], "v double")
     spec = Bins(0.0, 1.0, 2)
