@@ -306,7 +306,8 @@ def piece_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
     """``doc_id, n_pieces, ids_crc32, decoded_same, ids`` of every row, encoded and decoded again.
 
     ``decoded_same`` tells whether the ids spell the model's normal form of the text.  Null and empty texts have
-    no pieces; null ids and repeated rows pass through; an empty table gives no rows; other columns are not read.
+    no pieces; of equally good ways to cut a text the library's is taken; very long texts are encoded whole; null ids and
+    repeated rows pass through; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -129,8 +129,8 @@ def _byte_spans(text: str, pre) -> list[tuple[int, int]]:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row.
 
-    Null and empty texts count 0 bytes and 0 tokens; null ids, repeated rows and empty tables pass
-    through; other columns are not read.  ``tokenizer`` is the path of a byte-level BPE JSON file.
+    Null and empty texts count 0 bytes and 0 tokens; very long texts are counted whole; null ids, repeated rows and empty
+    tables pass through; a text of exactly ``limit`` tokens is not over it; other columns are not read.  ``tokenizer`` is the path of a byte-level BPE JSON file.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

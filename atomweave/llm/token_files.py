@@ -32,7 +32,11 @@ def _put(fs: pafs.FileSystem, path: str, write) -> None:
     own = f"{path}.{os.getpid()}-{os.urandom(4).hex()}"
     with fs.open_output_stream(own) as f:
         write(f)
-    fs.move(own, path)
+    try:
+        fs.move(own, path)
+    except OSError:  # a store whose rename refuses an existing target: an earlier attempt has left one
+        fs.delete_file(path)
+        fs.move(own, path)
 
 
 def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int | None = 2, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,7 +44,7 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int |
 
     Returns the manifest ``part, n_docs, n_tokens, base, width``, one row per file pair.  Null texts are
     empty documents; null ids come first; rows with equal ids stand side by side in order of their
-    texts' hash; an empty table gives no files.
+    texts' hash; very long texts are one document each; an empty table gives no files; other columns are not read.
     """
     spark = docs.sparkSession
     n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -124,13 +128,15 @@ def read_token_files(spark: SparkSession, root: str, manifest: DataFrame) -> Dat
         for b in batches:
             for m in b.itertuples():
                 f = TokenFile(root, m.part, m.width)
-                offsets = np.asarray(f.offsets)
-                for i in range(0, len(f), 10_000):
-                    rows = range(i, min(i + 10_000, len(f)))
-                    crc = np.array([zlib.crc32(f.tokens(k).astype("<u4").tobytes()) for k in rows], np.int64)
-                    ids = np.asarray(f.ids[rows.start : rows.stop])
-                    yield pd.DataFrame({"doc_id": ids, "start": m.base + offsets[rows.start : rows.stop], "n_tokens": np.diff(offsets[rows.start : rows.stop + 1]), "ids_crc32": crc})
-                f.close()
+                try:
+                    offsets = np.asarray(f.offsets)
+                    for i in range(0, len(f), 10_000):
+                        rows = range(i, min(i + 10_000, len(f)))
+                        crc = np.array([zlib.crc32(f.tokens(k).astype("<u4").tobytes()) for k in rows], np.int64)
+                        ids = np.asarray(f.ids[rows.start : rows.stop])
+                        yield pd.DataFrame({"doc_id": ids, "start": m.base + offsets[rows.start : rows.stop], "n_tokens": np.diff(offsets[rows.start : rows.stop + 1]), "ids_crc32": crc})
+                finally:
+                    f.close()
 
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return id_out(manifest.repartition(n, "part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
