@@ -103,18 +103,6 @@ def label_prefix(spark, sf):
     return analyses.select(vec_atoms(spark, sf), "H, C").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("select sym, count(*) as n, sum(x + y + z) as s from li_atoms where sym not in ('C') group by sym", "li_atoms")
-def exclude_elements(spark, sf):
-    return li_atoms(spark, sf).where(~F.col("sym").isin("C")).groupBy("sym").agg(F.count("*").alias("n"), F.sum(F.col("x") + F.col("y") + F.col("z")).alias("s"))
-
-
-@query(f", {near(1.2, O_A, H_B)} select frame, a_atom, b_atom, d2 from pairs where (a_atom + b_atom) % 7 <> 0")
-def forbid_pairs(spark, sf):
-    p = within(vec_atoms(spark, sf), "'O'", "'H'", 1.2)
-    forbidden = p.where("(a_atom + b_atom) % 7 = 0").select("frame", "a_atom", "b_atom")
-    return p.join(forbidden, ["frame", "a_atom", "b_atom"], "left_anti").select("frame", "a_atom", "b_atom", "d2")
-
-
 # -- joins ----------------------------------------------------------------------------------------
 
 
@@ -325,6 +313,21 @@ _TOPO = f""", {near(1.98)}, edges as materialized (select frame, a_atom as src,
   from edges e join mols m on m.frame = e.frame and m.atom = src join mols n on n.frame = e.frame and n.atom = dst where m.mol = n.mol)"""
 
 
+_EDGES = _TOPO[: _TOPO.index(",\n reach(")]
+
+
+@query(f"{_EDGES} select frame, src, dst, d2 from edges where a_sym <> 'C' and b_sym <> 'C'")
+def exclude_elements(spark, sf):
+    return topology.candidate_edges(vec_atoms(spark, sf), BOX, U, excluded=("C",)).select("frame", "src", "dst", "d2")
+
+
+@query(f"{_EDGES} select frame, src, dst, d2 from edges where (src + dst) % 7 <> 0")
+def forbid_pairs(spark, sf):
+    a = vec_atoms(spark, sf)
+    forbidden = topology.candidate_edges(a, BOX, U).where("(src + dst) % 7 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return topology.candidate_edges(a, BOX, U, forbidden=forbidden).select("frame", "src", "dst", "d2")
+
+
 def _topology(spark, sf):
     a = vec_atoms(spark, sf)
     edges = topology.candidate_edges(a, BOX, U)
@@ -522,21 +525,36 @@ def pt_assign(spark, sf):
     return _assigned(spark, sf).select("traj", "frame", "proton", "acceptor")
 
 
-@query(f"""{_ASSIGN}, marked as (select *, case when acceptor <> lag(acceptor) over w then 1 else 0 end as ch from assigned window w as (partition by traj, proton order by frame)),
- numbered as (select *, sum(ch) over (partition by traj, proton order by frame) as run from marked), stay as (select traj, proton, run, min(frame) as frame, count(*) as n, any_value(acceptor) as h from numbered group by 1, 2, 3)
- select traj, frame, proton, donor, acceptor from (select traj, frame, proton, lag(h) over w as donor, h as acceptor, lag(n) over w as n from stay window w as (partition by traj, proton order by run)) where donor is not null and n >= 2""", "vec_walk")
+_EVENTS = f"""{_ASSIGN}, marked as (select *, case when acceptor <> lag(acceptor) over w then 1 else 0 end as ch from assigned window w as (partition by traj, proton order by frame)),
+ numbered as (select *, sum(ch) over (partition by traj, proton order by frame) as run from marked), stay as (select traj, proton, run, min(frame) as frame, count(*) as n, any_value(acceptor) as h from numbered group by 1, 2, 3),
+ events as materialized (select traj, frame, proton, donor, acceptor from (select traj, frame, proton, lag(h) over w as donor, h as acceptor, lag(n) over w as n from stay window w as (partition by traj, proton order by run)) where donor is not null and n >= 2)"""
+_SQUASH = f"""{_EVENTS}, nth as materialized (select *, row_number() over (partition by traj, proton order by frame) as i from events),
+ pile(traj, proton, i, s) as (select traj, proton, 1, [{{'f': frame, 'd': donor, 'a': acceptor}}] from nth where i = 1
+  union all select p.traj, p.proton, p.i + 1, case when len(p.s) > 0 and p.s[-1].a = n.donor and p.s[-1].d = n.acceptor and n.frame - p.s[-1].f <= 10 then p.s[:len(p.s) - 1] else list_append(p.s, {{'f': n.frame, 'd': n.donor, 'a': n.acceptor}}) end
+  from pile p join nth n on n.traj = p.traj and n.proton = p.proton and n.i = p.i + 1),
+ squashed as materialized (select traj, proton, unnest(s) as e from (select traj, proton, arg_max(s, i) as s from pile group by 1, 2))"""
+
+
+@query(f"{_EVENTS} select traj, frame, proton, donor, acceptor from events", "vec_walk")
 def pt_events(spark, sf):
     return transfers.transfer_events(_assigned(spark, sf))
 
 
-@query()
+@query(f"{_SQUASH} select traj, e.f as frame, proton, e.d as donor, e.a as acceptor from squashed", "vec_walk")
 def pt_squash(spark, sf):
     return transfers.squash(transfers.transfer_events(_assigned(spark, sf)), 10)
 
 
-@query()
+@query(f"""{_SQUASH}, link as materialized (select traj, e.f as f, e.d as d, e.a as a, row_number() over (order by traj, e.f, e.d, e.a, proton) as id from squashed),
+ walk(id, traj, since, now, seen, n) as (select id, traj, f, a, [d, a], 1 from link
+  union all select id, traj, m.f, m.a, list_append(seen, m.a), n + 1 from (
+   select w.id, w.traj, w.seen, w.n, min({{'f': l.f, 'a': l.a}}) as m from walk w join link l on l.traj = w.traj and l.d = w.now and l.f > w.since and l.f <= w.since + 100 and not list_contains(w.seen, l.a)
+   where w.n < 20 group by w.id, w.traj, w.seen, w.n)),
+ ends as (select id, max(n) as n from walk group by 1)
+ select cast(n as integer) as n, round(count(*) / any_value(t), 6) as c, any_value(t) as total from ends, (select count(*) as t from link) group by n""", "vec_walk")
 def pt_chains(spark, sf):
-    return transfers.chains(transfers.squash(transfers.transfer_events(_assigned(spark, sf)), 10), 100)
+    found = transfers.chains(transfers.squash(transfers.transfer_events(_assigned(spark, sf)), 10), 100)
+    return found.select("n", r6(F.col("c")).alias("c"), "total")
 
 
 _ALWAYS = f", {near(18.0, H_A, O_B, 'vec_walk')}, assigned as (select traj, frame, a_atom as proton, arg_min(b_atom, {{'d': d2, 'b': b_atom}}) as acceptor, arg_min(b_mol, {{'d': d2, 'b': b_atom}}) as acceptor_mol from pairs group by 1, 2, 3)"
@@ -590,4 +608,11 @@ def voronoi_areas(spark, sf):
     return voronoi.domain_areas(cells)
 
 
+@query(f"select traj, frame, {(L // U) ** 2}.0 as area from vec_atoms where z between 0 and {4 * U} group by traj, frame")
+def voronoi_plane(spark, sf):
+    """The cells of a frame fill the plane."""
+    cells = voronoi.voronoi_cells(vec_atoms(spark, sf), BOX, 0, 4 * U, unit=U)
+    return cells.groupBy(*FRAME).agg(r6(F.sum("area")).alias("area"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
