@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, components, id_in, id_out, likely_in, release_held, staged, unstage, unused
+from .common import column, components, id_in, id_out, join_hot, likely_in, release_held, staged, unused
 from .words import MIX, WORD, Words, chunks, mixed, shingle_set, words_of
 
 #: Paragraphs that one worker compares at a time; a larger bucket is dealt again, then cut into blocks of which every two meet.
@@ -338,9 +338,11 @@ def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int =
     classes = staged(classes, "paragraph-classes")
     comp = staged(similar_classes(classes, table, bands, similarity), "paragraph-components")
     some = classes.where("again").union(likely_in(classes.where("not again"), F.col("k1"), comp, F.col("k1")))
-    joined = some.join(comp, KEY, "left").where("again or component is not null").select(*KEY, "first", "component")
-    of_component = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    repeated = staged(joined.join(of_component, "component", "left").select(*KEY, F.coalesce("least", "first").alias("keep")), "paragraph-repeated")
+    joined = staged(some.join(comp, KEY, "left").where("again or component is not null").select(*KEY, "first", "component"), "paragraph-joined")
+    linked = joined.where("component is not null")
+    least = staged(linked.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")), "paragraph-least")
+    kept = join_hot(linked, least, "component", "n").select(*KEY, F.col("least").alias("keep"))
+    repeated = staged(kept.unionByName(joined.where("component is null").select(*KEY, F.col("first").alias("keep"))), "paragraph-repeated")
     copies = likely_in(table.select(*PLACE, "start", "stop", "words", *KEY), F.col("k1"), repeated, F.col("k1")).join(repeated, KEY)
     again = copies.where(F.struct(*PLACE) != F.struct("keep.id", "keep.h", "keep.pos"))
     part = F.struct("pos", "start", "stop", "words", F.col("keep.id").alias("k_id"), F.col("keep.h").alias("k_h"), F.col("keep.pos").alias("k_pos"), F.col("keep.words").alias("k_words"))

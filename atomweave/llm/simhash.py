@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, id_in, id_out, likely_in, release_held, staged
+from .common import column, components, id_in, id_out, join_hot, likely_in, release_held, staged
 from .words import MIX, Words, chunks, distinct, majority, mixed, shingle_set, words_of
 
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     late = similar(table_pairs(known, limit)).join(parent.toDF("a", "of_a"), "a").join(parent.toDF("b", "of_b"), "b").select("of_a", "of_b")
     comp = components(late, "of_a", "of_b").withColumnRenamed("node", "of")
     grouped = staged(known.join(comp, "of", "left").select(*prints, "first", F.coalesce("component", "of").alias("g")), "near-grouped")
-    of_group = grouped.groupBy("g").agg(F.min("first").alias("keep"), F.count("*").alias("n"))
-    some = grouped.join(of_group, "g").select(*prints, "keep")
+    of_group = staged(grouped.groupBy("g").agg(F.min("first").alias("keep"), F.count("*").alias("n")), "near-keep")
+    some = join_hot(grouped, of_group, "g", "n").select(*prints, "keep")
     gone = fps.join(some, prints).where(F.struct("id", "h") != F.col("keep")).select("id", "h", F.col("keep.id").alias("keep_id"))
     return gone.distinct()
