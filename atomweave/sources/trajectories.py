@@ -1,15 +1,13 @@
-"""Trajectory files: XYZ and LAMMPS dumps as a Spark data source, and text sinks.
-
-A file is scanned once for the byte offsets of its frames; ranges of frames are the partitions.
-"""
+"""Trajectory files, XYZ and LAMMPS dumps, read by ranges of bytes in parallel; and plain text sinks."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 EXTENSIONS = {".xyz": "xyz", ".lmp": "lammps", ".lammpstrj": "lammps"}
 SCHEMA = "traj string, frame long, atom long, sym string, x double, y double, z double, lx double, ly double, lz double, timestep long"
@@ -77,61 +75,164 @@ def _read(f, kind: str, box):
             return step, bounds, (line.split()[2:], [f.readline().decode() for _ in range(n)])
 
 
-class Frames(InputPartition):
-    def __init__(self, path: str, first: int, count: int, offset: int):
-        super().__init__((path, first, count, offset))
-        self.path, self.first, self.count, self.offset = path, first, count, offset
-
-
-class TrajectoryReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-        self.kind = options.get("kind") or format_of(self.path)
-        self.box = [float(v) for v in options.get("box", "0,0,0").split(",")]
-        self.per = int(options.get("frames_per_partition", "100"))
-
-    def partitions(self):
-        out, n = [], 0
-        with open(self.path, "rb") as f:
-            at = 0
-            while _read(f, self.kind, self.box) is not None:
-                if n % self.per == 0:
-                    out.append(Frames(self.path, n, self.per, at))
-                n, at = n + 1, f.tell()
-        return out or [Frames(self.path, 0, 0, 0)]
-
-    def read(self, partition):
-        name = os.path.basename(partition.path)
-        with open(partition.path, "rb") as f:
-            f.seek(partition.offset)
-            for k in range(partition.count):
-                got = _read(f, self.kind, self.box)
-                if got is None:
-                    return
-                step, box, (columns, lines) = got
-                atoms = xyz_frame(lines, box) if columns == "xyz" else dump_frame(columns, lines, box)
-                for n, sym, x, y, z in atoms:
-                    yield (name, partition.first + k, n, sym, x, y, z, *map(float, box), step)
-
-
-class Trajectory(DataSource):
-    """``spark.read.format("trajectory")``: options path, kind, box (three lengths with commas), frames_per_partition."""
-
-    @classmethod
-    def name(cls):
-        return "trajectory"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return TrajectoryReader(self.options)
-
-
-def read_trajectory(spark: SparkSession, path: str, box=(0.0, 0.0, 0.0), kind: str | None = None) -> DataFrame:
-    """Atoms of a trajectory file on storage that all executors mount; XYZ needs the box's lengths, dumps bring theirs."""
-    spark.dataSource.register(Trajectory)
-    return spark.read.format("trajectory").option("kind", kind or format_of(path)).option("box", ",".join(map(str, box))).load(path)
+#: Bytes of a file that one task looks through.
+RANGE = 64 << 20
+
+
+def _open(path: str):
+    """A file for reading, on a local or mounted folder or in a store that Arrow knows by its URI; and its size."""
+    fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+    return fs.open_input_file(at), fs.get_file_info(at).size
+
+
+class Lines:
+    """Lines of a file from any byte on."""
+
+    def __init__(self, path: str):
+        self.raw, self.size = _open(path)
+        self.buffer, self.at, self.here = b"", 0, 0
+
+    def seek(self, at: int) -> None:
+        self.raw.seek(at)
+        self.buffer, self.here, self.at = b"", 0, at
+
+    def tell(self) -> int:
+        return self.at
+
+    def readline(self) -> bytes:
+        end = self.buffer.find(b"\n", self.here)
+        while end < 0:
+            more = self.raw.read(1 << 20)
+            if not more:
+                end = len(self.buffer) - 1
+                break
+            self.buffer, self.here = self.buffer[self.here :] + more, 0
+            end = self.buffer.find(b"\n")
+        out = self.buffer[self.here : end + 1]
+        self.here, self.at = end + 1, self.at + len(out)
+        return out
+
+    def before(self, at: int) -> int | None:
+        """Where the line before the one at ``at`` begins; None at the file's beginning."""
+        back = 4096
+        while at:
+            self.seek(max(0, at - back))
+            part = self.raw.read(at - self.at)
+            cut = part.rfind(b"\n", 0, len(part) - 1)
+            if cut >= 0 or at <= back:
+                return max(0, at - back) + cut + 1
+            back *= 16
+        return None
+
+    def close(self) -> None:
+        self.raw.close()
+
+
+def _is_head(f: Lines, at: int) -> int | None:
+    """Where an XYZ frame that begins at ``at`` ends, or None if none does: a number of atoms, a comment, so many atoms, and another number or the end."""
+    f.seek(at)
+    try:
+        n = int(f.readline())
+    except ValueError:
+        return None
+    f.readline()
+    for _ in range(n):
+        if len(f.readline().split()) < 4:
+            return None
+    end = f.tell()
+    last = f.readline()
+    return end if not last.strip() or last.strip().lstrip(b"+-").isdigit() else None
+
+
+def first_frame(f: Lines, kind: str, begin: int) -> int:
+    """The first byte of the first frame that begins at ``begin`` or later; the file's size if there is none."""
+    if not begin:
+        return 0
+    f.seek(begin - 1)
+    f.readline()
+    at = f.tell()
+    while at < f.size:
+        if kind == "xyz":
+            end = _is_head(f, at)
+            if end is not None:  # unless it is the comment of a frame that begins a line before
+                before = f.before(at)
+                other = _is_head(f, before) if before is not None else None
+                return at if other is None else other
+            f.seek(at)
+            f.readline()
+        elif f.readline().startswith(b"ITEM: TIMESTEP"):
+            return at
+        at = f.tell()
+    return f.size
+
+
+def frames_from(path: str, kind: str, box, begin: int, end: int) -> Iterator[tuple | None]:
+    """The frames that begin in a range of bytes, each as ``_read`` gives it; None last if what follows them is no frame."""
+    f = Lines(path)
+    try:
+        at = first_frame(f, kind, begin)
+        while at < min(end, f.size):
+            f.seek(at)
+            got = _read(f, kind, box)
+            yield got
+            if got is None:
+                return
+            at = f.tell()
+            if end <= at < f.size:  # what follows the last frame of the range
+                line = f.readline().strip()
+                if not line or kind == "xyz" and not line.lstrip(b"+-").isdigit():
+                    yield None
+    finally:
+        f.close()
+
+
+def read_trajectory(spark: SparkSession, path: str, box=(0.0, 0.0, 0.0), kind: str | None = None, size: int = RANGE) -> DataFrame:
+    """Atoms of a trajectory file on storage that all executors reach; XYZ needs the box's lengths, dumps bring theirs.
+
+    Ranges of ``size`` bytes are the tasks.  A first pass counts the frames that begin in each, which numbers them; the driver
+    sees one count per range.  Reading ends at the first line that is no frame's.
+    """
+    kind, box = kind or format_of(path), [float(v) for v in box]
+    f, total = _open(path)
+    f.close()
+    ranges = [(n, begin, min(begin + size, total)) for n, begin in enumerate(range(0, total, size))]
+    names = "n long, begin long, stop long"
+    table = spark.createDataFrame(ranges, names).repartition(max(1, len(ranges)), "n")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                k, over = 0, False
+                for got in frames_from(path, kind, box, r.begin, r.stop):
+                    k, over = k + (got is not None), got is None
+                out.append((r.n, k, over))
+            yield pd.DataFrame(out, columns=["n", "frames", "over"])
+
+    counts = sorted(table.mapInPandas(count, "n long, frames long, over boolean").collect())
+    first, rows = 0, []
+    for (n, begin, stop), c in zip(ranges, counts, strict=True):
+        rows.append((n, begin, stop, first))
+        first += c.frames
+        if c.over:
+            break
+    name = os.path.basename(path)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                for k, got in enumerate(frames_from(path, kind, box, r.begin, r.stop)):
+                    if got is not None:
+                        step, own, (columns, lines) = got
+                        atoms = xyz_frame(lines, own) if columns == "xyz" else dump_frame(columns, lines, own)
+                        out = pd.DataFrame(list(atoms), columns=["atom", "sym", "x", "y", "z"])
+                        out.insert(0, "traj", name)
+                        out.insert(1, "frame", r.first + k)
+                        out[["lx", "ly", "lz"]] = [float(v) for v in own]
+                        out["timestep"] = pd.array([step] * len(out), dtype="Int64")
+                        yield out
+
+    return spark.createDataFrame(rows, names + ", first long").repartition(max(1, len(rows)), "n").mapInPandas(read, SCHEMA)
 
 
 def write_dat(df: DataFrame, path: str, headers: list[str], decimals: int = 6) -> None:

@@ -12,7 +12,7 @@ from atomweave.operators import graphs, series, topology, transfers, voronoi
 from atomweave.operators.cells import nearest, pairs_within
 from atomweave.operators.histograms import Bins, linear, simple
 from atomweave.plans import analyses
-from atomweave.sources import elements
+from atomweave.sources import elements, trajectories
 from atomweave.sources.trajectories import format_of, read_trajectory, write_dat
 
 BOX = (10.0, 10.0, 10.0)
@@ -161,6 +161,31 @@ def test_voronoi_areas_fill_the_plane(spark):
     assert voronoi.voronoi_cells(a, BOX, 0.0, 2.0).agg(F.sum("area")).first()[0] == pytest.approx(100.0, rel=1e-9)
 
 
+def test_byte_ranges_give_the_same_frames(tmp_path):
+    rnd = random.Random(8)
+    line = lambda: f"{rnd.choice(['O', 'H'])} " + " ".join(f"{rnd.random():.{rnd.randint(1, 9)}f}" for _ in range(3)) + "\n"
+    frames = []
+    for n in (3, 1, 4, 4, 2, 1, 5, 3):
+        comment = rnd.choice([f"{n - 1}\n", f"{n}\n", "\n", "a comment of 3 words\n", "1\n"])
+        frames.append(f"{n}\n{comment}" + "".join(line() for _ in range(n)))
+    head = "ITEM: TIMESTEP\n{}\nITEM: NUMBER OF ATOMS\n2\nITEM: BOX BOUNDS pp pp pp\n0 9\n0 9\n0 9\nITEM: ATOMS element x y z\n"
+    dumps = [head.format(t) + line() + line() for t in range(6)]
+    for kind, parts in (("xyz", frames), ("lammps", dumps)):
+        for tail in ("", "\n" + parts[0]):  # what follows a blank line does not count
+            path = tmp_path / f"a.{kind}"
+            path.write_text("".join(parts) + tail)
+            size = path.stat().st_size
+            whole = [g for g in trajectories.frames_from(str(path), kind, BOX, 0, size)]
+            assert sum(g is not None for g in whole) == len(parts) and (whole[-1] is None) == bool(tail)
+            for step in (1, 7, 40, 111, 1000):
+                got = []
+                for a in range(0, size, step):
+                    got += trajectories.frames_from(str(path), kind, BOX, a, min(a + step, size))
+                    if got and got[-1] is None:
+                        break
+                assert [g for g in got if g is not None] == [g for g in whole if g is not None]
+
+
 def test_files(spark, tmp_path):
     xyz = tmp_path / "a.xyz"
     xyz.write_text("2\nc\no 11 1 1\nCL 2 -1 1 9\n2\nc\nO 1 1 1\nCl 2 2 2\n")
