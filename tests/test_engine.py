@@ -210,3 +210,32 @@ def test_streaming_transfers(spark, tmp_path):
     q = streaming_transfers(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("tr").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.frame, r.donor, r.acceptor) for r in spark.table("tr").collect()) == [(2, 1, 2), (4, 2, 3)]
+
+
+def _stream(spark, tmp_path, batches, make, name):
+    """Feed the batches one after the other and return all rows."""
+    for n, b in enumerate(batches):
+        b.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = make(spark.readStream.schema(batches[0].schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def test_streaming_products(spark, tmp_path):
+    from atomweave.streaming.frames import streaming_products
+
+    p = spark.createDataFrame([(1, t) for t in (0, 1, 3)] + [(2, t) for t in (1, 2)], "k long, t long")
+    rows = _stream(spark, tmp_path, [p.where("t < 2"), p.where("t >= 2")], lambda s: streaming_products(s, ["k"], 4), "products")
+    got = {}
+    for r in rows:
+        got[r.tau] = got.get(r.tau, 0) + r.n
+    assert got == {r.tau: r.n for r in series.products(p, ["k"], 4).collect()}
+
+
+def test_streaming_charges(spark, tmp_path):
+    from atomweave.streaming.frames import streaming_charges
+
+    holders = {0: [0, 0, 0, 1, 1], 1: [0, 0, 1, 1, 1], 2: [0, 0, 1, 1, 0]}  # a spare proton moves from molecule 0 to 1, then another one back
+    a = spark.createDataFrame([("t", f, p, m) for f, own in holders.items() for p, m in enumerate(own)], "traj string, frame long, proton long, acceptor_mol long")
+    rows = _stream(spark, tmp_path, [a.where("frame < 2"), a.where("frame >= 2")], lambda s: streaming_charges(s, 2), "charges")
+    assert sorted((r.frame, r.cid, r.mol, r.sign) for r in rows) == [(0, 0, 0, 1), (1, 0, 1, 1), (2, 0, 0, 1)]
