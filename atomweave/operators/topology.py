@@ -41,7 +41,7 @@ def candidate_edges(atoms: DataFrame, box, unit: float = 1.0, excluded: Iterable
 
 
 #: Steps of propagation that are planned together before their result is written.
-STEPS = 4
+STEPS = 2
 
 
 def seeds(atoms: DataFrame, edges: DataFrame) -> DataFrame:
