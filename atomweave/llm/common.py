@@ -5,27 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: ``spark.checkpoint.dir``.
-
-    Only on one machine may the setting be missing; then a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
-        path = "file://" + tempfile.mkdtemp(prefix="atomweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from ..operators.staging import shared_dir
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
