@@ -25,7 +25,7 @@ BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 #: A bucket with more fingerprints is dealt out again under the masks of the bits left free.
 LARGE = 512
 #: Of near_duplicates: word fingerprints, their radius, and the 64-bit parts of the long fingerprint of shingles.
-PRINTS, RADIUS, SKETCH = 6, 3, 4
+PRINTS, RADIUS, SKETCH = 4, 4, 4
 #: All pairs of a bucket of so many members are compared.
 SMALL = 8
 
