@@ -3,7 +3,7 @@
 The input file is a JSON object, or recorded answers: lines that begin with ``#`` are the questions, every other line is an answer,
 a blank one takes the default.  Without a file the questions are asked.  All questions and answers go to the log, which can
 be given as the input again.  Questions come in this order: the box (XYZ files), the frame of the topology, the bonds to break
-(``compound label label``, commas between them), the analysis, and its parameters.
+(``compound label label``, commas between them), whether the compounds are drawn, the analysis, and its parameters.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from .config import EngineConfig
 from .plans import jobs
 from .plans.system import System
-from .sources.sinks import SINKS, compound_lines
+from .sources.sinks import SINKS, compound_drawings, compound_lines
 from .sources.trajectories import format_of, read_trajectory
 
 
@@ -114,13 +114,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask:
             parts = [x.split() for x in breaks.split(",")] if isinstance(breaks, str) else breaks
             system = system.without_bonds([(int(c), a, b) for c, a, b in parts])
         print("\n".join(compound_lines(system)))
+        os.makedirs(args.out, exist_ok=True)
+        if _typed(answers.get("draw_compounds", "no"), False):
+            print("\n".join(f"wrote {f}" for f in compound_drawings(system, args.out)))
         print("\n".join(f"{a.name}: {a.title}" for a in jobs.REGISTRY.values()))
         name = answers.get("analysis")
         if name not in jobs.REGISTRY:
             raise ValueError(f"no analysis {name}")
         a = jobs.REGISTRY[name]
         q = a.parameters.of(parameters(a, answers))
-        os.makedirs(args.out, exist_ok=True)
         files = SINKS[name](a.run(system, q), q, args.out, box)
         print("\n".join(f"wrote {f}" for f in files))
         return files

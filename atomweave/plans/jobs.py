@@ -245,6 +245,7 @@ class Cluster(Parameters):
     cacf: bool = p(True)
     cacf_depth: int = p(100, least=1)
     coordinates: str = p("no", choices=("no", "selected", "whole"))
+    drawings: bool = p(False)
 
 
 def grouped(s: System, atoms: DataFrame, compounds: list, labels: list) -> DataFrame:
@@ -299,6 +300,8 @@ def cluster(s: System, q: Cluster) -> dict[str, DataFrame]:
     }
     if q.cacf:
         out["cacf"] = cluster_correlation(found, nodes, q.cacf_depth)
+    if q.drawings:
+        out |= cluster_graphs(found, nodes, edges, comp, out["cluster_occurrences"])
     if q.coordinates != "no":
         out["cluster_xyz"] = cluster_coordinates(s, atoms, nodes, comp, found, q.coordinates == "whole")
     return out
@@ -322,6 +325,21 @@ def cluster_correlation(found: DataFrame, atoms: DataFrame, depth: int) -> DataF
     return c.select(*by, "tau", F.when(zero != 0, F.col("c") / zero).otherwise(F.col("c")).alias("c"))
 
 
+#: Kinds of clusters that are drawn: the most frequent ones.
+DRAWN = 201
+
+
+def cluster_graphs(found: DataFrame, nodes: DataFrame, edges: DataFrame, comp: DataFrame, kinds: DataFrame) -> dict[str, DataFrame]:
+    """Atoms and bonds of one example of each of the most frequent kinds, numbered from 0: ``rank, composition, atom, sym, grp`` and ``rank, src, dst``."""
+    by = ["composition", "graph_id"]
+    order = W.partitionBy().orderBy(F.desc("occurrences"), *by)
+    top_ = kinds.orderBy(F.desc("occurrences"), *by).limit(DRAWN).withColumn("rank", F.row_number().over(order) - 1)  # a report of the first kinds
+    one = found.join(top_.select("rank", *by), by).groupBy("rank", *by).agg(F.min(F.struct(*FRAME, "comp")).alias("e")).select("rank", "composition", "e.*")
+    atoms = nodes.select(*FRAME, "atom", "sym", "grp").join(comp, [*FRAME, "atom"]).join(one, [*FRAME, "comp"])
+    bonds = edges.join(comp.withColumnRenamed("atom", "src"), [*FRAME, "src"]).join(one, [*FRAME, "comp"])
+    return {"cluster_nodes": atoms.select("rank", "composition", "atom", "sym", "grp"), "cluster_edges": bonds.select("rank", "src", "dst")}
+
+
 def cluster_coordinates(s: System, atoms: DataFrame, nodes: DataFrame, comp: DataFrame, found: DataFrame, whole: bool) -> DataFrame:
     """``composition, graph_id, frame, comp, n, sym, x, y, z`` of clusters of more than one atom: followed through the walls atom by atom, centred on their mean."""
     own = nodes.select(*FRAME, "atom", "mol").join(comp, [*FRAME, "atom"]).join(found.where("size > 1").select(*FRAME, "comp", "composition", "graph_id"), [*FRAME, "comp"])

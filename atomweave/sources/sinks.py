@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 
 from ..operators.histograms import Bins
+from .drawings import svg
 
 
 def table_text(headers: list[str], rows: Iterable) -> Iterable[str]:
@@ -98,11 +99,43 @@ def clusters(out: dict, q, folder: str, box) -> list[str]:
         for r in out["cacf"].orderBy("tau").collect():
             curves.setdefault((r.composition, r.graph_id), []).append(f"{r.tau} {r.c:.12f}")
         files += [_write(f"{folder}/cacf_{c}_{g}.dat", ["tau CACF", *lines]) for (c, g), lines in curves.items()]
+    if "cluster_nodes" in out:
+        files += cluster_drawings(out, folder)
     if "cluster_xyz" in out:
         files += cluster_xyz(out["cluster_xyz"], f"{folder}/xyz")
     return files
 
 
+def cluster_drawings(out: dict, folder: str) -> list[str]:
+    """One drawing for each of the first kinds."""
+    nodes, edges, files = {}, {}, []
+    for r in out["cluster_nodes"].orderBy("rank", "atom").collect():
+        nodes.setdefault((r["rank"], r.composition), []).append(r)
+    for r in out["cluster_edges"].collect():
+        edges.setdefault(r["rank"], []).append((r.src, r.dst))
+    for (rank, composition), own in nodes.items():
+        at = {r.atom: n for n, r in enumerate(own)}
+        text = svg([r.grp for r in own], [r.sym for r in own], [(at[a], at[b]) for a, b in edges.get(rank, [])])
+        files.append(_write(f"{folder}/graph{rank}_{composition}.svg", text.splitlines()))
+    return files
+
+
+def compound_drawings(system, folder: str) -> list[str]:
+    """The first molecule of each compound, ``compound<number>.svg``."""
+    files = []
+    members = system.topology.members
+    first = members.groupBy("comp").agg({"mol": "min"}).withColumnRenamed("min(mol)", "mol")
+    atoms: dict = {}
+    for r in members.join(first, ["comp", "mol"]).select("comp", "mol", "atom", "sym", "label").orderBy("comp", "atom").collect():
+        atoms.setdefault(r.comp, []).append(r)
+    bonds = system.topology.bonds.join(first, "mol").select("comp", "a", "b").collect()
+    for comp, own in atoms.items():
+        at = {r.atom: n for n, r in enumerate(own)}
+        text = svg([r.label for r in own], [r.sym for r in own], [(at[b.a], at[b.b]) for b in bonds if b.comp == comp])
+        files.append(_write(f"{folder}/compound{comp}.svg", text.splitlines()))
+    return files
+
+
 def cluster_xyz(rows: DataFrame, folder: str) -> list[str]:
     """A file per composition and graph; clusters follow each other in order of frames."""
     os.makedirs(folder, exist_ok=True)

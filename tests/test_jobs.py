@@ -54,7 +54,7 @@ def system(spark, frames, **more):
 
 SMALL = {
     "rdf": {"bins": 50, "rmax": 5.0}, "adf": {}, "adf3b": {"different_molecules": False}, "dens": {"step": 1.0}, "percolation": {"cutoff": 4.0},
-    "cluster": {"compounds": [1, 1], "labels": ["O", "H"], "cutoffs": {"1-2": 3.2}, "errors": True, "cacf_depth": 3, "coordinates": "whole"},
+    "cluster": {"compounds": [1, 1], "labels": ["O", "H"], "cutoffs": {"1-2": 3.2}, "errors": True, "cacf_depth": 3, "coordinates": "whole", "drawings": True},
     "dacf": {"cutoff": 4.0, "depth": 3}, "top": {"s_bins": 50, "obs_labels": "O,H"}, "pccf": {"gaps": "10,20,x"}, "cmsd": {"max_lag": 3, "neutral": 1, "label_cutoffs": {"O": 1.3}},
     "ncount": {}, "cdf": {"different_molecules": False, "distance_bins": 4, "angle_bins": 4, "distance_max": 4.0}, "voro2d": {"low": 0.0, "high": 12.0, "bins": 10, "compactness_bins": 5},
 }
@@ -76,9 +76,11 @@ def test_every_analysis_writes_its_files(water, tmp_path, name):
 
 
 def test_a_dump_with_named_answers(spark, tmp_path):
-    (tmp_path / "in.json").write_text(json.dumps({"analysis": "rdf", "parameters": SMALL["rdf"]}))
+    (tmp_path / "in.json").write_text(json.dumps({"analysis": "rdf", "draw_compounds": "y", "parameters": SMALL["rdf"]}))
     files = main([dump(tmp_path / "a.lmp", waters(1, frames=2)), "-i", str(tmp_path / "in.json"), "-l", str(tmp_path / "log"), "-o", str(tmp_path / "out")], spark)
     assert [f.rsplit("/", 1)[1] for f in files] == ["rdf_O_H.dat"] and len(open(files[0], encoding="utf-8").read().splitlines()) == 51
+    drawn = (tmp_path / "out" / "compound1.svg").read_text()
+    assert drawn.count("<circle") == 3 and drawn.count("<line") == 2 and ">O1<" in drawn
 
 
 def test_recorded_answers_give_the_same_again(spark, tmp_path):
@@ -93,7 +95,7 @@ def test_recorded_answers_give_the_same_again(spark, tmp_path):
     two = main([path, "-i", str(tmp_path / "log"), "-l", str(tmp_path / "log2"), "-o", str(tmp_path / "two")], spark)
     lines = open(one[0], encoding="utf-8").read().splitlines()
     assert lines == ["# P(n)   cutoff = 2.00 Å", "#  n   P(n)", "  0  0.000000", "  1  0.000000", "  2  1.000000"]
-    assert open(two[0], encoding="utf-8").read().splitlines() == lines and asked[:4] == ["box", "topology_frame", "break_bonds", "analysis"]
+    assert open(two[0], encoding="utf-8").read().splitlines() == lines and asked[:5] == ["box", "topology_frame", "break_bonds", "draw_compounds", "analysis"]
     assert (tmp_path / "log").read_text() == (tmp_path / "log2").read_text()
 
 
