@@ -15,7 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="atomweave-")
         spark.conf.set("spark.checkpoint.dir", path)
