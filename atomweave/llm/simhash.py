@@ -257,7 +257,7 @@ def early_pairs(classes: DataFrame, limit: int) -> DataFrame:
 def table_pairs(classes: DataFrame, limit: int) -> DataFrame:
     """``(a, b)``: pairs worth comparing of all covering tables of all fingerprints; ``of`` is the component a class is known to be in.
 
-    Buckets of one component are left out.  One of over ``LARGE`` members is dealt out again under covering masks of the bits its own
+    Buckets of one component need no comparison.  One of over ``LARGE`` members is dealt out again under covering masks of the bits its own
     leaves free, which parts no pair within the radius, and what still is larger into blocks by hash of which every two meet.
     """
     spark, every, sketch = classes.sparkSession, list(range(64)), [f"s{k}" for k in range(SKETCH)]
@@ -270,15 +270,15 @@ def table_pairs(classes: DataFrame, limit: int) -> DataFrame:
     def mixed_sizes(rows: DataFrame, name: str) -> DataFrame:
         return staged(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("k", "n"), name)
 
-    often = staged(dealt.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "near-often")
+    often = staged(dealt.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "near-often")
     met = staged(likely_in(dealt, F.col("k"), often, F.col("k")).join(often, "k"), "near-met")
-    sizes = mixed_sizes(met, "near-sizes")
-    out = met.join(sizes.where(F.col("n") <= LARGE), "k", "left_semi").select("k", *member)
-    large = sizes.where(F.col("n") > LARGE)
-    if not large.isEmpty():
+    out = met.where(F.col("n") <= LARGE).select("k", *member)
+    large = met.where(F.col("n") > LARGE).drop("n")
+    apart = staged(large.groupBy("k").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("k"), "near-apart")
+    if not apart.isEmpty():
         free = [(t, u, _signed(x)) for t, (_, _, m) in enumerate(tables) for u, x in enumerate(masks(RADIUS, [i for i in every if not m >> i & 1]))]
         choices = spark.createDataFrame(free, "t int, u int, mask long")  # PRINTS * (2^(RADIUS+1) - 1)^2 rows
-        again = met.join(large.select("k"), "k", "left_semi").join(F.broadcast(choices), "t")
+        again = large.join(apart, "k").join(F.broadcast(choices), "t")
         again = staged(again.select(F.xxhash64("k", "u", F.col("f").bitwiseAND(F.col("mask"))).alias("k"), *member), "near-again")
         rest = mixed_sizes(again, "near-again-sizes")
         blocks = F.ceil(F.col("n") / (LARGE // 2)).cast("int")
@@ -291,6 +291,8 @@ def table_pairs(classes: DataFrame, limit: int) -> DataFrame:
             found = []
             for bucket in b["bucket"]:
                 rows = np.array([tuple(m[c] for c in member) for m in bucket], np.int64)
+                if (rows[:, 1] == rows[0, 1]).all():  # one component
+                    continue
                 found.append(_pairs(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64), limit))
             yield _frame(found)
 
