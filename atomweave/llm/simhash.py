@@ -94,16 +94,18 @@ def _within(radius: int):
         for b in batches:
             a, z = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for bucket in b["fps"]:
+                bucket = np.asarray(bucket, np.int64)
                 u, rest = _unsigned(bucket), np.arange(len(bucket))
                 while len(rest):
                     todo, rest = [rest[0]], rest[1:]
                     while todo and len(rest):
                         i = todo.pop()
                         near = np.bitwise_count(u[rest] ^ u[i]) <= radius
-                        a.append(np.full(near.sum(), bucket[i]))
-                        z.append(np.asarray(bucket)[rest[near]])
-                        todo.extend(rest[near].tolist())
-                        rest = rest[~near]
+                        if near.any():
+                            a.append(np.full(near.sum(), bucket[i]))
+                            z.append(bucket[rest[near]])
+                            todo.extend(rest[near].tolist())
+                            rest = rest[~near]
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(z)})
 
     return run
