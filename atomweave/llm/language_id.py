@@ -23,6 +23,7 @@ from .encoding import slices
 BUCKETS = 1 << 13
 #: Characters that ``\\w`` takes for parts of words though they are no letters: numbers of all kinds but decimal digits.
 NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NOT_WORD = re.compile(r"[\W\d_]+")
 NOT_LETTER = re.compile(rf"[\W\d_{NUMBERS}]+")
 #: Labelled languages that a model may have; more are refused, as their rates are sent to all executors.
 MOST_LANGUAGES = 10_000
@@ -30,7 +31,9 @@ MOST_LANGUAGES = 10_000
 
 def codes_of(text: str) -> np.ndarray:
     """Code points of the lower-case text with one blank around each run of letters; empty without letters."""
-    clean = NOT_LETTER.sub(" ", text.lower())
+    clean = NOT_WORD.sub(" ", text.lower())
+    if not clean.replace(" ", "").isalpha():  # numbers are left, which few texts have
+        clean = NOT_LETTER.sub(" ", text.lower())
     if not clean.strip():
         return np.empty(0, np.uint32)
     return np.frombuffer(f" {clean.strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
