@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, media, packing, paragraphs, pieces, quality, simhash, token_counts, token_files
+from . import decontamination, exact_dedup, language_id, media, packing, paragraphs, pieces, quality, simhash, token_counts, token_files
 from .common import bounded_batches
 
 
@@ -70,6 +70,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +86,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_lossless_webp, op3_sentencepiece, op4_quality_classifier, op5_substring_dedup,
-        op6_language_id, op7_simhash, op8_token_files, op9_exact_dedup, op10_token_counts, pipeline,
+        op6_language_id, op7_simhash, op8_token_files, op9_exact_dedup, op10_token_counts, op11_decontamination, pipeline,
     )
 }
 
@@ -96,5 +102,27 @@ select doc_id,
        sha256(norm) as text_sha256
 from rows
 window w as (partition by norm order by length(t) desc, doc_id rows between unbounded preceding and unbounded following)
+""",
+    "op11_decontamination": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), sized as (
+  select item_id, w, least(10, len(w)) as k from b where len(w) > 0
+), windows as (
+  select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as i from sized)
+), spots as (
+  select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from windows) where len(w) >= k)
+), hits as (
+  select doc_id, i, k, item_id from spots join windows using (k, g)
+), words as (
+  select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + k)) as j from hits) group by doc_id
+), found as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list from (select distinct doc_id, coalesce(cast(item_id as varchar), '') as item from hits) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join found using (doc_id)
 """,
 }

@@ -38,16 +38,16 @@ def range_hashes(text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.n
 
 
 class Words:
-    """The words of texts (UTF-8), one after the other.
+    """The words of texts (UTF-8), one after the other; ``blank`` tells which bytes, small letters already, are in no word.
 
     ``starts, stops`` are byte offsets in ``raw``, the texts joined by line breaks; ``at, behind`` those in ``plain``, all words in small
     letters with a blank behind each; ``h`` are hashes.  ``some`` are the texts that have a word, ``begins, ends`` their words.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], blank: np.ndarray = BLANK):
         self.raw = b"\n".join(texts)
         low = np.frombuffer(self.raw.translate(LOWER), np.uint8)
-        blank = BLANK[low]
+        blank = blank[low]
         edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=1, append=1))
         self.starts, self.stops = edge[::2], edge[1::2]
         keep = ~blank
