@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, media, packing, paragraphs, pieces, quality, simhash, token_counts, token_files
+from . import decontamination, divergence, exact_dedup, language_id, media, packing, paragraphs, pieces, quality, simhash, token_counts, token_files
 from .common import bounded_batches
 
 
@@ -76,6 +76,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=30, smooth=5, scale=1_000_000_000, top=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +90,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_lossless_webp, op3_sentencepiece, op4_quality_classifier, op5_substring_dedup,
-        op6_language_id, op7_simhash, op8_token_files, op9_exact_dedup, op10_token_counts, op11_decontamination, pipeline,
+        op6_language_id, op7_simhash, op8_token_files, op9_exact_dedup, op10_token_counts, op11_decontamination, op12_source_divergence, pipeline,
     )
 }
 
@@ -124,5 +128,35 @@ with d as (
 )
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join found using (doc_id)
+""",
+    "op12_source_divergence": r"""
+with rows as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), words as (select r, lang, source, unnest(w) as term from rows),
+kept as (select lang, term from words group by lang, term having count(distinct r) >= 30),
+counts as (select lang, source, term, count(*) as c from words join kept using (lang, term) group by all),
+groups as (select distinct lang, source from rows),
+sizes as (select lang, count(*) as v from kept group by lang),
+dense as (
+  select g.lang, g.source, k.term, coalesce(c.c, 0) as c
+  from groups g join kept k using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), shares as (
+  select *, 1 + (1000000000::hugeint * (c + 5)) // (sum(c) over (partition by lang, source) + 5 * v) as p from dense join sizes using (lang)
+), langs as (
+  select lang, term, 1 + (1000000000::hugeint * (c + 5)) // (sum(c) over (partition by lang) + 5 * v) as q
+  from (select lang, term, sum(c) as c from dense group by all) join sizes using (lang)
+), pairs as (
+  select a.lang, a.source, b.source as item, cast(sum(abs(a.p - b.p)) as bigint) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+), terms as (
+  select lang, source, 'term' as part, term as item, cast(p - q as bigint) as value from shares join langs using (lang, term) where c > 0 and p > q
+)
+select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+from (from every union all from terms) qualify part = 'pair' or rank <= 50
 """,
 }
