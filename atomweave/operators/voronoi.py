@@ -1,7 +1,15 @@
-"""Periodic radical Voronoi cells of a slab, frame by frame."""
+"""Periodic power diagrams (radical Voronoi cells) of a slab, tile by tile.
+
+The plane of a frame is cut into tiles; a group is one tile with the points around it, periodic images included, up to a
+ghost width.  A cell is cut by the bisectors of the points seen, and it is whole if nothing farther away can cut it: with R its
+largest distance from its point and r its radius, points beyond R + sqrt(R^2 + max(0, r_max^2 - r^2)) can't.  Cells for which that
+reaches over what the tile sees are made anew with twice the ghost width, at last with the whole plane.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,38 +17,69 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import elements as el
+from .staging import staged
 from .topology import FRAME
 
+#: Points that a tile has on average, where no number of tiles is given.
+PER_TILE = 256
+CELLS = "traj string, frame long, atom long, sym string, mol long, area double, perimeter double, neighbours array<long>, sides array<double>, outline array<array<double>>"
+
 
-def without_overlaps(x: np.ndarray, radius: np.ndarray, least: float, box) -> np.ndarray:
-    """Which points stay: in order, of two within ``least`` the one with the larger radius, the earlier if they are equal."""
+def without_overlaps(x: np.ndarray, radius: np.ndarray, least: float, box=None) -> np.ndarray:
+    """Which points stay: in order, of two within ``least`` the one with the larger radius, the earlier if they are equal; ``box`` if it is periodic."""
     keep: list[int] = []
     for i in range(len(x)):
         d = x[keep] - x[i] if keep else np.empty((0, 2))
-        d -= np.array(box) * np.rint(d / np.array(box))
+        if box is not None:
+            d -= np.array(box) * np.rint(d / np.array(box))
         close = [keep[k] for k in np.flatnonzero((d * d).sum(1) < least * least)]
         if all(radius[j] < radius[i] for j in close):
             keep = [k for k in keep if k not in close] + [i]
     return np.array(sorted(keep), int)
 
 
-def cell(i: int, x: np.ndarray, radius: np.ndarray, box) -> tuple[np.ndarray, list[int]]:
-    """The polygon of point i and the neighbour behind each edge, by cutting a box-sized square with the power bisectors of all images."""
+def close_groups(x: np.ndarray, least: float) -> np.ndarray:
+    """For every point the smallest number of its group: points joined by steps of less than ``least``."""
+    up = np.arange(len(x))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    order = np.argsort(x[:, 0], kind="stable")
+    ahead = np.searchsorted(x[order, 0], x[order, 0] + least)
+    for a, b in enumerate(ahead.tolist()):
+        near = order[a + 1 : b]
+        for j in near[((x[near] - x[order[a]]) ** 2).sum(1) < least * least].tolist():
+            p, q = find(int(order[a])), find(j)
+            up[max(p, q)] = min(p, q)
+    return np.array([find(i) for i in range(len(x))], int)
+
+
+def cell(i: int, x: np.ndarray, radius: np.ndarray, box, widest: float) -> tuple[np.ndarray, list[int], float]:
+    """The polygon of point i among the points seen, the point behind each edge (i itself where none cuts), and the distance from which on no point can cut it.
+
+    It begins as a rectangle of the box's size: a cell never reaches beyond the bisectors with its own images.
+    """
     w, h = box
     poly = x[i] + np.array([[-w, -h], [w, -h], [w, h], [-w, h]]) / 2
     owner = [i] * 4
-    shift = np.array([[a * w, b * h] for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    image = (x[:, None, :] + shift[None]).reshape(-1, 2)
-    who = np.repeat(np.arange(len(x)), len(shift))
-    d = image - x[i]
+    d = x - x[i]
     far = (d * d).sum(1)
+    more = max(0.0, widest * widest - radius[i] ** 2)
+
+    def beyond() -> float:
+        reach = ((poly - x[i]) ** 2).sum(1).max()
+        return math.sqrt(reach) + math.sqrt(reach + more)
+
+    limit = beyond()
     for j in np.argsort(far, kind="stable"):
         if far[j] <= 1e-18:
             continue
-        reach = ((poly - x[i]) ** 2).sum(1).max()
-        if far[j] > 4 * reach + abs(radius[i] ** 2 - radius[who[j]] ** 2) + 1e-9:
+        if far[j] > limit * limit * (1 + 1e-12):
             break
-        offset = (far[j] + radius[i] ** 2 - radius[who[j]] ** 2) / 2
+        offset = (far[j] + radius[i] ** 2 - radius[j] ** 2) / 2
         side = (poly - x[i]) @ d[j] - offset
         if (side <= 0).all():
             continue
@@ -52,11 +91,12 @@ def cell(i: int, x: np.ndarray, radius: np.ndarray, box) -> tuple[np.ndarray, li
                 own.append(owner[k])
             if (a <= 0) != (b <= 0):
                 new.append(p + (q - p) * (a / (a - b)))
-                own.append(who[j] if a <= 0 else owner[k])
+                own.append(int(j) if a <= 0 else owner[k])
         poly, owner = np.array(new).reshape(-1, 2), own
         if len(poly) < 3:
-            return np.empty((0, 2)), []
-    return poly, owner
+            return np.empty((0, 2)), [], limit  # what has cut it away is near enough; more cuts change nothing
+        limit = beyond()
+    return poly, owner, limit
 
 
 def _sides(poly: np.ndarray) -> list[float]:
@@ -71,30 +111,95 @@ def area_and_rim(poly: np.ndarray) -> tuple[float, float]:
     return float(abs((poly[:, 0] * after[:, 1] - after[:, 0] * poly[:, 1]).sum()) / 2), float(np.sqrt(((after - poly) ** 2).sum(1)).sum())
 
 
-def voronoi_cells(atoms: DataFrame, box, low: float, high: float, least: float = 0.8, unit: float = 1.0) -> DataFrame:
-    """``traj, frame, atom, sym, mol, area, perimeter, neighbours, sides`` of the atoms with z from low to high.
+def tile_cells(pdf: pd.DataFrame, plane, counts, ghost: float, least: float, widest: float) -> pd.DataFrame:
+    """Cells of the tile's own points that are asked for; ``area`` is null where the points seen don't settle a cell.
 
-    Cells are power cells in the plane with van der Waals radii; atoms closer than ``least`` are thinned first.
+    Thinning goes by groups of close points; a group that the rim of what is seen may have cut is undecided, and so are the cells near it.
     """
-    radii = {r[0]: r[2] or 0.0 for r in el.rows()}
-    plane = (box[0] / unit, box[1] / unit)
+    pdf = pdf.sort_values(["atom", "x", "y"]).reset_index(drop=True)
+    x, r = pdf[["x", "y"]].to_numpy(float), pdf["radius"].to_numpy(float)
+    size = np.array(plane) / np.array(counts)
+    low = size * np.array([pdf["tx"][0], pdf["ty"][0]]) - ghost
+    high = low + size + 2 * ghost
+    whole = ghost >= max(plane)
+    if whole:  # every point is seen
+        base = np.unique(pdf["atom"].to_numpy(), return_index=True)[1]
+        stays = np.isin(pdf["atom"].to_numpy(), pdf["atom"].to_numpy()[base[without_overlaps(x[base] % np.array(plane), r[base], least, plane)]])
+        sure = np.ones(len(x), bool)
+    else:
+        group = close_groups(x, least)
+        rim = np.minimum(x - low, high - x).min(1) <= least
+        sure = ~np.isin(group, group[rim])
+        stays = np.ones(len(x), bool)
+        for g in np.unique(group[np.flatnonzero(np.bincount(group, minlength=len(x))[group] > 1)]):
+            of = np.flatnonzero(group == g)
+            stays[of] = False
+            stays[of[without_overlaps(x[of], r[of], least)]] = True
+    used = np.flatnonzero(sure & stays)
+    place = {int(j): k for k, j in enumerate(used)}
+    open_ = x[~sure]
+    atoms, rows = pdf["atom"].to_numpy(), []
+    for i in np.flatnonzero(pdf["todo"].to_numpy(bool) & (stays | ~sure)).tolist():
+        head = (pdf["traj"][0], pdf["frame"][0], int(atoms[i]), pdf["sym"][i], pdf["mol"][i])
+        if not sure[i]:
+            rows.append((*head, None, None, None, None, None))
+            continue
+        poly, owner, limit = cell(place[i], x[used], r[used], plane, widest)
+        seen = np.inf if whole else min((x[i] - low).min(), (high - x[i]).min(), np.sqrt(((open_ - x[i]) ** 2).sum(1)).min() if len(open_) else np.inf)
+        if limit > seen:
+            rows.append((*head, None, None, None, None, None))
+            continue
+        area, rim_ = area_and_rim(poly)
+        rows.append((*head, area, rim_, [int(atoms[used[j]]) for j in owner], _sides(poly), poly.tolist()))
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in CELLS.split(", ")])
+
+
+def _of_tile(*how):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return tile_cells(pdf, *how)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("atom").reset_index(drop=True)
-        x = pdf[["x", "y"]].to_numpy(float) / unit
-        r = pdf["sym"].map(radii).to_numpy(float)
-        keep = without_overlaps(x, r, least, plane)
-        pdf, x, r = pdf.iloc[keep].reset_index(drop=True), x[keep], r[keep]
-        rows = []
-        for i in range(len(x)):
-            poly, owner = cell(i, x, r, plane)
-            area, rim = area_and_rim(poly)
-            atoms_ = pdf["atom"].tolist()
-            rows.append((key[0], key[1], atoms_[i], pdf["sym"][i], pdf["mol"][i], area, rim, [atoms_[j] for j in owner], _sides(poly)))
-        return pd.DataFrame(rows, columns=["traj", "frame", "atom", "sym", "mol", "area", "perimeter", "neighbours", "sides"])
-
-    slab = atoms.where(F.col("z").between(low, high)).select(*FRAME, "atom", "sym", "mol", "x", "y")
-    return slab.groupBy(*FRAME).applyInPandas(run, "traj string, frame long, atom long, sym string, mol long, area double, perimeter double, neighbours array<long>, sides array<double>")
+    return run
+
+
+def voronoi_cells(atoms: DataFrame, box, low: float, high: float, least: float = 0.8, unit: float = 1.0, tiles: tuple[int, int] | None = None) -> DataFrame:
+    """``traj, frame, atom, sym, mol, area, perimeter, neighbours, sides, outline`` of the atoms with z from low to high.
+
+    Cells are power cells in the plane with van der Waals radii; atoms closer than ``least`` are thinned first.  ``tiles`` is how many
+    tiles the plane has each way, else as many as give ``PER_TILE`` points each where a frame has the most.  The result doesn't depend on it.
+    """
+    radii = F.create_map(*[F.lit(v) for r in el.rows() for v in (r[0], float(r[2] or 0.0))])
+    plane = (box[0] / unit, box[1] / unit)
+    near = [F.pmod(F.col(k) / unit, F.lit(float(length))).alias(k) for k, length in zip("xy", plane, strict=True)]
+    slab = atoms.where(F.col("z").between(low, high)).select(*FRAME, "atom", "sym", "mol", *near, F.coalesce(radii[F.col("sym")], F.lit(0.0)).alias("radius"))
+    slab = staged(slab, "voronoi-points")
+    most = slab.groupBy(*FRAME).agg(F.count("*").alias("n"), F.max("radius").alias("r")).agg(F.max("n"), F.max("r")).first()  # two numbers
+    n, widest = most[0] or 0, most[1] or 0.0
+    if tiles is None:
+        side = math.sqrt(PER_TILE * plane[0] * plane[1] / max(1, n))
+        tiles = tuple(max(1, int(length / side)) for length in plane)
+    step = [length / k for length, k in zip(plane, tiles, strict=True)]
+    ghost = max(plane) if max(tiles) == 1 else min(max(plane), 4 * math.sqrt(plane[0] * plane[1] / max(1, n)) + 2 * least)
+    own = [F.least(F.floor(F.col(k) / w), F.lit(m - 1)).cast("int") for k, w, m in zip("xy", step, tiles, strict=True)]
+    out, todo = None, None
+    while True:
+        rows = slab.withColumn("todo", F.lit(True)) if todo is None else slab.join(todo.withColumn("todo", F.lit(True)), [*FRAME, "atom"], "left").fillna(False, ["todo"])
+        rows = rows.withColumns({"ox": own[0], "oy": own[1]})
+        spread = rows
+        for k, w, m, length in zip("xy", step, tiles, plane, strict=True):
+            reach = F.sequence(F.floor((F.col(k) - ghost) / w).cast("int"), F.floor((F.col(k) + ghost) / w).cast("int"))
+            spread = spread.withColumn("_k", F.explode(reach)).withColumns({f"t{k}": F.pmod("_k", F.lit(m)), k: F.col(k) - F.floor(F.col("_k") / m) * length, "todo": F.col("todo") & (F.col("_k") == F.col(f"o{k}"))}).drop("_k")
+        if todo is not None:  # only tiles with open cells
+            spread = spread.join(rows.where("todo").select(*FRAME, F.col("ox").alias("tx"), F.col("oy").alias("ty")).distinct(), [*FRAME, "tx", "ty"])
+
+        found = spread.drop("ox", "oy").groupBy(*FRAME, "tx", "ty").applyInPandas(_of_tile(plane, tiles, ghost, least, widest), CELLS)
+        if ghost >= max(plane):
+            return found if out is None else out.unionByName(found)
+        found = staged(found, "voronoi-cells")
+        out = found.where("area is not null") if out is None else out.unionByName(found.where("area is not null"))
+        todo = found.where("area is null").select(*FRAME, "atom")
+        if todo.isEmpty():
+            return out
+        ghost = min(2 * ghost, max(plane))
 
 
 def domain_areas(cells: DataFrame, by: str = "sym") -> DataFrame:

@@ -161,6 +161,42 @@ def test_voronoi_areas_fill_the_plane(spark):
     assert voronoi.voronoi_cells(a, BOX, 0.0, 2.0).agg(F.sum("area")).first()[0] == pytest.approx(100.0, rel=1e-9)
 
 
+def _plane(spark, n, length, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice("OHC"), rnd.random() * length, rnd.random() * length, 1.0) for _ in range(n)]
+    return rows, atoms(spark, rows), (length, length, 10.0)
+
+
+def test_voronoi_cells_do_not_depend_on_tiles(spark):
+    _, a, box = _plane(spark, 300, 22.0, 6)
+    whole = {r.atom: r for r in voronoi.voronoi_cells(a, box, 0.0, 2.0, tiles=(1, 1)).collect()}
+    assert len(whole) < 300 and sum(r.area for r in whole.values()) == pytest.approx(22.0**2, rel=1e-9)
+    for tiles in ((4, 4), (7, 3)):
+        got = voronoi.voronoi_cells(a, box, 0.0, 2.0, tiles=tiles).collect()
+        assert sorted(r.atom for r in got) == sorted(whole)
+        for r in got:
+            assert r.area == pytest.approx(whole[r.atom].area, rel=1e-9) and r.perimeter == pytest.approx(whole[r.atom].perimeter, rel=1e-9)
+            assert sorted(r.neighbours) == sorted(whole[r.atom].neighbours)
+
+
+def test_voronoi_areas_equal_a_fine_grid(spark):
+    rows, a, box = _plane(spark, 60, 9.0, 7)
+    cells = {r.atom: r for r in voronoi.voronoi_cells(a, box, 0.0, 2.0, tiles=(3, 3)).collect()}
+    radius = {r[0]: r[2] for r in elements.rows()}
+    own = sorted(cells)
+    x, r = np.array([rows[i][1:3] for i in own]), np.array([radius[rows[i][0]] for i in own])
+    step = 9.0 / 900
+    at = (np.arange(900) + 0.5) * step
+    best, who = np.full((900, 900), np.inf), np.zeros((900, 900), int)
+    for k in range(len(own)):
+        dx, dy = (at - x[k][n] - 9.0 * np.rint((at - x[k][n]) / 9.0) for n in (0, 1))
+        power = (dx * dx)[:, None] + (dy * dy)[None] - r[k] ** 2
+        best, who = np.minimum(best, power), np.where(power < best, k, who)
+    counted = np.bincount(who.ravel(), minlength=len(own)) * step * step
+    for k, i in enumerate(own):
+        assert abs(counted[k] - cells[i].area) <= 2 * step * cells[i].perimeter + 1e-3
+
+
 def test_byte_ranges_give_the_same_frames(tmp_path):
     rnd = random.Random(8)
     line = lambda: f"{rnd.choice(['O', 'H'])} " + " ".join(f"{rnd.random():.{rnd.randint(1, 9)}f}" for _ in range(3)) + "\n"
