@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, exact_dedup, language_id, media, packing, paragraphs, pieces, quality, simhash, token_counts, token_files
+from . import decontamination, divergence, exact_dedup, language_id, media, packing, paragraphs, pieces, prefix_trie, quality, simhash, token_counts, token_files
 from .common import bounded_batches
 
 
@@ -80,6 +80,16 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=30, smooth=5, scale=1_000_000_000, top=50)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = prefix_trie.ranked_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    rebuilt, members = prefix_trie.with_heads(ranked, base=conv - conv % 100, head=F.crc32(conv.cast("string").cast("binary")) % 6)
+    trie = prefix_trie.prefix_trie(rebuilt, members)
+    digest = F.coalesce("digest", F.lit(prefix_trie.NOTHING)).alias("ends_sha256")
+    out = trie.nodes.join(prefix_trie.ends_digests(trie.ends), ["conv_id", "depth"], "left")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), digest)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +100,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_lossless_webp, op3_sentencepiece, op4_quality_classifier, op5_substring_dedup,
-        op6_language_id, op7_simhash, op8_token_files, op9_exact_dedup, op10_token_counts, op11_decontamination, op12_source_divergence, pipeline,
+        op6_language_id, op7_simhash, op8_token_files, op9_exact_dedup, op10_token_counts, op11_decontamination, op12_source_divergence, op13_prefix_trie, pipeline,
     )
 }
 
@@ -158,5 +168,40 @@ dense as (
 )
 select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
 from (from every union all from terms) qualify part = 'pair' or rank <= 50
+""",
+    "op13_prefix_trie": r"""
+with own as (
+  select conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as x, length(coalesce(text, '')) as points, turn
+  from conversations where conv_id is not null
+), ranked as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, x) as r, x, points from own
+), sizes as (select conv_id, count(*) as len from ranked group by conv_id),
+heads as (
+  select c.conv_id, c.conv_id - c.conv_id % 100 as base, h, least(h, coalesce(b.len, 0)) as taken, coalesce(b.len, 0) as base_len, c.len
+  from (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda ch: ascii(ch)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 6 as h from sizes) c left join sizes b on b.conv_id = c.conv_id - c.conv_id % 100
+), turns as (
+  select c.conv_id, r as d, x, points from heads c join ranked b on b.conv_id = c.base and r <= taken
+  union all
+  select c.conv_id, r - h + taken, x, points from heads c join ranked using (conv_id) where r > h
+), members as (select conv_id, taken + greatest(len - h, 0) as len from heads),
+paths as (
+  select conv_id, d, points, sha256(string_agg(x, '') over (partition by conv_id order by d rows unbounded preceding)) as p from turns
+  union all select conv_id, 0, 0, '' from members
+), mapped as (
+  select conv_id as member, d, points, p, min(conv_id) over (partition by d, p) as node from paths
+), nodes as (
+  select node, d, max(points) as points, count(*) as n from mapped group by node, d
+), links as (
+  select c.node, c.d, m.node as parent from nodes c left join mapped m on m.member = c.node and m.d = c.d - 1
+), children as (select parent as node, d - 1 as d, count(*) as n from links where d > 0 group by all),
+below as (
+  select m.node, m.d, sum((u.n - 1) * u.points) as saved, count(*) filter (k.n is null) as leaves
+  from nodes u left join children k on k.node = u.node and k.d = u.d join mapped m on m.member = u.node and m.d <= u.d group by m.node, m.d
+), ends as (
+  select node, d, sha256(string_agg(cast(member as varchar), ',' order by member)) as digest from mapped join members on conv_id = member and len = d group by node, d
+)
+select n.node as conv_id, cast(n.d as bigint) as depth, l.parent as parent_conv_id, n.n as n_convs, coalesce(k.n, 0) as n_children, b.leaves as n_leaves, cast(b.saved as bigint) as saved_tokens,
+       coalesce(e.digest, sha256('')) as ends_sha256
+from nodes n join links l using (node, d) join below b using (node, d) left join children k using (node, d) left join ends e using (node, d)
 """,
 }
