@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import column, components, id_in, id_out, join_hot, likely_in, release_held, staged, unused
-from .words import MIX, WORD, Words, chunks, mixed, shingle_set, words_of
+from .words import LOWER, MIX, WORD, Words, chunks, mixed, shingle_set
 
 #: Paragraphs that one worker compares at a time; a larger bucket is dealt again, then cut into blocks of which every two meet.
 LIMIT = 256
@@ -249,67 +250,105 @@ def _runs(found) -> list[list]:
     return runs
 
 
+STRETCH = ["id", "h", "first", "pos", "end", "start", "stop", "l_own", "l_id", "l_h", "l_at", "l_words", "r_own", "r_id", "r_h", "r_at", "r_words"]
+#: Words at the end of a changed paragraph by which its place in the other one is found.
+ANCHOR = 3
+
+
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row per stretch: what is removed, and where its ends go on here (``at``) and at the place that keeps them."""
-    columns = ["id", "h", "first", "pos", "end", "start", "stop", "l_id", "l_h", "l_at", "r_id", "r_h", "r_at"]
+    """A row per stretch: what is removed; where its first paragraph ends and its last one begins (``l_own, r_own``), the same of the places that keep them, and how many words those have."""
     for b in batches:
         out = []
         for doc, h, found in zip(b["id"], b["h"], b["found"], strict=True):
             for pos, end, start, stop, left, right in _runs(found):
-                out.append((doc, h, left["k_id"], pos, end, start, stop, left["k_id"], left["k_h"], left["k_pos"], right["k_id"], right["k_h"], right["k_pos"] + right["k_words"]))
-        yield pd.DataFrame(out, columns=columns)
-
-
-def _common(own: str | None, other: str | None, own_words: int, other_words: int, left: bool) -> tuple[int, int]:
-    """(words, code points) that two neighbouring paragraphs have in common at the end of a stretch."""
-    if own is None or other is None:
-        return 0, 0
-    places = list(WORD.finditer(own))[:own_words]
-    a, b = words_of(own)[:own_words], words_of(other)[:other_words]
-    if left:
-        a.reverse()
-        b.reverse()
+                out.append((doc, h, left["k_id"], pos, end, start, stop, pos + left["words"], left["k_id"], left["k_h"], left["k_pos"] + left["k_words"], left["k_words"], right["pos"], right["k_id"], right["k_h"], right["k_pos"], right["k_words"]))
+        yield pd.DataFrame(out, columns=STRETCH)
+
+
+def _surroundings(reach: int):
+    """``words, points`` of every place asked for: up to ``reach`` words from there on, to the left or right, and where they begin (left) or end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words, points = [], []
+            for key, found in zip(b["key"], b["found"], strict=True):
+                some = {}
+                for p in found if found is not None else ():
+                    if p["pos"] is not None:
+                        some |= {p["pos"] + k: (m.group(), p["start"] + m.start(), p["start"] + m.end()) for k, m in enumerate(islice(WORD.finditer(p["sh"]), p["words"]))}
+                step = -1 if key["left"] else 1
+                at, w, x = key["at"] + min(step, 0), [], []
+                while len(w) < reach and at in some:
+                    w.append(some[at][0].encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass"))
+                    x.append(some[at][1 if key["left"] else 2])
+                    at += step
+                words.append(w)
+                points.append(x)
+            yield pd.DataFrame({"key": b["key"], "n": b["n"], "words": words, "points": points})
+
+    return run
+
+
+def common_words(own: list[str], size: int, other: list[str], other_size: int) -> int:
+    """How many words go on to be the same behind two paragraphs of these sizes, which the lists begin with.
+
+    Of paragraphs that aren't equal the one may end earlier: then the comparison begins where the last words of ``own`` stand in the other.
+    """
+    if size > len(own) or other_size > len(other):
+        return 0
+    last, at = own[max(0, size - ANCHOR) : size], other_size
+    k = len(last)
+    if other[at - k : at] != last:
+        found = [e for e in range(k, len(other) + 1) if other[e - k : e] == last]
+        at = min(found, key=lambda e: abs(e - size), default=at)
     n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
+    while size + n < len(own) and at + n < len(other) and own[size + n] == other[at + n]:
         n += 1
-    if not n:
-        return 0, 0
-    return n, (places[-1].end() - places[-n].start() if left else places[n - 1].end())
+    return n
 
 
 def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for r in b.itertuples(index=False):
-            keeper = (r.id, r.h, r.pos - r.l_own_words) == (r.l_id, r.l_h, r.l_at)  # the paragraph before the stretch keeps its text
-            n, size = (0, 0) if keeper else _common(r.l_own, r.l_other, r.l_own_words, r.l_other_words, True)
-            m, more = _common(r.r_own, r.r_other, r.r_own_words, r.r_other_words, False)
-            start = r.l_own_start + r.l_own_points - size if n else r.start
-            stop = r.r_own_start + more if m else r.stop
+            side = {x["role"]: (x["words"].tolist(), x["points"]) for x in r.found}
+            first, last = r.l_own - r.pos, r.end - r.r_own
+            n = common_words(side[0][0], first, side[1][0], r.l_words)
+            m = common_words(side[2][0], last, side[3][0], r.r_words)
+            if (r.id, r.h) == (r.l_id, r.l_h):  # not over the place that keeps the text
+                n = min(n, max(0, r.pos - r.l_at))
+            start = side[0][1][first + n - 1] if n else r.start
+            stop = side[2][1][last + m - 1] if m else r.stop
             out.append((r.id, r.h, r.first, r.pos - n, r.end + m, start, stop))
-        yield pd.DataFrame(out, columns=["id", "h", "first", "pos", "end", "start", "stop"])
+        yield pd.DataFrame(out, columns=STRETCH[:7])
 
 
-def extended(stretches: DataFrame, table: DataFrame) -> DataFrame:
+def extended(stretches: DataFrame, table: DataFrame, reach: int) -> DataFrame:
     """Stretches ``id, h, first, pos, end, start, stop`` with the words at their ends that are the same where the text is kept.
 
-    Only the paragraphs next to a stretch are looked at: whole ones would belong to it.  A stretch does not grow over the
-    paragraph that keeps its text.
+    Words are compared one by one, over the borders of paragraphs, up to ``reach`` from the far end of the outermost paragraph on.  Near the
+    ends of a passage cuts depend on what stands around it, but of every ``window`` grams inside it one begins a paragraph in all copies; so
+    beyond a stretch less than two windows of words can be the same, and a paragraph has about a window of them.  A stretch does not grow over
+    the place that keeps its text.  Places asked for by very many stretches are joined by broadcast.
     """
-    s = stretches
-    side = lambda i, h, at, left: s.select(F.col(i).alias("id"), F.col(h).alias("h"), F.col(at).alias("at"), F.lit(left).alias("left"))
-    asked = side("id", "h", "pos", True).union(side("l_id", "l_h", "l_at", True)).union(side("id", "h", "end", False)).union(side("r_id", "r_h", "r_at", False)).distinct()
-    asked = staged(asked, "ends-asked")
-    spot = F.array(F.struct((F.col("pos") + F.col("words")).alias("at"), F.lit(True).alias("left")), F.struct(F.col("pos").alias("at"), F.lit(False).alias("left")))
-    rows = table.select("id", "h", F.explode(spot).alias("x"), "words", "start", (F.col("stop") - F.col("start")).alias("points"), "sh").select("id", "h", "x.at", "x.left", "words", "start", "points", "sh")
-    place = F.xxhash64("id", "h", "at", "left")
-    near = staged(likely_in(rows, place, asked, place).join(asked, ["id", "h", "at", "left"]).dropDuplicates(["id", "h", "at", "left"]), "ends-found")
-    out = s
-    for name, left, (i, h, at) in (("l_own", True, ("id", "h", "pos")), ("l_other", True, ("l_id", "l_h", "l_at")), ("r_own", False, ("id", "h", "end")), ("r_other", False, ("r_id", "r_h", "r_at"))):
-        own = near.where(F.col("left") == left).select(F.col("id").alias(f"{name}_i"), F.col("h").alias(f"{name}_h"), F.col("at").alias(f"{name}_at"), F.col("sh").alias(name), F.col("words").alias(f"{name}_words"), F.col("start").alias(f"{name}_start"), F.col("points").alias(f"{name}_points"))
-        out = out.join(own, (F.col(i) == F.col(f"{name}_i")) & (F.col(h) == F.col(f"{name}_h")) & (F.col(at) == F.col(f"{name}_at")), "left").drop(f"{name}_i", f"{name}_h", f"{name}_at")
-    numbers = [c for c in out.columns if c.endswith(("_words", "_start", "_points"))]
-    return out.fillna(0, numbers).mapInPandas(_extended, "id long, h long, first long, pos int, end int, start int, stop int")
+    role = lambda n, i, h, at, left: F.struct(F.lit(n).alias("role"), F.struct(F.col(i).alias("id"), F.col(h).alias("h"), F.col(at).alias("at"), F.lit(left).alias("left")).alias("key"))
+    roles = F.array(role(0, "id", "h", "l_own", True), role(1, "l_id", "l_h", "l_at", True), role(2, "id", "h", "r_own", False), role(3, "r_id", "r_h", "r_at", False))
+    asking = stretches.select(*STRETCH, F.explode(roles).alias("x")).select(*STRETCH, "x.role", "x.key")
+    asked = staged(asking.groupBy("key").agg(F.count("*").alias("n")), "ends-asked")
+    bucket = lambda c: F.floor(c / reach).cast("int")
+    low = F.when(F.col("key.left"), F.col("key.at") - reach).otherwise(F.col("key.at"))
+    there = asked.select("key", F.explode(F.sequence(F.greatest(bucket(low), F.lit(0)), F.greatest(bucket(low + reach - 1), F.lit(0)))).alias("bucket"))
+    there = there.select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "bucket", "key")
+    # a paragraph stands in the stretches of ``reach`` words that it begins and ends in, and in the next ones inside it
+    first, last = bucket(F.col("pos")), bucket(F.col("pos") + F.col("words") - 1)
+    inside = F.array_distinct(F.array(first, F.least(first + 1, last), F.greatest(last - 1, first), last))
+    rows = table.select("id", "h", F.explode(inside).alias("bucket"), "pos", "words", "start", "sh")
+    place = F.xxhash64("id", "h", "bucket")
+    near = likely_in(rows, place, there, place).join(there, ["id", "h", "bucket"]).groupBy("key").agg(F.collect_set(F.struct("pos", "words", "start", "sh")).alias("found"))
+    seen = asked.join(near, "key", "left").mapInPandas(_surroundings(reach), "key struct<id:bigint,h:bigint,at:int,left:boolean>, n long, words array<string>, points array<int>")
+    seen = staged(seen, "ends-seen")
+    sides = join_hot(asking, seen, "key", "n").groupBy(*STRETCH).agg(F.collect_list(F.struct("role", "words", "points")).alias("found"))
+    return sides.mapInPandas(_extended, "id long, h long, first long, pos int, end int, start int, stop int")
 
 
 def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int = 13, window: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,9 +386,9 @@ def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int =
     again = copies.where(F.struct(*PLACE) != F.struct("keep.id", "keep.h", "keep.pos"))
     part = F.struct("pos", "start", "stop", "words", F.col("keep.id").alias("k_id"), F.col("keep.h").alias("k_h"), F.col("keep.pos").alias("k_pos"), F.col("keep.words").alias("k_words"))
     of_text = again.groupBy("id", "h").agg(F.sort_array(F.collect_set(part)).alias("found"))
-    numbers = ", ".join(f"{c} {'long' if c in ('id', 'h', 'first') or c.endswith(('_id', '_h')) else 'int'}" for c in ("id", "h", "first", "pos", "end", "start", "stop", "l_id", "l_h", "l_at", "r_id", "r_h", "r_at"))
+    numbers = ", ".join(f"{c} {'long' if c in ('id', 'h', 'first') or c.endswith(('_id', '_h')) else 'int'}" for c in STRETCH)
     stretches = staged(of_text.mapInPandas(_stretches, numbers), "stretches")
-    whole = extended(stretches, table).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "start", "stop", "first"))).alias("found"))
+    whole = extended(stretches, table, 4 * window).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "start", "stop", "first"))).alias("found"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

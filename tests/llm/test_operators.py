@@ -376,7 +376,7 @@ def test_paragraphs_are_those_of_a_plain_cutter():
     mixed = lambda x, k: (lambda y: y ^ y >> 29)((x ^ x >> 31) * int(words_.MIX[k]) % 2**64)
     rows = []
     for t, text in enumerate(texts):
-        words = paragraphs.words_of(text)
+        words = words_.words_of(text)
         m = [mixed(sum((b + 1) * pow(words_.BASE, k, 2**64) for k, b in enumerate(w)) % 2**64, 0) for w in words]  # noqa: B023
         g = [mixed((m[i] + m[i + 1] * int(words_.MIX[1]) + m[i + 2] * int(words_.MIX[2])) % 2**64, 3) for i in range(len(m) - 2)]
         cut = {min(range(i, i + 6), key=lambda j: (g[j] >> 32, j)) for i in range(len(g) - 5)}  # noqa: B023
@@ -390,6 +390,35 @@ def test_paragraphs_are_those_of_a_plain_cutter():
     assert np.concatenate([x["b2"] for x in alone]).tolist() == got["b2"].tolist() and np.concatenate([x["k1"] for x in alone]).tolist() == got["k1"].tolist()
 
 
+def test_removed_spans_are_the_common_runs_of_brute_force(spark):
+    """All words of runs of 50 words or more that an earlier text has go; other words only in similar paragraphs at their ends."""
+    rnd = random.Random(29)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    passages = [[word() for _ in range(rnd.randint(50, 95))] for _ in range(25)]
+    texts = []
+    for _ in range(70):
+        t = [word() for _ in range(rnd.randint(0, 40))]
+        for p in rnd.sample(passages, rnd.randint(0, 3)):
+            t += p + [word() for _ in range(rnd.randint(0, 40))]
+        texts.append(t)
+    rows = {r.doc_id: r for r in paragraphs.substring_dedup(docs(spark, [" ".join(t) for t in texts])).collect()}
+    seen: dict = {}
+    for n, t in enumerate(texts):
+        must, may = set(), set()
+        for i in range(len(t)):
+            for m, j in seen.get(t[i], ()):
+                k = 0
+                while i + k < len(t) and j + k < len(texts[m]) and t[i + k] == texts[m][j + k]:
+                    k += 1
+                must |= set(range(i, i + k)) if k >= 50 else set()
+                may |= set(range(i, i + k)) if k >= 13 else set()
+        for i, w in enumerate(t):
+            seen.setdefault(w, []).append((n, i))
+        starts = {x: i for i, x in enumerate(np.cumsum([0] + [len(w) + 1 for w in t])[:-1].tolist())}
+        gone = {i for s in rows[n].spans or [] for x, i in starts.items() if s.start <= x < s.stop}
+        assert must <= gone and all(must & set(range(i - 6, i + 7)) for i in gone - must - may), n
+
+
 def test_passages_of_just_over_50_words_go_whole(spark):
     rnd = random.Random(13)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
