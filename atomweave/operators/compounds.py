@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from . import topology
+from .staging import staged
 from .topology import FRAME, extended_connectivity
 
 
@@ -139,9 +140,9 @@ def compound_labels(mols: DataFrame, bond: DataFrame) -> DataFrame:
 def recognise(atoms: DataFrame, box, config: EngineConfig | None = None, forbidden: DataFrame | None = None, unit: float = 1.0) -> Topology:
     """Molecules, compounds and labels of every frame by itself."""
     c = config or EngineConfig()
-    edges = topology.candidate_edges(atoms, box, unit, c.excluded, forbidden, c.search, c.bond)
-    mols = topology.molecules(atoms, edges)
-    bond = topology.bonds(edges, mols)
+    edges = staged(topology.candidate_edges(atoms, box, unit, c.excluded, forbidden, c.search, c.bond), "edges")
+    mols = staged(topology.molecules(atoms, edges), "molecules")
+    bond = staged(topology.bonds(edges, mols), "bonds")
     kinds = topology.classified(mols, bond)
     order = W.partitionBy(*FRAME).orderBy("formula", "types", "hash")
     kinds = kinds.select(*FRAME, "mol", "formula", F.dense_rank().over(order).alias("comp"), F.concat_ws("|", "formula", "types", "hash").alias("key"))

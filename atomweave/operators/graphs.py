@@ -2,39 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .topology import FRAME
+
+FRAME = ["traj", "frame"]
+
+
+#: Atoms in a row whose links one task contracts, and links it looks at together.
+BLOCK, TOGETHER = 4096, 200_000
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """``traj, frame, hi, lo`` with the same components as the links given, most of them stars already.
+
+    Links are dealt by frame and blocks of atoms; a task joins what it sees, ``TOGETHER`` links at a time, and hands on a link from each
+    atom to the smallest one it has found.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict = {}
+
+        def find(x):
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        def emptied() -> pd.DataFrame:
+            out = [(*x[:2], x[2], find(x)[2]) for x in list(up)]
+            up.clear()
+            return pd.DataFrame([r for r in out if r[2] != r[3]], columns=[*FRAME, "hi", "lo"])
+
+        for b in batches:
+            for traj, frame, hi, lo in zip(b["traj"], b["frame"].tolist(), b["hi"].tolist(), b["lo"].tolist(), strict=True):
+                p, q = find((traj, frame, hi)), find((traj, frame, lo))
+                up.setdefault((traj, frame, hi), (traj, frame, hi))
+                up.setdefault((traj, frame, lo), (traj, frame, lo))
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+            if len(up) > TOGETHER:
+                yield emptied()
+        yield emptied()
+
+    dealt = links.select(*FRAME, "hi", "lo").repartition(*FRAME, F.floor(F.col("lo") / BLOCK))
+    return dealt.mapInPandas(run, "traj string, frame long, hi long, lo long")
+
+
+def links_sum(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*FRAME, "hi", "lo").cast("decimal(38,0)"))).first())
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``traj, frame, atom, comp`` of undirected edges ``src, dst``; ``comp`` is the smallest atom of the component.
 
-    Within frames, large-star and small-star steps alternate until the links no longer change; both are aggregations and
-    joins, so that no frame has to fit a worker.
+    Within frames, tasks first contract the links they see; then large-star and small-star steps alternate until the links no longer
+    change; both are aggregations and joins, so that no frame has to fit a worker.
     """
-    e = edges.where("src <> dst").select(*FRAME, F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
-    e, seen = staged(e, "star"), None
-    while True:
+    e = edges.where("src <> dst").select(*FRAME, F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
+    e = staged(contracted(e).distinct(), "star")
+    now, seen = links_sum(e), None
+    while now != seen and now[0]:
         both = e.toDF(*FRAME, "u", "v").union(e.select(*FRAME, "lo", "hi"))
         least = both.groupBy(*FRAME, "u").agg(F.min("v").alias("m")).select(*FRAME, "u", F.least("u", "m").alias("m"))
         large = staged(both.where("v > u").join(least, [*FRAME, "u"]).select(*FRAME, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
         own = large.groupBy(*FRAME, "u").agg(F.min("v").alias("m"))
         small = large.join(own, [*FRAME, "u"]).where("v <> m").select(*FRAME, F.col("v").alias("hi"), F.col("m").alias("lo"))
         e = staged(small.union(own.toDF(*FRAME, "hi", "lo")).distinct(), "small-star")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*FRAME, "hi", "lo").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
-            break
-        seen = now
+        seen, now = now, links_sum(e)
     own = nodes.select(*FRAME, "atom")
     return own.join(e.toDF(*FRAME, "atom", "comp"), [*FRAME, "atom"], "left").withColumn("comp", F.coalesce("comp", "atom"))
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """``traj, frame, src, dst``: all pairs of which the one reaches the other along directed edges, the edges included.
+
+    Paths are put together from paths of up to the same length, so that a chain of n edges takes about log2(n) rounds.
+    """
+    e = staged(edges.select(*FRAME, "src", "dst").distinct(), "paths")
+    n = e.count()
+    while True:
+        on = e.select(*FRAME, F.col("src").alias("dst"), F.col("dst").alias("end"))
+        e = staged(e.join(on, [*FRAME, "dst"]).select(*FRAME, "src", F.col("end").alias("dst")).where("src <> dst").union(e).distinct(), "paths")
+        before, n = n, e.count()
+        if n == before:
+            return e
+
+
 def reach_levels(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Nodes first reached at each distance below ``depth``: ``traj, frame, seed, node, level``, breadth first by joins.
 

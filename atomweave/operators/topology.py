@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import AXES
 from ..sources import elements as el
 from .cells import pairs_within
+from .graphs import FRAME, closure, components
 from .staging import staged
 
-FRAME = ["traj", "frame"]
-
 
 def candidate_edges(atoms: DataFrame, box, unit: float = 1.0, excluded: Iterable[str] = el.EXCLUDED, forbidden: DataFrame | None = None, search: float = el.SEARCH_SCALE, bond: float = el.BOND_SCALE) -> DataFrame:
     """Directed edges ``src -> dst`` with ``d2``: dst lies in the search radius of src and the pair is close enough for a bond.
@@ -40,26 +39,25 @@ def candidate_edges(atoms: DataFrame, box, unit: float = 1.0, excluded: Iterable
     return out
 
 
-#: Steps of propagation that are planned together before their result is written.
-STEPS = 2
-
-
 def seeds(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     """``traj, frame, atom, seed``: the smallest atom that reaches each along directed edges.
 
-    The least number spreads along the edges until nothing changes, a few joins at a time, so that no frame has to fit a worker;
-    a molecule takes as many steps as its longest path from the seed.
+    Atoms joined both ways reach each other, so these pairs are contracted to components first.  What is left is the few edges of
+    one direction between components; their closure is made by doubling paths, and each component takes the smallest that reaches it.
     """
-    own = atoms.select(*FRAME, F.col("atom").alias("src"), F.col("atom").alias("dst"))
-    e = staged(edges.select(*FRAME, "src", "dst").unionByName(own).distinct(), "reach-edges")
-    now, total = atoms.select(*FRAME, "atom", F.col("atom").alias("seed")), None
-    while True:
-        for _ in range(STEPS):
-            now = e.join(now.withColumnRenamed("atom", "src"), [*FRAME, "src"]).groupBy(*FRAME, F.col("dst").alias("atom")).agg(F.min("seed").alias("seed"))
-        now = staged(now, "reach")
-        before, total = total, now.agg(F.sum(F.col("seed").cast("decimal(38,0)"))).first()[0]
-        if total == before:  # seeds only fall
-            return now
+    pair = F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    ways = staged(edges.groupBy(*FRAME, pair.alias("p")).agg(F.count_if(F.col("src") < F.col("dst")).alias("up"), F.count_if(F.col("src") > F.col("dst")).alias("down")).select(*FRAME, "p.a", "p.b", "up", "down"), "ways")
+    both = ways.where("up > 0 and down > 0").select(*FRAME, F.col("a").alias("src"), F.col("b").alias("dst"))
+    comp = components(atoms, both)
+    single = ways.where("(up > 0) <> (down > 0)")
+    if single.isEmpty():
+        return comp.withColumnRenamed("comp", "seed")
+    comp = staged(comp, "mutual")
+    single = single.select(*FRAME, F.when(F.col("up") > 0, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("up") > 0, F.col("b")).otherwise(F.col("a")).alias("dst"))
+    end = lambda c: comp.select(*FRAME, F.col("atom").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = single.join(end("src"), [*FRAME, "src"]).join(end("dst"), [*FRAME, "dst"]).select(*FRAME, F.col("src_comp").alias("src"), F.col("dst_comp").alias("dst")).where("src <> dst")
+    least = closure(between).groupBy(*FRAME, F.col("dst").alias("comp")).agg(F.min("src").alias("least"))
+    return comp.join(least, [*FRAME, "comp"], "left").select(*FRAME, "atom", F.least("comp", F.coalesce("least", "comp")).alias("seed"))
 
 
 def molecules(atoms: DataFrame, edges: DataFrame) -> DataFrame:

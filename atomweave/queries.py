@@ -16,6 +16,7 @@ from .functions.geometry import AXES, label_is, wrap
 from .operators import graphs, series, topology, transfers, voronoi
 from .operators.cells import nearest, pairs_within
 from .operators.histograms import Bins, linear, simple, simple2, to_total, to_volume
+from .operators.staging import staged
 from .plans import analyses
 from .sources.tables import BOX, SQL, L, li_atoms, vec_atoms, vec_walk
 
@@ -330,7 +331,7 @@ def forbid_pairs(spark, sf):
 
 def _topology(spark, sf):
     a = vec_atoms(spark, sf)
-    edges = topology.candidate_edges(a, BOX, U)
+    edges = staged(topology.candidate_edges(a, BOX, U), "edges")
     mols = topology.molecules(a, edges)
     return a, edges, mols, topology.bonds(edges, mols)
 
