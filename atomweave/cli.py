@@ -20,7 +20,7 @@ from .config import EngineConfig
 from .plans import jobs
 from .plans.system import System
 from .sources.sinks import SINKS, compound_drawings, compound_lines
-from .sources.trajectories import format_of, read_trajectory
+from .sources.trajectories import format_of, open_trajectory
 
 
 class Answers:
@@ -101,14 +101,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask:
     answers = Answers(args.input, args.log, ask)
     try:
         box = _numbers(answers.get("box")) if kind == "xyz" else [0.0, 0.0, 0.0]
-        atoms = read_trajectory(spark, args.trajectory, box, kind)
-        if kind != "xyz":
-            first = atoms.where("frame = 0").first()
-            if first is None:
-                raise ValueError("the trajectory has no frame")
-            box = [first.lx, first.ly, first.lz]
+        found = open_trajectory(spark, args.trajectory, box, kind)
+        if not found.frames:
+            raise ValueError("the trajectory has no frame")
+        own = ["lx", "ly", "lz"] if found.own_boxes else []
         frame = int(answers.get("topology_frame", 0))
-        system = System(atoms.select("traj", "frame", "atom", "sym", "x", "y", "z"), tuple(box), EngineConfig.load(args.config), topology_frame=frame)
+        atoms = found.atoms.select("traj", "frame", "atom", "sym", "x", "y", "z", *own)
+        system = System(atoms, found.box, EngineConfig.load(args.config), own_boxes=found.own_boxes).at_frame(frame)
+        box = list(system.box)
         breaks = answers.get("break_bonds", "none")
         if breaks != "none":
             parts = [x.split() for x in breaks.split(",")] if isinstance(breaks, str) else breaks

@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 AXES = ("x", "y", "z")
 
 
+def box_columns(box) -> list[str]:
+    """The columns that hold the box's lengths, where it has names of columns in place of numbers: each frame then has a box of its own."""
+    return [v for v in box if isinstance(v, str)]
+
+
+def length_of(box, axis: str, prefix: str = ""):
+    """The box's length along an axis: a number, or the column (with the prefix of a side) that holds it."""
+    v = box[AXES.index(axis)]
+    return F.col(f"{prefix}{v}") if isinstance(v, str) else v
+
+
 def wrap(c: Column, length) -> Column:
     """Into [0, length); a length of 0 leaves the coordinate as it is."""
     return F.pmod(c, F.lit(length)) if length else c
@@ -20,11 +31,13 @@ def nearest_image(d: Column, length) -> Column:
     """The difference to the nearest periodic image; a tie goes to the even multiple."""
     if isinstance(length, int):  # whole numbers stay whole
         return d - F.lit(length) * F.rint(d / F.lit(length)).cast("long")
-    return d - F.lit(length) * F.rint(d / F.lit(length))
+    if not isinstance(length, Column):
+        length = F.lit(length)
+    return d - length * F.rint(d / length)
 
 
 def delta(a: str, b: str, axis: str, box) -> Column:
-    return nearest_image(F.col(f"{b}{axis}") - F.col(f"{a}{axis}"), box[AXES.index(axis)])
+    return nearest_image(F.col(f"{b}{axis}") - F.col(f"{a}{axis}"), length_of(box, axis, a))
 
 
 def squared(a: str, b: str, box) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES
+from ..functions.geometry import AXES, box_columns, length_of
 from ..sources import elements as el
 from .cells import pairs_within
 from .graphs import FRAME, closure, components
@@ -23,7 +23,7 @@ def candidate_edges(atoms: DataFrame, box, unit: float = 1.0, excluded: Iterable
     of coordinate units in an angstrom; ``forbidden`` has unordered pairs ``a, b`` of atoms that never bond.
     """
     known = el.elements(atoms.sparkSession).select("sym", "r_vdw", "r_cov")  # some 120 rows
-    rows = atoms.where(~F.col("sym").isin(list(excluded))).select(*FRAME, "atom", "sym", *AXES).join(F.broadcast(known), "sym", "left")
+    rows = atoms.where(~F.col("sym").isin(list(excluded))).select(*FRAME, "atom", "sym", *AXES, *box_columns(box)).join(F.broadcast(known), "sym", "left")
     rows = rows.withColumns({"r_vdw": F.coalesce("r_vdw", F.lit(0.0)), "r_cov": F.coalesce("r_cov", F.lit(0.0))})
     widest = float(rows.agg(F.max("r_vdw")).first()[0] or 0.0) * search * unit  # one number: the radius that cells need
     if widest <= 0:
@@ -168,8 +168,9 @@ def centres_of_mass(atoms: DataFrame, box, unit: float = 1.0, mol: str = "mol")
     first = W.partitionBy(*FRAME, mol).orderBy("atom")
     rows = atoms.join(F.broadcast(mass), "sym")
     out = []
-    for k, length in zip(AXES, box, strict=True):
-        d = F.col(k) - F.first(k).over(first)
+    for k in AXES:
+        d, length = F.col(k) - F.first(k).over(first), length_of(box, k)
         rows = rows.withColumn(f"_{k}", F.col(k) - F.when(d > length / 2, length).when(d < -length / 2, -length).otherwise(0))
-        out.append(F.pmod(F.sum(F.col("mass") * F.col(f"_{k}")) / F.sum("mass") / unit, F.lit(length / unit)).alias(f"c{k}"))
+        whole = F.first(length) / unit if box_columns(box) else F.lit(length / unit)
+        out.append(F.pmod(F.sum(F.col("mass") * F.col(f"_{k}")) / F.sum("mass") / unit, whole).alias(f"c{k}"))
     return rows.groupBy(*FRAME, mol).agg(*out)

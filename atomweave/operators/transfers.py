@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections import Counter, defaultdict, deque
-from itertools import islice, takewhile
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, first_label, nearest_image
+from ..functions.geometry import AXES, box_columns, first_label, length_of, nearest_image
 from .cells import nearest, pairs_within
 from .staging import staged
 from .topology import FRAME
@@ -73,40 +71,36 @@ def chains(events: DataFrame, gap: int = 100, longest: int = 20) -> DataFrame:
     """``n, c, total``: share of walks with n hops, one walk from every event.
 
     A walk goes on with the earliest event that its last acceptor donates within ``gap`` frames to a holder not yet visited;
-    events of a frame come in order of donor and acceptor.
+    events of a frame come in order of donor and acceptor.  All open walks take a step at a time: an as-of join by holder and stretch of
+    ``gap`` frames, of which a walk needs two, so that no trajectory has to be one task's.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["frame"], pdf["donor"], pdf["acceptor"], strict=True))
-        given = defaultdict(list)
-        for f, d, a in rows:
-            given[d].append((f, a))
-        sizes: Counter = Counter()
-        for f, d, a in rows:
-            seen, now, at, n = {d, a}, a, f, 1
-            while n < longest:
-                later = islice(given[now], bisect_right(given[now], at, key=lambda e: e[0]), None)
-                step = next(((g, x) for g, x in takewhile(lambda e: e[0] <= at + gap, later) if x not in seen), None)  # noqa: B023
-                if step is None:
-                    break
-                at, now = step
-                seen.add(now)
-                n += 1
-            sizes[n] += 1
-        return pd.DataFrame({"n": list(sizes), "k": list(sizes.values())})
-
-    n = events.groupBy("traj").applyInPandas(run, "n int, k long").groupBy("n").agg(F.sum("k").alias("k"))
-    total = F.sum("k").over(W.partitionBy())  # at most ``longest`` rows
-    return n.select("n", (F.col("k") / total).alias("c"), total.alias("total"))
+    spark, wide = events.sparkSession, max(1, gap)
+    stretch = F.floor(F.col("frame") / wide).cast("long")
+    given = staged(events.select("traj", "frame", "donor", "acceptor", stretch.alias("stretch")), "transfers-given")
+    walks = given.select(F.monotonically_increasing_id().alias("walk"), "traj", F.col("acceptor").alias("donor"), F.col("frame").alias("at"), F.array("donor", "acceptor").alias("seen"))
+    walks = staged(walks, "walks")
+    open_ = [walks.count()]
+    while open_[-1] and len(open_) < longest:
+        here = F.floor(F.col("at") / wide).cast("long")
+        ahead = walks.withColumn("stretch", F.explode(F.array(here, here + 1))).join(given, ["traj", "donor", "stretch"])
+        ahead = ahead.where((F.col("frame") > F.col("at")) & (F.col("frame") <= F.col("at") + gap) & ~F.array_contains("seen", F.col("acceptor")))
+        step = ahead.groupBy("walk").agg(F.min(F.struct("frame", "acceptor")).alias("e"))
+        walks = walks.join(step, "walk").select("walk", "traj", F.col("e.acceptor").alias("donor"), F.col("e.frame").alias("at"), F.array_append("seen", F.col("e.acceptor")).alias("seen"))
+        walks = staged(walks, "walks")
+        open_.append(walks.count())
+    sizes = [(n, a - b) for n, (a, b) in enumerate(zip(open_, [*open_[1:], 0], strict=True), 1) if a > b]  # at most ``longest`` numbers
+    return spark.createDataFrame([(n, k / open_[0], open_[0]) for n, k in sizes], "n int, c double, total long")
 
 
 def holder_centres(acceptors: DataFrame, box) -> DataFrame:
     """``traj, frame, mol, x, y, z``: unweighted periodic mean of each molecule's acceptor atoms."""
     first = W.partitionBy(*FRAME, "mol").orderBy("atom")
     rows = acceptors
-    for k, length in zip(AXES, box, strict=True):
-        rows = rows.withColumn(f"_{k}", F.first(k).over(first) + nearest_image(F.col(k) - F.first(k).over(first), length))
-    return rows.groupBy(*FRAME, "mol").agg(*[F.pmod(F.avg(f"_{k}"), F.lit(float(length))).alias(k) for k, length in zip(AXES, box, strict=True)])
+    for k in AXES:
+        rows = rows.withColumn(f"_{k}", F.first(k).over(first) + nearest_image(F.col(k) - F.first(k).over(first), length_of(box, k)))
+    own = box_columns(box)
+    whole = lambda k: F.first(length_of(box, k)) if own else F.lit(float(length_of(box, k)))
+    return rows.groupBy(*FRAME, "mol").agg(*[F.pmod(F.avg(f"_{k}"), whole(k)).alias(k) for k in AXES], *[F.first(c).alias(c) for c in own])
 
 
 def initial_charges(assigned: DataFrame, holders: DataFrame, neutral: int, start: int = 0) -> DataFrame:
@@ -188,4 +182,4 @@ def unwrap_carriers(points: DataFrame, box) -> DataFrame:
     from .series import unwrapped
 
     signs = points.groupBy("traj", "cid").agg(F.first("sign").alias("sign"))
-    return unwrapped(points, ["traj", "cid"], [float(b) for b in box]).join(signs, ["traj", "cid"])
+    return unwrapped(points, ["traj", "cid"], [b if isinstance(b, str) else float(b) for b in box]).join(signs, ["traj", "cid"])

@@ -12,10 +12,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geometry import length_of
 from ..sources import elements as el
 from .staging import staged
 from .topology import FRAME
@@ -111,12 +112,13 @@ def area_and_rim(poly: np.ndarray) -> tuple[float, float]:
     return float(abs((poly[:, 0] * after[:, 1] - after[:, 0] * poly[:, 1]).sum()) / 2), float(np.sqrt(((after - poly) ** 2).sum(1)).sum())
 
 
-def tile_cells(pdf: pd.DataFrame, plane, counts, ghost: float, least: float, widest: float) -> pd.DataFrame:
+def tile_cells(pdf: pd.DataFrame, counts, ghost: float, least: float, widest: float) -> pd.DataFrame:
     """Cells of the tile's own points that are asked for; ``area`` is null where the points seen don't settle a cell.
 
     Thinning goes by groups of close points; a group that the rim of what is seen may have cut is undecided, and so are the cells near it.
     """
     pdf = pdf.sort_values(["atom", "x", "y"]).reset_index(drop=True)
+    plane = (float(pdf["w"][0]), float(pdf["h"][0]))
     x, r = pdf[["x", "y"]].to_numpy(float), pdf["radius"].to_numpy(float)
     size = np.array(plane) / np.array(counts)
     low = size * np.array([pdf["tx"][0], pdf["ty"][0]]) - ghost
@@ -166,32 +168,33 @@ def voronoi_cells(atoms: DataFrame, box, low: float, high: float, least: float =
 
     Cells are power cells in the plane with van der Waals radii; atoms closer than ``least`` are thinned first.  ``tiles`` is how many
     tiles the plane has each way, else as many as give ``PER_TILE`` points each where a frame has the most.  The result doesn't depend on it.
+    ``box`` has lengths, or names of columns with each frame's.
     """
     radii = F.create_map(*[F.lit(v) for r in el.rows() for v in (r[0], float(r[2] or 0.0))])
-    plane = (box[0] / unit, box[1] / unit)
-    near = [F.pmod(F.col(k) / unit, F.lit(float(length))).alias(k) for k, length in zip("xy", plane, strict=True)]
-    slab = atoms.where(F.col("z").between(low, high)).select(*FRAME, "atom", "sym", "mol", *near, F.coalesce(radii[F.col("sym")], F.lit(0.0)).alias("radius"))
+    length = {k: (length_of(box, k) if isinstance(length_of(box, k), Column) else F.lit(length_of(box, k))) / float(unit) for k in "xy"}
+    near = [F.pmod(F.col(k) / float(unit), length[k]).alias(k) for k in "xy"]
+    slab = atoms.where(F.col("z").between(low, high)).select(*FRAME, "atom", "sym", "mol", *near, length["x"].alias("w"), length["y"].alias("h"), F.coalesce(radii[F.col("sym")], F.lit(0.0)).alias("radius"))
     slab = staged(slab, "voronoi-points")
-    most = slab.groupBy(*FRAME).agg(F.count("*").alias("n"), F.max("radius").alias("r")).agg(F.max("n"), F.max("r")).first()  # two numbers
-    n, widest = most[0] or 0, most[1] or 0.0
+    most = slab.groupBy(*FRAME).agg(F.count("*").alias("n"), F.max("radius").alias("r"), F.max("w").alias("w"), F.max("h").alias("h")).agg(*[F.max(c) for c in ("n", "r", "w", "h")]).first()  # four numbers
+    n, widest, plane = most[0] or 0, most[1] or 0.0, (most[2] or 1.0, most[3] or 1.0)
     if tiles is None:
         side = math.sqrt(PER_TILE * plane[0] * plane[1] / max(1, n))
         tiles = tuple(max(1, int(length / side)) for length in plane)
-    step = [length / k for length, k in zip(plane, tiles, strict=True)]
     ghost = max(plane) if max(tiles) == 1 else min(max(plane), 4 * math.sqrt(plane[0] * plane[1] / max(1, n)) + 2 * least)
-    own = [F.least(F.floor(F.col(k) / w), F.lit(m - 1)).cast("int") for k, w, m in zip("xy", step, tiles, strict=True)]
+    sides = [(k, F.col(c) / m, m, F.col(c)) for k, c, m in zip("xy", "wh", tiles, strict=True)]
+    own = [F.least(F.floor(F.col(k) / step), F.lit(m - 1)).cast("int") for k, step, m, _ in sides]
     out, todo = None, None
     while True:
         rows = slab.withColumn("todo", F.lit(True)) if todo is None else slab.join(todo.withColumn("todo", F.lit(True)), [*FRAME, "atom"], "left").fillna(False, ["todo"])
         rows = rows.withColumns({"ox": own[0], "oy": own[1]})
         spread = rows
-        for k, w, m, length in zip("xy", step, tiles, plane, strict=True):
-            reach = F.sequence(F.floor((F.col(k) - ghost) / w).cast("int"), F.floor((F.col(k) + ghost) / w).cast("int"))
-            spread = spread.withColumn("_k", F.explode(reach)).withColumns({f"t{k}": F.pmod("_k", F.lit(m)), k: F.col(k) - F.floor(F.col("_k") / m) * length, "todo": F.col("todo") & (F.col("_k") == F.col(f"o{k}"))}).drop("_k")
+        for k, step, m, whole in sides:
+            reach = F.sequence(F.floor((F.col(k) - ghost) / step).cast("int"), F.floor((F.col(k) + ghost) / step).cast("int"))
+            spread = spread.withColumn("_k", F.explode(reach)).withColumns({f"t{k}": F.pmod("_k", F.lit(m)), k: F.col(k) - F.floor(F.col("_k") / m) * whole, "todo": F.col("todo") & (F.col("_k") == F.col(f"o{k}"))}).drop("_k")
         if todo is not None:  # only tiles with open cells
             spread = spread.join(rows.where("todo").select(*FRAME, F.col("ox").alias("tx"), F.col("oy").alias("ty")).distinct(), [*FRAME, "tx", "ty"])
 
-        found = spread.drop("ox", "oy").groupBy(*FRAME, "tx", "ty").applyInPandas(_of_tile(plane, tiles, ghost, least, widest), CELLS)
+        found = spread.drop("ox", "oy").groupBy(*FRAME, "tx", "ty").applyInPandas(_of_tile(tiles, ghost, least, widest), CELLS)
         if ghost >= max(plane):
             return found if out is None else out.unionByName(found)
         found = staged(found, "voronoi-cells")

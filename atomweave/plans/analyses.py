@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, angle, any_label, delta
-from ..operators.cells import nearest, pairs_within, sided
+from ..functions.geometry import AXES, angle, any_label, box_columns, delta
+from ..operators.cells import distance_weights, nearest, pairs_within, sided
 from ..operators.histograms import Bins, dense, linear, simple, simple2, to_total
 from ..operators.topology import FRAME, centres_of_mass
 
@@ -56,14 +56,26 @@ def per_frame(ref: DataFrame, obs: DataFrame) -> DataFrame:
     return n.agg(F.count("*").alias("frames"), F.avg("r").alias("n_ref"), F.avg("o").alias("n_obs"))
 
 
-def rdf(atoms: DataFrame, ref: str, obs: str, box, rmax: float = 10.0, bins: int = 500, unit: float = 1.0) -> DataFrame:
-    """Radial distribution: ``bin, r, g, n``; pairs at distance 0 do not count, pairs within a molecule do."""
+def one_box(atoms: DataFrame, box) -> tuple:
+    """The box as three numbers: where frames have their own, that of the first frame there is."""
+    names = box_columns(box)
+    if not names:
+        return tuple(box)
+    first = atoms.agg(F.min_by(F.struct(*names), F.struct(*FRAME)).alias("b")).first().b  # three numbers
+    return tuple(first[v] if isinstance(v, str) else v for v in box) if first else (1.0, 1.0, 1.0)
+
+
+def rdf(atoms: DataFrame, ref: str, obs: str, box, rmax: float = 10.0, bins: int = 500, unit: float = 1.0, whole=None) -> DataFrame:
+    """Radial distribution: ``bin, r, g, n``; pairs at distance 0 do not count, pairs within a molecule do.
+
+    Where frames have boxes of their own, distances are taken in these, and the volume is that of the box ``whole`` (default: the first frame's).
+    """
     if rmax < 0.1 or bins < 1:
         raise ValueError("rmax is at least 0.1 and there is at least one bin")
     a, b, spec = select(atoms, ref), select(atoms, obs), Bins(0.0, rmax, bins)
-    pairs = pairs_within(a.select(*FRAME, "atom", *AXES), b.select(*FRAME, "atom", *AXES), int(rmax * unit) if unit > 1 else rmax, box).where("d2 > 0")
-    hist = dense(linear(pairs.select((F.sqrt(F.col("d2").cast("double")) / unit).alias("d")), "d", spec), spec, "weight")
-    volume = math.prod(box) / unit**3
+    need = [*FRAME, *AXES, *box_columns(box)]
+    hist = dense(distance_weights(a.select(*need), b.select(*need), rmax, bins, box, unit), spec, "weight")
+    volume = math.prod(whole or one_box(atoms, box)) / unit**3
     edge = F.col("bin") * spec.width
     shell = F.lit(4 / 3 * math.pi) * (F.pow(edge + spec.width, F.lit(3)) - F.pow(edge, F.lit(3)))
     g = F.col("weight") / (shell * F.col("n_ref") * F.col("n_obs") * F.col("frames") / volume)
@@ -88,7 +100,7 @@ def molecule_vectors(atoms: DataFrame, ends: dict[str, tuple[str, str]], box, v1
     mols = atoms.select(*FRAME, "mol").distinct()
     rows = mols.select(*FRAME, F.col("mol").alias("r_mol")).join(mols.select(*FRAME, F.col("mol").alias("o_mol")), FRAME).where("r_mol <> o_mol")
     for name, (source, pattern) in ends.items():
-        own = select(atoms, pattern).select(*FRAME, F.col("mol").alias(f"{source}_mol"), F.col("atom").alias(f"{name}_atom"), *[F.col(k).alias(f"{name}_{k}") for k in AXES])
+        own = select(atoms, pattern).select(*FRAME, F.col("mol").alias(f"{source}_mol"), F.col("atom").alias(f"{name}_atom"), *[F.col(k).alias(f"{name}_{k}") for k in [*AXES, *box_columns(box)]])
         rows = rows.join(own, [*FRAME, f"{source}_mol"])
     if shared:
         rows = rows.where("t1_atom = b2_atom")
@@ -129,9 +141,12 @@ def adf3b(atoms: DataFrame, centre: str, first: str, second: str, box, cut1=(0.0
     return sine_weighted(linear(rows.select("angle"), "angle", spec), "weight", spec)
 
 
-def density(atoms: DataFrame, kinds: DataFrame, box, axis: str = "z", step: float = 0.1, unit: float = 1.0) -> DataFrame:
-    """Mean number of molecules per bin of the centre of mass along an axis: ``rep, bin, r, value``; ``kinds`` has ``traj, frame, mol, rep``."""
-    length = box[AXES.index(axis)] / unit
+def density(atoms: DataFrame, kinds: DataFrame, box, axis: str = "z", step: float = 0.1, unit: float = 1.0, whole=None) -> DataFrame:
+    """Mean number of molecules per bin of the centre of mass along an axis: ``rep, bin, r, value``; ``kinds`` has ``traj, frame, mol, rep``.
+
+    Bins go over the length of the box ``whole`` (default: the first frame's) where frames have boxes of their own.
+    """
+    length = (whole or one_box(atoms, box))[AXES.index(axis)] / unit
     n = math.ceil(length / step)
     spec = Bins(0.0, n * step, n)
     frames = atoms.select(*FRAME).distinct().agg(F.count("*").alias("frames"))

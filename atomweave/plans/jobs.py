@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES
+from ..functions.geometry import AXES, box_columns
 from ..operators import graphs, series, topology, transfers, voronoi
 from ..operators.cells import pairs_within
 from ..operators.histograms import Bins, simple
@@ -122,7 +122,7 @@ class Rdf(Pair):
 @analysis("rdf", "radial distribution function", Rdf)
 def rdf(s: System, q: Rdf) -> dict[str, DataFrame]:
     atoms, a, b = q.table(s)
-    return {"rdf": analyses.rdf(atoms, a, b, s.box, q.rmax, q.bins, s.unit)}
+    return {"rdf": analyses.rdf(atoms, a, b, s.lengths, q.rmax, q.bins, s.unit, s.box)}
 
 
 @dataclass
@@ -150,7 +150,7 @@ def adf(s: System, q: Adf) -> dict[str, DataFrame]:
     for end, labels, source in (("b1", q.base1, q.base1_from), ("t1", q.tip1, q.tip1_from), ("b2", q.base2, q.base2_from), ("t2", q.tip2, q.tip2_from)):
         ends[end] = (source, s.choose(number[source], labels))
     atoms = s.table(**q.frames(), needed=[c for _, c in ends.values()])
-    return {"adf": analyses.adf(atoms, ends, s.box, q.bins, _scaled(s, q.v1_cutoff), _scaled(s, q.v2_cutoff), q.shared)}
+    return {"adf": analyses.adf(atoms, ends, s.lengths, q.bins, _scaled(s, q.v1_cutoff), _scaled(s, q.v2_cutoff), q.shared)}
 
 
 @dataclass
@@ -177,7 +177,7 @@ class Three(Parameters):
 @analysis("adf3b", "neighbour, centre, neighbour angle", Three)
 def adf3b(s: System, q: Three) -> dict[str, DataFrame]:
     atoms, c, cuts = q.parts(s)
-    return {"adf3b": analyses.adf3b(atoms, *c, s.box, *cuts, q.different_molecules, q.bins)}
+    return {"adf3b": analyses.adf3b(atoms, *c, s.lengths, *cuts, q.different_molecules, q.bins)}
 
 
 @dataclass
@@ -191,7 +191,7 @@ class Density(Parameters):
 def dens(s: System, q: Density) -> dict[str, DataFrame]:
     atoms = staged(s.table(**q.frames()), "dens")
     kinds = atoms.select(*FRAME, "mol", F.concat_ws("\t", "key", "formula").alias("rep")).distinct()
-    out = analyses.density(atoms, kinds, s.box, q.axis, q.step, s.unit)
+    out = analyses.density(atoms, kinds, s.lengths, q.axis, q.step, s.unit, s.box)
     if q.per_compound:  # over the frames that have the compound
         frames = kinds.groupBy("rep").agg(F.count_distinct(*FRAME).alias("own"))
         every = atoms.agg(F.count_distinct(*FRAME).alias("all"))
@@ -227,7 +227,7 @@ def percolation(s: System, q: Percolation) -> dict[str, DataFrame]:
     atoms = s.table(**q.frames(), needed=acceptors, together=False)
     a, h = atoms.where(_either(acceptors)), atoms.where(_either(protons))
     both = a.select(*FRAME).distinct().join(h.select(*FRAME).distinct(), FRAME)
-    near = pairs_within(a, h, _scaled(s, q.cutoff), s.box).where("a_mol <> b_mol")
+    near = pairs_within(a, h, _scaled(s, q.cutoff), s.lengths).where("a_mol <> b_mol")
     edges = near.select(*FRAME, F.col("b_mol").alias("src"), F.col("a_mol").alias("dst"))
     if not q.alternating:
         edges = edges.union(edges.select(*FRAME, "dst", "src"))
@@ -272,11 +272,11 @@ def cluster(s: System, q: Cluster) -> dict[str, DataFrame]:
             cut[str(a), str(b)] = _scaled(s, float(q.cutoffs.get(f"{a}-{b}", q.cutoffs.get(f"{b}-{a}", 0.0))))
     atoms = s.table(**q.frames(), needed=[s.choose(n, x) for n, x in zip(q.compounds, q.labels, strict=True)])
     nodes = staged(grouped(s, atoms, q.compounds, q.labels).withColumn("d", F.col("disp").cast("string")), "cluster-nodes")
-    small = nodes.select(*FRAME, "atom", "d", *AXES)
+    small = nodes.select(*FRAME, "atom", "d", *AXES, *box_columns(s.lengths))
     widest = max(cut.values(), default=0)
     edges = nodes.select(*FRAME, F.col("atom").alias("src"), F.col("atom").alias("dst")).limit(0)
     if widest > 0:
-        edges = graphs.cutoff_edges(pairs_within(small, small, widest, s.box).where("a_d < b_d"), cut, "d")
+        edges = graphs.cutoff_edges(pairs_within(small, small, widest, s.lengths).where("a_d < b_d"), cut, "d")
     edges = staged(edges.distinct(), "cluster-edges")
     comp = staged(graphs.components(nodes, edges), "cluster-comps")
     found = graphs.clusters(nodes, edges, "grp", comp)
@@ -351,7 +351,7 @@ def cluster_coordinates(s: System, atoms: DataFrame, nodes: DataFrame, comp: Dat
         rows = atoms.withColumnRenamed("comp", "kind").join(mols, [*FRAME, "atom"])
     order = W.partitionBy(*FRAME, "cluster").orderBy("kind", "mol", "atom")
     rows = rows.withColumn("n", F.row_number().over(order))
-    path = series.unwrapped(rows, ["traj", "frame", "cluster", "composition", "graph_id"], s.box, "n")
+    path = series.unwrapped(rows, ["traj", "frame", "cluster", "composition", "graph_id"], s.lengths, "n")
     every = W.partitionBy(*FRAME, "cluster")
     path = path.join(rows.select(*FRAME, "cluster", "n", "sym"), [*FRAME, "cluster", "n"])
     centred = [((F.col(k) - F.avg(k).over(every)) / s.unit).alias(k) for k in AXES]
@@ -380,7 +380,7 @@ def dacf(s: System, q: Dacf) -> dict[str, DataFrame]:
     if not q.global_mode:
         frames = frames.join(ref.select(*FRAME).distinct(), FRAME, "left_semi").join(obs.select(*FRAME).distinct(), FRAME, "left_semi")
     times = frames.withColumn("t", F.row_number().over(W.partitionBy("traj").orderBy("frame")) - 1)
-    near = pairs_within(ref, obs, _scaled(s, q.cutoff), s.box).where("a_atom <> b_atom")
+    near = pairs_within(ref, obs, _scaled(s, q.cutoff), s.lengths).where("a_atom <> b_atom")
     keys = ["traj", "a_atom", "b_atom"]
     presence = staged(near.join(times, FRAME).select(*keys, "t"), "dimers")
     sizes = analyses.per_frame(ref, obs).first()
@@ -404,7 +404,7 @@ class Top(Pair):
 @analysis("top", "tetrahedral order", Top)
 def top(s: System, q: Top) -> dict[str, DataFrame]:
     atoms, a, b = q.table(s)
-    orders = staged(analyses.tetrahedral(atoms, a, b, s.box, _scaled(s, 3.5), _scaled(s, q.cutoff) if q.cutoff else None), "orders")
+    orders = staged(analyses.tetrahedral(atoms, a, b, s.lengths, _scaled(s, 3.5), _scaled(s, q.cutoff) if q.cutoff else None), "orders")
     kind = lambda name, f, n: analyses.top(orders, f, n).select(F.lit(name).alias("kind"), "bin", "center", "p")
     return {"top": kind("q", "q", q.q_bins).unionByName(kind("S", "s", q.s_bins))}
 
@@ -431,7 +431,7 @@ class Pccf(Parameters):
 def pccf(s: System, q: Pccf) -> dict[str, DataFrame]:
     a, h = s.choose(q.acceptor_compound, q.acceptor_labels), s.choose(q.proton_compound, q.proton_labels)
     atoms = s.table(**q.frames())
-    held = transfers.assign_within(h.of(atoms), a.of(atoms), _scaled(s, q.cutoff), s.box)
+    held = transfers.assign_within(h.of(atoms), a.of(atoms), _scaled(s, q.cutoff), s.lengths)
     events = staged(transfers.squash(transfers.transfer_events(held, "acceptor_mol" if q.molecules else "acceptor", q.dwell), q.squash), "transfers")
     out = None
     for gap in [int(g) for g in q.gaps.split(",") if g.strip().isdigit()]:  # what is no number is left out
@@ -468,9 +468,9 @@ def cmsd(s: System, q: Charges) -> dict[str, DataFrame]:
     atoms = atoms.join(times, FRAME).withColumn("frame", F.col("t")).drop("t")  # frames are counted as they are processed
     a, h = atoms.where(_either(acceptors)), atoms.where(_either(protons))
     cuts = {k: _scaled(s, float(v)) for k, v in q.label_cutoffs.items()} or None
-    held = staged(transfers.assign_always(h, a, _scaled(s, q.cutoff), s.box, cuts), "held")
+    held = staged(transfers.assign_always(h, a, _scaled(s, q.cutoff), s.lengths, cuts), "held")
     track = staged(transfers.charge_track(held, a, q.neutral), "track")
-    paths = transfers.charge_paths(track, transfers.holder_centres(a, s.box), s.box)
+    paths = transfers.charge_paths(track, transfers.holder_centres(a, s.lengths), s.lengths)
     msd = series.mean_squared_displacement(paths, ["traj", "cid"], q.max_lag, by=("sign",))
     lags = atoms.sparkSession.range(1, q.max_lag).select(F.col("id").cast("int").alias("tau"))
     value = lambda sign: F.coalesce(F.max(F.when(F.col("sign") == sign, F.col("msd"))), F.lit(0.0)) / (s.unit * s.unit)
@@ -495,7 +495,7 @@ def ncount(s: System, q: Ncount) -> dict[str, DataFrame]:
     a = s.choose(q.ref_compound, q.ref_labels)
     obs = [s.choose(n, x) for n, x in zip(q.obs_compounds, q.obs_labels, strict=True)]
     atoms = s.table(**q.frames(), needed=(a, *obs))
-    return {"ncount": analyses.ncount(atoms, a, obs, s.box, _scaled(s, q.cutoff), not q.exclude_same_molecule)}
+    return {"ncount": analyses.ncount(atoms, a, obs, s.lengths, _scaled(s, q.cutoff), not q.exclude_same_molecule)}
 
 
 @dataclass
@@ -509,7 +509,7 @@ class Cdf(Three):
 @analysis("cdf", "distance and angle of the same triplets", Cdf)
 def cdf(s: System, q: Cdf) -> dict[str, DataFrame]:
     atoms, c, cuts = q.parts(s)
-    return {"cdf": analyses.cdf(atoms, *c, s.box, *cuts, Bins(q.distance_min, q.distance_max, q.distance_bins), Bins(0.0, 180.0, q.angle_bins), s.unit)}
+    return {"cdf": analyses.cdf(atoms, *c, s.lengths, *cuts, Bins(q.distance_min, q.distance_max, q.distance_bins), Bins(0.0, 180.0, q.angle_bins), s.unit)}
 
 
 @dataclass
@@ -525,7 +525,7 @@ class Voro(Parameters):
 def voro2d(s: System, q: Voro) -> dict[str, DataFrame]:
     """Areas, distributions of cells, molecules and clusters, numbers of clusters, and compactness, by compound."""
     atoms = s.table(**q.frames())
-    cells = voronoi.voronoi_cells(atoms, s.box, _scaled(s, q.low), _scaled(s, q.high), q.min_distance, s.unit)
+    cells = voronoi.voronoi_cells(atoms, s.lengths, _scaled(s, q.low), _scaled(s, q.high), q.min_distance, s.unit)
     kinds = atoms.select(*FRAME, "atom", F.col("formula").alias("kind"))
     cells = staged(cells.join(kinds, [*FRAME, "atom"]), "voronoi")
     top_ = math.ceil(s.box[0] * s.box[1] / s.unit**2 / 100) * 100

@@ -14,6 +14,7 @@ from ..functions.geometry import any_label
 from ..operators import compounds as cp
 from ..operators.staging import staged
 from ..operators.topology import FRAME
+from .analyses import one_box
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,11 @@ def processed_frames(present: list[tuple[int, bool]], start: int = 1, nframes: i
 
 @dataclass
 class System:
-    """Atoms ``traj, frame, atom, sym, x, y, z`` in a periodic box, and the topology of one frame for all of them."""
+    """Atoms ``traj, frame, atom, sym, x, y, z`` in a periodic box, and the topology of one frame for all of them.
+
+    With ``own_boxes`` every frame has a box of its own, in the columns ``lx, ly, lz`` of the atoms; ``box`` is then that of the topology's
+    frame, which volumes and axes go by.
+    """
 
     atoms: DataFrame
     box: tuple
@@ -56,6 +61,12 @@ class System:
     unit: float = 1.0
     topology_frame: int = 0
     forbidden: DataFrame | None = None
+    own_boxes: bool = False
+
+    @property
+    def lengths(self) -> tuple:
+        """What distances go by: the box, or the columns that have each frame's."""
+        return ("lx", "ly", "lz") if self.own_boxes else self.box
 
     def __post_init__(self):
         if min(self.box) <= 0:
@@ -64,7 +75,7 @@ class System:
     @cached_property
     def topology(self) -> cp.Topology:
         """That of the chosen frame; its tables are written once."""
-        found = cp.recognise(self.atoms.where(F.col("frame") == self.topology_frame), self.box, self.config, self.forbidden, self.unit)
+        found = cp.recognise(self.atoms.where(F.col("frame") == self.topology_frame), self.lengths, self.config, self.forbidden, self.unit)
         return cp.Topology(staged(found.members, "members"), staged(found.bonds, "bonds"))
 
     @cached_property
@@ -76,11 +87,12 @@ class System:
         """Recognised anew with the bonds between two labels of a compound forbidden in all its members; earlier ones stay forbidden."""
         more = self.topology.broken(breaks)
         forbidden = staged(more if self.forbidden is None else more.union(self.forbidden).distinct(), "forbidden")
-        return System(self.atoms, self.box, self.config, self.unit, self.topology_frame, forbidden)
+        return System(self.atoms, self.box, self.config, self.unit, self.topology_frame, forbidden, self.own_boxes)
 
     def at_frame(self, frame: int) -> System:
         """With the topology of another frame."""
-        return System(self.atoms, self.box, self.config, self.unit, frame, self.forbidden)
+        box = one_box(self.atoms.where(F.col("frame") == frame), self.lengths)
+        return System(self.atoms, box, self.config, self.unit, frame, self.forbidden, self.own_boxes)
 
     def choose(self, compounds, labels) -> Chosen:
         """Compounds by their numbers from 1, as listed in ``compounds``; labels as a list or with commas."""
@@ -102,7 +114,7 @@ class System:
         if not update:
             frames = [(r.frame, True) for r in self.atoms.select("frame").distinct().orderBy("frame").collect()]  # frame numbers
             return cp.static(self.topology, self._of_frames(self.atoms, processed_frames(frames, start, nframes, stride)))
-        named = staged(cp.dynamic(cp.recognise(self.atoms, self.box, self.config, self.forbidden, self.unit), self.atoms), "dynamic")
+        named = staged(cp.dynamic(cp.recognise(self.atoms, self.lengths, self.config, self.forbidden, self.unit), self.atoms), "dynamic")
         flags = [F.max(F.col("key").isin(list(c.keys))) for c in needed]
         ok = F.lit(True)
         for n, f in enumerate(flags):

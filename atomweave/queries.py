@@ -205,6 +205,23 @@ def rdf(spark, sf):
     return analyses.rdf(vec_atoms(spark, sf), "O", "H", BOX, unit=U).select("bin", r6(F.col("r")).alias("r"), r6(F.col("g")).alias("g"), r6(F.col("n")).alias("n"))
 
 
+_BOXED = f"boxed as materialized (select *, {L} + (frame % 3) * 3000000 as lx, {L} + (frame % 2) * 5000000 as ly, {L} + (frame % 5) * 1000000 as lz from vec_atoms)"
+_OWN = {k: f"((b.{k} - a.{k}) - a.l{k} * cast(round_even((b.{k} - a.{k}) / cast(a.l{k} as double), 0) as bigint))" for k in AXES}
+
+
+@query(f""", {_BOXED}, pairs as (select * from (select a.frame, {' + '.join(f'{d} * {d}' for d in _OWN.values())} as d2 from boxed a join boxed b on a.frame = b.frame where {O_A} and {H_B}) where d2 <= {int(10 * U) ** 2}),
+ hist as ({linear_sql('(select sqrt(cast(d2 as double)) / 1000000 as d from pairs where d2 > 0)', 'd', 0.0, 10.0, 500)}),
+ sizes as (select count(*) as frames, avg(r) as n_ref, avg(o) as n_obs from (select frame, count(*) filter (sym = 'O') as r, count(*) filter (sym = 'H') as o from vec_atoms group by frame) where r > 0 and o > 0),
+ full_hist as (select cast(range as integer) as bin, coalesce(weight, 0.0) as weight, {4 / 3 * math.pi!r} * (pow(range * {_RDF_W!r} + {_RDF_W!r}, 3) - pow(range * {_RDF_W!r}, 3)) as shell from range(500) left join hist on bin = range),
+ gg as (select bin, shell, n_obs, weight / (shell * n_ref * n_obs * frames / 8000.0) as g from full_hist, sizes)
+ select bin, round(0.0 + (bin + 0.5) * {_RDF_W!r}, 6) as r, round(g, 6) as g, round(n_obs / 8000.0 * sum(g * shell) over (order by bin), 6) as n from gg""")
+def rdf_boxes(spark, sf):
+    """Frames with boxes of their own: distances in these, the volume is the first frame's."""
+    wide = lambda k, m, step: (F.lit(L) + F.col("frame") % m * step).alias(k)
+    a = vec_atoms(spark, sf).select("*", wide("lx", 3, 3_000_000), wide("ly", 2, 5_000_000), wide("lz", 5, 1_000_000))
+    return analyses.rdf(a, "O", "H", ("lx", "ly", "lz"), unit=U).select("bin", r6(F.col("r")).alias("r"), r6(F.col("g")).alias("g"), r6(F.col("n")).alias("n"))
+
+
 @query(f"{_RDF} select bin, round(n_obs / 8000.0 * sum(g * shell) over (order by bin), 6) as n from gg")
 def rdf_integral(spark, sf):
     return analyses.rdf(vec_atoms(spark, sf), "O", "H", BOX, unit=U).select("bin", r6(F.col("n")).alias("n"))

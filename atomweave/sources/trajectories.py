@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -186,11 +187,26 @@ def frames_from(path: str, kind: str, box, begin: int, end: int) -> Iterator[tup
         f.close()
 
 
+@dataclass
+class Trajectory:
+    """Atoms of a file, the number of its frames, the box of the first one, and whether others have other boxes (``lx, ly, lz`` of the atoms)."""
+
+    atoms: DataFrame
+    frames: int
+    box: tuple[float, float, float]
+    own_boxes: bool
+
+
 def read_trajectory(spark: SparkSession, path: str, box=(0.0, 0.0, 0.0), kind: str | None = None, size: int = RANGE) -> DataFrame:
-    """Atoms of a trajectory file on storage that all executors reach; XYZ needs the box's lengths, dumps bring theirs.
+    """The atoms of ``open_trajectory``."""
+    return open_trajectory(spark, path, box, kind, size).atoms
+
 
-    Ranges of ``size`` bytes are the tasks.  A first pass counts the frames that begin in each, which numbers them; the driver
-    sees one count per range.  Reading ends at the first line that is no frame's.
+def open_trajectory(spark: SparkSession, path: str, box=(0.0, 0.0, 0.0), kind: str | None = None, size: int = RANGE) -> Trajectory:
+    """A trajectory file on storage that all executors reach; XYZ needs the box's lengths, dumps bring theirs.
+
+    Ranges of ``size`` bytes are the tasks.  A first pass counts the frames that begin in each, which numbers them, and tells the range
+    of their boxes; the driver sees one row per range.  Reading ends at the first line that is no frame's.
     """
     kind, box = kind or format_of(path), [float(v) for v in box]
     f, total = _open(path)
@@ -203,17 +219,22 @@ def read_trajectory(spark: SparkSession, path: str, box=(0.0, 0.0, 0.0), kind: s
         for b in batches:
             out = []
             for r in b.itertuples():
-                k, over = 0, False
+                k, over, boxes = 0, False, []
                 for got in frames_from(path, kind, box, r.begin, r.stop):
                     k, over = k + (got is not None), got is None
-                out.append((r.n, k, over))
-            yield pd.DataFrame(out, columns=["n", "frames", "over"])
-
-    counts = sorted(table.mapInPandas(count, "n long, frames long, over boolean").collect())
-    first, rows = 0, []
+                    if got is not None:
+                        own = [float(v) for v in got[1]]
+                        boxes = boxes or [own, own, own]
+                        boxes = [boxes[0], [min(p) for p in zip(boxes[1], own, strict=True)], [max(p) for p in zip(boxes[2], own, strict=True)]]
+                out.append((r.n, k, over, boxes))
+            yield pd.DataFrame(out, columns=["n", "frames", "over", "boxes"])
+
+    counts = sorted(table.mapInPandas(count, "n long, frames long, over boolean, boxes array<array<double>>").collect(), key=lambda c: c.n)
+    first, rows, seen = 0, [], []
     for (n, begin, stop), c in zip(ranges, counts, strict=True):
         rows.append((n, begin, stop, first))
         first += c.frames
+        seen += c.boxes
         if c.over:
             break
     name = os.path.basename(path)
@@ -232,7 +253,8 @@ def read_trajectory(spark: SparkSession, path: str, box=(0.0, 0.0, 0.0), kind: s
                         out["timestep"] = pd.array([step] * len(out), dtype="Int64")
                         yield out
 
-    return spark.createDataFrame(rows, names + ", first long").repartition(max(1, len(rows)), "n").mapInPandas(read, SCHEMA)
+    atoms = spark.createDataFrame(rows, names + ", first long").repartition(max(1, len(rows)), "n").mapInPandas(read, SCHEMA)
+    return Trajectory(atoms, first, tuple(seen[0]) if seen else tuple(box), any(b != seen[0] for b in seen))
 
 
 def write_dat(df: DataFrame, path: str, headers: list[str], decimals: int = 6) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atomweave.functions.geometry import label_is
 from atomweave.operators import graphs, series, topology, transfers, voronoi
-from atomweave.operators.cells import nearest, pairs_within
+from atomweave.operators.cells import distance_weights, nearest, pairs_within
 from atomweave.operators.histograms import Bins, linear, simple
 from atomweave.plans import analyses
 from atomweave.sources import elements, trajectories
@@ -57,6 +57,38 @@ def test_cells_equal_brute_force(spark, length):
         assert [four[i][k] for k in (1, 2, 3, 4)] == pytest.approx(want4)
 
 
+@pytest.mark.parametrize("length", [3.0, 40.0])
+def test_blocks_of_points_equal_pairs(spark, length):
+    rnd = random.Random(int(length))
+    box = (length, length * 1.3, length * 1.1)
+    rows = [("O" if rnd.random() < 0.4 else "H", *[rnd.random() * b for b in box]) for _ in range(300)]
+    a = atoms(spark, rows)
+    o, h, spec = a.where("sym = 'O'"), a.where("sym = 'H'"), Bins(0.0, 4.0, 37)
+    want = {r.bin: r.weight for r in linear(pairs_within(o, h, 4.0, box).where("d2 > 0").select(F.sqrt("d2").alias("d")), "d", spec).collect()}
+    boxed = [x.withColumns({f"l{k}": F.lit(v) for k, v in zip("xyz", box, strict=True)}) for x in (o, h)]
+    for p, q, b in ((o, h, box), (*boxed, ("lx", "ly", "lz"))):
+        assert {r.bin: r.weight for r in distance_weights(p, q, 4.0, 37, b).collect()} == pytest.approx(want)
+
+
+def test_displacements_and_products_equal_plain_sums(spark):
+    rnd = random.Random(4)
+    rows, want, n = [], {}, {}
+    for key, length, hole in (("a", 9000, 0.0), ("b", 400, 0.3), ("c", 50, 0.9), ("d", 1, 0.0)):
+        at, path = np.zeros(3), {}
+        for t in range(length):
+            at = at + np.array([rnd.gauss(0, 1) for _ in range(3)])
+            if rnd.random() >= hole:
+                path[t] = at
+        rows += [(key, t, *map(float, x)) for t, x in path.items()]
+        for tau in range(12):
+            d = [((path[t + tau] - x) ** 2).sum() for t, x in path.items() if t + tau in path]
+            want[tau], n[tau] = want.get(tau, 0) + sum(d), n.get(tau, 0) + len(d)
+    df = spark.createDataFrame(rows, "k string, frame long, x double, y double, z double")
+    got = {r.tau: r.msd for r in series.mean_squared_displacement(df, ["k"], 12).collect()}
+    assert got == pytest.approx({tau: want[tau] / n[tau] for tau in range(1, 12)}, rel=1e-9)
+    assert {r.tau: r.n for r in series.products(df.select("k", F.col("frame").alias("t")), ["k"], 12).collect()} == n
+
+
 def test_water_and_asymmetric_bond(spark):
     a = atoms(spark, [("O", 5, 5, 5), ("H", 5.96, 5, 5), ("H", 4.76, 5.93, 5)])
     edges = topology.candidate_edges(a, BOX)

@@ -83,6 +83,32 @@ def test_a_dump_with_named_answers(spark, tmp_path):
     assert drawn.count("<circle") == 3 and drawn.count("<line") == 2 and ">O1<" in drawn
 
 
+def test_every_frame_of_a_dump_has_its_own_box(spark, tmp_path):
+    head = "ITEM: TIMESTEP\n{t}\nITEM: NUMBER OF ATOMS\n2\nITEM: BOX BOUNDS pp pp pp\n0 {b}\n0 {b}\n0 {b}\nITEM: ATOMS element x y z\nO 0.5 1 1\nH 9.7 1 1\n"
+    (tmp_path / "a.lammpstrj").write_text("".join(head.format(t=t, b=b) for t, b in enumerate((10, 20))))
+    answers = {"analysis": "rdf", "parameters": {"ref_compound": 1, "ref_labels": "O", "obs_compound": 1, "obs_labels": "H", "rmax": 10.0, "bins": 100}}
+    (tmp_path / "in.json").write_text(json.dumps(answers))
+    main([str(tmp_path / "a.lammpstrj"), "-i", str(tmp_path / "in.json"), "-l", str(tmp_path / "log"), "-o", str(tmp_path / "out")], spark)
+    rows = [list(map(float, x.split())) for x in next((tmp_path / "out").glob("*.dat")).read_text().splitlines() if x[0] != "#"]
+    seen = [r[0] for r in rows if r[1] > 0]
+    assert any(abs(r - 0.8) < 0.11 for r in seen) and any(abs(r - 9.2) < 0.11 for r in seen) and len(seen) <= 4
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from atomweave.operators import graphs
+
+    order = random.Random(1).sample(range(1, 1000), 999)
+    chain = [0, *order]
+    a = spark.createDataFrame([("t", 0, k) for k in range(1000)], "traj string, frame long, atom long")
+    rounds, kept = [], graphs.staged
+    monkeypatch.setattr(graphs, "staged", lambda df, name: (rounds.append(name), kept(df, name))[1])
+    one = spark.createDataFrame([("t", 0, p, q) for p, q in zip(chain, chain[1:], strict=False)], "traj string, frame long, src long, dst long")
+    assert {r.seed for r in topology.seeds(a, one).collect()} == {0} and rounds.count("paths") <= 12
+    rounds.clear()
+    both = one.union(one.select("traj", "frame", "dst", "src"))
+    assert {r.seed for r in topology.seeds(a, both).collect()} == {0} and rounds.count("small-star") <= 12
+
+
 def test_recorded_answers_give_the_same_again(spark, tmp_path):
     path, asked = xyz(tmp_path / "a.xyz", waters(2, frames=2)), []
     given = {"box": "12,12,12", "analysis": "ncount", "cutoff": "2.0", "exclude_same_molecule": "n"}
