@@ -28,6 +28,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    fs, at = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
 

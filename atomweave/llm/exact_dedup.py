@@ -1,6 +1,6 @@
 """Exact deduplication as a stateful stream, with DataFrame functions only.
 
-Arrivals (digest, length, identifier, locator; no text) go to a table in the shared folder that a
+Arrivals (digest, length, identifier, locator; no text) go to a table in the shared folder, a part per batch, that a
 streaming aggregation reads.  Its state lives in RocksDB under the checkpoint, never expires, and
 holds one row per digest: the digest, the row that stays and the file and row where its content is.  On a hit the full
 bytes are compared: those of the new rows with each other and with what stands at the locator.  A later call on the same
@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, exists, fresh_path, join_hot, likely_in, staged, unused
+from .common import column, exists, fresh_path, join_hot, likely_in, listed, removed, staged, unused
 
 #: Characters that do not count: U+0020 and U+0009 to U+000D.
 BLANK = " \t\n\x0b\x0c\r"
@@ -49,6 +49,10 @@ def located(docs: DataFrame) -> bool:
 
 FILE, POS = "_metadata.file_path", "_metadata.row_index"
 BEST = "points int, last bigint, b int, p bigint, file string, col string"
+CHANGED = f"digest string, best struct<{BEST.replace(' ', ':').replace(',:', ',')}>, n bigint, epoch long"
+LOG = "batch int, sum string, name string, done boolean"
+#: So many batches after the last time what the stream has put out is compacted.
+COMPACT = 8
 
 
 class StreamingExactDedup:
@@ -59,42 +63,77 @@ class StreamingExactDedup:
     whole.  A null id loses against any other; of fully equal rows with the same id the first of its file stays.  An empty table
     gives no rows.  Other columns of ``docs`` are not read.  Rows that don't come from Parquet files are
     written to the state folder first, so that their content can be found again; files have to stay as long as the state is used.
+
+    A batch that failed is added again with the same rows, by this object or another one on the same state: it then counts once, however far
+    it had come.  Another batch is refused until that is done.  With a ``name`` a batch that is already in is not counted again either.
     """
 
     def __init__(self, spark, state: str | None = None, digest=sha256_of):
         self.spark, self.digest = spark, digest
         self.root = state or fresh_path(spark, "exact")
-        self.batch = 0
-        if exists(spark, f"{self.root}/arrivals"):
-            self.batch = (spark.read.parquet(f"{self.root}/arrivals").agg(F.max("batch")).first()[0] or 0) + 1
-
-    def _arrive(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        if not located(docs):
-            path = f"{self.root}/content/batch={self.batch}"
-            docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text")).write.mode("overwrite").parquet(path)
-            docs, id_col, text_col = self.spark.read.schema("id long, text string").parquet(path), "id", "text"
-        rows = docs.select(
-            self.digest(normalised(text_col)).alias("digest"),
-            F.coalesce(F.length(column(text_col).cast("string")), F.lit(0)).alias("points"),
-            column(id_col).cast("long").alias("id"),
-            F.col(FILE).alias("file"),
-            F.col(POS).alias("pos"),
-            F.lit(text_col).alias("col"),
-        ).withColumn("batch", F.lit(self.batch))
-        path = f"{self.root}/arrivals"
-        rows.write.mode("append").parquet(path)
+
+    def _log(self) -> dict[int, dict]:
+        """What the state folder says of each batch: its rows' sum, its name, and whether the stream has taken it in."""
+        out: dict[int, dict] = {}
+        if exists(self.spark, f"{self.root}/log"):
+            for r in self.spark.read.schema(LOG).json(f"{self.root}/log/*").collect():  # two short rows a batch
+                out[r.batch] = out.get(r.batch, {"done": False}) | {"sum": r.sum, "name": r.name, "done": r.done or out.get(r.batch, {}).get("done", False)}
+        return out
+
+    def _note(self, rows_sum: str, name: str | None, done: bool) -> None:
+        row = self.spark.createDataFrame([(self.batch, rows_sum, name, done)], LOG)
+        row.coalesce(1).write.mode("overwrite").json(f"{self.root}/log/batch-{self.batch}-{'done' if done else 'arrived'}")
+
+    def _arrive(self, docs: DataFrame, id_col: str, text_col: str, name: str | None) -> tuple[DataFrame, str, bool]:
+        """The table of arrivals, the sum of the batch's rows, and whether the batch is in already."""
+        log = self._log()
+        pending = [b for b, x in log.items() if not x["done"]]
+        again = next((b for b, x in log.items() if name is not None and x["name"] == name), None)
+        self.batch = again if again is not None else pending[0] if pending else max(log, default=-1) + 1
+        known, path = log.get(self.batch), f"{self.root}/arrivals"
+        own, schema = f"{self.root}/content/batch={self.batch}", f"digest string, points int, id long, file string, pos long, col string, batch int"
+        kept = located(docs)
+        if not kept and known is None:
+            docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text")).write.mode("overwrite").parquet(own)
+        digest, points = self.digest(normalised(text_col)), F.coalesce(F.length(column(text_col).cast("string")), F.lit(0))
+        if known is not None:
+            given = self._sum(docs.select(digest.alias("digest"), points.alias("points"), column(id_col).cast("long").alias("id")))
+            if given != known["sum"]:
+                raise ValueError(f"batch {self.batch} is in with other rows" if known["done"] else "the last batch failed and has to be added again first")
+        if not kept:
+            docs, id_col, text_col = self.spark.read.schema("id long, text string").parquet(own), "id", "text"
         self.source = docs, text_col
-        return self.spark.read.schema(rows.schema).parquet(path)
+        if known is not None:
+            return self.spark.read.schema(schema).parquet(path), known["sum"], known["done"]
+        rows = docs.select(self.digest(normalised(text_col)).alias("digest"), F.coalesce(F.length(column(text_col).cast("string")), F.lit(0)).alias("points"), column(id_col).cast("long").alias("id"), F.col(FILE).alias("file"), F.col(POS).alias("pos"), F.lit(text_col).alias("col"))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={self.batch}")  # what an attempt without a note has left was never read
+        arrived = self.spark.read.schema(schema).parquet(path)
+        total = self._sum(arrived.where(F.col("batch") == self.batch))
+        self._note(total, name, False)
+        return arrived, total, False
+
+    @staticmethod
+    def _sum(rows: DataFrame) -> str:
+        return str(tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("digest", "points", "id").cast("decimal(38,0)"))).first()))
 
     def _newest(self) -> DataFrame | None:
         """``digest, n`` and what stays of each digest so far."""
         if not exists(self.spark, f"{self.root}/state-out"):
             return None
-        changed = self.spark.read.schema(f"digest string, best struct<{BEST.replace(' ', ':').replace(',:', ',')}>, n bigint, epoch long").parquet(f"{self.root}/state-out/e=*")
-        newest = changed if self.batch == 0 else changed.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "epoch").alias("s")).select("digest", "s.best", "s.n")
+        changed = self.spark.read.schema(CHANGED).parquet(f"{self.root}/state-out/e=*")
+        newest = changed if len(listed(self.spark, f"{self.root}/state-out")) == 1 else changed.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "epoch").alias("s")).select("digest", "s.best", "s.n")
         keep = {"keep_id": F.bitwise_not("best.last"), "keep_batch": F.bitwise_not("best.b"), "keep_pos": F.bitwise_not("best.p"), "keep_file": F.col("best.file"), "keep_col": F.col("best.col")}
         return newest.select("digest", "n", *[c.alias(name) for name, c in keep.items()])
 
+    def _before(self, mine: DataFrame) -> DataFrame | None:
+        """What was known of the batch's digests before it came; written once, so that another try finds the same."""
+        newest, path = self._newest(), f"{self.root}/before/batch={self.batch}"
+        if newest is None:
+            return None
+        if not exists(self.spark, f"{path}/_SUCCESS"):
+            newest.join(mine.select("digest").distinct(), "digest", "left_semi").write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(newest.schema).parquet(path)
+
     def _consume(self, schema) -> None:
         """Run the stream over what has arrived since the last call."""
         conf, old = self.spark.conf, {}
@@ -114,15 +153,31 @@ class StreamingExactDedup:
             for k, v in old.items():
                 conf.set(k, v) if v is not None else conf.unset(k)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        return self.add_located(docs, id_col, text_col).select("id", "keep_id", "group_size", "kept", "digest")
-
-    def add_located(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def _compact(self) -> None:
+        """From time to time what the stream has put out is made one row per digest, so that a later batch doesn't read every change there was."""
+        if self.batch and self.batch % COMPACT == 0:
+            out = f"{self.root}/state-out"
+            epochs = sorted(int(e) for e in listed(self.spark, out) for e in [e.removeprefix("e=")] if e.lstrip("-").isdigit())
+            changed = self.spark.read.schema(CHANGED).parquet(*[f"{out}/e={e}" for e in epochs])
+            if epochs[-1] < 0:
+                return
+            newest = changed.groupBy("digest").agg(F.max_by(F.struct("best", "n", "epoch"), "epoch").alias("s")).select("digest", "s.best", "s.n", "s.epoch")
+            newest.write.mode("overwrite").parquet(f"{out}/e={-1 - epochs[-1]}")  # not found by the stream, which overwrites its own epoch only
+            for e in epochs:
+                removed(self.spark, f"{out}/e={e}")
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str | None = None) -> DataFrame:
+        return self.add_located(docs, id_col, text_col, name).select("id", "keep_id", "group_size", "kept", "digest")
+
+    def add_located(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str | None = None) -> DataFrame:
         """As ``add``, with the locators ``file, pos`` of the rows."""
-        before = self._newest()
-        arrived = self._arrive(docs, id_col, text_col)
+        arrived, total, done = self._arrive(docs, id_col, text_col, name)
         mine = arrived.where(F.col("batch") == self.batch)
-        self._consume(arrived.schema)
+        before = self._before(mine)
+        if not done:
+            self._consume(arrived.schema)
+            self._note(total, name, True)
+            self._compact()
         groups = self._newest()
         if groups is None:  # nothing has ever arrived
             groups = mine.select("digest", F.lit(0).alias("n"), F.col("id").alias("keep_id"), F.col("batch").alias("keep_batch"), F.col("pos").alias("keep_pos"), F.col("file").alias("keep_file"), F.col("col").alias("keep_col"))
@@ -134,7 +189,6 @@ class StreamingExactDedup:
         rows = join_hot(own, groups.drop("keep_col"), "digest", "n").select("id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), "digest", "file", "pos")
         if differing is not None:
             rows = rows.unionByName(self._apart(arrived, differing))
-        self.batch += 1
         return rows
 
     def _content(self, places: DataFrame) -> DataFrame:
@@ -159,8 +213,7 @@ class StreamingExactDedup:
         texts = likely_in(full, F.col("digest"), groups.where("n > 1"), F.col("digest"))
         known = None
         if before is not None:
-            hit = before.join(mine.select("digest").distinct(), "digest", "left_semi")
-            hit = staged(hit.select("digest", F.col("keep_file").alias("file"), F.col("keep_pos").alias("pos"), F.col("keep_col").alias("col")), "exact-hits")
+            hit = before.select("digest", F.col("keep_file").alias("file"), F.col("keep_pos").alias("pos"), F.col("keep_col").alias("col"))
             texts = texts.unionByName(self._content(hit).select("norm", "digest"))
             if exists(self.spark, f"{self.root}/differing"):
                 known = self.spark.read.parquet(f"{self.root}/differing").join(mine.select("digest").distinct(), "digest", "left_semi")

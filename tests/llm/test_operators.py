@@ -324,6 +324,43 @@ def test_exact_dedup_compares_bytes_with_earlier_batches(spark):
     assert add(["alpha"], [6]) == {6: (1, 3, False)}
 
 
+@pytest.mark.parametrize("step", ["_consume", "_note", "_differing"])
+def test_an_exact_dedup_batch_that_failed_counts_once(spark, monkeypatch, step):
+    rows = docs(spark, ["x", "x ", "y"], [1, 2, 3])
+    first = exact_dedup.StreamingExactDedup(spark)
+    first.add(docs(spark, ["y"], [9])).collect()
+    with monkeypatch.context() as m:
+        real, calls = getattr(exact_dedup.StreamingExactDedup, step), []
+
+        def fails(self, *args):  # the note of arrival is written, that of the end isn't
+            calls.append(args)
+            if step == "_note" and len(calls) == 1:
+                return real(self, *args)
+            raise RuntimeError("lost")
+
+        m.setattr(exact_dedup.StreamingExactDedup, step, fails)
+        with pytest.raises(RuntimeError):
+            first.add(rows, name="second")
+    again = exact_dedup.StreamingExactDedup(spark, first.root)
+    if step != "_differing":  # else the stream is through with it
+        with pytest.raises(ValueError):
+            again.add(docs(spark, ["other"], [7]))
+    want = {1: (2, 2, False), 2: (2, 2, True), 3: (3, 2, True)}  # the last "y" has the smaller id
+    got = lambda: {r.id: (r.keep_id, r.group_size, r.kept) for r in again.add(rows, name="second").collect()}
+    assert got() == want and got() == want
+    with pytest.raises(ValueError):
+        again.add(docs(spark, ["other"], [7]), name="second")
+
+
+def test_exact_dedup_compacts_its_state(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COMPACT", 1)
+    state = exact_dedup.StreamingExactDedup(spark)
+    for n in range(4):
+        rows = state.add(docs(spark, ["x", f"own {n}"], [n, 10 + n])).collect()
+        assert {r.id: (r.keep_id, r.group_size) for r in rows} == {n: (0, n + 1), 10 + n: (10 + n, 1)}
+    assert len(common.listed(spark, f"{state.root}/state-out")) <= 2
+
+
 def test_substring_dedup(spark):
     rnd = random.Random(7)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
