@@ -91,7 +91,7 @@ class Lines:
 
     def __init__(self, path: str):
         self.raw, self.size = _open(path)
-        self.buffer, self.at, self.here = b"", 0, 0
+        self.buffer, self.at, self.here, self.last = b"", 0, 0, b""
 
     def seek(self, at: int) -> None:
         self.raw.seek(at)
@@ -110,7 +110,7 @@ class Lines:
             self.buffer, self.here = self.buffer[self.here :] + more, 0
             end = self.buffer.find(b"\n")
         out = self.buffer[self.here : end + 1]
-        self.here, self.at = end + 1, self.at + len(out)
+        self.here, self.at, self.last = end + 1, self.at + len(out), out
         return out
 
     def before(self, at: int) -> int | None:
@@ -169,24 +169,62 @@ def first_frame(f: Lines, kind: str, begin: int) -> int:
 
 def frames_from(path: str, kind: str, box, begin: int, end: int) -> Iterator[tuple | None]:
     """The frames that begin in a range of bytes, each as ``_read`` gives it; None last if what follows them is no frame."""
+    for _, got in frames_at(path, kind, box, begin, end):
+        yield got
+
+
+def complete_until(path: str, kind: str) -> int:
+    """The byte behind the last whole frame of a file that may still be written to; found from its end, without reading what is before."""
+    f = Lines(path)
+    back = 1 << 20
+    try:
+        while True:
+            at, end, whole = first_frame(f, kind, max(0, f.size - back)), 0, False
+            while at < f.size:
+                f.seek(at)
+                if _read(f, kind, (0.0, 0.0, 0.0)) is None or f.last[-1:] != b"\n":
+                    break
+                at, whole = f.tell(), True
+            end = at
+            if whole or back >= f.size:
+                return end if whole else 0
+            back *= 4
+    finally:
+        f.close()
+
+
+def frames_at(path: str, kind: str, box, begin: int, end: int) -> Iterator[tuple[int, tuple | None]]:
+    """As ``frames_from``, with the byte at which each frame begins."""
     f = Lines(path)
     try:
         at = first_frame(f, kind, begin)
         while at < min(end, f.size):
             f.seek(at)
             got = _read(f, kind, box)
-            yield got
+            yield at, got
             if got is None:
                 return
             at = f.tell()
             if end <= at < f.size:  # what follows the last frame of the range
                 line = f.readline().strip()
                 if not line or kind == "xyz" and not line.lstrip(b"+-").isdigit():
-                    yield None
+                    yield at, None
     finally:
         f.close()
 
 
+def frame_table(name: str, frame: int, got: tuple) -> pd.DataFrame:
+    """The rows of ``SCHEMA`` of a frame as ``_read`` gives it."""
+    step, own, (columns, lines) = got
+    atoms = xyz_frame(lines, own) if columns == "xyz" else dump_frame(columns, lines, own)
+    out = pd.DataFrame(list(atoms), columns=["atom", "sym", "x", "y", "z"])
+    out.insert(0, "traj", name)
+    out.insert(1, "frame", frame)
+    out[["lx", "ly", "lz"]] = [float(v) for v in own]
+    out["timestep"] = pd.array([step] * len(out), dtype="Int64")
+    return out
+
+
 @dataclass
 class Trajectory:
     """Atoms of a file, the number of its frames, the box of the first one, and whether others have other boxes (``lx, ly, lz`` of the atoms)."""
@@ -244,14 +282,7 @@ def open_trajectory(spark: SparkSession, path: str, box=(0.0, 0.0, 0.0), kind: s
             for r in b.itertuples():
                 for k, got in enumerate(frames_from(path, kind, box, r.begin, r.stop)):
                     if got is not None:
-                        step, own, (columns, lines) = got
-                        atoms = xyz_frame(lines, own) if columns == "xyz" else dump_frame(columns, lines, own)
-                        out = pd.DataFrame(list(atoms), columns=["atom", "sym", "x", "y", "z"])
-                        out.insert(0, "traj", name)
-                        out.insert(1, "frame", r.first + k)
-                        out[["lx", "ly", "lz"]] = [float(v) for v in own]
-                        out["timestep"] = pd.array([step] * len(out), dtype="Int64")
-                        yield out
+                        yield frame_table(name, r.first + k, got)
 
     atoms = spark.createDataFrame(rows, names + ", first long").repartition(max(1, len(rows)), "n").mapInPandas(read, SCHEMA)
     return Trajectory(atoms, first, tuple(seen[0]) if seen else tuple(box), any(b != seen[0] for b in seen))

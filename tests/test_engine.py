@@ -307,3 +307,31 @@ def test_streaming_charges(spark, tmp_path):
     a = spark.createDataFrame([("t", f, p, m) for f, own in holders.items() for p, m in enumerate(own)], "traj string, frame long, proton long, acceptor_mol long")
     rows = _stream(spark, tmp_path, [a.where("frame < 2"), a.where("frame >= 2")], lambda s: streaming_charges(s, 2), "charges")
     assert sorted((r.frame, r.cid, r.mol, r.sign) for r in rows) == [(0, 0, 0, 1), (1, 0, 1, 1), (2, 0, 0, 1)]
+
+
+@pytest.mark.parametrize("kind", ["xyz", "lammpstrj"])
+def test_a_growing_file_is_a_stream_of_whole_frames(spark, tmp_path, kind):
+    from atomweave.streaming.source import register
+
+    register(spark)
+    rnd = random.Random(2)
+    line = lambda: "O " + " ".join(f"{rnd.random() * 5:.4f}" for _ in range(3)) + "\n"
+    if kind == "xyz":
+        frames = [f"3\nframe {t}\n" + line() + line() + line() for t in range(6)]
+    else:
+        head = "ITEM: TIMESTEP\n{}\nITEM: NUMBER OF ATOMS\n2\nITEM: BOX BOUNDS pp pp pp\n0 9\n0 9\n0 {}\nITEM: ATOMS element x y z\n"
+        frames = [head.format(t, 9 + t) + line() + line() for t in range(6)]
+    path, out = tmp_path / f"a.{kind}", tmp_path / "out"
+    written = 0
+    for k, cut in ((2, 0.6), (2, 0.0), (4, 0.3), (6, 0.0)):  # frames that are whole, and how much of the next one is there
+        text = "".join(frames[:k]) + (frames[k][: int(len(frames[k]) * cut)] if k < len(frames) else "")
+        if written < len(text):
+            with open(path, "a") as f:
+                f.write(text[written:])
+            written = len(text)
+        stream = spark.readStream.format("trajectory").option("path", str(path)).option("box", "9,9,9").option("range", 150).load()
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(out)).awaitTermination()
+        got = spark.read.parquet(str(out))
+        assert got.select("frame").distinct().count() == k
+    want = read_trajectory(spark, str(path), (9.0, 9.0, 9.0)).drop("frame").collect()
+    assert sorted(map(str, got.drop("frame").collect())) == sorted(map(str, want)) and len(want) == sum(1 for _ in want)
