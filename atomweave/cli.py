@@ -38,31 +38,58 @@ class Answers:
             else:
                 self.lines = [x for x in text.splitlines() if not x.startswith("#")]
 
-    def get(self, name: str, default=None):
-        """The answer as given: a value from JSON, else text; the default if it is blank."""
-        if name in self.named:
-            value = self.named[name]
-        elif self.named:
-            value = ""
-        elif self.lines is not None:
-            value = self.lines.pop(0).strip() if self.lines else ""
-        else:
-            value = self.ask(f"{name} [{default}] ").strip()
+    def get(self, name: str, default=None, check: Callable = lambda v: v):
+        """The checked answer: a value from JSON, else text; the default if it is blank.  What is wrong is asked for again, unless it comes from a file."""
+        while True:
+            if name in self.named:
+                value = self.named[name]
+            elif self.named:
+                value = ""
+            elif self.lines is not None:
+                value = self.lines.pop(0).strip() if self.lines else ""
+            else:
+                value = self.ask(f"{name} [{default}] ").strip()
+            try:
+                if value == "" and default is None:
+                    raise ValueError(f"{name} needs an answer")
+                out = check(default if value == "" else value)
+                break
+            except ValueError as wrong:
+                if self.lines is not None:
+                    raise
+                print(wrong)
         if self.log:
             self.log.write(f"# {name} [{default}]\n{value if isinstance(value, str) else json.dumps(value)}\n")
-        if value == "":
-            if default is None:
-                raise ValueError(f"{name} needs an answer")
-            return default
-        return value
+        return out
 
     def close(self) -> None:
         if self.log:
             self.log.close()
 
 
-def _numbers(value) -> list[float]:
-    return [float(x) for x in (value.split(",") if isinstance(value, str) else value)]
+def _lengths(value) -> list[float]:
+    out = [float(x) for x in (value.split(",") if isinstance(value, str) else value)]
+    if len(out) != 3 or min(out) <= 0:
+        raise ValueError("a box has three positive lengths")
+    return out
+
+
+def _breaks(value) -> list[tuple[int, str, str]]:
+    if value == "none":
+        return []
+    parts = [x.split() for x in value.split(",")] if isinstance(value, str) else value
+    if any(len(x) != 3 for x in parts):
+        raise ValueError("a bond is given by a compound and two labels")
+    return [(int(c), a, b) for c, a, b in parts]
+
+
+def _within(choices) -> Callable:
+    def check(value):
+        if value not in choices:
+            raise ValueError(f"no {value}; there are {', '.join(map(str, choices))}")
+        return value
+
+    return check
 
 
 def _typed(value, default):
@@ -83,7 +110,7 @@ def parameters(a: jobs.Analysis, answers: Answers) -> dict:
     out = {}
     for f in fields(a.parameters):
         default = f.default if f.default is not MISSING else f.default_factory()
-        out[f.name] = _typed(answers.get(f.name, json.dumps(default) if isinstance(default, (list, dict)) else default), default)
+        out[f.name] = answers.get(f.name, json.dumps(default) if isinstance(default, (list, dict)) else default, lambda v, f=f, d=default: jobs.checked(f, _typed(v, d)))
     return out
 
 
@@ -100,27 +127,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask:
     spark = spark or SparkSession.builder.appName("atomweave").getOrCreate()
     answers = Answers(args.input, args.log, ask)
     try:
-        box = _numbers(answers.get("box")) if kind == "xyz" else [0.0, 0.0, 0.0]
+        box = answers.get("box", check=_lengths) if kind == "xyz" else [0.0, 0.0, 0.0]
         found = open_trajectory(spark, args.trajectory, box, kind)
         if not found.frames:
             raise ValueError("the trajectory has no frame")
         own = ["lx", "ly", "lz"] if found.own_boxes else []
-        frame = int(answers.get("topology_frame", 0))
+        frame = answers.get("topology_frame", 0, lambda v: _within(range(found.frames))(int(v)))
         atoms = found.atoms.select("traj", "frame", "atom", "sym", "x", "y", "z", *own)
         system = System(atoms, found.box, EngineConfig.load(args.config), own_boxes=found.own_boxes).at_frame(frame)
         box = list(system.box)
-        breaks = answers.get("break_bonds", "none")
-        if breaks != "none":
-            parts = [x.split() for x in breaks.split(",")] if isinstance(breaks, str) else breaks
-            system = system.without_bonds([(int(c), a, b) for c, a, b in parts])
+        breaks = answers.get("break_bonds", "none", _breaks)
+        if breaks:
+            system = system.without_bonds(breaks)
         print("\n".join(compound_lines(system)))
         os.makedirs(args.out, exist_ok=True)
-        if _typed(answers.get("draw_compounds", "no"), False):
+        if answers.get("draw_compounds", "no", lambda v: _typed(v, False)):
             print("\n".join(f"wrote {f}" for f in compound_drawings(system, args.out)))
         print("\n".join(f"{a.name}: {a.title}" for a in jobs.REGISTRY.values()))
-        name = answers.get("analysis")
-        if name not in jobs.REGISTRY:
-            raise ValueError(f"no analysis {name}")
+        name = answers.get("analysis", check=_within(jobs.REGISTRY))
         a = jobs.REGISTRY[name]
         q = a.parameters.of(parameters(a, answers))
         files = SINKS[name](a.run(system, q), q, args.out, box)

@@ -36,6 +36,24 @@ def p(default, least=None, choices=None):
     return field(default_factory=lambda: default, metadata=meta) if isinstance(default, (list, dict)) else field(default=default, metadata=meta)
 
 
+def checked(f, v):
+    """The value of a parameter's field in its type, if it is allowed."""
+    kind = f.type if isinstance(f.type, str) else f.type.__name__
+    if kind in ("int", "float", "bool", "str"):
+        if kind == "bool" and not isinstance(v, bool):
+            raise ValueError(f"{f.name} has to be true or false")
+        try:
+            v = {"int": int, "float": float, "bool": bool, "str": str}[kind](v)
+        except (TypeError, ValueError):
+            raise ValueError(f"{f.name} has to be of type {kind}") from None
+    least, choices = f.metadata.get("least"), f.metadata.get("choices")
+    if least is not None and v < least:
+        raise ValueError(f"{f.name} has to be at least {least}")
+    if choices and v not in choices:
+        raise ValueError(f"{f.name} has to be one of {', '.join(choices)}")
+    return v
+
+
 @dataclass
 class Parameters:
     """Which frames are worked on: from ``start_frame`` on (1 is the first), ``nframes`` read (-1: all), every ``frame_stride``-th."""
@@ -47,20 +65,7 @@ class Parameters:
 
     def __post_init__(self):
         for f in fields(self):
-            v, kind = getattr(self, f.name), f.type if isinstance(f.type, str) else f.type.__name__
-            if kind in ("int", "float", "bool", "str"):
-                if kind == "bool" and not isinstance(v, bool):
-                    raise ValueError(f"{f.name} has to be true or false")
-                try:
-                    v = {"int": int, "float": float, "bool": bool, "str": str}[kind](v)
-                except (TypeError, ValueError):
-                    raise ValueError(f"{f.name} has to be of type {kind}") from None
-                setattr(self, f.name, v)
-            least, choices = f.metadata.get("least"), f.metadata.get("choices")
-            if least is not None and v < least:
-                raise ValueError(f"{f.name} has to be at least {least}")
-            if choices and v not in choices:
-                raise ValueError(f"{f.name} has to be one of {', '.join(choices)}")
+            setattr(self, f.name, checked(f, getattr(self, f.name)))
 
     @classmethod
     def of(cls, given: dict) -> Parameters:
@@ -394,8 +399,11 @@ def dacf(s: System, q: Dacf) -> dict[str, DataFrame]:
 
 
 @dataclass
-class Top(Pair):
-    obs_labels: str = p("O")
+class Top(Parameters):
+    ref_compound: int = p(1, least=1)
+    ref_labels: str = p("O")
+    obs_compounds: list = p([1])
+    obs_labels: list = p(["O"])
     cutoff: float = p(0.0, least=0.0)
     q_bins: int = p(100, least=1)
     s_bins: int = p(10000, least=1)
@@ -403,8 +411,10 @@ class Top(Pair):
 
 @analysis("top", "tetrahedral order", Top)
 def top(s: System, q: Top) -> dict[str, DataFrame]:
-    atoms, a, b = q.table(s)
-    orders = staged(analyses.tetrahedral(atoms, a, b, s.lengths, _scaled(s, 3.5), _scaled(s, q.cutoff) if q.cutoff else None), "orders")
+    a = s.choose(q.ref_compound, q.ref_labels)
+    obs = [s.choose(n, x) for n, x in zip(q.obs_compounds, q.obs_labels, strict=True)]
+    atoms = s.table(**q.frames(), needed=(a, *obs))
+    orders = staged(analyses.tetrahedral(atoms, a, obs, s.lengths, _scaled(s, 3.5), _scaled(s, q.cutoff) if q.cutoff else None), "orders")
     kind = lambda name, f, n: analyses.top(orders, f, n).select(F.lit(name).alias("kind"), "bin", "center", "p")
     return {"top": kind("q", "q", q.q_bins).unionByName(kind("S", "s", q.s_bins))}
 

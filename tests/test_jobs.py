@@ -55,7 +55,7 @@ def system(spark, frames, **more):
 SMALL = {
     "rdf": {"bins": 50, "rmax": 5.0}, "adf": {}, "adf3b": {"different_molecules": False}, "dens": {"step": 1.0}, "percolation": {"cutoff": 4.0},
     "cluster": {"compounds": [1, 1], "labels": ["O", "H"], "cutoffs": {"1-2": 3.2}, "errors": True, "cacf_depth": 3, "coordinates": "whole", "drawings": True},
-    "dacf": {"cutoff": 4.0, "depth": 3}, "top": {"s_bins": 50, "obs_labels": "O,H"}, "pccf": {"gaps": "10,20,x"}, "cmsd": {"max_lag": 3, "neutral": 1, "label_cutoffs": {"O": 1.3}},
+    "dacf": {"cutoff": 4.0, "depth": 3}, "top": {"s_bins": 50, "obs_compounds": [1, 1], "obs_labels": ["O", "H"]}, "pccf": {"gaps": "10,20,x"}, "cmsd": {"max_lag": 3, "neutral": 1, "label_cutoffs": {"O": 1.3}},
     "ncount": {}, "cdf": {"different_molecules": False, "distance_bins": 4, "angle_bins": 4, "distance_max": 4.0}, "voro2d": {"low": 0.0, "high": 12.0, "bins": 10, "compactness_bins": 5},
 }
 
@@ -113,8 +113,13 @@ def test_recorded_answers_give_the_same_again(spark, tmp_path):
     path, asked = xyz(tmp_path / "a.xyz", waters(2, frames=2)), []
     given = {"box": "12,12,12", "analysis": "ncount", "cutoff": "2.0", "exclude_same_molecule": "n"}
 
+    wrong = {"box": "12,12", "analysis": "nothing", "cutoff": "-1", "topology_frame": "9", "exclude_same_molecule": "perhaps"}  # asked for again
+
     def ask(question):
-        asked.append(question.split(" [")[0])
+        name = question.split(" [")[0]
+        if name in wrong:
+            return wrong.pop(name)
+        asked.append(name)
         return given.get(asked[-1], "")
 
     one = main([path, "-l", str(tmp_path / "log"), "-o", str(tmp_path / "one")], spark, ask)
