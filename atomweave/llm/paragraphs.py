@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, components, id_in, id_out, join_hot, likely_in, release_held, staged, unused
+from .common import column, components, id_in, id_out, join_hot, likely_in, release_held, staged, unstage, unused
 from .words import LOWER, MIX, WORD, Words, chunks, mixed, shingle_set
 
 #: Paragraphs that one worker compares at a time; a larger bucket is dealt again, then cut into blocks of which every two meet.
@@ -98,15 +98,19 @@ class Cutter:
                 x = mixed(shingle + np.uint64((b * self.rows + r + 1) * int(MIX[1]) & (2**64 - 1)), r % 5)
                 key = mixed(key + np.minimum.reduceat(x, ranges)[::2], 1)
             out[f"b{b + 1}"] = key.view(np.int64)
+        # a byte of the word before and behind, 0 at the ends of a text: where it differs from another place's, the texts do
+        byte = (mixed(w.h, 2) % np.uint64(255) + np.uint64(1)).astype(np.uint8).view(np.int8)
+        out["before"] = np.where(cut > w.begins[own], byte[cut - 1], 0).astype(np.int8)
+        out["behind"] = np.where(end < w.ends[own], byte[np.minimum(end, len(byte) - 1)], 0).astype(np.int8)
         out["sh"] = [w.raw[a:b] for a, b in zip(w.starts[cut].tolist(), w.stops[last - 1].tolist(), strict=True)]
         return out
 
 
 def paragraph_table(docs: DataFrame, cutter: tuple[int, int, int], id_col: str, text_col: str) -> DataFrame:
-    """``id, h, pos, start, stop, words, k1, k2, b1, b2, ..., sh`` of every paragraph; ``h`` is the text's hash, ``sh`` what is compared."""
+    """``id, h, pos, start, stop, words, k1, k2, b1, b2, ..., before, behind, sh`` of every paragraph; ``h`` is the text's hash, ``sh`` what is compared."""
     bands = [f"b{n + 1}" for n in range(cutter[1])]
-    fields = "id long, h long, pos int, start int, stop int, words int, k1 long, k2 long, " + "".join(f"{b} long, " for b in bands) + "sh string"
-    types = {"pos": pa.int32(), "start": pa.int32(), "stop": pa.int32(), "words": pa.int32(), "sh": pa.string()}
+    fields = "id long, h long, pos int, start int, stop int, words int, k1 long, k2 long, " + "".join(f"{b} long, " for b in bands) + "before byte, behind byte, sh string"
+    types = {"pos": pa.int32(), "start": pa.int32(), "stop": pa.int32(), "words": pa.int32(), "before": pa.int8(), "behind": pa.int8(), "sh": pa.string()}
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +190,14 @@ def _linked(similarity: float):
     return run
 
 
-def _sized(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _sized(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members ``b, k1, k2, sh`` of buckets of up to ``LIMIT``, and those of larger ones with ``n``.
 
-    Sizes are counted before anything is gathered; buckets of one are left out.
+    Sizes are counted before anything is gathered; buckets of one are left out.  The last is their table.
     """
     sizes = staged(members.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), name)
     small = members.join(sizes.where(F.col("n") <= LIMIT), "b", "left_semi")
-    return small, members.join(sizes.where(F.col("n") > LIMIT), "b")
+    return small, members.join(sizes.where(F.col("n") > LIMIT), "b"), sizes
 
 
 def _bucket_links(members: DataFrame, similarity: float) -> DataFrame:
@@ -202,7 +206,8 @@ def _bucket_links(members: DataFrame, similarity: float) -> DataFrame:
     A bucket of over ``LIMIT`` members is dealt again by the rarest shingles of each, which loses no similar pair; if many share even
     those, into blocks by hash of which every two meet.  No task holds more than about ``LIMIT`` members of a bucket.
     """
-    small, large = _sized(members, "bucket-sizes")
+    small, large, sizes = _sized(members, "bucket-sizes")
+    done = [sizes]
     if not large.isEmpty():
 
         @F.pandas_udf("array<long>")
@@ -215,14 +220,18 @@ def _bucket_links(members: DataFrame, similarity: float) -> DataFrame:
         rarest = F.row_number().over(W.partitionBy("b", *KEY).orderBy("times", "e"))
         kept = parts.join(often, ["b", "e"]).withColumn("rank", rarest).where(F.col("rank") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
         dealt = kept.where("times > 1").select("b", *KEY, "e").join(large.select("b", *KEY, "sh"), ["b", *KEY])
-        again, rest = _sized(staged(dealt.select(F.xxhash64("b", "e").alias("b"), *KEY, "sh"), "bucket-again"), "bucket-again-sizes")
+        dealt = staged(dealt.select(F.xxhash64("b", "e").alias("b"), *KEY, "sh"), "bucket-again")
+        again, rest, sizes = _sized(dealt, "bucket-again-sizes")
+        done += [large, dealt, sizes]
         blocks = F.ceil(F.col("n") / (LIMIT // 2)).cast("int")
         own = F.pmod(F.xxhash64(*KEY), blocks).cast("int")
         met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         met = met.select(F.xxhash64("b", F.least("own", "other"), F.greatest("own", "other")).alias("b"), *KEY, "sh")
         small = small.unionByName(again).unionByName(met)
     buckets = small.groupBy("b").agg(F.collect_list(F.struct(*KEY, "sh")).alias("bucket")).select("bucket")
-    return buckets.mapInPandas(_linked(similarity), "a1 long, a2 long, b1 long, b2 long").distinct()
+    links = staged(buckets.mapInPandas(_linked(similarity), "a1 long, a2 long, b1 long, b2 long").distinct(), "paragraph-links")
+    unstage(*done)
+    return links
 
 
 def similar_classes(classes: DataFrame, table: DataFrame, bands: list[str], similarity: float) -> DataFrame:
@@ -232,11 +241,16 @@ def similar_classes(classes: DataFrame, table: DataFrame, bands: list[str], simi
     met = staged(likely_in(dealt, F.col("b"), shared, F.col("b")).join(shared, "b"), "bands-met")
     needed = met.select(*KEY).distinct()
     texts = likely_in(table.select(*KEY, "sh"), F.col("k1"), needed, F.col("k1")).groupBy(*KEY).agg(F.min("sh").alias("sh"))
-    links = staged(_bucket_links(staged(met.join(texts, KEY), "bands-members"), similarity), "paragraph-links")
+    members = staged(met.join(texts, KEY), "bands-members")
+    unstage(shared, met)
+    links = _bucket_links(members, similarity)
+    unstage(members)
     ends = links.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(links.select("b1", "b2")).distinct()
     nodes = staged(ends.withColumn("node", F.monotonically_increasing_id()), "paragraph-nodes")
     edges = links.join(nodes.toDF("a1", "a2", "a"), ["a1", "a2"]).join(nodes.toDF("b1", "b2", "b"), ["b1", "b2"]).select("a", "b")
-    return nodes.join(components(edges), "node").select(*KEY, "component")
+    out = staged(nodes.join(components(edges), "node").select(*KEY, "component"), "paragraph-components")
+    unstage(links, nodes)
+    return out
 
 
 def _runs(found) -> list[list]:
@@ -250,18 +264,35 @@ def _runs(found) -> list[list]:
     return runs
 
 
-STRETCH = ["id", "h", "first", "pos", "end", "start", "stop", "l_own", "l_id", "l_h", "l_at", "l_words", "r_own", "r_id", "r_h", "r_at", "r_words"]
-#: Words at the end of a changed paragraph by which its place in the other one is found.
-ANCHOR = 3
+STRETCH = ["id", "h", "first", "pos", "end", "start", "stop", "l_more", "l_own", "l_id", "l_h", "l_at", "l_words", "l_behind", "r_more", "r_own", "r_id", "r_h", "r_at", "r_words"]
+#: Words at the end of a changed paragraph by which its place in the other one is found, and words of the paragraph that are looked at for that.
+ANCHOR, BACK = 3, 8
+#: Words that are fetched at the end of a stretch at first, and words of the pieces that places are looked up by.
+AHEAD, PIECE = 20, 64
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row per stretch: what is removed; where its first paragraph ends and its last one begins (``l_own, r_own``), the same of the places that keep them, and how many words those have."""
+    """A row per stretch: what is removed, and for either end whether more words may be the same there (``l_more, r_more``).
+
+    They are compared from ``l_own`` and ``r_own`` on with those at the places that keep the text: from the ends of the stretch, or, where its outermost
+    paragraph is similar only, from ``BACK`` words within that paragraph (``l_words``, ``r_words`` within the kept one).  ``l_behind`` is where the first kept paragraph ends.
+    """
     for b in batches:
         out = []
         for doc, h, found in zip(b["id"], b["h"], b["found"], strict=True):
             for pos, end, start, stop, left, right in _runs(found):
-                out.append((doc, h, left["k_id"], pos, end, start, stop, pos + left["words"], left["k_id"], left["k_h"], left["k_pos"] + left["k_words"], left["k_words"], right["pos"], right["k_id"], right["k_h"], right["k_pos"], right["k_words"]))
+                behind = left["k_pos"] + left["k_words"]
+                if left["same"]:
+                    l_side = (left["before"] == left["k_before"] != 0, pos, left["k_id"], left["k_h"], left["k_pos"], 0, behind)
+                else:
+                    x, y = min(left["words"], BACK), min(left["k_words"], BACK)
+                    l_side = (left["before"] != 0, pos + x, left["k_id"], left["k_h"], left["k_pos"] + y, y, behind)
+                if right["same"]:
+                    r_side = (right["behind"] == right["k_behind"] != 0, end, right["k_id"], right["k_h"], right["k_pos"] + right["k_words"], 0)
+                else:
+                    x, y = min(right["words"], BACK), min(right["k_words"], BACK)
+                    r_side = (right["behind"] != 0, end - x, right["k_id"], right["k_h"], right["k_pos"] + right["k_words"] - y, y)
+                out.append((doc, h, left["k_id"], pos, end, start, stop, *l_side, *r_side))
         yield pd.DataFrame(out, columns=STRETCH)
 
 
@@ -272,16 +303,15 @@ def _surroundings(reach: int):
         for b in batches:
             words, points = [], []
             for key, found in zip(b["key"], b["found"], strict=True):
-                some = {}
-                for p in found if found is not None else ():
-                    if p["pos"] is not None:
-                        some |= {p["pos"] + k: (m.group(), p["start"] + m.start(), p["start"] + m.end()) for k, m in enumerate(islice(WORD.finditer(p["sh"]), p["words"]))}
-                step = -1 if key["left"] else 1
-                at, w, x = key["at"] + min(step, 0), [], []
-                while len(w) < reach and at in some:
-                    w.append(some[at][0].encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass"))
-                    x.append(some[at][1 if key["left"] else 2])
-                    at += step
+                w, x, left = [], [], key["left"]
+                for p in sorted(found if found is not None else (), key=lambda p: -p["pos"] if left else p["pos"]):  # noqa: B023
+                    if len(w) < reach:
+                        some = list(islice(WORD.finditer(p["sh"]), p["words"]))
+                        skip = key["at"] - p["pos"]
+                        some = some[: max(0, skip)][::-1] if left else some[max(0, skip) :]
+                        w += [m.group().encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass") for m in some]
+                        x += [p["start"] + (m.start() if left else m.end()) for m in some]
+                w, x = w[:reach], x[:reach]
                 words.append(w)
                 points.append(x)
             yield pd.DataFrame({"key": b["key"], "n": b["n"], "words": words, "points": points})
@@ -289,13 +319,13 @@ def _surroundings(reach: int):
     return run
 
 
-def common_words(own: list[str], size: int, other: list[str], other_size: int) -> int:
-    """How many words go on to be the same behind two paragraphs of these sizes, which the lists begin with.
+def common_words(own: list[str], size: int, other: list[str], other_size: int) -> tuple[int, bool]:
+    """How many words go on to be the same behind the ends of two paragraphs, which the lists begin with, and whether they were so to the end of a list that the text may go on behind.
 
     Of paragraphs that aren't equal the one may end earlier: then the comparison begins where the last words of ``own`` stand in the other.
     """
     if size > len(own) or other_size > len(other):
-        return 0
+        return 0, False
     last, at = own[max(0, size - ANCHOR) : size], other_size
     k = len(last)
     if other[at - k : at] != last:
@@ -304,7 +334,7 @@ def common_words(own: list[str], size: int, other: list[str], other_size: int) -
     n = 0
     while size + n < len(own) and at + n < len(other) and own[size + n] == other[at + n]:
         n += 1
-    return n
+    return n, size + n == len(own) >= AHEAD or at + n == len(other) >= AHEAD
 
 
 def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,42 +343,62 @@ def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in b.itertuples(index=False):
             side = {x["role"]: (x["words"].tolist(), x["points"]) for x in r.found}
             first, last = r.l_own - r.pos, r.end - r.r_own
-            n = common_words(side[0][0], first, side[1][0], r.l_words)
-            m = common_words(side[2][0], last, side[3][0], r.r_words)
+            n, l_open = common_words(side[0][0], first, side[1][0], r.l_words) if r.l_more else (0, False)
+            m, r_open = common_words(side[2][0], last, side[3][0], r.r_words) if r.r_more else (0, False)
             if (r.id, r.h) == (r.l_id, r.l_h):  # not over the place that keeps the text
-                n = min(n, max(0, r.pos - r.l_at))
+                n = min(n, max(0, r.pos - r.l_behind))
             start = side[0][1][first + n - 1] if n else r.start
             stop = side[2][1][last + m - 1] if m else r.stop
-            out.append((r.id, r.h, r.first, r.pos - n, r.end + m, start, stop))
-        yield pd.DataFrame(out, columns=STRETCH[:7])
+            out.append((r.id, r.h, r.first, r.pos - n, r.end + m, start, stop, r.pos, r.end, l_open or r_open))
+        yield pd.DataFrame(out, columns=[*STRETCH[:7], "own_pos", "own_end", "open"])
 
 
 def extended(stretches: DataFrame, table: DataFrame, reach: int) -> DataFrame:
-    """Stretches ``id, h, first, pos, end, start, stop`` with the words at their ends that are the same where the text is kept.
+    """Stretches ``id, h, first, pos, end, start, stop`` (staged) with the words at their ends that are the same where the text is kept.
 
-    Words are compared one by one, over the borders of paragraphs, up to ``reach`` from the far end of the outermost paragraph on.  Near the
+    Words are compared one by one, over the borders of paragraphs: ``AHEAD`` of them, and up to ``reach`` where these are all the same.  Near the
     ends of a passage cuts depend on what stands around it, but of every ``window`` grams inside it one begins a paragraph in all copies; so
     beyond a stretch less than two windows of words can be the same, and a paragraph has about a window of them.  A stretch does not grow over
     the place that keeps its text.  Places asked for by very many stretches are joined by broadcast.
     """
+    few = stretches.where("l_more or r_more")
+    done = stretches.where("not (l_more or r_more)").select(*STRETCH[:7])
+    tables = []
+    for words in (AHEAD, reach):
+        grown = staged(_grown(few, table, words, tables), "stretches-grown")
+        if words < reach:
+            done = done.unionByName(grown.where("not open").select(*STRETCH[:7]))
+            again = grown.where("open").select("id", "h", F.col("own_pos").alias("pos"), F.col("own_end").alias("end"))
+            few = stretches.join(again, ["id", "h", "pos", "end"], "left_semi")
+        tables.append(grown)
+    out = staged(done.unionByName(grown.select(*STRETCH[:7])), "stretches-whole")
+    unstage(*tables)
+    return out
+
+
+def _grown(stretches: DataFrame, table: DataFrame, reach: int, tables: list) -> DataFrame:
+    """Stretches with what ``reach`` words at their ends have in common, and whether that is all of them; staged tables are added to ``tables``."""
     role = lambda n, i, h, at, left: F.struct(F.lit(n).alias("role"), F.struct(F.col(i).alias("id"), F.col(h).alias("h"), F.col(at).alias("at"), F.lit(left).alias("left")).alias("key"))
-    roles = F.array(role(0, "id", "h", "l_own", True), role(1, "l_id", "l_h", "l_at", True), role(2, "id", "h", "r_own", False), role(3, "r_id", "r_h", "r_at", False))
+    roles = F.filter(F.array(role(0, "id", "h", "l_own", True), role(1, "l_id", "l_h", "l_at", True), role(2, "id", "h", "r_own", False), role(3, "r_id", "r_h", "r_at", False)), lambda x: F.when(x.role < 2, F.col("l_more")).otherwise(F.col("r_more")))
     asking = stretches.select(*STRETCH, F.explode(roles).alias("x")).select(*STRETCH, "x.role", "x.key")
     asked = staged(asking.groupBy("key").agg(F.count("*").alias("n")), "ends-asked")
-    bucket = lambda c: F.floor(c / reach).cast("int")
+    bucket = lambda c: F.floor(c / PIECE).cast("int")
     low = F.when(F.col("key.left"), F.col("key.at") - reach).otherwise(F.col("key.at"))
     there = asked.select("key", F.explode(F.sequence(F.greatest(bucket(low), F.lit(0)), F.greatest(bucket(low + reach - 1), F.lit(0)))).alias("bucket"))
     there = there.select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "bucket", "key")
-    # a paragraph stands in the stretches of ``reach`` words that it begins and ends in, and in the next ones inside it
+    # a paragraph stands in the pieces of a text that it begins and ends in, and in the next ones inside it
     first, last = bucket(F.col("pos")), bucket(F.col("pos") + F.col("words") - 1)
     inside = F.array_distinct(F.array(first, F.least(first + 1, last), F.greatest(last - 1, first), last))
     rows = table.select("id", "h", F.explode(inside).alias("bucket"), "pos", "words", "start", "sh")
     place = F.xxhash64("id", "h", "bucket")
-    near = likely_in(rows, place, there, place).join(there, ["id", "h", "bucket"]).groupBy("key").agg(F.collect_set(F.struct("pos", "words", "start", "sh")).alias("found"))
+    near = likely_in(rows, place, there, place).join(there, ["id", "h", "bucket"])
+    lower = F.when(F.col("key.left"), F.col("key.at") - reach).otherwise(F.col("key.at"))
+    near = near.where((F.col("pos") < lower + reach) & (F.col("pos") + F.col("words") > lower)).groupBy("key").agg(F.collect_set(F.struct("pos", "words", "start", "sh")).alias("found"))
     seen = asked.join(near, "key", "left").mapInPandas(_surroundings(reach), "key struct<id:bigint,h:bigint,at:int,left:boolean>, n long, words array<string>, points array<int>")
     seen = staged(seen, "ends-seen")
     sides = join_hot(asking, seen, "key", "n").groupBy(*STRETCH).agg(F.collect_list(F.struct("role", "words", "points")).alias("found"))
-    return sides.mapInPandas(_extended, "id long, h long, first long, pos int, end int, start int, stop int")
+    tables += [asked, seen]
+    return sides.mapInPandas(_extended, "id long, h long, first long, pos int, end int, start int, stop int, own_pos int, own_end int, open boolean")
 
 
 def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int = 13, window: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,28 +417,34 @@ def duplicate_spans(docs: DataFrame, similarity: float = 0.8, least_words: int =
     every = table.select(F.explode(F.array(*bands)).alias("b"))
     often = staged(every.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b"), "bands-often")
     # paragraphs that share a band with another; copies share all of theirs, so that any of a class's bands counts them
-    place = F.struct("id", "h", "pos", "words")
+    place = F.struct("id", "h", "pos", "words", "before", "behind")
     hit = None
     for b in bands:
-        own = likely_in(table.select(*KEY, "id", "h", "pos", "words", F.col(b).alias("b")), F.col("b"), often, F.col("b"))
+        own = likely_in(table.select(*KEY, "id", "h", "pos", "words", "before", "behind", F.col(b).alias("b")), F.col("b"), often, F.col("b"))
         own = own.select(*KEY, place.alias("place"), *[(F.col("b") if c == b else F.lit(None).cast("long")).alias(c) for c in bands])
         hit = own if hit is None else hit.unionByName(own)
     classes = hit.groupBy(*KEY).agg(F.min("place").alias("first"), (F.min("place") != F.max("place")).alias("again"), *[F.max(b).alias(b) for b in bands])
     classes = staged(classes, "paragraph-classes")
-    comp = staged(similar_classes(classes, table, bands, similarity), "paragraph-components")
+    unstage(often)
+    comp = similar_classes(classes, table, bands, similarity)
     some = classes.where("again").union(likely_in(classes.where("not again"), F.col("k1"), comp, F.col("k1")))
     joined = staged(some.join(comp, KEY, "left").where("again or component is not null").select(*KEY, "first", "component"), "paragraph-joined")
+    unstage(classes, comp)
     linked = joined.where("component is not null")
     least = staged(linked.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")), "paragraph-least")
-    kept = join_hot(linked, least, "component", "n").select(*KEY, F.col("least").alias("keep"))
-    repeated = staged(kept.unionByName(joined.where("component is null").select(*KEY, F.col("first").alias("keep"))), "paragraph-repeated")
-    copies = likely_in(table.select(*PLACE, "start", "stop", "words", *KEY), F.col("k1"), repeated, F.col("k1")).join(repeated, KEY)
+    kept = join_hot(linked, least, "component", "n").select(*KEY, F.col("least").alias("keep"), (F.col("first") == F.col("least")).alias("same"))
+    repeated = staged(kept.unionByName(joined.where("component is null").select(*KEY, F.col("first").alias("keep"), F.lit(True).alias("same"))), "paragraph-repeated")
+    unstage(joined, least)
+    copies = likely_in(table.select(*PLACE, "start", "stop", "words", "before", "behind", *KEY), F.col("k1"), repeated, F.col("k1")).join(repeated, KEY)
     again = copies.where(F.struct(*PLACE) != F.struct("keep.id", "keep.h", "keep.pos"))
-    part = F.struct("pos", "start", "stop", "words", F.col("keep.id").alias("k_id"), F.col("keep.h").alias("k_h"), F.col("keep.pos").alias("k_pos"), F.col("keep.words").alias("k_words"))
+    part = F.struct("pos", "start", "stop", "words", F.col("keep.id").alias("k_id"), F.col("keep.h").alias("k_h"), F.col("keep.pos").alias("k_pos"), F.col("keep.words").alias("k_words"), "same", "before", "behind", F.col("keep.before").alias("k_before"), F.col("keep.behind").alias("k_behind"))
     of_text = again.groupBy("id", "h").agg(F.sort_array(F.collect_set(part)).alias("found"))
-    numbers = ", ".join(f"{c} {'long' if c in ('id', 'h', 'first') or c.endswith(('_id', '_h')) else 'int'}" for c in STRETCH)
+    numbers = ", ".join(f"{c} {'long' if c in ('id', 'h', 'first') or c.endswith(('_id', '_h')) else 'boolean' if c.endswith('_more') else 'int'}" for c in STRETCH)
     stretches = staged(of_text.mapInPandas(_stretches, numbers), "stretches")
-    whole = extended(stretches, table, 4 * window).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "start", "stop", "first"))).alias("found"))
+    unstage(repeated)
+    grown = extended(stretches, table, 4 * window)
+    unstage(table, stretches)
+    whole = grown.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "start", "stop", "first"))).alias("found"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
