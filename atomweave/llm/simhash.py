@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, id_in, id_out, join_hot, likely_in, release_held, staged
+from .common import column, components, id_in, id_out, join_hot, likely_in, release_held, staged, unstage
 from .words import MIX, Words, chunks, distinct, majority, mixed, shingle_set, words_of
 
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -143,12 +143,13 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     Other columns of ``docs`` are not read.
     """
     fps = staged(with_fingerprints(docs, shingle, id_col, text_col), "simhash-fps")
-    classes = staged(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
+    classes = staged(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "simhash-classes")
     comp = components(links(classes.select("fp"), radius))
-    grouped = staged(classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("g")), "simhash-grouped")
-    least = grouped.groupBy("g").agg(F.min("first").alias("component"))
-    named = grouped.join(least, "g").select("fp", "component")
-    return fps.join(named, "fp").select("id", "fp", "component")
+    grouped = staged(classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "rows", F.coalesce("component", "fp").alias("g")), "simhash-grouped")
+    least = staged(grouped.groupBy("g").agg(F.min("first").alias("component"), F.count("*").alias("n")), "simhash-least")
+    named = staged(join_hot(grouped.select("fp", "rows", "g"), least, "g", "n").select("fp", "component", "rows"), "simhash-named")
+    unstage(classes, grouped, least)
+    return join_hot(fps, named, "fp", "rows").select("id", "fp", "component")
 
 
 def near_fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
