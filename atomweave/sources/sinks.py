@@ -1,15 +1,19 @@
 """Results of the analyses as text files with the names and layouts that users of such programs expect.
 
-A finished analysis has as many rows as bins, lags or kinds of clusters; only the log of charges and cluster coordinates grow
-with the trajectory, and they are streamed to the file partition by partition.
+A finished analysis has as many rows as bins or lags, which are collected; whatever grows with the trajectory (kinds of clusters and
+their curves, areas by frame, the log of charges, coordinates) is sorted by Spark and streamed to the file partition by partition.
+File names, headers and number formats are fixed values.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable
+from itertools import chain, groupby
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..operators.histograms import Bins
 from .drawings import svg
@@ -71,34 +75,46 @@ def percolation(out: dict, q, folder: str, box) -> list[str]:
     return [_write(f"{folder}/percolation_depths.dat", ["# Depth    AverageReachableMolecules", *(f"{r.depth} {r['mean'] or 0.0:.6f}" for r in rows)])]
 
 
-def _population_lines(rows: list, kinds: list, head: str, show: Callable, keyed: Callable) -> Iterable[str]:
-    atoms = sorted({r.atom_label for r in rows})
+def _groups(rows: Iterable, key: Callable) -> Iterable[tuple]:
+    """Rows that come one after the other with the same key, together."""
+    return ((k, list(own)) for k, own in groupby(rows, key))
+
+
+def _population_lines(df: DataFrame, by: list[str], head: str, width: int, every: bool = False) -> Iterable[str]:
+    """A line per kind with the mean and deviation of each atom label (the labels are the user's); kinds come by falling sum of means, or in their order.
+
+    With ``every`` the kinds are whole numbers, and those that are missing have lines of zeros.
+    """
+    atoms = [r.atom_label for r in df.select("atom_label").distinct().orderBy("atom_label").collect()]
     yield head + "".join(f"{f'I({a})':>15}{f'std(I({a}))':>15}" for a in atoms)
-    known = {(keyed(r), r.atom_label): r for r in rows}
-    for k in kinds:
-        cells = [known.get((k, a)) for a in atoms]
-        yield show(k) + "".join("{:>15.10f}{:>15.10f}".format(*((c["mean"], c["std"]) if c is not None else (0.0, 0.0))) for c in cells)
+    total = df.withColumn("_total", F.sum("mean").over(W.partitionBy(*by)))
+    rows = total.orderBy(*by) if every else total.orderBy(F.desc("_total"), *by)
+
+    def line(kind, known: dict) -> str:
+        cells = [known.get(a) for a in atoms]
+        return f"{kind:<{width}}" + "".join("{:>15.10f}{:>15.10f}".format(*((c["mean"], c["std"]) if c is not None else (0.0, 0.0))) for c in cells)
+
+    nth = 1
+    for kind, own in _groups(rows.toLocalIterator(), lambda r: tuple(r[c] for c in by)):
+        while every and nth < kind[0]:
+            yield line(nth, {})
+            nth += 1
+        yield line(kind[0], {r.atom_label: r for r in own})
+        nth += 1
 
 
 def clusters(out: dict, q, folder: str, box) -> list[str]:
     """Occurrences by falling number, populations by falling sum, sizes from 1, a curve for every kind, and coordinates."""
-    rows = sorted(out["cluster_occurrences"].collect(), key=lambda r: (-r.occurrences, r.composition, r.graph_id))
+    rows = out["cluster_occurrences"].orderBy(F.desc("occurrences"), "composition", "graph_id").toLocalIterator()
     head = f"{'Cluster':<30} {'Occurrences':>12} {'GraphID':<32} {'mean_per_frame':>16} {'std_per_frame':>16}"
-    files = [_write(f"{folder}/cluster_occurrences.dat", [head, *(f"{r.composition:<30} {r.occurrences:>12d} {r.graph_id:<32} {r['mean']:>16.6f} {r['std']:>16.6f}" for r in rows)])]
-    found = out["cluster_populations"].collect()
-    total: dict = {}
-    for r in found:
-        total[r.composition, r.graph_id] = total.get((r.composition, r.graph_id), 0.0) + r["mean"]
-    kinds = sorted(total, key=lambda k: (-total[k], k))
-    files.append(_write(f"{folder}/cluster_populations.dat", _population_lines(found, kinds, f"{'Cluster':<30}", lambda k: f"{k[0]:<30}", lambda r: (r.composition, r.graph_id))))
-    sizes = out["cluster_size"].collect()
-    most = max((r["size"] for r in sizes), default=0)
-    files.append(_write(f"{folder}/cluster_size.dat", _population_lines(sizes, list(range(1, most + 1)), f"{'Cluster Size':<15}", lambda k: f"{k:<15}", lambda r: r["size"])))
+    lines = (f"{r.composition:<30} {r.occurrences:>12d} {r.graph_id:<32} {r['mean']:>16.6f} {r['std']:>16.6f}" for r in rows)
+    files = [_write(f"{folder}/cluster_occurrences.dat", chain([head], lines))]
+    files.append(_write(f"{folder}/cluster_populations.dat", _population_lines(out["cluster_populations"], ["composition", "graph_id"], f"{'Cluster':<30}", 30)))
+    files.append(_write(f"{folder}/cluster_size.dat", _population_lines(out["cluster_size"], ["size"], f"{'Cluster Size':<15}", 15, every=True)))
     if "cacf" in out:
-        curves: dict = {}
-        for r in out["cacf"].orderBy("tau").collect():
-            curves.setdefault((r.composition, r.graph_id), []).append(f"{r.tau} {r.c:.12f}")
-        files += [_write(f"{folder}/cacf_{c}_{g}.dat", ["tau CACF", *lines]) for (c, g), lines in curves.items()]
+        curves = out["cacf"].orderBy("composition", "graph_id", "tau").toLocalIterator()
+        for (c, g), own in _groups(curves, lambda r: (r.composition, r.graph_id)):
+            files.append(_write(f"{folder}/cacf_{c}_{g}.dat", ["tau CACF", *(f"{r.tau} {r.c:.12f}" for r in own)]))
     if "cluster_nodes" in out:
         files += cluster_drawings(out, folder)
     if "cluster_xyz" in out:
@@ -221,12 +237,10 @@ DISTRIBUTIONS = {
 
 
 def voronoi(out: dict, q, folder: str, box) -> list[str]:
-    rows = out["voronoi_areas"].orderBy("traj", "frame").collect()
-    kinds = sorted({r.kind for r in rows})
-    by_frame: dict = {}
-    for r in rows:
-        by_frame.setdefault((r.traj, r.frame), {})[r.kind] = r.area
-    files = [_write(f"{folder}/voronoi_areas.dat", ["# Frame " + " ".join(kinds), *(f"{f + 1} " + " ".join(f"{v.get(k, 0.0):.4f}" for k in kinds) for (_, f), v in by_frame.items())])]
+    kinds = [r.kind for r in out["voronoi_areas"].select("kind").distinct().orderBy("kind").collect()]  # of compounds
+    by_frame = _groups(out["voronoi_areas"].orderBy("traj", "frame").toLocalIterator(), lambda r: (r.traj, r.frame))
+    lines = (f"{frame + 1} " + " ".join(f"{own.get(k, 0.0):.4f}" for k in kinds) for (_, frame), own in ((key, {r.kind: r.area for r in rows}) for key, rows in by_frame))
+    files = [_write(f"{folder}/voronoi_areas.dat", chain(["# Frame " + " ".join(kinds)], lines))]
     top_ = int(-(-(box[0] * box[1]) // 100) * 100)
     for name, title in DISTRIBUTIONS.items():
         spec = Bins(0.0, 1.0, q.compactness_bins) if name.endswith("compactness") else Bins(0.0, float(top_), q.bins or 2 * top_)
