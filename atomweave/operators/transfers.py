@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, box_columns, first_label, length_of, nearest_image
 from .cells import nearest, pairs_within
+from .graphs import components
 from .staging import staged
 from .topology import FRAME
 
@@ -111,10 +112,11 @@ def initial_charges(assigned: DataFrame, holders: DataFrame, neutral: int, start
 
 
 class Carriers:
-    """Charge carriers of one trajectory and the rules by which a hop of a proton moves, makes or ends them."""
+    """Charge carriers and the rules by which a hop of a proton moves, makes or ends them; ``touched`` are those that changed since it was emptied."""
 
     def __init__(self, charges: dict[int, int]):
         self.charge, self.queue, self.sign, self.holder, self.n = dict(charges), defaultdict(deque), {}, {}, 0
+        self.touched: set[int] = set()
         for mol in sorted(charges):
             for _ in range(abs(charges[mol])):
                 self.make(mol, 1 if charges[mol] > 0 else -1)
@@ -122,12 +124,14 @@ class Carriers:
     def make(self, mol: int, sign: int) -> None:
         self.sign[self.n], self.holder[self.n] = sign, mol
         self.queue[mol, sign].append(self.n)
+        self.touched.add(self.n)
         self.n += 1
 
     def move(self, a: int, b: int, sign: int) -> None:
         c = self.queue[a, sign].popleft()
         self.queue[b, sign].append(c)
         self.holder[c] = b
+        self.touched.add(c)
 
     def hop(self, donor: int, acceptor: int) -> None:
         d, a = self.charge.get(donor, 0), self.charge.get(acceptor, 0)
@@ -137,35 +141,73 @@ class Carriers:
             self.move(acceptor, donor, -1)
         elif d > 0:
             for mol, sign in ((donor, 1), (acceptor, -1)):
-                del self.holder[self.queue[mol, sign].popleft()]
+                c = self.queue[mol, sign].popleft()
+                del self.holder[c]
+                self.touched.add(c)
         else:
             self.make(donor, -1)
             self.make(acceptor, 1)
         self.charge[donor], self.charge[acceptor] = d - 1, a + 1
 
 
+#: Where a carrier comes from: the hop that made it (frame -1 and the molecule if it was there at the start) and its number there.
+ORIGIN = ["born", "source", "nth"]
+
+
+def _moves(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of molecules that exchange protons with each other only: a row per carrier and frame at whose end it is elsewhere than before; ``mol`` is null when it ends."""
+    pdf = pdf.sort_values(["frame", "proton", "donor"])
+    begin = pdf[pdf["frame"] < 0]
+    charges = dict(zip(begin["donor"].tolist(), begin["acceptor"].tolist(), strict=True))
+    state, origin, out = Carriers(charges), [], []
+    for mol in sorted(charges):
+        origin += [(-1, mol, k) for k in range(abs(charges[mol]))]
+    traj, before = pdf["traj"].iloc[0], {}
+
+    def put(frame: int) -> None:
+        for c in sorted(state.touched):
+            now = state.holder.get(c)
+            if now != before.get(c):
+                out.append((traj, *origin[c], state.sign[c], frame, now))
+                before[c] = now
+        state.touched.clear()
+
+    put(-1)
+    for frame, rows in pdf[pdf["frame"] >= 0].groupby("frame"):
+        for r in rows.itertuples():
+            state.hop(r.donor, r.acceptor)
+            origin += [(frame, r.proton, k) for k in range(state.n - len(origin))]
+        put(int(frame))
+    out = pd.DataFrame(out, columns=["traj", *ORIGIN, "sign", "frame", "mol"])
+    return out.astype({"mol": "Int64"})
+
+
 def charge_track(assigned: DataFrame, holders: DataFrame, neutral: int, start: int = 0) -> DataFrame:
     """``traj, frame, cid, mol, sign``: where every carrier is at the end of each frame.
 
-    The distributed part finds the hops (rows where a proton's molecule changes); only these, in order of frame
-    and proton, go through the state machine of their trajectory.
+    The distributed part finds the hops (rows where a proton's molecule changes).  Molecules that no chain of hops connects don't
+    interact: each such group goes through a state machine of its own, with its hops in order of frame and proton.  Carriers are numbered
+    over the whole trajectory, those of the start by molecule, then by the hops that make them.
     """
     w = W.partitionBy("traj", "proton").orderBy("frame")
     hops = assigned.select("traj", "frame", "proton", F.lag("acceptor_mol").over(w).alias("donor"), F.col("acceptor_mol").alias("acceptor")).where("donor <> acceptor")
+    hops = staged(hops, "hops")
     init = initial_charges(assigned, holders, neutral, start).select("traj", F.lit(-1).cast("long").alias("frame"), F.lit(0).cast("long").alias("proton"), F.col("mol").alias("donor"), F.col("charge").cast("long").alias("acceptor"))
-    frames = assigned.select("traj", "frame").distinct().select("traj", "frame", F.lit(-1).cast("long").alias("proton"), F.lit(0).cast("long").alias("donor"), F.lit(0).cast("long").alias("acceptor"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "proton", "donor"])
-        begin = pdf[pdf["frame"] < 0]
-        state, out = Carriers(dict(zip(begin["donor"], begin["acceptor"], strict=True))), []
-        for frame, rows in pdf[pdf["frame"] >= 0].groupby("frame"):
-            for r in rows[rows["proton"] >= 0].itertuples():
-                state.hop(r.donor, r.acceptor)
-            out += [(pdf["traj"].iloc[0], frame, c, m, state.sign[c]) for c, m in sorted(state.holder.items())]
-        return pd.DataFrame(out, columns=["traj", "frame", "cid", "mol", "sign"])
-
-    return hops.unionByName(init).unionByName(frames).groupBy("traj").applyInPandas(run, "traj string, frame long, cid int, mol long, sign int")
+    every = hops.unionByName(init)
+    nodes = hops.select("traj", F.col("donor").alias("atom")).union(hops.select("traj", "acceptor")).union(init.select("traj", "donor")).distinct().withColumn("frame", F.lit(0).cast("long"))
+    links = hops.select("traj", F.lit(0).cast("long").alias("frame"), F.col("donor").alias("src"), F.col("acceptor").alias("dst"))
+    group = components(nodes, links).select("traj", F.col("atom").alias("donor"), F.col("comp").alias("group"))
+    fields = "traj string, born long, source long, nth long, sign int, frame long, mol long"
+    moves = staged(every.join(group, ["traj", "donor"]).groupBy("traj", "group").applyInPandas(_moves, fields), "carrier-moves")
+    number = (F.row_number().over(W.partitionBy("traj").orderBy(*ORIGIN)) - 1).alias("cid")  # carriers, not their steps
+    cids = moves.select("traj", *ORIGIN).distinct().select("traj", *ORIGIN, number)
+    frames = assigned.select("traj", "frame").distinct().withColumn("i", F.row_number().over(W.partitionBy("traj").orderBy("frame")))
+    last = frames.groupBy("traj").agg(F.max("i").alias("last"))
+    at = moves.join(frames, ["traj", "frame"], "left").join(last, "traj").withColumn("i", F.coalesce("i", F.lit(1)))
+    until = F.lead("i").over(W.partitionBy("traj", *ORIGIN).orderBy("frame")) - 1
+    stays = at.withColumn("until", F.coalesce(until, "last")).where("mol is not null and until >= i").join(cids, ["traj", *ORIGIN])
+    spread = stays.select("traj", F.explode(F.sequence("i", "until")).alias("i"), "cid", "mol", "sign")
+    return spread.join(frames, ["traj", "i"]).select("traj", "frame", "cid", "mol", "sign")
 
 
 def charge_paths(track: DataFrame, centres: DataFrame, box) -> DataFrame:

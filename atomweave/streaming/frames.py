@@ -67,8 +67,8 @@ def streaming_products(presence: DataFrame, keys: list[str], depth: int) -> Data
 def streaming_charges(assigned: DataFrame, neutral: int) -> DataFrame:
     """``traj, frame, cid, mol, sign`` wherever a carrier is made or moves, from a stream of ``traj, frame, proton, acceptor_mol``.
 
-    The first frame sets the charges: bound protons less the neutral number, of molecules that hold one; a molecule that first holds a proton later
-    begins with none.  Frames have to be whole and in order across batches.  The state of a trajectory is its carriers and the last holder of each proton.
+    The first frame sets the charges: bound protons less the neutral number.  A molecule that held none then has as many negative carriers as that number;
+    they come with its first proton, as the stream knows of it from then on.  Frames have to be whole and in order across batches.  The state of a trajectory is its carriers and the last holder of each proton.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -82,6 +82,10 @@ def streaming_charges(assigned: DataFrame, neutral: int) -> DataFrame:
             else:
                 for proton, mol in holder.items():
                     if last.get(proton, mol) != mol:
+                        if mol not in carriers.charge:
+                            carriers.charge[mol] = -neutral
+                            for _ in range(neutral):
+                                carriers.make(mol, -1)
                         carriers.hop(last[proton], mol)
             last |= holder
             now = dict(carriers.holder)

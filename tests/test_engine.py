@@ -309,6 +309,15 @@ def test_streaming_charges(spark, tmp_path):
     assert sorted((r.frame, r.cid, r.mol, r.sign) for r in rows) == [(0, 0, 0, 1), (1, 0, 1, 1), (2, 0, 0, 1)]
 
 
+def test_streaming_charges_of_a_molecule_without_protons(spark, tmp_path):
+    from atomweave.streaming.frames import streaming_charges
+
+    a = spark.createDataFrame([("t", f, p, m) for f, own in enumerate([[0, 0, 0], [0, 0, 5]]) for p, m in enumerate(own)], "traj string, frame long, proton long, acceptor_mol long")
+    rows = _stream(spark, tmp_path, [a], lambda s: streaming_charges(s, 2), "late")
+    # the molecule has two negative carriers; the spare proton ends one of them together with the positive one
+    assert sorted((r.frame, r.cid, r.mol, r.sign) for r in rows) == [(0, 0, 0, 1), (1, 2, 5, -1)]
+
+
 @pytest.mark.parametrize("kind", ["xyz", "lammpstrj"])
 def test_a_growing_file_is_a_stream_of_whole_frames(spark, tmp_path, kind):
     from atomweave.streaming.source import register
@@ -335,3 +344,30 @@ def test_a_growing_file_is_a_stream_of_whole_frames(spark, tmp_path, kind):
         assert got.select("frame").distinct().count() == k
     want = read_trajectory(spark, str(path), (9.0, 9.0, 9.0)).drop("frame").collect()
     assert sorted(map(str, got.drop("frame").collect())) == sorted(map(str, want)) and len(want) == sum(1 for _ in want)
+
+
+def test_charge_carriers_by_groups_equal_one_sequence(spark):
+    """Molecules that exchange no protons are worked on apart, and carriers have the numbers that one pass over all hops gives them."""
+    rnd = random.Random(12)
+    rows, holders, want = [], [], []
+    for traj in ("a", "b"):
+        holder = {p: rnd.randrange(12) for p in range(30)}
+        hops, first = [], dict(holder)
+        for f in range(12):
+            for p in range(30):
+                if f and rnd.random() < 0.15:
+                    to = holder[p] // 4 * 4 + rnd.randrange(4)  # three groups of four molecules
+                    if to != holder[p]:
+                        hops.append((f, p, holder[p], to))
+                        holder[p] = to
+                rows.append((traj, f, p, holder[p]))
+            holders += [(traj, f, m) for m in range(13)]
+        state = transfers.Carriers({m: sum(v == m for v in first.values()) - 2 for m in range(13)})
+        for f in range(12):
+            for _, _, d, a in (h for h in hops if h[0] == f):
+                state.hop(d, a)
+            want += [(traj, f, c, m, state.sign[c]) for c, m in state.holder.items()]
+    assigned = spark.createDataFrame(rows, "traj string, frame long, proton long, acceptor_mol long")
+    mols = spark.createDataFrame(holders, "traj string, frame long, mol long")
+    got = transfers.charge_track(assigned, mols, 2)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
