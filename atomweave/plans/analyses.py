@@ -70,16 +70,33 @@ def rdf(atoms: DataFrame, ref: str, obs: str, box, rmax: float = 10.0, bins: int
 
     Where frames have boxes of their own, distances are taken in these, and the volume is that of the box ``whole`` (default: the first frame's).
     """
+    parts = rdf_parts(atoms, ref, obs, box, rmax, bins, unit)
+    return rdf_of(parts, math.prod(whole or one_box(atoms, box)) / unit**3, rmax, bins)
+
+
+def rdf_parts(atoms: DataFrame, ref: str, obs: str, box, rmax: float = 10.0, bins: int = 500, unit: float = 1.0) -> DataFrame:
+    """``part, bin, value``: what a stretch of frames adds to a radial distribution: weights, frames that have both selections, and their sizes."""
     if rmax < 0.1 or bins < 1:
         raise ValueError("rmax is at least 0.1 and there is at least one bin")
-    a, b, spec = select(atoms, ref), select(atoms, obs), Bins(0.0, rmax, bins)
+    a, b = select(atoms, ref), select(atoms, obs)
     need = [*FRAME, *AXES, *box_columns(box)]
-    hist = dense(distance_weights(a.select(*need), b.select(*need), rmax, bins, box, unit), spec, "weight")
-    volume = math.prod(whole or one_box(atoms, box)) / unit**3
+    pairs = distance_weights(a.select(*need), b.select(*need), rmax, bins, box, unit)
+    n = a.groupBy(*FRAME).agg(F.count("*").alias("r")).join(b.groupBy(*FRAME).agg(F.count("*").alias("o")), FRAME)
+    sizes = n.agg(F.count("*").cast("double").alias("frames"), F.sum("r").cast("double").alias("ref"), F.sum("o").cast("double").alias("obs"))
+    sizes = sizes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.lit(0).alias("bin"), F.coalesce(c, F.lit(0.0)).alias("value")) for c in sizes.columns])).alias("x")).select("x.*")
+    return pairs.select(F.lit("pairs").alias("part"), "bin", F.col("weight").alias("value")).unionByName(sizes)
+
+
+def rdf_of(parts: DataFrame, volume: float, rmax: float = 10.0, bins: int = 500) -> DataFrame:
+    """The radial distribution of summed parts."""
+    spec = Bins(0.0, rmax, bins)
+    of = lambda name: F.sum(F.when(F.col("part") == name, F.col("value")))
+    sizes = parts.agg(of("frames").alias("frames"), (of("ref") / F.nullif(of("frames"), F.lit(0.0))).alias("n_ref"), (of("obs") / F.nullif(of("frames"), F.lit(0.0))).alias("n_obs"))
+    hist = dense(parts.where("part = 'pairs'").select("bin", F.col("value").alias("weight")), spec, "weight")
     edge = F.col("bin") * spec.width
     shell = F.lit(4 / 3 * math.pi) * (F.pow(edge + spec.width, F.lit(3)) - F.pow(edge, F.lit(3)))
     g = F.col("weight") / (shell * F.col("n_ref") * F.col("n_obs") * F.col("frames") / volume)
-    out = hist.join(F.broadcast(per_frame(a, b))).withColumns({"shell": shell, "g": F.coalesce(g, F.lit(0.0))})  # one row
+    out = hist.join(F.broadcast(sizes)).withColumns({"shell": shell, "g": F.coalesce(g, F.lit(0.0))})  # one row
     run = W.partitionBy().orderBy("bin").rowsBetween(W.unboundedPreceding, 0)  # as many rows as bins
     return out.select("bin", spec.centre(F.col("bin")).alias("r"), "g", (F.col("n_obs") / volume * F.sum(F.col("g") * F.col("shell")).over(run)).alias("n"))
 
@@ -136,9 +153,17 @@ def triplets(atoms: DataFrame, centre: str, first: str, second: str, box, cut1,
 
 def adf3b(atoms: DataFrame, centre: str, first: str, second: str, box, cut1=(0.0, 3.5), cut2=(0.0, 3.5), different: bool = True, bins: int = 180) -> DataFrame:
     """Neighbour, centre, neighbour angle: ``bin, angle, value``; a neighbour that coincides with the centre gives no angle."""
-    spec = Bins(0.0, 180.0, bins)
+    return adf3b_of(adf3b_parts(atoms, centre, first, second, box, cut1, cut2, different, bins), bins)
+
+
+def adf3b_parts(atoms: DataFrame, centre: str, first: str, second: str, box, cut1=(0.0, 3.5), cut2=(0.0, 3.5), different: bool = True, bins: int = 180) -> DataFrame:
+    """``part, bin, value``: the weights of a stretch of frames."""
     rows = vector_angle(triplets(atoms, centre, first, second, box, cut1, cut2, different))
-    return sine_weighted(linear(rows.select("angle"), "angle", spec), "weight", spec)
+    return linear(rows.select("angle"), "angle", Bins(0.0, 180.0, bins)).select(F.lit("angles").alias("part"), "bin", F.col("weight").alias("value"))
+
+
+def adf3b_of(parts: DataFrame, bins: int = 180) -> DataFrame:
+    return sine_weighted(parts.select("bin", F.col("value").alias("weight")), "weight", Bins(0.0, 180.0, bins))
 
 
 def density(atoms: DataFrame, kinds: DataFrame, box, axis: str = "z", step: float = 0.1, unit: float = 1.0, whole=None) -> DataFrame:
@@ -157,14 +182,23 @@ def density(atoms: DataFrame, kinds: DataFrame, box, axis: str = "z", step: floa
 
 def ncount(atoms: DataFrame, ref: str, obs: str, box, cutoff=3.5, same_molecule: bool = False) -> DataFrame:
     """Distribution of the number of neighbours: ``n, occurrences, p``, from 0."""
+    return ncount_of(ncount_parts(atoms, ref, obs, box, cutoff, same_molecule))
+
+
+def ncount_parts(atoms: DataFrame, ref: str, obs: str, box, cutoff=3.5, same_molecule: bool = False) -> DataFrame:
+    """``part, bin, value``: how many reference atoms of a stretch of frames have each number of neighbours."""
     a, b = select(atoms, ref), select(atoms, obs)
     pairs = pairs_within(a, b, cutoff, box).where("a_atom <> b_atom")
     if not same_molecule:
         pairs = pairs.where("a_mol <> b_mol")
     n = pairs.groupBy(*FRAME, F.col("a_atom").alias("atom")).agg(F.count("*").alias("n"))
-    counts = a.select(*FRAME, "atom").join(n, [*FRAME, "atom"], "left").groupBy(F.coalesce("n", F.lit(0)).alias("n")).agg(F.count("*").alias("occurrences"))
-    total = F.sum("occurrences").over(W.partitionBy())  # as many rows as neighbour counts
-    return counts.select("n", "occurrences", (F.col("occurrences") / total).alias("p"))
+    counts = a.select(*FRAME, "atom").join(n, [*FRAME, "atom"], "left").groupBy(F.coalesce("n", F.lit(0)).cast("int").alias("bin")).agg(F.count("*").cast("double").alias("value"))
+    return counts.select(F.lit("neighbours").alias("part"), "bin", "value")
+
+
+def ncount_of(parts: DataFrame) -> DataFrame:
+    total = F.sum("value").over(W.partitionBy())  # as many rows as neighbour counts
+    return parts.select(F.col("bin").cast("long").alias("n"), F.col("value").cast("long").alias("occurrences"), (F.col("value") / total).alias("p"))
 
 
 def tetrahedral(atoms: DataFrame, ref: str, obs: str, box, radius, cutoff=None) -> DataFrame:
