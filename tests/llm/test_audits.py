@@ -187,3 +187,65 @@ def test_prefix_trie_of_nothing(spark):
     ranked = prefix_trie.ranked_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     trie = prefix_trie.prefix_trie(ranked, prefix_trie.lengths(ranked))
     assert trie.nodes.count() == 0 and prefix_trie.ends_digests(trie.ends).count() == 0
+
+
+def test_the_pipeline_equals_plain_stages(spark, tmp_path):
+    """Every stage against a plain version of it, but for the ratings, which come from the fitted model."""
+    from itertools import combinations
+
+    import corpus_pipeline
+    from atomweave.llm import encoding, quality, queries
+
+    rnd = random.Random(31)
+    vocabulary = ["".join(rnd.choice("aeioubdklmnrst") for _ in range(rnd.randint(3, 8))) for _ in range(3000)]
+    say = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    base = [say(rnd.randint(120, 200)) for _ in range(30)]
+    passage = say(70)
+    texts = [" ".join(t) for t in base]
+    texts += [t.replace(" ", "  ") for t in texts[:5]]  # equal but for blanks, and longer
+    for t in base[5:12]:  # a word changed: near copies
+        t = list(t)
+        t[60] = "changed"
+        texts.append(" ".join(t))
+    texts += [" ".join(say(90) + passage + say(80)) for _ in range(4)] + ["", None, "one word"]
+    rows = [(n, t, "en", "s", len(t or "")) for n, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(n, 1, 0) for n in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = {r.doc_id: r.text for r in quality.select_rated(d, queries.quality_model(spark, d, str(tmp_path))).collect()}
+    assert len(left) > 30
+    groups: dict = {}
+    for i, t in left.items():
+        groups.setdefault("".join((t or "").split()), []).append(i)
+    keep = {min(own, key=lambda i: (-len(left[i] or ""), i)) for own in groups.values()}
+    left = {i: t for i, t in left.items() if i in keep}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in left.items() if (w := (t or "").split())}
+    up = {i: i for i in left}
+    for _ in range(len(up)):
+        for i, j in combinations(sorted(shingles), 2):
+            both = len(shingles[i] & shingles[j])
+            if both >= 0.8 * (len(shingles[i]) + len(shingles[j]) - both):
+                up[i] = up[j] = min(up[i], up[j])
+    left = {i: t for i, t in left.items() if up[i] == i}
+    cut = {}
+    for i in sorted(left):  # the first text that has the passage keeps it
+        words = (left[i] or "").split()
+        at = next((k for k in range(len(words)) if words[k : k + 70] == passage), None)
+        if at is not None and any(" ".join(passage) in " ".join((left[j] or "").split()) for j in left if j < i):
+            words = words[:at] + words[at + 70 :]
+        cut[i] = words
+    docs_ = d
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs_ = stage(spark, docs_, str(tmp_path))
+    got = {r.doc_id: (r.text or "").split() for r in docs_.collect()}
+    assert set(got) == {i for i, w in cut.items() if w or left[i] is None} and len(got) >= 30
+    assert all(got[i] == cut[i] for i in got)
+    tok = encoding.Encoder(queries.tokenizer("word_bpe_49k.json")).tok
+    want = {i: [*tok.encode(" ".join(w), add_special_tokens=False).ids, 1] for i, w in got.items()}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.length for r in pieces} == {i: len(x) for i, x in want.items()}  # all are shorter than a sequence
+    assert {r.doc_id: r.ids_crc32 for r in pieces} == {i: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)) for i, ids in want.items()}
+    full: dict = {}
+    for r in pieces:
+        full.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in own) <= 4096 and all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False)) for own in full.values())
