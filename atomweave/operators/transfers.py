@@ -31,8 +31,9 @@ def assign_within(protons: DataFrame, acceptors: DataFrame, r, box, cutoffs: dic
 
 def assign_always(protons: DataFrame, acceptors: DataFrame, r, box, cutoffs: dict[str, float] | None = None) -> DataFrame:
     """As ``assign_within``, and where no acceptor is within r, the nearest of all."""
+    acceptors = acceptors.hint("merge")  # see nearest
     near = staged(assign_within(protons, acceptors, r, box, cutoffs), "assigned")
-    left = protons.join(near.select(*FRAME, F.col("proton").alias("atom")), [*FRAME, "atom"], "left_anti").select(*protons.columns)
+    left = protons.join(near.select(*FRAME, F.col("proton").alias("atom")).hint("merge"), [*FRAME, "atom"], "left_anti").select(*protons.columns)
     far = nearest(left, acceptors, 1, box, 2 * r).select(*FRAME, F.col("a_atom").alias("proton"), F.col("b_atom").alias("acceptor"), F.col("b_mol").alias("acceptor_mol"), "d2")
     return near.unionByName(far)
 
