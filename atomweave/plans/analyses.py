@@ -210,12 +210,13 @@ def tetrahedral(atoms: DataFrame, ref: str, obs: str, box, radius, cutoff=None)
         rank = W.partitionBy(*FRAME, "a_atom").orderBy("d2", "b_atom")
         near = pairs_within(a, b, cutoff, box).where("a_atom <> b_atom").withColumn("rank", F.row_number().over(rank)).where("rank <= 4")
     v = near.select(*FRAME, F.col("a_atom").alias("atom"), "rank", F.sqrt(F.col("d2").cast("double")).alias("d"), *[delta("a_", "b_", k, box).cast("double").alias(k) for k in AXES])
-    both = sided(v, "p_", [*FRAME, "atom"]).join(sided(v, "q_", [*FRAME, "atom"]), [*FRAME, "atom"]).where("p_rank < q_rank and p_d > 0 and q_d > 0")
+    # not by broadcast, see nearest
+    both = sided(v, "p_", [*FRAME, "atom"]).join(sided(v, "q_", [*FRAME, "atom"]).hint("merge"), [*FRAME, "atom"]).where("p_rank < q_rank and p_d > 0 and q_d > 0")
     cosine = F.expr("(p_x * q_x + p_y * q_y + p_z * q_z) / p_d / q_d") + F.lit(1 / 3)
     q = both.groupBy(*FRAME, "atom").agg((1 - F.lit(3 / 8) * F.sum(cosine * cosine)).alias("q"), F.count("*").alias("k")).where("k = 6").drop("k")
     mean = F.avg("d").over(W.partitionBy(*FRAME, "atom"))
     s = v.withColumn("m", mean).groupBy(*FRAME, "atom").agg((1 - F.lit(1 / 3) * F.sum((F.col("d") - F.col("m")) * (F.col("d") - F.col("m"))) / (4 * F.first("m") * F.first("m"))).alias("s"), F.count("*").alias("k"), F.first("m").alias("m"))
-    return q.join(s.where("k = 4").select(*FRAME, "atom", F.when(F.col("m") > 1e-8, F.col("s")).alias("s")), [*FRAME, "atom"])
+    return q.join(s.where("k = 4").select(*FRAME, "atom", F.when(F.col("m") > 1e-8, F.col("s")).alias("s")).hint("merge"), [*FRAME, "atom"])
 
 
 def top(orders: DataFrame, field: str, bins: int) -> DataFrame:
