@@ -38,7 +38,7 @@ def test_image_distance(spark):
     assert math.sqrt(d.d2) == pytest.approx(0.4)
 
 
-@pytest.mark.parametrize("query", ["nearest4", "nearest1_fallback", "top_q"])
+@pytest.mark.parametrize("query", ["nearest4", "nearest1_fallback", "top_q", "top_s"])
 def test_nearest_broadcasts_no_points(spark, monkeypatch, query):
     plans, kept = [], cells.staged
     plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
