@@ -26,8 +26,10 @@ BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 LARGE = 512
 #: Of near_duplicates: word fingerprints, their radius, and the 64-bit parts of the long fingerprint of shingles.
 PRINTS, RADIUS, SKETCH = 4, 4, 4
-#: All pairs of a bucket of so many members are compared.
+#: All pairs of a bucket of so many members are compared at once; in a larger one those of a spanning forest come first.
 SMALL = 8
+#: Shingles that members are compared by at a time.
+STEP = 4096
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -188,10 +190,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(text.isNotNull()).select(id_in(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def sketch_limit(similarity: float) -> int:
-    """Differing bits of the long fingerprints that shingle sets of the Jaccard similarity have at most, but for one pair in some 160."""
+def sketch_limit(similarity: float, spread: float = 2.5) -> int:
+    """Differing bits of the long fingerprints that shingle sets of the Jaccard similarity have at most, but for one pair in some 160 (30,000 for a spread of 4)."""
     bits, share = 64 * SKETCH, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+    return math.floor(bits * share + spread * math.sqrt(bits * share * (1 - share)))
 
 
 def forest(of: np.ndarray, sketch: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -257,8 +259,9 @@ def early_pairs(classes: DataFrame, limit: int) -> DataFrame:
     return dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long").distinct()
 
 
-def table_pairs(classes: DataFrame, limit: int) -> DataFrame:
-    """``(a, b)``: pairs worth comparing of all covering tables of all fingerprints; ``of`` is the component a class is known to be in.
+def table_buckets(classes: DataFrame) -> DataFrame:
+    """``k, many, node, of, s0..``: the buckets of all covering tables of all fingerprints; ``of`` is the component a class is known to be in,
+    ``many`` is true where a bucket may have over ``SMALL`` members.
 
     Buckets of one component need no comparison.  One of over ``LARGE`` members is dealt out again under covering masks of the bits its own
     leaves free, which parts no pair within the radius, and what still is larger into blocks by hash of which every two meet.
@@ -268,14 +271,14 @@ def table_pairs(classes: DataFrame, limit: int) -> DataFrame:
     tables = [(f"f{f}", n, m) for f in range(PRINTS) for n, m in enumerate(first)]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f).alias("f"), F.xxhash64(F.lit(t), F.col(f).bitwiseAND(F.lit(_signed(m)))).alias("k")) for t, (f, _, m) in enumerate(tables)])
     dealt = classes.select("node", "of", *sketch, F.explode(keys).alias("x")).select("node", "of", *sketch, "x.t", "x.f", "x.k")
-    member, gathered = ["node", "of", *sketch], F.collect_list(F.struct("node", "of", *sketch)).alias("bucket")
+    member = ["node", "of", *sketch]
 
     def mixed_sizes(rows: DataFrame, name: str) -> DataFrame:
         return staged(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("k", "n"), name)
 
     often = staged(dealt.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "near-often")
     met = staged(likely_in(dealt, F.col("k"), often, F.col("k")).join(often, "k"), "near-met")
-    out = met.where(F.col("n") <= LARGE).select("k", *member)
+    out = met.where(F.col("n") <= LARGE).select("k", (F.col("n") > SMALL).alias("many"), *member)
     large = met.where(F.col("n") > LARGE).drop("n")
     apart = staged(large.groupBy("k").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("k"), "near-apart")
     if not apart.isEmpty():
@@ -287,19 +290,74 @@ def table_pairs(classes: DataFrame, limit: int) -> DataFrame:
         blocks = F.ceil(F.col("n") / (LARGE // 2)).cast("int")
         block = again.join(rest.where(F.col("n") > LARGE), "k").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
         block = block.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), *member)
-        out = out.unionByName(again.join(rest.where(F.col("n") <= LARGE), "k", "left_semi").select("k", *member)).unionByName(block)
+        more = again.join(rest.where(F.col("n") <= LARGE), "k", "left_semi").select("k", *member).unionByName(block)
+        out = out.unionByName(more.withColumn("many", F.lit(True)))
+    return out
+
+
+def table_pairs(buckets: DataFrame, limit: int, wide: int) -> DataFrame:
+    """``(a, b)``: pairs worth comparing of the buckets, as ``forest`` chooses them; small buckets have the limit ``wide``."""
+    member = ["node", "of", *(f"s{k}" for k in range(SKETCH))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = []
             for bucket in b["bucket"]:
                 rows = np.array([tuple(m[c] for c in member) for m in bucket], np.int64)
-                if (rows[:, 1] == rows[0, 1]).all():  # one component
-                    continue
-                found.append(_pairs(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64), limit))
+                found.append(_pairs(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64), wide if len(rows) <= SMALL else limit))
+            yield _frame(found)
+
+    apart = buckets.groupBy("k").agg(F.collect_list(F.struct(*member)).alias("bucket"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high")
+    return apart.select("bucket").mapInPandas(run, "a long, b long").distinct()
+
+
+def similar_members(of: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between members of different components whose sets have that Jaccard similarity: of all of these as many as join the same."""
+    n, size = len(of), np.array([len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[at] > 1
+    columns, rows = (np.cumsum(count > 1) - 1)[at[shared]], np.repeat(np.arange(n), size)[shared]
+    order = np.argsort(columns, kind="stable")
+    columns, rows, both = columns[order], rows[order], np.zeros((n, n))
+    edges = np.searchsorted(columns, np.arange(0, (columns[-1] if len(columns) else 0) + STEP + 1, STEP))
+    for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        m = np.zeros((n, STEP), np.float32)
+        m[rows[i:j], columns[i:j] - k * STEP] = 1
+        both += m @ m.T
+    good = (both >= similarity * (size[:, None] + size[None, :] - both)) & (of[:, None] != of[None, :])
+    out, of = [], of.copy()
+    for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(good))), strict=True):
+        if of[a] != of[b]:
+            out.append((a, b))
+            of[of == of[b]] = of[a]
+    return out
+
+
+def with_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, grams``: the hashes of the distinct shingles of every text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "grams": [np.unique(shingle_hashes(words_of(t), shingle)).view(np.int64) for t in b["text"]]})
+
+    return texts.mapInPandas(run, "node long, grams array<long>")
+
+
+def set_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links of the buckets ``k, node, of`` as ``similar_members`` finds them; no pair that isn't one becomes a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for bucket in b["bucket"]:
+                nodes = np.array([m["node"] for m in bucket], np.int64)
+                links = similar_members(np.array([m["of"] for m in bucket], np.int64), [np.asarray(m["grams"], np.int64) for m in bucket], similarity)
+                pairs = nodes[np.array(links, np.int64).reshape(-1, 2)]
+                found.append((pairs.min(1), pairs.max(1)))
             yield _frame(found)
 
-    return out.groupBy("k").agg(gathered).select("bucket").mapInPandas(run, "a long, b long").distinct()
+    bucket = members.join(sets, "node").groupBy("k").agg(F.collect_list(F.struct("node", "of", "grams")).alias("bucket"))
+    return bucket.select("bucket").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +365,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Candidates agree within ``RADIUS`` bits in one of ``PRINTS`` fingerprints of their distinct words, which edits move little; the
     covering masks find all of them.  Those whose long fingerprints of shingles are near enough are compared by the exact Jaccard
-    similarity of their sets of ``shingle``-word shingles, and linked from ``similarity`` on.  Of each component the row with the
+    similarity of their sets of ``shingle``-word shingles, and linked from ``similarity`` on.  In large buckets a spanning forest is
+    compared first; where more than one component is left, the sets of all members are compared inside the tasks.  Of each component the row with the
     smallest (id, hash) stays.  Null texts and texts without a word take no part; a null id is the smallest; rows that repeat
     both id and text count as one; very long texts are read whole; an empty table gives no rows; other columns are not read.
     """
@@ -328,22 +387,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 good.append(both >= similarity * (len(p) + len(q) - both))
             yield b.loc[np.array(good, bool), ["a", "b"]]
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "near-pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        who = staged(classes.select("node", "first.id", "first.h").join(ends, "node", "left_semi"), "near-ends")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        who = staged(classes.select("node", "first.id", "first.h").join(nodes, "node", "left_semi"), "near-ends")
         at = F.xxhash64("id", "h")
         texts = likely_in(_texts(docs, id_col, text_col), at, who, at).join(who, ["id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
-        texts = staged(texts, "near-texts")
+        return staged(texts, "near-texts")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "near-pairs")
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return both.mapInPandas(compared, "a long, b long")
 
     early = components(similar(early_pairs(classes, limit)))
     known = staged(classes.join(early, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component"), "near-known")
-    parent = known.select("node", "of")
-    late = similar(table_pairs(known, limit)).join(parent.toDF("a", "of_a"), "a").join(parent.toDF("b", "of_b"), "b").select("of_a", "of_b")
-    comp = components(late, "of_a", "of_b").withColumnRenamed("node", "of")
-    grouped = staged(known.join(comp, "of", "left").select(*prints, "first", F.coalesce("component", "of").alias("g")), "near-grouped")
+    buckets = table_buckets(known)
+
+    def joined(links: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with the component that the links between classes give."""
+        parent = rows.select("node", "of")
+        ends = links.join(parent.toDF("a", "of_a"), "a").join(parent.toDF("b", "of_b"), "b").select("of_a", "of_b")
+        comp = components(ends, "of_a", "of_b").withColumnRenamed("node", "of")
+        return staged(rows.join(comp, "of", "left").withColumn("of", F.coalesce("component", "of")).drop("component"), name)
+
+    grouped = joined(similar(table_pairs(buckets, limit, sketch_limit(similarity, 4))), known, "near-late")
+    large = buckets.where("many").select("k", "node").join(grouped.select("node", "of"), "node")
+    apart = large.groupBy("k").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("k")
+    large = staged(large.join(apart, "k", "left_semi"), "near-large")
+    if not large.isEmpty():
+        sets = staged(with_sets(texts_of(large.select("node").distinct()), shingle), "near-sets")
+        grouped = joined(similar(set_pairs(large, sets, similarity)), grouped, "near-last")
+    grouped = grouped.withColumnRenamed("of", "g")
     of_group = staged(grouped.groupBy("g").agg(F.min("first").alias("keep"), F.count("*").alias("n")), "near-keep")
     some = join_hot(grouped, of_group, "g", "n").select(*prints, "keep")
     gone = fps.join(some, prints).where(F.struct("id", "h") != F.col("keep")).select("id", "h", F.col("keep.id").alias("keep_id"))

@@ -259,6 +259,31 @@ def test_forest_joins_what_near_pairs_join():
         assert got.tolist() == want.tolist()
 
 
+def test_failed_pairs_of_a_large_bucket_have_replacements(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base[:i] + ["other"] + base[i + 1 :]) for i in range(5, 245, 20)]
+    monkeypatch.setattr(simhash, "_pairs", lambda nodes, of, sketch, limit: (nodes[:0], nodes[:0]))  # as if all of the forest had failed
+    assert sorted(r.id for r in simhash.near_duplicates(docs(spark, texts)).collect()) == list(range(1, len(texts)))
+
+
+def test_similar_members_equal_plain_sets():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 9000, (4, 60))
+    sets = [np.unique(np.where(rng.random(60) < 0.07, rng.integers(0, 9000, 60), base[i % 4])) for i in range(40)]
+    plain = [set(x.tolist()) for x in sets]
+    of = np.arange(40) // 2
+    want, got = of.copy(), of.copy()
+    near = [(i, j) for i in range(40) for j in range(i) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])]
+    found = simhash.similar_members(of, sets, 0.8)
+    for lab, pairs in ((want, near), (got, found)):
+        for _ in range(40):
+            for a, b in pairs:
+                lab[(lab == lab[a]) | (lab == lab[b])] = min(lab[a], lab[b])
+    assert got.tolist() == want.tolist() and len(set(want.tolist())) < 15 and len(found) < 40
+    assert all(tuple(sorted(p)[::-1]) in near for p in found)
+
+
 @pytest.mark.parametrize("large", [6, 512])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, large):
     rnd = random.Random(4)
