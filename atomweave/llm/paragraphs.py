@@ -491,6 +491,8 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, least_words: int =
     def without(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut_spans(t, s) for t, s in zip(text, spans, strict=True)])
 
+    # else a filter on the text would cut it a second time, in workers of its own beside the others
+    without = without.asNondeterministic()
     rows = docs.withColumns({at: id_in(id_col), own: F.xxhash64(column(text_col).cast("string"))})
     joined = rows.join(found, (F.col(at) == F.col(i)) & (F.col(own) == F.col(h)), "left")
     more = [] if spans_col is None else [F.col(spans).alias(spans_col)]

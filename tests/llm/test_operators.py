@@ -664,3 +664,16 @@ def test_pipeline(spark):
     assert d.selectExpr("count(*) = count(distinct doc_id)").first()[0]
     tokens = corpus_pipeline.STAGES[-1][1](spark, d, "")
     assert tokens.select("doc_id").distinct().count() == d.count()
+
+
+def test_pipeline_cuts_each_text_once(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    say = lambda n: " ".join(f"w{rnd.randrange(9999)}" for _ in range(n))
+    passage = say(80)
+    d = spark.createDataFrame([(1, f"{say(30)} {passage}"), (2, f"{passage} {say(30)}"), (3, passage), (4, None), (5, " ")], "doc_id long, text string")
+    kept = corpus_pipeline.cut_repeats(spark, d, "")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    text = {r.doc_id: r.text for r in kept.collect()}
+    assert set(text) == {1, 2, 4} and passage in text[1] and len(text[2].split()) == 30 and text[4] is None
