@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, angle, any_label, box_columns, delta
-from ..operators.cells import distance_weights, nearest, pairs_within, sided
+from ..operators.cells import distance_weights, nearest, pairs_within
 from ..operators.histograms import Bins, dense, linear, simple, simple2, to_total
 from ..operators.topology import FRAME, centres_of_mass
 
@@ -210,13 +212,13 @@ def tetrahedral(atoms: DataFrame, ref: str, obs: str, box, radius, cutoff=None)
         rank = W.partitionBy(*FRAME, "a_atom").orderBy("d2", "b_atom")
         near = pairs_within(a, b, cutoff, box).where("a_atom <> b_atom").withColumn("rank", F.row_number().over(rank)).where("rank <= 4")
     v = near.select(*FRAME, F.col("a_atom").alias("atom"), "rank", F.sqrt(F.col("d2").cast("double")).alias("d"), *[delta("a_", "b_", k, box).cast("double").alias(k) for k in AXES])
-    # not by broadcast, see nearest
-    both = sided(v, "p_", [*FRAME, "atom"]).join(sided(v, "q_", [*FRAME, "atom"]).hint("merge"), [*FRAME, "atom"]).where("p_rank < q_rank and p_d > 0 and q_d > 0")
-    cosine = F.expr("(p_x * q_x + p_y * q_y + p_z * q_z) / p_d / q_d") + F.lit(1 / 3)
-    q = both.groupBy(*FRAME, "atom").agg((1 - F.lit(3 / 8) * F.sum(cosine * cosine)).alias("q"), F.count("*").alias("k")).where("k = 6").drop("k")
-    mean = F.avg("d").over(W.partitionBy(*FRAME, "atom"))
-    s = v.withColumn("m", mean).groupBy(*FRAME, "atom").agg((1 - F.lit(1 / 3) * F.sum((F.col("d") - F.col("m")) * (F.col("d") - F.col("m"))) / (4 * F.first("m") * F.first("m"))).alias("s"), F.count("*").alias("k"), F.first("m").alias("m"))
-    return q.join(s.where("k = 4").select(*FRAME, "atom", F.when(F.col("m") > 1e-8, F.col("s")).alias("s")).hint("merge"), [*FRAME, "atom"])
+    # four rows an atom at most, gathered once: no join that Spark could broadcast
+    n = [F.get("near", F.lit(k)) for k in range(4)]
+    four = v.groupBy(*FRAME, "atom").agg(F.sort_array(F.collect_list(F.struct("rank", "d", *AXES))).alias("near")).where((F.size("near") == 4) & (n[0]["d"] > 0))
+    cosine = [reduce(add, [p[k] * q[k] for k in AXES]) / p["d"] / q["d"] + F.lit(1 / 3) for p, q in combinations(n, 2)]
+    four = four.withColumns({"q": 1 - F.lit(3 / 8) * reduce(add, [c * c for c in cosine]), "m": reduce(add, [p["d"] for p in n]) / 4})
+    s = 1 - F.lit(1 / 3) * reduce(add, [(p["d"] - F.col("m")) * (p["d"] - F.col("m")) for p in n]) / (4 * F.col("m") * F.col("m"))
+    return four.select(*FRAME, "atom", "q", F.when(F.col("m") > 1e-8, s).alias("s"))
 
 
 def top(orders: DataFrame, field: str, bins: int) -> DataFrame:

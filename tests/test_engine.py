@@ -13,6 +13,7 @@ from atomweave.operators import cells, graphs, series, topology, transfers, voro
 from atomweave.operators.cells import distance_weights, nearest, pairs_within
 from atomweave.operators.histograms import Bins, linear, simple
 from atomweave.plans import analyses
+from atomweave.sources.tables import vec_atoms
 from atomweave.sources import elements, trajectories
 from atomweave.sources.trajectories import format_of, read_trajectory, write_dat
 
@@ -49,6 +50,16 @@ def test_nearest_broadcasts_no_points(spark, monkeypatch, query):
     assert not any("Broadcast" in p for p in plans)
 
 
+def test_order_parameters_gather_neighbours_once(spark, tmp_path, monkeypatch):
+    near = nearest(*[vec_atoms(spark, "/root/testdata/sf0.001").where(f"frame = 0 and sym = '{e}'") for e in "OH"], 4, (20_000_000,) * 3, 5_000_000)
+    near.write.parquet(f"{tmp_path}/near")
+    monkeypatch.setattr(analyses, "nearest", lambda *a: spark.read.parquet(f"{tmp_path}/near"))
+    orders = analyses.tetrahedral(vec_atoms(spark, "/root/testdata/sf0.001"), "O", "H", (20_000_000,) * 3, 0)
+    plan = orders._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert orders.count() == near.select("frame", "a_atom").distinct().count() > 0
+
+
 @pytest.mark.parametrize("length", [1.5, 2.5, 3.5, 6.0])
 def test_cells_equal_brute_force(spark, length):
     rnd = random.Random(int(length * 10))
