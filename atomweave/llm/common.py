@@ -119,8 +119,9 @@ def id_out(df: DataFrame, column: str = "doc_id") -> DataFrame:
     return df.withColumn(column, F.nullif(F.col(column), F.lit(NULL_ID)))
 
 
-#: Bits of a membership filter: 8 MB at most, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bits of a membership filter: 8 MB at most, whatever the input.  2000 rows of 4 KB bitmaps and what a broadcast keeps with each just fit into
+#: 8 MB; of 2048 rows they don't, and as its memory doubles when it is full, driver and executors would hold 16 MB for every filter.
+FILTER_BITS = 2000 << 15
 
 
 def likely_in(df: DataFrame, key: Column, members: DataFrame, member: Column) -> DataFrame:

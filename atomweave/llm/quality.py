@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_held
+from .common import release_held, trim
 
 
 BUCKETS = 1 << 20
@@ -167,7 +167,10 @@ def fit(rows: DataFrame, n_grades: int = 3, sample: int = 6000, buckets: int = B
     got = sorted((r.grade, bytes(r.x)) for r in got)
     if not got:
         return CumulativeLink(np.zeros(buckets), np.linspace(-40, -39, n_grades - 1))  # no ratings: every text is kept
-    return fit_rows([np.frombuffer(x, "<i4") for _, x in got], np.array([g for g, _ in got]), n_grades, buckets)
+    model = fit_rows([np.frombuffer(x, "<i4") for _, x in got], np.array([g for g, _ in got]), n_grades, buckets)
+    got = None
+    trim()  # the driver would hold what the fit took up for all stages that follow
+    return model
 
 
 def rating(model: CumulativeLink, spark):

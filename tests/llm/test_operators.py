@@ -677,3 +677,29 @@ def test_pipeline_cuts_each_text_once(spark):
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     text = {r.doc_id: r.text for r in kept.collect()}
     assert set(text) == {1, 2, 4} and passage in text[1] and len(text[2].split()) == 30 and text[4] is None
+
+
+def test_a_full_membership_filter_stays_within_its_8_mb(spark):
+    members = spark.range(300_000)  # every bitmap of the filter has some
+    rows = common.likely_in(spark.range(1000), F.col("id"), members, F.col("id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = rows._jdf.queryExecution().executedPlan()
+        assert len(rows.collect()) == 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    todo, sizes = [plan], []
+    while todo:
+        p = todo.pop()
+        todo += [p.children().apply(i) for i in range(p.children().length())]
+        if p.nodeName() == "BroadcastExchange":
+            sizes.append(p.metrics().apply("dataSize").value())
+    assert len(sizes) == 1 and 4 << 20 < sizes[0] <= (8 << 20) + (64 << 10)
+
+
+def test_the_driver_gives_back_what_a_fit_took_up(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(quality, "trim", lambda: calls.append(1), raising=False)  # before, there was none
+    rows = docs(spark, ["one two", "three four"] * 10).select("text", (F.col("doc_id") % 2).cast("int").alias("grade"), F.xxhash64("doc_id").alias("h"))
+    quality.fit(rows)
+    assert calls == [1]
