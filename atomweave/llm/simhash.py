@@ -30,6 +30,10 @@ PRINTS, RADIUS, SKETCH = 4, 4, 4
 SMALL = 8
 #: Shingles that members are compared by at a time.
 STEP = 4096
+#: A bucket that fills up to so many of ``LARGE`` takes fewer rows in blocks than dealt out again, which makes as many of each row.
+AGAIN = (1 << RADIUS + 1) - 1
+#: Shingles of a block of texts that are compared by whole sets; it has ``LARGE`` texts or so at most.
+GRAMS = 1 << 18
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -260,11 +264,11 @@ def early_pairs(classes: DataFrame, limit: int) -> DataFrame:
 
 
 def table_buckets(classes: DataFrame) -> DataFrame:
-    """``k, many, node, of, s0..``: the buckets of all covering tables of all fingerprints; ``of`` is the component a class is known to be in,
-    ``many`` is true where a bucket may have over ``SMALL`` members.
+    """``k, many, whole, node, of, s0..``: the buckets of all covering tables of all fingerprints; ``of`` is the component a class is known to be
+    in, ``many`` is true where a bucket may have over ``SMALL`` members, ``whole`` where it has over ``LARGE``.
 
-    Buckets of one component need no comparison.  One of over ``LARGE`` members is dealt out again under covering masks of the bits its own
-    leaves free, which parts no pair within the radius, and what still is larger into blocks by hash of which every two meet.
+    Buckets of one component need no comparison.  One of over ``AGAIN * LARGE`` members is dealt out again under covering masks of the bits
+    its own leaves free, which parts no pair within the radius, and what still is larger into blocks by hash of which every two meet.
     """
     spark, every, sketch = classes.sparkSession, list(range(64)), [f"s{k}" for k in range(SKETCH)]
     first = masks(RADIUS, every)
@@ -278,8 +282,8 @@ def table_buckets(classes: DataFrame) -> DataFrame:
 
     often = staged(dealt.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "near-often")
     met = staged(likely_in(dealt, F.col("k"), often, F.col("k")).join(often, "k"), "near-met")
-    out = met.where(F.col("n") <= LARGE).select("k", (F.col("n") > SMALL).alias("many"), *member)
-    large = met.where(F.col("n") > LARGE).drop("n")
+    out = met.where(F.col("n") <= AGAIN * LARGE).select("k", (F.col("n") > SMALL).alias("many"), (F.col("n") > LARGE).alias("whole"), *member)
+    large = met.where(F.col("n") > AGAIN * LARGE).drop("n")
     apart = staged(large.groupBy("k").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("k"), "near-apart")
     if not apart.isEmpty():
         free = [(t, u, _signed(x)) for t, (_, _, m) in enumerate(tables) for u, x in enumerate(masks(RADIUS, [i for i in every if not m >> i & 1]))]
@@ -291,12 +295,12 @@ def table_buckets(classes: DataFrame) -> DataFrame:
         block = again.join(rest.where(F.col("n") > LARGE), "k").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
         block = block.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), *member)
         more = again.join(rest.where(F.col("n") <= LARGE), "k", "left_semi").select("k", *member).unionByName(block)
-        out = out.unionByName(more.withColumn("many", F.lit(True)))
+        out = out.unionByName(more.withColumns({"many": F.lit(True), "whole": F.lit(False)}))
     return out
 
 
 def table_pairs(buckets: DataFrame, limit: int, wide: int) -> DataFrame:
-    """``(a, b)``: pairs worth comparing of the buckets, as ``forest`` chooses them; small buckets have the limit ``wide``."""
+    """``(a, b)``: pairs worth comparing of the buckets of up to ``LARGE``, as ``forest`` chooses them; small buckets have the limit ``wide``."""
     member = ["node", "of", *(f"s{k}" for k in range(SKETCH))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,7 +311,7 @@ def table_pairs(buckets: DataFrame, limit: int, wide: int) -> DataFrame:
                 found.append(_pairs(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64), wide if len(rows) <= SMALL else limit))
             yield _frame(found)
 
-    apart = buckets.groupBy("k").agg(F.collect_list(F.struct(*member)).alias("bucket"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high")
+    apart = buckets.where("not whole").groupBy("k").agg(F.collect_list(F.struct(*member)).alias("bucket"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high")
     return apart.select("bucket").mapInPandas(run, "a long, b long").distinct()
 
 
@@ -334,17 +338,37 @@ def similar_members(of: np.ndarray, sets: list[np.ndarray], similarity: float) -
 
 
 def with_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``node, grams``: the hashes of the distinct shingles of every text."""
+    """``node, weight, grams``: the hashes of the distinct shingles of every text, and how much of a block it takes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "grams": [np.unique(shingle_hashes(words_of(t), shingle)).view(np.int64) for t in b["text"]]})
+            grams = [np.unique(shingle_hashes(words_of(t), shingle)).view(np.int64) for t in b["text"]]
+            yield pd.DataFrame({"node": b["node"], "weight": np.array([max(len(x), GRAMS // LARGE) for x in grams], np.int64), "grams": grams})
 
-    return texts.mapInPandas(run, "node long, grams array<long>")
+    return texts.mapInPandas(run, "node long, weight long, grams array<long>")
+
+
+def groups_apart(buckets: DataFrame, late: DataFrame) -> DataFrame:
+    """``node, of, g``: classes of buckets of over ``SMALL``, in groups that hold all that meets in a bucket and isn't in one component.
+
+    ``late`` has ``was``, the component that the buckets know, and ``of``, the one of now.  A class is one row however many buckets it is in:
+    which components meet is asked of the sets of components, and most buckets have the same ones.
+    """
+    many = buckets.where("many")
+    met = many.groupBy("k").agg(F.array_sort(F.collect_set("of")).alias("all")).where(F.size("all") > 1).select("all").distinct()
+    ends = met.select(F.col("all")[0].alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
+    now = late.select("was", "of").distinct()
+    ends = ends.join(now.toDF("a", "of_a"), "a").join(now.toDF("b", "of_b"), "b")
+    groups = components(ends, "of_a", "of_b").toDF("of", "g")
+    return many.select("node").distinct().join(late.select("node", "of"), "node").join(groups, "of").select("node", "of", "g")
 
 
 def set_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)``: links of the buckets ``k, node, of`` as ``similar_members`` finds them; no pair that isn't one becomes a row."""
+    """``(a, b)``: links within the groups ``node, of, g`` as ``similar_members`` finds them; no pair that isn't one becomes a row.
+
+    A group is dealt into blocks of ``GRAMS`` shingles, and every two blocks meet in a task but those of its heaviest component: a text is
+    sent as often as the others' blocks are, not as often as it is met in a bucket.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -356,8 +380,16 @@ def set_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
                 found.append((pairs.min(1), pairs.max(1)))
             yield _frame(found)
 
-    bucket = members.join(sets, "node").groupBy("k").agg(F.collect_list(F.struct("node", "of", "grams")).alias("bucket"))
-    return bucket.select("bucket").mapInPandas(run, "a long, b long").distinct()
+    weights = members.join(sets.select("node", "weight"), "node").groupBy("g", "of").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    blocks = lambda w: F.ceil(w / GRAMS).cast("int")
+    sizes = weights.groupBy("g").agg(F.max_by("of", F.struct("w", "of")).alias("main"), blocks(F.max("w")).alias("mains"), blocks(F.sum("w") - F.max("w")).alias("rest"), F.sum("n").alias("n"))
+    rows = join_hot(members, staged(sizes, "near-sizes"), "g", "n").join(sets, "node")
+    h, main = F.xxhash64("node"), F.col("of") == F.col("main")
+    own = F.when(main, F.pmod(h, "mains")).otherwise(F.col("mains") + F.pmod(h, "rest"))
+    other = F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(0), F.col("mains") + F.col("rest") - 1))
+    dealt = rows.withColumn("own", own).withColumn("other", other)
+    bucket = dealt.groupBy("g", F.least("own", "other"), F.greatest("own", "other")).agg(F.collect_list(F.struct("node", "of", "grams")).alias("bucket"), F.min("of").alias("low"), F.max("of").alias("high"))
+    return bucket.where("low < high").select("bucket").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,8 +398,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Candidates agree within ``RADIUS`` bits in one of ``PRINTS`` fingerprints of their distinct words, which edits move little; the
     covering masks find all of them.  Those whose long fingerprints of shingles are near enough are compared by the exact Jaccard
     similarity of their sets of ``shingle``-word shingles, and linked from ``similarity`` on.  In large buckets a spanning forest is
-    compared first; where more than one component is left, the sets of all members are compared inside the tasks.  Of each component the row with the
-    smallest (id, hash) stays.  Null texts and texts without a word take no part; a null id is the smallest; rows that repeat
+    compared first; where more than one component is left, the sets of all members are compared inside the tasks, each text once with all
+    others that its buckets lead to.  Of each component the row with the smallest (id, hash) stays.  Null texts and texts without a word take no part; a null id is the smallest; rows that repeat
     both id and text count as one; very long texts are read whole; an empty table gives no rows; other columns are not read.
     """
     prints = [*(f"f{n}" for n in range(PRINTS)), *(f"s{n}" for n in range(SKETCH))]
@@ -410,12 +442,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         comp = components(ends, "of_a", "of_b").withColumnRenamed("node", "of")
         return staged(rows.join(comp, "of", "left").withColumn("of", F.coalesce("component", "of")).drop("component"), name)
 
-    grouped = joined(similar(table_pairs(buckets, limit, sketch_limit(similarity, 4))), known, "near-late")
-    large = buckets.where("many").select("k", "node").join(grouped.select("node", "of"), "node")
-    apart = large.groupBy("k").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("k")
-    large = staged(large.join(apart, "k", "left_semi"), "near-large")
+    late = joined(similar(table_pairs(buckets, limit, sketch_limit(similarity, 4))), known.withColumn("was", F.col("of")), "near-late")
+    grouped, large = late.drop("was"), staged(groups_apart(buckets, late), "near-large")
     if not large.isEmpty():
-        sets = staged(with_sets(texts_of(large.select("node").distinct()), shingle), "near-sets")
+        sets = staged(with_sets(texts_of(large.select("node")), shingle), "near-sets")
         grouped = joined(similar(set_pairs(large, sets, similarity)), grouped, "near-last")
     grouped = grouped.withColumnRenamed("of", "g")
     of_group = staged(grouped.groupBy("g").agg(F.min("first").alias("keep"), F.count("*").alias("n")), "near-keep")

@@ -1,6 +1,7 @@
 """Operators against brute force, the libraries themselves, and exact round trips."""
 
 import hashlib
+import itertools
 import math
 import random
 import unicodedata
@@ -267,6 +268,32 @@ def test_failed_pairs_of_a_large_bucket_have_replacements(spark, monkeypatch):
     assert sorted(r.id for r in simhash.near_duplicates(docs(spark, texts)).collect()) == list(range(1, len(texts)))
 
 
+@pytest.mark.parametrize(("large", "again", "grams"), [(512, 31, 1 << 18), (6, 31, 400), (6, 1, 400)])
+def test_a_text_in_many_buckets_is_compared_as_one_row(spark, monkeypatch, large, again, grams):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for edits in [1] * 20 + [2] * 10 + [3] * 10:
+        v = list(base)
+        for i in rnd.sample(range(10, 110), edits):
+            v[i] = f"w{rnd.randrange(10**6)}"
+        texts.append(" ".join(v))
+    sets = [words_.shingle_set(t, 5) for t in texts]
+    want = list(range(len(texts)))
+    for _ in want:
+        for i, j in itertools.combinations(want, 2):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want[i] = want[j] = min(want[i], want[j])
+    made, staged = {}, simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name: made.update({name: staged(df, name)}) or made[name])
+    for name, value in (("LARGE", large), ("AGAIN", again), ("GRAMS", grams)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    monkeypatch.setattr(simhash, "_pairs", lambda nodes, of, sketch, limit: (nodes[:0], nodes[:0]))  # all that the forest could find is left
+    got = {r.id: r.keep_id for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert {i: k for i, k in enumerate(want) if i != k} == got and 15 < len(got) < 35
+    assert made["near-large"].count() == len(texts) == made["near-large"].select("node").distinct().count()
+
+
 def test_similar_members_equal_plain_sets():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 9000, (4, 60))
